@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 FALLBACK_CATEGORY = "行业洞察"
 FALLBACK_SUBCATEGORY = "综合"
@@ -115,6 +116,12 @@ VALID_CATEGORIES = list(TAXONOMY)
 TOPIC_KEYWORDS = PRIMARY_KEYWORDS + SECONDARY_KEYWORDS
 
 
+def inline_rows(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """A literal table inside the plan: its size is known, so joins broadcast it."""
+    structs = [F.struct(*[F.lit(v).alias(n) for v, n in zip(row, names)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def taxonomy(spark: SparkSession) -> DataFrame:
     """One row per (category, subcategory)."""
     rows = [
@@ -122,9 +129,7 @@ def taxonomy(spark: SparkSession) -> DataFrame:
         for i, (category, (subs, examples)) in enumerate(TAXONOMY.items())
         for j, sub in enumerate(subs)
     ]
-    return spark.createDataFrame(
-        rows, "category STRING, subcategory STRING, category_ord INT, sub_ord INT, examples STRING"
-    )
+    return inline_rows(spark, rows, ["category", "subcategory", "category_ord", "sub_ord", "examples"])
 
 
 def labels(spark: SparkSession) -> DataFrame:
@@ -134,10 +139,10 @@ def labels(spark: SparkSession) -> DataFrame:
         for domain, key, zh, en in LABELS
         for lang, label in (("zh", zh), ("en", en))
     ]
-    return spark.createDataFrame(rows, "domain STRING, key STRING, lang STRING, label STRING")
+    return inline_rows(spark, rows, ["domain", "key", "lang", "label"])
 
 
 def platforms(spark: SparkSession, enabled: dict[str, bool] | None = None) -> DataFrame:
     """Platform switches: the defaults, or the caller's own."""
     rows = list((enabled or dict(PLATFORMS)).items())
-    return spark.createDataFrame(rows, "platform STRING, enabled BOOLEAN")
+    return inline_rows(spark, rows, ["platform", "enabled"])

@@ -1,0 +1,14 @@
+"""Named queries over the sample tables."""
+
+from importlib import import_module
+
+MODULES: list[str] = [
+    "library",
+    "scalars",
+    "cleaning",
+]
+
+
+def load() -> None:
+    for name in MODULES:
+        import_module(f"topicpulse.plans.{name}")
