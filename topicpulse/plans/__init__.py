@@ -6,6 +6,10 @@ MODULES: list[str] = [
     "library",
     "scalars",
     "cleaning",
+    "trends",
+    "ingest",
+    "updates",
+    "reports",
 ]
 
 

@@ -51,7 +51,7 @@ def sql_html(c: str) -> str:
     lines = f"regexp_replace({shown}, '(?:<[^>]+>)+', chr(10), 'g')"
     lines = f"(CASE WHEN starts_with({c}, '<') THEN substr({lines}, 2) ELSE {lines} END)"
     lines = f"(CASE WHEN ends_with({c}, '>') THEN left({lines}, -1) ELSE {lines} END)"
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
+    for entity, char in (("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
         lines = f"replace({lines}, '{entity}', '{char}')"
     return lines
 
