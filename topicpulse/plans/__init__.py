@@ -10,6 +10,7 @@ MODULES: list[str] = [
     "ingest",
     "updates",
     "reports",
+    "sources",
 ]
 
 
