@@ -5,6 +5,7 @@ Runs inside tasks on Arrow batches; see :mod:`topicpulse.functions.page_text`.
 
 from __future__ import annotations
 
+from html import escape
 from html.parser import HTMLParser
 
 _VOID = frozenset(
@@ -43,12 +44,32 @@ class Node:
             parts = (p for p in (s.strip() for s in parts) if p)
         return separator.join(parts)
 
+    def markup(self) -> str:
+        """The element as HTML again."""
+        out: list[str] = []
+        todo: list[tuple[Node | str, bool]] = [(self, False)]
+        while todo:
+            item, done = todo.pop()
+            if isinstance(item, str):
+                out.append(item if done else escape(item, quote=False))
+            elif item.name in _VOID:
+                out.append(f"<{item.name}{item._shown()}/>")
+            else:
+                out.append(f"<{item.name}{item._shown()}>")
+                todo.append((f"</{item.name}>", True))
+                todo.extend((c, item.name in _QUIET) for c in reversed(item.children))
+        return "".join(out)
+
+    def _shown(self) -> str:
+        return "".join(f' {k}="{escape(v)}"' for k, v in self.attrs.items())
+
     def drop(self, names: frozenset[str]) -> None:
         """Remove elements with these names, with all they hold."""
-        self.children = [c for c in self.children if isinstance(c, str) or c.name not in names]
-        for child in self.children:
-            if isinstance(child, Node):
-                child.drop(names)
+        todo = [self]
+        while todo:
+            node = todo.pop()
+            node.children = [c for c in node.children if isinstance(c, str) or c.name not in names]
+            todo.extend(c for c in node.children if isinstance(c, Node))
 
     def first(self, test) -> "Node | None":
         return next((n for n in self.walk() if test(n)), None)

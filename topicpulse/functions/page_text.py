@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from topicpulse.functions import html_dom
 
@@ -77,7 +78,7 @@ def main_text(html: Column, rule: str = "article") -> Column:
     """Main text of a page by one of the rules ``article``, ``feed``, ``baijiahao``."""
     pick = _PICKERS[rule]
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def _pick(pages: pd.Series) -> pd.Series:
         return pages.map(lambda p: pick(p) if p else "")
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Unicode-aware classes; only a newline ends a line.
 _FLAGS = "(?Ud)"
@@ -56,11 +58,52 @@ _TAG_RUN = r"(?:<[^>]+>)+"
 _HIDDEN = r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->"
 
 
-def _replace_all(text: Column, patterns: list[str]) -> Column:
-    return reduce(lambda t, p: F.regexp_replace(t, _FLAGS + p, ""), patterns, text)
+# What a text must hold for the pattern of the same position to match at all.
+_AD_HINTS = [
+    ["关注", "点赞", "转发", "收藏", "分享", "订阅", "在看", "三连"],
+    ["公众号", "微信号", "服务号", "订阅号"],
+    ["扫码", "扫一码"],
+    ["限时", "点击", "免费", "立即", "优惠", "活动", "福利"],
+    ["下载", "安装", "打开"],
+    ["广告", "推广", "赞助", "品牌合作"],
+    ["http"],
+    ["微博", "抖音", "快手", "小红书", "B站"],
+    ["@"],
+]
+_BOILERPLATE_HINTS = [
+    None,
+    ["eserved"],
+    ["本文"],
+    ["来源", "出处", "作者", "编辑", "责编"],
+    ["声明", "侵权", "如需转载", "转载请注明", "仅", "不代表"],
+    ["一篇", "相关", "猜你喜欢"],
+    ["原文"],
+]
+
+
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Apply ``body`` to a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _replace_all(text: Column, patterns: list[str], hints: list[list[str] | None]) -> Column:
+    """Remove each pattern in turn; texts without its literal words skip the regex."""
+
+    def step(t: Column, rule: tuple[str, list[str] | None]) -> Column:
+        pattern, words = rule
+        if words is None:
+            return F.regexp_replace(t, _FLAGS + pattern, "")
 
+        def guarded(x: Column) -> Column:
+            hit = reduce(lambda a, b: a | b, [x.contains(w) for w in words])
+            return F.when(hit, F.regexp_replace(x, _FLAGS + pattern, "")).otherwise(x)
 
-@F.pandas_udf("string")
+        return _bind(t, guarded)
+
+    return reduce(step, zip(patterns, hints), text)
+
+
+@F.pandas_udf(T.StringType())
 def _unescape(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
@@ -78,12 +121,22 @@ def trim_space(text: Column) -> Column:
 def strip_html(text: Column) -> Column:
     """Text of the visible nodes, one node per line, entities decoded twice."""
     t = F.coalesce(text, F.lit(""))
-    shown = F.regexp_replace(t, _HIDDEN, "<x>")
-    lines = F.regexp_replace(shown, _TAG_RUN, "\n")
-    opened, closed = shown.startswith("<"), shown.endswith(">")
-    lines = F.when(opened, F.regexp_replace(lines, r"\A\n", "")).otherwise(lines)
-    lines = F.when(closed, F.regexp_replace(lines, r"\n\z", "")).otherwise(lines)
-    return unescape(unescape(lines))
+
+    def visible(x: Column) -> Column:
+        shown = F.regexp_replace(x, _HIDDEN, "<x>")
+        # A tag run at either end leaves no line break behind.
+        marked = F.regexp_replace(shown, rf"\A{_TAG_RUN}|{_TAG_RUN}\z", "")
+        return F.when(x.contains("<"), F.regexp_replace(marked, _TAG_RUN, "\n")).otherwise(x)
+
+    return unescape(unescape(_bind(t, visible)))
+
+
+def node_text(text: Column) -> Column:
+    """Visible text nodes, each trimmed, empty ones dropped, one per line."""
+    shown = F.regexp_replace(F.coalesce(text, F.lit("")), _HIDDEN, "<x>")
+    nodes = F.split(F.regexp_replace(shown, _TAG_RUN, "\x01"), "\x01")
+    kept = F.filter(F.transform(nodes, trim_space), lambda n: n != "")
+    return unescape(F.array_join(kept, "\n"))
 
 
 def strip_tags(text: Column, collapse: bool = False) -> Column:
@@ -94,11 +147,11 @@ def strip_tags(text: Column, collapse: bool = False) -> Column:
 
 
 def remove_ads(text: Column) -> Column:
-    return _replace_all(text, AD_PATTERNS)
+    return _replace_all(text, AD_PATTERNS, _AD_HINTS)
 
 
 def remove_boilerplate(text: Column) -> Column:
-    return _replace_all(text, BOILERPLATE_PATTERNS)
+    return _replace_all(text, BOILERPLATE_PATTERNS, _BOILERPLATE_HINTS)
 
 
 def normalize_whitespace(text: Column) -> Column:

@@ -11,6 +11,7 @@ MODULES: list[str] = [
     "updates",
     "reports",
     "sources",
+    "markup",
 ]
 
 

@@ -22,7 +22,7 @@ register_cte("promo_docs", f"SELECT doc_id, lang, source, {_PROMO} AS text FROM
 
 
 def promo_docs(s: Store) -> DataFrame:
-    return s.raw("documents").select("doc_id", "lang", "source", F.expr(_PROMO).alias("text"))
+    return s.spread("documents", "doc_id").select("doc_id", "lang", "source", F.expr(_PROMO).alias("text"))
 
 
 def _sql_rules(patterns: list[str]) -> list[tuple[str, str]]:
@@ -58,7 +58,7 @@ def sql_html(c: str) -> str:
 
 @query("txt01_strip_html", f"SELECT page_id, {sql_html('html')} AS text FROM pages")
 def strip_html(s: Store) -> DataFrame:
-    return s.raw("pages").select("page_id", X.strip_html(F.col("html")).alias("text"))
+    return s.spread("pages", "page_id").select("page_id", X.strip_html(F.col("html")).alias("text"))
 
 
 @query("txt02_remove_ads", f"SELECT doc_id, {sql_ads('text')} AS text FROM promo_docs")
@@ -98,13 +98,13 @@ def clean_text(s: Store) -> DataFrame:
 
 @query("txt06_main_text")
 def main_text(s: Store) -> DataFrame:
-    return s.raw("pages").select("page_id", P.main_text(F.col("html")).alias("text"))
+    return s.spread("pages", "page_id").select("page_id", P.main_text(F.col("html")).alias("text"))
 
 
 @query("txt07_page_text")
 def page_text(s: Store) -> DataFrame:
     html = F.col("html")
-    return s.raw("pages").select(
+    return s.spread("pages", "page_id").select(
         "page_id",
         P.main_text(html, "feed").alias("feed_text"),
         P.main_text(html, "baijiahao").alias("baijiahao_text"),
@@ -119,7 +119,7 @@ def page_text(s: Store) -> DataFrame:
 )
 def strip_tags(s: Store) -> DataFrame:
     html = F.col("html")
-    return s.raw("pages").select(
+    return s.spread("pages", "page_id").select(
         "page_id", X.strip_tags(html).alias("bare"), X.strip_tags(html, collapse=True).alias("flat")
     )
 

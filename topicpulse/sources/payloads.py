@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from topicpulse.functions import scalars as S
 from topicpulse.functions import text as X
+from topicpulse.schemas import ARTICLE_MODEL
 
 ANONYMOUS = "匿名用户"
 _FALSY = ["null", '""', "0", "0.0", "false", "[]", "{}"]
@@ -62,7 +63,10 @@ def unnest(payloads: DataFrame, *paths: str) -> DataFrame:
     return parsed.select("payload_id", F.posexplode(first).alias("pos", "item"))
 
 
-def _articles(items: DataFrame, platform: str, keep: Column | None = None, **fields: Column) -> DataFrame:
+def articles(
+    items: DataFrame, platform: str, keep: Column | None = None, extra: list[str] | None = None, **fields: Column
+) -> DataFrame:
+    """Fill the article model; rows lacking an id or a title go, unless ``keep`` says otherwise."""
     zero = F.lit(0).cast("bigint")
     default = {
         "author": F.lit(""),
@@ -74,9 +78,7 @@ def _articles(items: DataFrame, platform: str, keep: Column | None = None, **fie
         "summary": F.lit(None).cast("string"),
     }
     cols = {"platform": F.lit(platform), **default, **fields}
-    order = ["platform", "platform_id", "title", "url", "author", "view_count", "like_count", "comment_count",
-             "share_count", "publish_time", "summary"]
-    out = items.select("payload_id", F.col("pos").cast("bigint").alias("pos"), *[cols[c].alias(c) for c in order])
+    out = items.select("payload_id", F.col("pos").cast("bigint").alias("pos"), *[cols[c].alias(c) for c in ARTICLE_MODEL], *(extra or []))
     filled = (F.coalesce("platform_id", F.lit("")) != "") & (F.coalesce("title", F.lit("")) != "")
     return out.where(filled if keep is None else keep)
 
@@ -96,7 +98,7 @@ def normalize_kr36(payloads: DataFrame) -> DataFrame:
     pid = truthy(i, "$.itemId", "$.id", "$.articleId")
     base = F.concat(F.lit("https://www.36kr.com/p/"), pid)
     is_object = raw(i, "$.author").startswith("{")
-    return _articles(
+    return articles(
         kr36_items(payloads),
         "kr36",
         platform_id=pid,
@@ -123,7 +125,7 @@ def huxiu_articles(items: DataFrame) -> DataFrame:
     pid = truthy(i, "$.aid", "$.article_id", "$.id")
     base = F.concat(F.lit("https://www.huxiu.com/article/"), pid, F.lit(".html"))
     author = raw(i, "$.author")
-    return _articles(
+    return articles(
         items,
         "huxiu",
         platform_id=pid,
@@ -160,7 +162,7 @@ def normalize_zhihu_hot(payloads: DataFrame) -> DataFrame:
     qid = asked("id")
     answer = F.when(kind == "answer", S.blank_to_null(get(i, "$.target.id")))
     question_url = F.concat(F.lit("https://www.zhihu.com/question/"), qid)
-    return _articles(
+    return articles(
         unnest(payloads, "$.data").where(F.coalesce(qid, F.lit("")) != ""),
         "zhihu",
         platform_id=F.coalesce(answer, qid),
@@ -186,7 +188,7 @@ def normalize_zhihu_topic(payloads: DataFrame, least: int = 100) -> DataFrame:
     qid, aid = S.blank_to_null(get(i, "$.target.question.id")), S.blank_to_null(get(i, "$.target.id"))
     both = qid.isNotNull() & aid.isNotNull()
     url = F.concat(F.lit("https://www.zhihu.com/question/"), qid, F.lit("/answer/"), aid)
-    return _articles(
+    return articles(
         min_upvotes(unnest(payloads, "$.data"), least),
         "zhihu",
         keep=F.lit(True),
@@ -204,7 +206,7 @@ def normalize_zhihu_topic(payloads: DataFrame, least: int = 100) -> DataFrame:
 def normalize_juejin(payloads: DataFrame) -> DataFrame:
     i = F.col("item")
     pid = text(i, "$.article_info.article_id")
-    return _articles(
+    return articles(
         unnest(payloads, "$.data"),
         "juejin",
         keep=F.col("platform_id") != "",
@@ -226,7 +228,7 @@ def normalize_toutiao(payloads: DataFrame) -> DataFrame:
     url = S.absolute_url(given, "https://www.toutiao.com")
     group = F.coalesce(truthy(i, "$.group_id"), S.blank_to_null(get(i, "$.item_id")))
     stamp = S.epoch_text(truthy(i, "$.publish_time", "$.behot_time"))
-    return _articles(
+    return articles(
         unnest(payloads, "$.data").where(given.isNotNull()),
         "toutiao",
         platform_id=F.coalesce(group, F.md5(url)),
@@ -244,7 +246,7 @@ def normalize_toutiao(payloads: DataFrame) -> DataFrame:
 def normalize_bilibili(payloads: DataFrame) -> DataFrame:
     i = F.col("item")
     pid = S.blank_to_null(get(i, "$.id"))
-    return _articles(
+    return articles(
         unnest(payloads, "$.data.result").where(pid.isNotNull()),
         "bilibili",
         keep=F.lit(True),
@@ -263,7 +265,7 @@ def normalize_bilibili(payloads: DataFrame) -> DataFrame:
 def normalize_xiaohongshu(payloads: DataFrame) -> DataFrame:
     i = F.col("item")
     pid = S.blank_to_null(get(i, "$.id"))
-    return _articles(
+    return articles(
         unnest(payloads, "$.data.items").where(pid.isNotNull()),
         "xiaohongshu",
         keep=F.lit(True),
@@ -284,7 +286,7 @@ def normalize_maimai(payloads: DataFrame) -> DataFrame:
     i = F.col("item")
     first_line = F.left(F.split_part(text(i, "$.text"), F.lit("\n"), F.lit(1)), F.lit(50))
     pid = text(i, "$.id")
-    return _articles(
+    return articles(
         unnest(payloads, "$.data.feeds", "$.data.list", "$.data"),
         "maimai",
         platform_id=pid,

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from topicpulse import schemas
 from topicpulse.functions import scalars as S
+from topicpulse.session import balanced, ship_package
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -47,6 +48,11 @@ class SampleStore:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark = spark
         self.folder = folder
+        ship_package(spark)
+
+    def spread(self, name: str, key: str) -> DataFrame:
+        """A table for heavy per-row work."""
+        return balanced(self.raw(name), key)
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
