@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Apply ``body`` to a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
 def blank_to_null(value: Column | str) -> Column:
     return F.nullif(_col(value), F.lit(""))
 

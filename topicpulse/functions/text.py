@@ -11,9 +11,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from topicpulse.functions.scalars import bind
+
 # Unicode-aware classes; only a newline ends a line.
 _FLAGS = "(?Ud)"
 
+# White space other than the plain blank and the newline.
+_ODD_SPACE = r"\t\x0b\f\r\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
 # Advertisement patterns, applied in this order.
 AD_PATTERNS = [
     r"[★☆❤✦✧►▶→]?\s*(点击)?(关注|点赞|转发|收藏|分享|订阅|在看|三连)[一下我们本号吧哦呀啊!！\s]*",
@@ -81,11 +86,6 @@ _BOILERPLATE_HINTS = [
 ]
 
 
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Apply ``body`` to a value that is computed once, however often it is used."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _replace_all(text: Column, patterns: list[str], hints: list[list[str] | None]) -> Column:
     """Remove each pattern in turn; texts without its literal words skip the regex."""
 
@@ -98,7 +98,7 @@ def _replace_all(text: Column, patterns: list[str], hints: list[list[str] | None
             hit = reduce(lambda a, b: a | b, [x.contains(w) for w in words])
             return F.when(hit, F.regexp_replace(x, _FLAGS + pattern, "")).otherwise(x)
 
-        return _bind(t, guarded)
+        return bind(t, guarded)
 
     return reduce(step, zip(patterns, hints), text)
 
@@ -115,7 +115,7 @@ def unescape(text: Column) -> Column:
 
 def trim_space(text: Column) -> Column:
     """Strip all white space on both ends."""
-    return F.regexp_replace(text, _FLAGS + r"\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    return F.regexp_replace(text, rf"\A[ \n{_ODD_SPACE}]+|[ \n{_ODD_SPACE}]+\z", "")
 
 
 def strip_html(text: Column) -> Column:
@@ -128,7 +128,7 @@ def strip_html(text: Column) -> Column:
         marked = F.regexp_replace(shown, rf"\A{_TAG_RUN}|{_TAG_RUN}\z", "")
         return F.when(x.contains("<"), F.regexp_replace(marked, _TAG_RUN, "\n")).otherwise(x)
 
-    return unescape(unescape(_bind(t, visible)))
+    return unescape(unescape(bind(t, visible)))
 
 
 def node_text(text: Column) -> Column:
@@ -143,7 +143,7 @@ def strip_tags(text: Column, collapse: bool = False) -> Column:
     """Drop tags without a trace; optionally squeeze white space to one blank."""
     bare = F.regexp_replace(text, "<[^>]+>", "")
     bare = trim_space(bare)
-    return F.regexp_replace(bare, _FLAGS + r"[\s\x1c-\x1f]+", " ") if collapse else bare
+    return F.regexp_replace(bare, f" *[\n{_ODD_SPACE}][ \n{_ODD_SPACE}]*|  +", " ") if collapse else bare
 
 
 def remove_ads(text: Column) -> Column:
@@ -156,8 +156,9 @@ def remove_boilerplate(text: Column) -> Column:
 
 def normalize_whitespace(text: Column) -> Column:
     """One blank between words, trimmed lines, at most one empty line in a row."""
-    t = F.regexp_replace(text, _FLAGS + r"(?:[^\S\n]|[\x1c-\x1f])+", " ")
-    t = F.regexp_replace(t, " *\n *", "\n")
+    # Only runs that are not already a lone blank are rewritten.
+    t = F.regexp_replace(text, f" *[{_ODD_SPACE}][ {_ODD_SPACE}]*|  +", " ")
+    t = F.regexp_replace(t, " +\n *|\n +", "\n")
     t = F.regexp_replace(t, "\n{3,}", "\n\n")
     return F.regexp_replace(t, r"\A[ \n]+|[ \n]+\z", "")
 

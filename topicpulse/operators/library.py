@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -48,10 +50,8 @@ def _all(conditions: list[Column]) -> Column:
 def keyword_relevant(title: Column, summary: Column, keywords: list[str] | None = None) -> Column:
     """Any keyword occurs in the lower-cased title and summary."""
     text = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(summary, F.lit(""))))
-    found = F.lit(False)
-    for word in dims.TOPIC_KEYWORDS if keywords is None else keywords:
-        found = found | text.contains(word.lower())
-    return found
+    words = dims.TOPIC_KEYWORDS if keywords is None else keywords
+    return S.bind(text, lambda t: reduce(lambda a, w: a | t.contains(w.lower()), words, F.lit(False)))
 
 
 def filter_articles(

@@ -9,24 +9,23 @@ from topicpulse import dims
 from topicpulse.functions import scalars as S
 from topicpulse.operators.relations import last_run_per_platform
 
-_N = F.count(F.lit(1))
 
 
 def article_stats(articles: DataFrame) -> DataFrame:
     return articles.agg(
-        _N.alias("total"),
+        F.count(F.lit(1)).alias("total"),
         F.count_if("is_analyzed").alias("analyzed"),
         F.count_if(~F.col("is_analyzed")).alias("unanalyzed"),
     )
 
 
 def by_platform(articles: DataFrame) -> DataFrame:
-    return articles.groupBy("platform").agg(_N.alias("articles")).orderBy(F.desc("articles"), "platform")
+    return articles.groupBy("platform").agg(F.count(F.lit(1)).alias("articles")).orderBy(F.desc("articles"), "platform")
 
 
 def by_date(articles: DataFrame, newest: int = 30) -> DataFrame:
     """Count per crawl day of the newest days; an undated bucket is dropped last."""
-    days = articles.groupBy(F.to_date("crawl_time").alias("crawl_date")).agg(_N.alias("articles"))
+    days = articles.groupBy(F.to_date("crawl_time").alias("crawl_date")).agg(F.count(F.lit(1)).alias("articles"))
     return days.orderBy(F.desc_nulls_last("crawl_date")).limit(newest).where("crawl_date IS NOT NULL")
 
 
@@ -34,14 +33,14 @@ def category_counts(demands: DataFrame) -> DataFrame:
     return (
         demands.where("category IS NOT NULL")
         .groupBy(F.col("category").alias("name"))
-        .agg(_N.alias("count"))
+        .agg(F.count(F.lit(1)).alias("count"))
         .orderBy(F.desc("count"), "name")
     )
 
 
 def category_dist(demands: DataFrame) -> DataFrame:
     """Counts and share of all demands, the uncategorised included in the base."""
-    total = demands.agg(_N.alias("n")).scalar()
+    total = demands.agg(F.count(F.lit(1)).alias("n")).scalar()
     share = F.round(F.col("count") / total * 100, 1)
     return category_counts(demands).withColumn("percentage", share)
 
@@ -51,7 +50,7 @@ def tag_counts(demands: DataFrame) -> DataFrame:
     return (
         demands.select(F.explode(S.json_list("tags")).alias("tag"))
         .groupBy("tag")
-        .agg(_N.alias("count"))
+        .agg(F.count(F.lit(1)).alias("count"))
         .orderBy(F.desc("count"), "tag")
     )
 
@@ -68,11 +67,11 @@ def overview(articles: DataFrame, demands: DataFrame, as_of: Column) -> DataFram
     """Totals, demands new this week and the analysed share, in one row."""
     since = as_of - F.make_dt_interval(F.lit(7))
     done = F.count_if("is_analyzed")
-    rate = F.when(_N > 0, done / _N * 100).otherwise(0.0)
+    rate = F.when(F.count(F.lit(1)) > 0, done / F.count(F.lit(1)) * 100).otherwise(0.0)
     fresh = demands.agg(F.count_if(F.col("first_seen") >= since).alias("n")).scalar()
-    return articles.agg(_N.alias("total_articles"), F.round(rate, 1).alias("analysis_rate")).select(
+    return articles.agg(F.count(F.lit(1)).alias("total_articles"), F.round(rate, 1).alias("analysis_rate")).select(
         "total_articles",
-        demands.agg(_N.alias("n")).scalar().alias("total_demands"),
+        demands.agg(F.count(F.lit(1)).alias("n")).scalar().alias("total_demands"),
         fresh.alias("week_new_demands"),
         "analysis_rate",
     )
@@ -85,10 +84,10 @@ def _category_groups(demands: DataFrame) -> DataFrame:
 
 def category_summary(demands: DataFrame) -> DataFrame:
     """Per category count, share and averages, with a total row."""
-    total = demands.agg(_N.alias("n")).scalar()
+    total = demands.agg(F.count(F.lit(1)).alias("n")).scalar()
     rows = (
         _category_groups(demands)
-        .agg(_N.alias("count"), F.avg("frequency").alias("f"), F.avg("importance_score").alias("i"))
+        .agg(F.count(F.lit(1)).alias("count"), F.avg("frequency").alias("f"), F.avg("importance_score").alias("i"))
         .select(
             "category",
             "count",
@@ -98,7 +97,7 @@ def category_summary(demands: DataFrame) -> DataFrame:
         )
     )
     empty = F.lit(None).cast("double")
-    footer = demands.agg(_N.alias("count")).select(
+    footer = demands.agg(F.count(F.lit(1)).alias("count")).select(
         F.lit("合计").alias("category"),
         "count",
         F.lit("100%").alias("pct"),
@@ -109,10 +108,10 @@ def category_summary(demands: DataFrame) -> DataFrame:
 
 
 def category_pct_report(demands: DataFrame) -> DataFrame:
-    total = demands.agg(_N.alias("n")).scalar()
+    total = demands.agg(F.count(F.lit(1)).alias("n")).scalar()
     return (
         _category_groups(demands)
-        .agg(_N.alias("count"))
+        .agg(F.count(F.lit(1)).alias("count"))
         .select("category", "count", S.pct_text(F.col("count"), total).alias("pct"))
         .orderBy(F.desc("count"), "category")
     )
@@ -126,7 +125,7 @@ def daily_new_demands(demands: DataFrame, as_of: Column, days: int = 7) -> DataF
     counts = (
         demands.where((F.col("first_seen") >= first) & (F.col("first_seen") < F.date_add(last, 1)))
         .groupBy(F.to_date("first_seen").alias("day"))
-        .agg(_N.alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
     return spine.join(counts, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("new_demands"))
 
@@ -134,14 +133,14 @@ def daily_new_demands(demands: DataFrame, as_of: Column, days: int = 7) -> DataF
 def run_summary(logs: DataFrame) -> DataFrame:
     """Runs, rows found and rows new per platform and final status."""
     return logs.groupBy("platform", "status").agg(
-        _N.alias("runs"), F.sum("articles_found").alias("found"), F.sum("articles_new").alias("new")
+        F.count(F.lit(1)).alias("runs"), F.sum("articles_found").alias("found"), F.sum("articles_new").alias("new")
     )
 
 
 def token_usage(calls: DataFrame) -> DataFrame:
     """Calls and tokens per run of a call log."""
     tokens = F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0))
-    return calls.groupBy("run_id").agg(_N.alias("calls"), F.sum(tokens).alias("total_tokens"))
+    return calls.groupBy("run_id").agg(F.count(F.lit(1)).alias("calls"), F.sum(tokens).alias("total_tokens"))
 
 
 def health_overview(articles: DataFrame, demands: DataFrame, logs: DataFrame) -> DataFrame:
@@ -151,6 +150,6 @@ def health_overview(articles: DataFrame, demands: DataFrame, logs: DataFrame) ->
         F.col("start_time").alias("last_crawl"),
         "status",
         "articles_found",
-        articles.agg(_N.alias("n")).scalar().alias("total_articles"),
-        demands.agg(_N.alias("n")).scalar().alias("total_demands"),
+        articles.agg(F.count(F.lit(1)).alias("n")).scalar().alias("total_articles"),
+        demands.agg(F.count(F.lit(1)).alias("n")).scalar().alias("total_demands"),
     )

@@ -12,6 +12,8 @@ MODULES: list[str] = [
     "reports",
     "sources",
     "markup",
+    "extraction",
+    "matching",
 ]
 
 
