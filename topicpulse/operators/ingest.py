@@ -60,13 +60,18 @@ def run_limit(rows: DataFrame, limit: int, order: list[str]) -> DataFrame:
 
 
 def failure_streaks(
-    logs: DataFrame, failed: Column, threshold: int = 5, segment: Column | None = None
+    logs: DataFrame,
+    failed: Column,
+    threshold: int = 5,
+    segment: Column | None = None,
+    carried: DataFrame | None = None,
 ) -> DataFrame:
     """Consecutive failures so far on each platform, and whether it is blocked.
 
     A platform may own most of the log, so its history is cut into segments (days
     by default): streaks are counted inside a segment, and one small row per
-    segment carries the open streak into the next.
+    segment carries the open streak into the next. ``carried`` holds streaks still open
+    from before, as ``(platform, streak)``.
     """
     cut = F.to_date("start_time") if segment is None else segment
     rows = logs.withColumn("_seg", cut).withColumn("_ok", ~failed)
@@ -79,10 +84,14 @@ def failure_streaks(
     parts = rows.groupBy("platform", "_seg").agg(
         F.max_by("_local", "_i").alias("_tail"), F.max(F.col("_ok").cast("int")).alias("_reset")
     )
-    along = W.partitionBy("platform").orderBy("_seg")
+    if carried is not None:
+        # The past sorts first: an extra segment without a key.
+        past = carried.select("platform", F.col("streak").alias("_tail"), F.lit(0).alias("_reset"))
+        parts = parts.unionByName(past, allowMissingColumns=True)
+    along = W.partitionBy("platform").orderBy(F.asc_nulls_first("_seg"))
     island = F.sum("_reset").over(along.rowsBetween(W.unboundedPreceding, W.currentRow))
     parts = parts.withColumn("_island", island)
-    open_run = W.partitionBy("platform", "_island").orderBy("_seg")
+    open_run = W.partitionBy("platform", "_island").orderBy(F.asc_nulls_first("_seg"))
     parts = parts.withColumn("_open", F.sum("_tail").over(open_run.rowsBetween(W.unboundedPreceding, W.currentRow)))
     carry = parts.select("platform", "_seg", F.coalesce(F.lag("_open").over(along), F.lit(0)).alias("_carry"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from topicpulse.functions import scalars as S
-from topicpulse.session import ensure_checkpoint_dir
+from topicpulse.session import saved
 
 _EPS = 1e-9
 
@@ -208,98 +208,97 @@ def words(title: Column) -> Column:
     return F.concat(plain, pairs)
 
 
-def tfidf_vectors(new: DataFrame, library: DataFrame, tokenize=words) -> tuple[DataFrame, DataFrame]:
-    """Weight rows ``(title, token, w, heavy_df)`` of the new and the library titles.
+def tfidf_vectors(
+    new: DataFrame, library: DataFrame, fitted: DataFrame | None = None, tokenize=words
+) -> tuple[DataFrame, DataFrame]:
+    """Weight rows ``(title, token, w, titles)`` of the new and the library titles.
 
-    Smooth idf fitted once over the library rows and all new rows, raw term counts,
-    unit length vectors.
+    Smooth idf fitted once over the library rows and the ``fitted`` rows (the new ones
+    by default), raw term counts, unit length vectors. ``titles`` is the number of
+    library titles holding the token.
     """
-    sides = {}
-    for name, frame in (("new", new), ("library", library)):
-        sides[name] = frame.groupBy("title").agg(F.count(F.lit(1)).alias("copies"))
-    everything = sides["new"].unionByName(sides["library"])
-    terms = {n: f.select("title", "copies", F.explode(tokenize(F.col("title"))).alias("token")) for n, f in sides.items()}
-    # A title on both sides counts its copies on both.
-    per_side = [t.select("title", "copies", "token").distinct() for t in terms.values()]
-    df = per_side[0].unionAll(per_side[1]).groupBy("token").agg(F.sum("copies").alias("df"))
-    total = everything.agg(F.sum("copies").alias("n")).scalar()
-    idf = F.ln((1 + total) / (1 + F.col("df"))) + 1
-    spread = per_side[1].groupBy("token").agg(F.count(F.lit(1)).alias("titles"))
-
-    def weighted(t: DataFrame) -> DataFrame:
-        counted = t.groupBy("title", "token").agg(F.count(F.lit(1)).alias("tf")).join(df, "token")
-        raw = counted.select("title", "token", (F.col("tf") * idf).alias("v"))
-        norms = raw.groupBy("title").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-        out = raw.join(norms, "title").select("title", "token", (F.col("v") / F.col("norm")).alias("w"))
-        return out.join(spread, "token", "left")
-
-    return weighted(terms["new"]), weighted(terms["library"])
+
+    def counted(frame: DataFrame) -> DataFrame:
+        copies = frame.groupBy("title").agg(F.count(F.lit(1)).alias("copies"))
+        terms = copies.select("title", "copies", F.explode(tokenize(F.col("title"))).alias("token"))
+        return terms.groupBy("title", "copies", "token").agg(F.count(F.lit(1)).alias("tf"))
+
+    other = new if fitted is None else fitted
+    held, asked = counted(library), counted(new)
+    rows = held.select("token", "copies", F.lit(1).alias("one")).unionByName(
+        (asked if fitted is None else counted(other)).select("token", "copies", F.lit(0).alias("one"))
+    )
+    total = library.agg(F.count(F.lit(1)).alias("n")).scalar() + other.agg(F.count(F.lit(1)).alias("n")).scalar()
+    idf = F.ln((1 + total) / (1 + F.sum("copies"))) + 1
+    table = rows.groupBy("token").agg(idf.alias("idf"), F.sum("one").alias("titles"))
+
+    def weighted(terms: DataFrame) -> DataFrame:
+        raw = terms.join(table, "token").select("title", "token", "titles", (F.col("tf") * F.col("idf")).alias("v"))
+        # One vector is as long as one title, so a window per title stays small.
+        norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(W.partitionBy("title")))
+        return raw.select("title", "token", "titles", (F.col("v") / norm).alias("w"))
+
+    return weighted(asked), weighted(held)
 
 
 def tfidf_candidates(
-    new: DataFrame, library: DataFrame, top: int = 20, heavy: int = 10_000, tokenize=words
+    new: DataFrame,
+    library: DataFrame,
+    top: int = 20,
+    heavy: int = 10_000,
+    fitted: DataFrame | None = None,
+    tokenize=words,
 ) -> DataFrame:
     """The ``top`` library rows per new row by tf-idf cosine: ``(query_id, candidate_id, score, rank)``.
 
     Ties go to the higher id; rows without a common token are no candidates. Tokens in
-    more than ``heavy`` library titles are not used to find pairs at first. A title
-    that shares only such tokens scores at most the length of the query's heavy part,
-    so only queries whose ``top``-th score does not exceed that bound look at them: the
-    result is exact.
+    more than ``heavy`` library titles do not pair titles at first. A title that shares
+    only such tokens scores at most the length of the query's heavy part, so only
+    queries whose ``top``-th score does not exceed that bound are scored over all their
+    tokens: the result is exact.
     """
-    q, d = tfidf_vectors(new, library, tokenize)
-    q = q.withColumnRenamed("title", "a")
-    d = d.withColumnRenamed("title", "b")
-    light = F.coalesce("titles", F.lit(0)) <= heavy
-    shared = ["token"]
-
-    def scores(left: DataFrame, right: DataFrame) -> DataFrame:
-        return left.select("a", "token", F.col("w").alias("wa")).join(
-            right.select("b", "token", F.col("w").alias("wb")), shared
-        )
-
+    q, d = (saved(v) for v in tfidf_vectors(new, library, fitted, tokenize))
+    q = q.withColumnRenamed("title", "a").withColumnRenamed("w", "wa")
+    d = d.withColumnRenamed("title", "b").withColumnRenamed("w", "wb")
+    light = F.col("titles") <= heavy
+    q_heavy, d_heavy = q.where(~light), d.where(~light)
+    product = F.sum(F.col("wa") * F.col("wb"))
     ids = library.groupBy("title").agg(F.max("id").alias("max_id")).withColumnRenamed("title", "b")
 
+    def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+        return left.select("a", "token", "wa").join(right.select("b", "token", "wb"), "token").groupBy("a", "b").agg(product.alias("s"))
+
     def best(found: DataFrame) -> DataFrame:
         ranked = W.partitionBy("a").orderBy(F.desc("score"), F.desc("max_id"))
-        return found.join(ids, "b").withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= top)
+        scored = found.select("a", "b", F.round("s", 9).alias("score")).join(ids, "b")
+        return scored.withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= top).select("a", "b", "score")
 
-    light_part = scores(q.where(light), d.where(light)).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("s"))
-    # Light pairs get their heavy tokens back from both vectors.
-    heavy_q = q.where(~light).groupBy("a").agg(F.map_from_entries(F.collect_list(F.struct("token", "w"))).alias("hq"))
-    heavy_d = d.where(~light).groupBy("b").agg(F.collect_list(F.struct("token", "w")).alias("hd"))
+    # Pairs met on a light token get the heavy part of their product from both vectors.
+    parts_q = q_heavy.groupBy("a").agg(F.map_from_entries(F.collect_list(F.struct("token", "wa"))).alias("hq"))
+    parts_d = d_heavy.groupBy("b").agg(F.collect_list(F.struct("token", F.col("wb").alias("w"))).alias("hd"))
     rest = F.aggregate(
-        F.coalesce("hd", F.array().cast("array<struct<token:string,w:double>>")),
-        F.lit(0.0),
-        lambda acc, x: acc + x["w"] * F.coalesce(F.try_element_at(F.col("hq"), x["token"]), F.lit(0.0)),
+        "hd", F.lit(0.0), lambda acc, x: acc + x["w"] * F.coalesce(F.try_element_at(F.col("hq"), x["token"]), F.lit(0.0))
     )
     first = (
-        light_part.join(heavy_q, "a", "left")
-        .join(heavy_d, "b", "left")
-        .select("a", "b", F.round(F.col("s") + F.when(F.col("hq").isNull(), 0.0).otherwise(rest), 9).alias("score"))
+        pairs(q.where(light), d.where(light))
+        .join(parts_q, "a", "left")
+        .join(parts_d, "b", "left")
+        .select("a", "b", (F.col("s") + F.coalesce(rest, F.lit(0.0))).alias("s"))
     )
-    settled = best(first)
+    settled = saved(best(first))
     bar = settled.groupBy("a").agg(F.when(F.count(F.lit(1)) >= top, F.min("score")).alias("bar"))
-    bound = q.where(~light).groupBy("a").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("bound"))
+    bound = q_heavy.groupBy("a").agg(F.sqrt(F.sum(F.col("wa") * F.col("wa"))).alias("bound"))
     open_queries = bound.join(bar, "a", "left").where(F.coalesce("bar", F.lit(-1.0)) <= F.col("bound") + _EPS).select("a")
-    q_open = q.where(~light).join(open_queries, "a", "left_semi")
-    # A pair without a light token in common has its whole score here.
-    second = (
-        scores(q_open, d.where(~light))
-        .groupBy("a", "b")
-        .agg(F.round(F.sum(F.col("wa") * F.col("wb")), 9).alias("score"))
-        .join(first.select("a", "b"), ["a", "b"], "left_anti")
-    )
-    chosen = best(settled.select("a", "b", "score").unionByName(second))
+    second = best(pairs(q.join(open_queries, "a", "left_semi"), d))
+    chosen = settled.join(open_queries, "a", "left_anti").unionByName(second)
 
     newest = W.partitionBy("title").orderBy(F.desc("id"))
     rows = library.select("id", "title").withColumn("n", F.row_number().over(newest)).where(F.col("n") <= top)
-    expanded = chosen.select("a", "b", "score").join(rows.select(F.col("title").alias("b"), "id"), "b")
+    expanded = chosen.join(rows.select(F.col("title").alias("b"), "id"), "b")
     order = W.partitionBy("a").orderBy(F.desc("score"), F.desc("id"))
     picked = expanded.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= top)
-    return new.select("query_id", F.col("title").alias("a")).join(picked, "a").select(
-        "query_id", F.col("id").alias("candidate_id"), "score", "rank"
-    )
+    found = new.select("query_id", F.col("title").alias("a")).join(picked, "a")
+    return found.select("query_id", F.col("id").alias("candidate_id"), "score", "rank")
 
 
 # --- vectors ----------------------------------------------------------------
@@ -353,8 +352,9 @@ def dedup_cascade(
     exact = exact_match(new, library).withColumnRenamed("existing_id", "exact_id")
     left = new.join(exact, "query_id", "left_anti")
     fuzzy = fuzzy_best_match(left, library).select("query_id", F.col("existing_id").alias("fuzzy_id"), "ratio")
-    rest = left.join(fuzzy, "query_id", "left_anti")
-    candidates = tfidf_candidates(rest, library, top)
+    fuzzy = saved(fuzzy)
+    rest = saved(left.join(fuzzy, "query_id", "left_anti").select("query_id", "title"))
+    candidates = saved(tfidf_candidates(rest, library, top, fitted=new))
     near = candidate_ratio(candidates, rest, library).where("near_ratio > 0.5 AND near_ratio < 0.8")
     out = (
         new.select("query_id")
@@ -441,20 +441,20 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
     """``(id, leader)``: the lowest id reachable over undirected ``(a, b)`` edges.
 
     Each round takes the lowest label among neighbours, then follows labels one hop
-    further. Rounds are checkpointed to the shared folder, so a lost executor costs
-    one round, not the history.
+    further. Rounds are written to the shared folder, so a lost executor costs one
+    round, not the history.
     """
-    ensure_checkpoint_dir(nodes.sparkSession)
     both = F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("to")), F.struct(F.col("b").alias("id"), F.col("a").alias("to")))
-    links = edges.select(F.explode(both).alias("e")).select("e.*").distinct().checkpoint()
-    labels = nodes.select("id", F.col("id").alias("leader")).checkpoint()
+    links = edges.select(F.explode(both).alias("e")).select("e.*").distinct()
+    links = saved(links, "links")
+    labels = saved(nodes.select("id", F.col("id").alias("leader")), "labels")
     for _ in range(max_rounds):
         near = links.join(labels.select(F.col("id").alias("to"), "leader"), "to").groupBy("id").agg(F.min("leader").alias("low"))
         lower = labels.join(near, "id", "left").select(
             "id", F.col("leader").alias("was"), F.least("leader", F.coalesce("low", "leader")).alias("leader")
         )
         hop = lower.select(F.col("id").alias("leader"), F.col("leader").alias("next"))
-        step = lower.join(hop, "leader").select("id", "was", F.least("leader", "next").alias("leader")).checkpoint()
+        step = saved(lower.join(hop, "leader").select("id", "was", F.least("leader", "next").alias("leader")), "labels")
         changed = step.where("leader <> was").limit(1).count()
         labels = step.select("id", "leader")
         if not changed:

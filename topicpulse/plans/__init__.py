@@ -14,6 +14,7 @@ MODULES: list[str] = [
     "markup",
     "extraction",
     "matching",
+    "streaming",
 ]
 
 

@@ -1,4 +1,4 @@
-"""Session helpers: a local session for tests and the shared checkpoint folder."""
+"""Session helpers: a local session for tests, the shared folder, the shipped package."""
 
 from __future__ import annotations
 
@@ -42,18 +42,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point ``DataFrame.checkpoint`` at the shared folder unless it has one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(spark))
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh output folder inside the shared one."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def saved(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write an intermediate result to the shared folder and read it back.
+
+    Cuts the lineage like a checkpoint, and the written table also brings its size
+    to the planner, so later joins pick their strategy from facts.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per Spark context."""
     context = spark.sparkContext
