@@ -59,7 +59,7 @@ def first_seen_wins(s: Store) -> DataFrame:
 
 _DETAIL_SQL = """SELECT url, CASE WHEN id % 4 = 0 THEN NULL ELSE content END AS content,
   CASE WHEN id % 3 = 0 THEN view_count + 5 END AS view_count, id % 6 = 0 AS has_view_count,
-  CASE WHEN id % 5 = 0 THEN 'detail' END AS summary FROM articles WHERE id % 2 = 0"""
+  CASE WHEN id % 5 = 0 THEN 'detail' END AS summary FROM articles WHERE is_analyzed"""
 
 
 @query(
@@ -74,7 +74,7 @@ _DETAIL_SQL = """SELECT url, CASE WHEN id % 4 = 0 THEN NULL ELSE content END AS
 def merge_list_detail(s: Store) -> DataFrame:
     i = F.col("id")
     listed = s.articles.drop("content", "heat_score")
-    detail = s.articles.where(i % 2 == 0).select(
+    detail = s.articles.where("is_analyzed").select(
         "url",
         F.when(i % 4 != 0, F.col("content")).alias("content"),
         F.when(i % 3 == 0, F.col("view_count") + 5).alias("view_count"),
@@ -88,27 +88,27 @@ def merge_list_detail(s: Store) -> DataFrame:
 @query(
     "sor10_run_limit",
     """SELECT id, platform FROM (SELECT *, row_number() OVER (PARTITION BY platform ORDER BY id) AS n FROM
-       (SELECT * FROM articles a WHERE id % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM articles b WHERE b.id % 3 = 0
+       (SELECT * FROM articles a WHERE NOT is_analyzed AND NOT EXISTS (SELECT 1 FROM articles b WHERE b.is_analyzed
          AND b.platform = a.platform AND b.url = a.url))) WHERE n <= 7""",
 )
 def run_limit(s: Store) -> DataFrame:
-    stored, listed = s.articles.where("id % 3 = 0"), s.articles.where("id % 3 <> 0")
+    stored, listed = s.articles.where("is_analyzed"), s.articles.where("NOT is_analyzed")
     fresh = R.skip_known(listed.select("id", "platform", "url"), stored, ["platform", "url"])
     return I.run_limit(fresh, 7, ["id"]).select("id", "platform")
 
 
-# The stored half has unique keys; the incoming half repeats some and adds others.
+# Stored rows have unique keys; the batch repeats some and adds others.
 _STORED = """(SELECT id, platform, platform_id, title, author, view_count FROM (SELECT *, row_number() OVER (PARTITION BY platform, platform_id ORDER BY id) AS n
-  FROM articles) WHERE n = 1 AND id % 2 = 0)"""
+  FROM articles) WHERE n = 1 AND is_analyzed)"""
 _BATCH = """(SELECT id + 1000000 AS id, platform, CASE WHEN id % 10 = 1 THEN NULL ELSE platform_id END AS platform_id, concat(title, '!') AS title,
-  CASE WHEN id % 3 = 0 THEN concat(author, '2') END AS author, view_count + 1 AS view_count, id AS ord FROM articles WHERE id % 5 < 3)"""
+  CASE WHEN id % 3 = 0 THEN concat(author, '2') END AS author, view_count + 1 AS view_count, id AS ord FROM articles)"""
 
 
 def _stored_and_batch(s: Store) -> tuple[DataFrame, DataFrame]:
     i = F.col("id")
     cols = ["id", "platform", "platform_id", "title", "author", "view_count"]
-    stored = I.first_seen_wins(s.articles, ["platform", "platform_id"], ["id"]).where("id % 2 = 0").select(*cols)
-    batch = s.articles.where("id % 5 < 3").select(
+    stored = I.first_seen_wins(s.articles, ["platform", "platform_id"], ["id"]).where("is_analyzed").select(*cols)
+    batch = s.articles.select(
         (i + 1_000_000).alias("id"),
         "platform",
         F.when(i % 10 != 1, F.col("platform_id")).alias("platform_id"),

@@ -270,7 +270,7 @@ _LANG = "regexp_extract(url, '^[a-z]+://[^/?#]*/([a-z]*)', 1)"
     "joi12_disallowed_paths",
     f"""WITH u AS (SELECT page_id, url, {_HOST} AS host, {_PATH} AS path, {_LANG} AS lang FROM pages),
         r AS (SELECT DISTINCT host, prefix FROM (SELECT host, unnest([concat('/', lang, '/1'), '/de']) AS prefix
-              FROM u WHERE page_id % 3 <> 0))
+              FROM u))
         SELECT page_id, url FROM u WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.host = u.host
           AND starts_with(CASE WHEN u.path = '' THEN '/' ELSE u.path END, r.prefix))""",
 )
@@ -278,7 +278,7 @@ def disallowed_paths(s: Store) -> DataFrame:
     url = F.col("url")
     urls = s.raw("pages").select("page_id", "url", F.try_parse_url(url, F.lit("HOST")).alias("host"))
     path = F.coalesce(S.blank_to_null(F.try_parse_url(url, F.lit("PATH"))), F.lit("/"))
-    robots = urls.where("page_id % 3 <> 0").select("host", F.expr(_LANG).alias("lang"))
+    robots = urls.select("host", F.expr(_LANG).alias("lang"))
     robots = robots.select("host", F.expr(_ROBOTS).alias("robots")).distinct()
     return R.disallowed_paths(urls, R.disallow_rules(robots).distinct(), path).select("page_id", "url")
 
@@ -320,14 +320,14 @@ def comment_digest(s: Store) -> DataFrame:
 
 @query(
     "joi17_orphans",
-    """SELECT 'comment' AS child, article_id AS missing_id FROM hot_comments c WHERE NOT EXISTS (SELECT 1 FROM (SELECT id FROM articles WHERE id % 3 <> 0) a WHERE a.id = c.article_id)
-       UNION ALL SELECT 'link', demand_id FROM article_demand_relations l WHERE NOT EXISTS (SELECT 1 FROM (SELECT id FROM demands WHERE id % 5 <> 0) d WHERE d.id = l.demand_id)
+    """SELECT 'comment' AS child, article_id AS missing_id FROM hot_comments c WHERE NOT EXISTS (SELECT 1 FROM (SELECT id FROM articles WHERE NOT is_analyzed) a WHERE a.id = c.article_id)
+       UNION ALL SELECT 'link', demand_id FROM article_demand_relations l WHERE NOT EXISTS (SELECT 1 FROM (SELECT id FROM demands WHERE trend <> 'declining') d WHERE d.id = l.demand_id)
        UNION ALL SELECT 'edge', demand_id_b FROM demand_relations e WHERE NOT EXISTS (SELECT 1 FROM demands d WHERE d.id = e.demand_id_b)
-       UNION ALL SELECT 'snapshot', demand_id FROM trend_snapshots t WHERE NOT EXISTS (SELECT 1 FROM (SELECT id FROM demands WHERE id % 5 <> 0) d WHERE d.id = t.demand_id)""",
+       UNION ALL SELECT 'snapshot', demand_id FROM trend_snapshots t WHERE NOT EXISTS (SELECT 1 FROM (SELECT id FROM demands WHERE trend <> 'declining') d WHERE d.id = t.demand_id)""",
 )
 def orphans(s: Store) -> DataFrame:
-    kept_articles = s.articles.select("id").where("id % 3 <> 0")
-    kept_demands = s.demands.select("id").where("id % 5 <> 0")
+    kept_articles = s.articles.where("NOT is_analyzed").select("id")
+    kept_demands = s.demands.where("trend <> 'declining'").select("id")
     return (
         R.orphans(s.hot_comments, "article_id", kept_articles, "comment")
         .unionByName(R.orphans(s.article_demand_relations, "demand_id", kept_demands, "link"))

@@ -91,10 +91,10 @@ def property_documents(s: Store) -> DataFrame:
 @query(
     "snk06_sync_plan",
     """SELECT d.id, d.title, p.page_id, CASE WHEN p.page_id IS NULL THEN 'create' ELSE 'update' END AS action FROM demands d LEFT JOIN
-       (SELECT title, arg_max(concat('page-', id), id) AS page_id FROM demands WHERE id % 17 = 0 GROUP BY title) p ON p.title = d.title""",
+       (SELECT title, arg_max(concat('page-', id), id) AS page_id FROM demands WHERE status = 'confirmed' GROUP BY title) p ON p.title = d.title""",
 )
 def sync_plan(s: Store) -> DataFrame:
-    pages = s.demands.where("id % 17 = 0").select(
+    pages = s.demands.where("status = 'confirmed'").select(
         "title", F.concat(F.lit("page-"), F.col("id").cast("string")).alias("page_id"), F.col("id").alias("ord")
     )
     return P.sync_plan(s.demands, pages)

@@ -17,7 +17,7 @@ from topicpulse.sources.tables import SampleStore as Store
 )
 def update_fields(s: Store) -> DataFrame:
     i = F.col("id")
-    changes = s.demands.where("id % 2 = 0").select(
+    changes = s.demands.select(
         "id",
         F.when(i % 4 == 0, "archived").alias("status"),
         F.when(i % 6 == 0, "moved").alias("category"),
@@ -26,9 +26,9 @@ def update_fields(s: Store) -> DataFrame:
     return U.update_fields(s.demands, changes).select("id", "status", "category", "tags")
 
 
-@query("ups03_set_status", "SELECT id, CASE WHEN id % 3 = 0 THEN 'archived' ELSE status END AS status FROM demands")
+@query("ups03_set_status", "SELECT id, CASE WHEN trend = 'declining' THEN 'archived' ELSE status END AS status FROM demands")
 def set_status(s: Store) -> DataFrame:
-    changes = s.demands.where("id % 3 = 0").select("id", F.lit("archived").alias("status"))
+    changes = s.demands.where("trend = 'declining'").select("id", F.lit("archived").alias("status"))
     return U.set_status(s.demands, changes).select("id", "status")
 
 
@@ -36,14 +36,14 @@ def _annotations(s: Store) -> DataFrame:
     i = F.col("id")
     action = F.when(i % 3 == 0, "confirm").when(i % 3 == 1, "reject").otherwise("maybe")
     moved = F.when(i % 50 == 0, -i).otherwise(i)
-    return s.demands.where("id % 5 = 0").select(moved.alias("id"), action.alias("action"), F.when(i % 2 == 0, "checked").alias("notes"))
+    return s.demands.select(moved.alias("id"), action.alias("action"), F.when(i % 2 == 0, "checked").alias("notes"))
 
 
 def _with_notes(s: Store) -> DataFrame:
     return s.demands.withColumn("notes", F.lit(None).cast("string"))
 
 
-_ANNOTATED = "id % 5 = 0 AND (id % 50 <> 0 OR id = 0) AND id % 3 < 2"
+_ANNOTATED = "(id % 50 <> 0 OR id = 0) AND id % 3 < 2"
 
 
 @query(
@@ -58,28 +58,28 @@ def annotate(s: Store) -> DataFrame:
 @query(
     "ups04_annotate_rejected",
     """SELECT CASE WHEN id % 50 = 0 THEN -id ELSE id END AS id, CASE WHEN id % 3 = 2 THEN 'action must be confirm or reject' ELSE 'demand not found' END AS reason
-       FROM demands WHERE id % 5 = 0 AND (id % 3 = 2 OR (id % 50 = 0 AND id <> 0))""",
+       FROM demands WHERE id % 3 = 2 OR (id % 50 = 0 AND id <> 0)""",
 )
 def annotate_rejected(s: Store) -> DataFrame:
     return U.annotate(_with_notes(s), _annotations(s))[1].select("id", "reason")
 
 
 def _merges(s: Store) -> DataFrame:
-    """Every seventh demand into its successor; every 49th request points nowhere."""
+    """Confirmed demands into their successors; some requests point nowhere."""
     i = F.col("id")
     target = F.when(i % 49 == 0, -1).otherwise(i + 1)
-    return s.demands.where("id % 7 = 0").select(
+    return s.demands.where("status = 'confirmed'").select(
         i.alias("source"), target.alias("target"), F.when(i % 2 == 0, "same").alias("notes"), i.alias("ord")
     )
 
 
-_SOURCE = "id % 7 = 0 AND id % 49 <> 0 AND id < (SELECT max(id) FROM demands)"
+_SOURCE = "status = 'confirmed' AND id % 49 <> 0 AND id < (SELECT max(id) FROM demands)"
 
 
 @query(
     "ups05_merge_demands",
-    f"""SELECT d.id, d.frequency + coalesce(g.frequency, 0) AS frequency, CASE WHEN {_SOURCE.replace("id %", "d.id %").replace("id <", "d.id <", 1)} THEN 'merged' ELSE d.status END AS status,
-        CASE WHEN {_SOURCE.replace("id %", "d.id %").replace("id <", "d.id <", 1)} THEN concat('Merged into demand #', d.id + 1, CASE WHEN d.id % 2 = 0 THEN ' — same' ELSE '' END) END AS notes
+    f"""SELECT d.id, d.frequency + coalesce(g.frequency, 0) AS frequency, CASE WHEN {_SOURCE.replace("status", "d.status").replace("id ", "d.id ").replace("max(d.id", "max(id")} THEN 'merged' ELSE d.status END AS status,
+        CASE WHEN {_SOURCE.replace("status", "d.status").replace("id ", "d.id ").replace("max(d.id", "max(id")} THEN concat('Merged into demand #', d.id + 1, CASE WHEN d.id % 2 = 0 THEN ' — same' ELSE '' END) END AS notes
         FROM demands d LEFT JOIN (SELECT id + 1 AS id, frequency FROM demands WHERE {_SOURCE}) g ON g.id = d.id""",
 )
 def merge_demands(s: Store) -> DataFrame:
@@ -127,8 +127,8 @@ def purge_raw_html(s: Store) -> DataFrame:
 
 @query(
     "ups07_mark_analyzed",
-    """SELECT id, article_id, is_analyzed OR article_id % 4 = 0 AS is_analyzed FROM hot_comments""",
+    """SELECT id, article_id, is_analyzed OR coalesce(article_id IN (SELECT id FROM articles WHERE is_analyzed), false) AS is_analyzed FROM hot_comments""",
 )
 def mark_analyzed(s: Store) -> DataFrame:
-    done = s.articles.where("id % 4 = 0").select("id")
+    done = s.articles.where("is_analyzed").select("id")
     return U.mark_analyzed(s.hot_comments, done, "article_id").select("id", "article_id", "is_analyzed")
