@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import html
-from collections.abc import Callable
+from collections.abc import Iterable
 from functools import reduce
 
 import pandas as pd
@@ -45,18 +45,19 @@ BOILERPLATE_PATTERNS = [
     r"(阅读|查看|点击)\s*原文[^\n]{0,20}",
 ]
 
-# Markdown syntax and what replaces it, applied in this order.
+# Markdown syntax and what replaces it, applied in this order; last, what
+# a text must hold for the pattern to match at all.
 MARKDOWN_RULES = [
-    (r"```[\s\S]*?```", ""),
-    (r"`[^`]+`", ""),
-    (r"!\[[^\]]*\]\([^)]+\)", ""),
-    (r"\[([^\]]+)\]\([^)]+\)", "$1"),
-    (r"(?m)^#{1,6}\s+", ""),
-    (r"\*{1,3}([^*]+)\*{1,3}", "$1"),
-    (r"_{1,3}([^_]+)_{1,3}", "$1"),
-    (r"(?m)^>\s?", ""),
-    (r"(?m)^[-*_]{3,}\s*$", ""),
-    (r"\n{3,}", "\n\n"),
+    (r"```[\s\S]*?```", "", ["```"]),
+    (r"`[^`]+`", "", ["`"]),
+    (r"!\[[^\]]*\]\([^)]+\)", "", ["!["]),
+    (r"\[([^\]]+)\]\([^)]+\)", "$1", ["]("]),
+    (r"(?m)^#{1,6}\s+", "", ["#"]),
+    (r"\*{1,3}([^*]+)\*{1,3}", "$1", ["*"]),
+    (r"_{1,3}([^_]+)_{1,3}", "$1", ["_"]),
+    (r"(?m)^>\s?", "", [">"]),
+    (r"(?m)^[-*_]{3,}\s*$", "", ["-", "*", "_"]),
+    (r"\n{3,}", "\n\n", ["\n\n\n"]),
 ]
 
 _TAG_RUN = r"(?:<[^>]+>)+"
@@ -76,7 +77,8 @@ _AD_HINTS = [
     ["@"],
 ]
 _BOILERPLATE_HINTS = [
-    None,
+    # Letters without special case folding stand for the whole word.
+    ["©", "版权所有", "~copyr", "~&copy"],
     ["eserved"],
     ["本文"],
     ["来源", "出处", "作者", "编辑", "责编"],
@@ -86,21 +88,27 @@ _BOILERPLATE_HINTS = [
 ]
 
 
-def _replace_all(text: Column, patterns: list[str], hints: list[list[str] | None]) -> Column:
-    """Remove each pattern in turn; texts without its literal words skip the regex."""
+def _replace_all(text: Column, rules: Iterable[tuple[str, str, list[str]]]) -> Column:
+    """Apply ``(pattern, replacement, words)`` in turn; texts without the words skip the regex.
 
-    def step(t: Column, rule: tuple[str, list[str] | None]) -> Column:
-        pattern, words = rule
-        if words is None:
-            return F.regexp_replace(t, _FLAGS + pattern, "")
+    A word after ``~`` is looked for in any case.
+    """
+
+    def step(t: Column, rule: tuple[str, str, list[str]]) -> Column:
+        pattern, to, words = rule
 
         def guarded(x: Column) -> Column:
-            hit = reduce(lambda a, b: a | b, [x.contains(w) for w in words])
-            return F.when(hit, F.regexp_replace(x, _FLAGS + pattern, "")).otherwise(x)
+            has = [F.lower(x).contains(w[1:]) if w.startswith("~") else x.contains(w) for w in words]
+            hit = reduce(lambda a, b: a | b, has)
+            return F.when(hit, F.regexp_replace(x, _FLAGS + pattern, to)).otherwise(x)
 
         return bind(t, guarded)
 
-    return reduce(step, zip(patterns, hints), text)
+    return reduce(step, rules, text)
+
+
+def _removals(patterns: list[str], hints: list[list[str]]) -> list[tuple[str, str, list[str]]]:
+    return [(p, "", h) for p, h in zip(patterns, hints)]
 
 
 @F.pandas_udf(T.StringType())
@@ -108,9 +116,15 @@ def _unescape(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
 
-def unescape(text: Column) -> Column:
+@F.pandas_udf(T.StringType())
+def _unescape_twice(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: html.unescape(html.unescape(t)), na_action="ignore")
+
+
+def unescape(text: Column, twice: bool = False) -> Column:
     """Decode HTML entities; only rows holding an ampersand travel to Python."""
-    return F.coalesce(_unescape(F.when(text.contains("&"), text)), text)
+    decode = _unescape_twice if twice else _unescape
+    return F.coalesce(decode(F.when(text.contains("&"), text)), text)
 
 
 def trim_space(text: Column) -> Column:
@@ -128,7 +142,7 @@ def strip_html(text: Column) -> Column:
         marked = F.regexp_replace(shown, rf"\A{_TAG_RUN}|{_TAG_RUN}\z", "")
         return F.when(x.contains("<"), F.regexp_replace(marked, _TAG_RUN, "\n")).otherwise(x)
 
-    return unescape(unescape(bind(t, visible)))
+    return unescape(bind(t, visible), twice=True)
 
 
 def node_text(text: Column) -> Column:
@@ -147,11 +161,11 @@ def strip_tags(text: Column, collapse: bool = False) -> Column:
 
 
 def remove_ads(text: Column) -> Column:
-    return _replace_all(text, AD_PATTERNS, _AD_HINTS)
+    return _replace_all(text, _removals(AD_PATTERNS, _AD_HINTS))
 
 
 def remove_boilerplate(text: Column) -> Column:
-    return _replace_all(text, BOILERPLATE_PATTERNS, _BOILERPLATE_HINTS)
+    return _replace_all(text, _removals(BOILERPLATE_PATTERNS, _BOILERPLATE_HINTS))
 
 
 def normalize_whitespace(text: Column) -> Column:
@@ -176,7 +190,4 @@ def clean_text(text: Column) -> Column:
 
 
 def markdown_to_text(md: Column) -> Column:
-    t = F.coalesce(md, F.lit(""))
-    for pattern, to in MARKDOWN_RULES:
-        t = F.regexp_replace(t, _FLAGS + pattern, to)
-    return trim_space(t)
+    return trim_space(_replace_all(F.coalesce(md, F.lit("")), MARKDOWN_RULES))

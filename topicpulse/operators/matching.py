@@ -7,6 +7,7 @@ text it compares.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -62,14 +63,21 @@ def may_reach(a: Column, b: Column, threshold: float) -> Column:
     return F.call_function("levenshtein", a, b, steps) >= 0
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two equally long number arrays; NULL for a zero vector."""
+@F.pandas_udf(T.DoubleType())
+def _dot(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([float(np.dot(x, y)) for x, y in zip(a, b)], dtype="float64")
+
 
-    def dot(x: Column, y: Column) -> Column:
-        products = F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double"))
-        return F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v)
+def unit_vector(v: Column) -> Column:
+    """Scale a number array to length one; NULL for a zero vector."""
+    doubles = F.transform(v, lambda x: x.cast("double"))
+    length = F.sqrt(F.aggregate(doubles, F.lit(0.0), lambda acc, x: acc + x * x))
+    return S.bind(F.struct(doubles.alias("v"), length.alias("n")), lambda s: F.when(s["n"] > 0, F.transform(s["v"], lambda x: x / s["n"])))
 
-    return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
+
+def unit_cosine(a: Column, b: Column) -> Column:
+    """Cosine of two unit vectors of equal length, summed in Arrow batches."""
+    return _dot(a, b)
 
 
 # --- exact ------------------------------------------------------------------
@@ -304,12 +312,20 @@ def tfidf_candidates(
 # --- vectors ----------------------------------------------------------------
 
 
+def vector_scores(candidates: DataFrame, new_vectors: DataFrame, library_vectors: DataFrame) -> DataFrame:
+    """``(query_id, candidate_id, similarity)`` of candidate pairs.
+
+    Vectors are unit vectors (:func:`unit_vector`), so a pair costs one product.
+    """
+    va = new_vectors.select("query_id", F.col("vector").alias("va")).where("va IS NOT NULL")
+    vb = library_vectors.select(F.col("id").alias("candidate_id"), F.col("vector").alias("vb")).where("vb IS NOT NULL")
+    pairs = candidates.select("query_id", "candidate_id").join(va, "query_id").join(vb, "candidate_id")
+    return pairs.select("query_id", "candidate_id", F.round(unit_cosine(F.col("va"), F.col("vb")), 6).alias("similarity"))
+
+
 def semantic_match(candidates: DataFrame, new_vectors: DataFrame, library_vectors: DataFrame, above: float = 0.5) -> DataFrame:
     """Best candidate by vector cosine, if it exceeds ``above``; ties to the lowest id."""
-    pairs = candidates.select("query_id", "candidate_id").join(
-        new_vectors.select("query_id", F.col("vector").alias("va")), "query_id"
-    ).join(library_vectors.select(F.col("id").alias("candidate_id"), F.col("vector").alias("vb")), "candidate_id")
-    scored = pairs.select("query_id", "candidate_id", F.round(cosine(F.col("va"), F.col("vb")), 6).alias("similarity"))
+    scored = vector_scores(candidates, new_vectors, library_vectors)
     top = F.max(F.struct(F.col("similarity"), (-F.col("candidate_id")).alias("back")))
     return (
         scored.where(F.col("similarity") > above)

@@ -166,7 +166,7 @@ register_cte(
 
 
 def _responses(s: Store) -> DataFrame:
-    return s.raw("part").select(F.col("p_partkey").alias("article_id"), F.expr(_RESPONSE).alias("response"))
+    return s.spread("part", "p_partkey").select(F.col("p_partkey").alias("article_id"), F.expr(_RESPONSE).alias("response"))
 
 
 def _validated(s: Store) -> DataFrame:

@@ -22,7 +22,7 @@ _NO_COUNTS = f"{_COUNTS}, {ZERO} AS comment_count"
 
 
 def _pages(s: Store, sql: str) -> DataFrame:
-    return s.raw("part").select(F.col("p_partkey").alias("payload_id"), F.expr(sql).alias("payload"))
+    return s.spread("part", "p_partkey").select(F.col("p_partkey").alias("payload_id"), F.expr(sql).alias("payload"))
 
 
 _GROUP = f"""concat('<table><tr class="th"><td>x</td></tr><tr id="r" class=""><td class="title"><a href="https://www.douban.com/group/topic/', {K}, '/" title=" ', p_name, ' ">t</a></td>',
@@ -169,7 +169,7 @@ def _clean_documents() -> str:
 
 
 register_cte("clean_documents", _clean_documents())
-_MD = f"regexp_replace({sql_chain('text', X.MARKDOWN_RULES)}, '\\A\\s+|\\s+\\z', '', 'g')"
+_MD = f"regexp_replace({sql_chain('text', [r[:2] for r in X.MARKDOWN_RULES])}, '\\A\\s+|\\s+\\z', '', 'g')"
 
 
 @query(

@@ -152,7 +152,7 @@ register_cte(
 def _vectors(s: Store) -> tuple[DataFrame, DataFrame]:
     e = s.raw("embeddings")
     n = e.agg(F.count(F.lit(1)).alias("n")).scalar()
-    v = e.select("vec_id", F.col("embedding").alias("vector"))
+    v = e.select("vec_id", M.unit_vector(F.col("embedding")).alias("vector"))
     asked = new_demands(s).select("query_id", (F.col("query_id") % n).alias("vec_id")).join(v, "vec_id")
     known = s.demands.select("id", ((F.col("id") * 7) % n).alias("vec_id")).join(v, "vec_id")
     return asked.select("query_id", "vector"), known.select("id", "vector")
@@ -234,14 +234,8 @@ def merged_tags(s: Store) -> DataFrame:
        AND NOT EXISTS (SELECT 1 FROM demand_relations r WHERE r.demand_id_a = least(existing_id, new_id) AND r.demand_id_b = greatest(existing_id, new_id)) GROUP BY 1, 2""",
 )
 def relation_edges(s: Store) -> DataFrame:
-    asked, known = _vectors(s)
-    pairs = _candidates(s).join(asked, "query_id").join(
-        known.select(F.col("id").alias("candidate_id"), F.col("vector").alias("other")), "candidate_id"
-    )
-    scored = pairs.select(
-        F.col("candidate_id").alias("existing_id"),
-        (F.col("query_id") - 1_000_000).alias("new_id"),
-        F.round(M.cosine(F.col("vector"), F.col("other")), 6).alias("similarity"),
+    scored = M.vector_scores(_candidates(s), *_vectors(s)).select(
+        F.col("candidate_id").alias("existing_id"), (F.col("query_id") - 1_000_000).alias("new_id"), "similarity"
     )
     return M.relation_edges(scored.where("existing_id <> new_id"), s.demand_relations)
 

@@ -71,8 +71,8 @@ for _name, _sql in COMMENTS.items():
 
 
 def payloads(s: SampleStore, platform: str) -> DataFrame:
-    return s.raw("part").select(F.col("p_partkey").alias("payload_id"), F.expr(PAYLOADS[platform]).alias("payload"))
+    return s.spread("part", "p_partkey").select(F.col("p_partkey").alias("payload_id"), F.expr(PAYLOADS[platform]).alias("payload"))
 
 
 def comments(s: SampleStore, platform: str) -> DataFrame:
-    return s.raw("part").select(F.col("p_partkey").alias("payload_id"), F.expr(COMMENTS[platform]).alias("payload"))
+    return s.spread("part", "p_partkey").select(F.col("p_partkey").alias("payload_id"), F.expr(COMMENTS[platform]).alias("payload"))

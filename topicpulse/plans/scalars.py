@@ -133,10 +133,10 @@ def sql_chain(column: str, rules: list[tuple[str, str]]) -> str:
 
 @query(
     "sca09_markdown_to_text",
-    f"SELECT doc_id, regexp_replace({sql_chain('md', X.MARKDOWN_RULES)}, '\\A\\s+|\\s+\\z', '', 'g') AS text FROM markdown_docs",
+    f"SELECT doc_id, regexp_replace({sql_chain('md', [r[:2] for r in X.MARKDOWN_RULES])}, '\\A\\s+|\\s+\\z', '', 'g') AS text FROM markdown_docs",
 )
 def markdown_to_text(s: Store) -> DataFrame:
-    docs = s.raw("documents").select("doc_id", F.expr(_MARKDOWN).alias("md"))
+    docs = s.spread("documents", "doc_id").select("doc_id", F.expr(_MARKDOWN).alias("md"))
     return docs.select("doc_id", X.markdown_to_text(F.col("md")).alias("text"))
 
 

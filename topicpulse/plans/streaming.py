@@ -9,7 +9,7 @@ from topicpulse.functions import scalars as S
 from topicpulse.plans.registry import query
 from topicpulse.session import new_folder
 from topicpulse.sources.tables import SampleStore as Store
-from topicpulse.sources.tables import crawl_logs_of
+from topicpulse.sources.tables import crawl_logs_of, first_line
 from topicpulse.streaming import jobs as J
 
 
@@ -22,7 +22,7 @@ def _article_stream(s: Store) -> DataFrame:
         F.col("doc_id").alias("id"),
         F.concat(F.lit("p"), (F.col("n_chars") % 12).cast("string")).alias("platform"),
         F.md5("text").alias("platform_id"),
-        F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 60).alias("title"),
+        first_line("text", 60).alias("title"),
         S.epoch_seconds(1_704_067_200 + F.col("doc_id") * 3600).alias("crawl_time"),
     )
 

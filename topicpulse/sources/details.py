@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +32,10 @@ KR36_STATE = r"(?s)(?:window\.__initialState__|window\.initialState)\s*=\s*(\{.+
 HUXIU_STATE = r"(?s)(?:__NUXT__|__INITIAL_STATE__)\s*=\s*(\{.+?\});?\s*</script>"
 
 
-def _fields(rows: DataFrame, content: Column, raw_html: Column, summary: Column) -> DataFrame:
-    return rows.select("payload_id", content.alias("content"), raw_html.alias("raw_html"), summary.alias("summary"))
+def _fields(rows: DataFrame, content: Column, raw_html: Column, summary: Callable[[Column], Column]) -> DataFrame:
+    """Content first; the summary is made from the finished column, not from its formula."""
+    done = rows.withColumn("content", content).withColumn("raw_html", raw_html)
+    return done.select("payload_id", "content", "raw_html", summary(F.col("content")).alias("summary"))
 
 
 def _parsed(rows: DataFrame) -> DataFrame:
@@ -48,28 +52,28 @@ def meta_description(page: Column) -> Column:
 def zhihu_answer(rows: DataFrame) -> DataFrame:
     raw = text(F.col("doc"), "$.content")
     content = X.clean_text(raw)
-    return _fields(_parsed(rows), content, raw, S.make_summary(content, get(F.col("doc"), "$.excerpt")))
+    return _fields(_parsed(rows), content, raw, lambda c: S.make_summary(c, get(F.col("doc"), "$.excerpt")))
 
 
 def zhihu_question(rows: DataFrame) -> DataFrame:
     """An empty excerpt stays empty; only an absent one falls back."""
     raw = text(F.col("doc"), "$.detail")
     content = X.clean_text(raw)
-    return _fields(_parsed(rows), content, raw, F.coalesce(get(F.col("doc"), "$.excerpt"), S.text_prefix(content)))
+    return _fields(_parsed(rows), content, raw, lambda c: F.coalesce(get(F.col("doc"), "$.excerpt"), S.text_prefix(c)))
 
 
 def juejin(rows: DataFrame) -> DataFrame:
     raw = text(F.col("doc"), "$.data.article_info.mark_content")
     content = X.markdown_to_text(raw)
     given = get(F.col("doc"), "$.data.article_info.brief_content")
-    return _fields(_parsed(rows), content, raw, S.make_summary(content, given))
+    return _fields(_parsed(rows), content, raw, lambda c: S.make_summary(c, given))
 
 
 def toutiao_api(rows: DataFrame) -> DataFrame:
     """Rows without content are dropped: they need the page instead."""
     raw = text(F.col("doc"), "$.data.content")
     content = X.strip_tags(raw)
-    return _fields(_parsed(rows).where(raw != ""), content, raw, S.make_summary(content, ellipsis=True))
+    return _fields(_parsed(rows).where(raw != ""), content, raw, lambda c: S.make_summary(c, ellipsis=True))
 
 
 def toutiao_page(rows: DataFrame) -> DataFrame:
@@ -81,20 +85,20 @@ def toutiao_page(rows: DataFrame) -> DataFrame:
     article = F.regexp_extract(page, ARTICLE_TAG, 1)
     raw = F.when(X.strip_tags(state) != "", state).otherwise(article)
     content = X.strip_tags(raw)
-    return _fields(rows, content, raw, S.make_summary(content, ellipsis=True))
+    return _fields(rows, content, raw, lambda c: S.make_summary(c, ellipsis=True))
 
 
 def xiaohongshu(rows: DataFrame) -> DataFrame:
     card = "$.data.items[0].note_card"
     body, title = text(F.col("doc"), f"{card}.desc"), S.blank_to_null(get(F.col("doc"), f"{card}.title"))
     full = F.coalesce(F.concat(title, F.lit("\n\n"), body), body)
-    return _fields(_parsed(rows), full, body, S.make_summary(full, ellipsis=True))
+    return _fields(_parsed(rows), full, body, lambda c: S.make_summary(c, ellipsis=True))
 
 
 def maimai(rows: DataFrame) -> DataFrame:
     raw = text(F.col("doc"), "$.data.gossip.text")
     content = X.clean_text(raw)
-    return _fields(_parsed(rows), content, raw, X.trim_space(S.text_prefix(content)))
+    return _fields(_parsed(rows), content, raw, lambda c: X.trim_space(S.text_prefix(c)))
 
 
 def bilibili(rows: DataFrame, cap: int | None = None) -> DataFrame:
@@ -106,7 +110,7 @@ def bilibili(rows: DataFrame, cap: int | None = None) -> DataFrame:
         rest = F.left(rest, F.lit(cap))
     content = F.when(page.rlike(BILIBILI_BODY), X.strip_tags(body)).otherwise(rest)
     given = F.col("given") if "given" in rows.columns else F.lit(None).cast("string")
-    return _fields(rows, content, page, S.make_summary(content, given, ellipsis=True))
+    return _fields(rows, content, page, lambda c: S.make_summary(c, given, ellipsis=True))
 
 
 def douban(rows: DataFrame) -> DataFrame:
@@ -114,7 +118,7 @@ def douban(rows: DataFrame) -> DataFrame:
     found = [X.trim_space(F.regexp_extract(page, p, 1)) for p in DOUBAN_BODIES]
     raw = F.when(X.strip_tags(found[0]) != "", found[0]).otherwise(found[1])
     content = X.strip_tags(raw, collapse=True)
-    return _fields(rows, content, raw, S.make_summary(content, ellipsis=True))
+    return _fields(rows, content, raw, lambda c: S.make_summary(c, ellipsis=True))
 
 
 _BOX = T.StructType([T.StructField("text", T.StringType()), T.StructField("raw", T.StringType())])
@@ -142,7 +146,7 @@ def _with_state(rows: DataFrame, site: str, pattern: str, bodies: list[str], abo
     content = F.coalesce(body, F.col("box.text"), F.lit(""))
     raw = F.coalesce(body, F.col("box.raw"), F.lit(""))
     summary = F.coalesce(truthy(doc, *abouts), meta_description(F.col("payload")), F.lit(""))
-    return _fields(found, content, raw, summary)
+    return _fields(found, content, raw, lambda _: summary)
 
 
 def kr36(rows: DataFrame) -> DataFrame:
@@ -161,19 +165,19 @@ def huxiu(rows: DataFrame) -> DataFrame:
 def weixin(rows: DataFrame) -> DataFrame:
     box = rows.withColumn("box", container_text(F.col("payload"), BODY_SELECTORS["weixin_sogou"]))
     content = X.clean_text(F.col("box.text"))
-    return _fields(box, content, F.col("box.raw"), X.trim_space(S.text_prefix(content)))
+    return _fields(box, content, F.col("box.raw"), lambda c: X.trim_space(S.text_prefix(c)))
 
 
 def baidu(rows: DataFrame) -> DataFrame:
     content = page_text.main_text(F.col("payload"), "baijiahao")
-    summary = F.coalesce(F.trim(meta_description(F.col("payload"))), X.trim_space(S.text_prefix(content)))
-    return _fields(rows, content, F.col("payload"), summary)
+    about = F.trim(meta_description(F.col("payload")))
+    return _fields(rows, content, F.col("payload"), lambda c: F.coalesce(about, X.trim_space(S.text_prefix(c))))
 
 
 def rss_page(rows: DataFrame) -> DataFrame:
     content = page_text.main_text(F.col("payload"), "feed")
-    summary = F.coalesce(F.trim(meta_description(F.col("payload"))), X.trim_space(S.text_prefix(content)))
-    return _fields(rows, content, F.col("payload"), summary)
+    about = F.trim(meta_description(F.col("payload")))
+    return _fields(rows, content, F.col("payload"), lambda c: F.coalesce(about, X.trim_space(S.text_prefix(c))))
 
 
 DETAIL_READERS = {
