@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 from collections.abc import Iterable
 from functools import reduce
 
@@ -18,6 +19,7 @@ _FLAGS = "(?Ud)"
 
 # White space other than the plain blank and the newline.
 _ODD_SPACE = r"\t\x0b\f\r\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACE_CHARS = "".join(chr(c) for c in range(0x3001) if re.fullmatch(f"[ \\n{_ODD_SPACE}]", chr(c)))
 
 # Advertisement patterns, applied in this order.
 AD_PATTERNS = [
@@ -60,6 +62,11 @@ MARKDOWN_RULES = [
     (r"\n{3,}", "\n\n", ["\n\n\n"]),
 ]
 
+_SPACE_RULES = [
+    (" {2,}", " ", ["  "]),
+    (" +\n *|\n +", "\n", [" \n", "\n "]),
+    ("\n{3,}", "\n\n", ["\n\n\n"]),
+]
 _TAG_RUN = r"(?:<[^>]+>)+"
 _HIDDEN = r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->"
 
@@ -129,7 +136,7 @@ def unescape(text: Column, twice: bool = False) -> Column:
 
 def trim_space(text: Column) -> Column:
     """Strip all white space on both ends."""
-    return F.regexp_replace(text, rf"\A[ \n{_ODD_SPACE}]+|[ \n{_ODD_SPACE}]+\z", "")
+    return F.trim(text, F.lit(_SPACE_CHARS))
 
 
 def strip_html(text: Column) -> Column:
@@ -170,11 +177,8 @@ def remove_boilerplate(text: Column) -> Column:
 
 def normalize_whitespace(text: Column) -> Column:
     """One blank between words, trimmed lines, at most one empty line in a row."""
-    # Only runs that are not already a lone blank are rewritten.
-    t = F.regexp_replace(text, f" *[{_ODD_SPACE}][ {_ODD_SPACE}]*|  +", " ")
-    t = F.regexp_replace(t, " +\n *|\n +", "\n")
-    t = F.regexp_replace(t, "\n{3,}", "\n\n")
-    return F.regexp_replace(t, r"\A[ \n]+|[ \n]+\z", "")
+    squeezed = _replace_all(F.regexp_replace(text, f"[{_ODD_SPACE}]+", " "), _SPACE_RULES)
+    return F.trim(squeezed, F.lit(" \n"))
 
 
 def clean_stages(text: Column) -> list[tuple[str, Column]]:

@@ -87,16 +87,20 @@ def _lines(df: DataFrame, section: int, lines: Column) -> DataFrame:
 
 def _table(section: int, heading: str, head: list[str], body: DataFrame, empty: str | None) -> DataFrame:
     """A heading, a table header, ``body`` rows ``(ord, line)`` and a closing blank line."""
+
+    def frame_lines(lines: list[str]) -> Column:
+        places = [*range(len(lines)), _LAST]
+        return F.array(
+            *[F.struct(F.lit(p).cast("bigint").alias("ord"), F.lit(x).alias("line")) for p, x in zip(places, [*lines, ""])]
+        )
+
+    framed = frame_lines([heading, "", *head])
     n = body.agg(F.count(F.lit(1)).alias("n"))
-    full = F.array(*[F.lit(x) for x in [heading, "", *head]])
-    top = full if empty is None else F.when(F.col("n") > 0, full).otherwise(F.array(F.lit(heading), F.lit(""), F.lit(empty)))
-    rows = body.select(
-        F.lit(section).cast("bigint").alias("section"), (F.col("ord") + 10).cast("bigint").alias("ord"), "line"
-    )
-    close = n.select(
-        F.lit(section).cast("bigint").alias("section"), F.lit(_LAST).cast("bigint").alias("ord"), F.lit("").alias("line")
-    )
-    return _lines(n, section, top).unionByName(rows).unionByName(close)
+    if empty is not None:
+        framed = F.when(F.col("n") > 0, framed).otherwise(frame_lines([heading, "", empty]))
+    here = F.lit(section).cast("bigint").alias("section")
+    around = n.select(F.inline(framed)).select(here, "ord", "line")
+    return around.unionByName(body.select(here, (F.col("ord") + 10).cast("bigint").alias("ord"), "line"))
 
 
 def _cells(*cells: Column) -> Column:
