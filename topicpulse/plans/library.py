@@ -72,11 +72,11 @@ def demand_filters(s: Store) -> DataFrame:
 
 @query(
     "fil04_library_filters",
-    """SELECT id, title, frequency, importance_score FROM demands WHERE category = 'PROMO' AND frequency >= 5
+    """SELECT id, title, frequency, importance_score FROM demands WHERE status = 'new' AND trend = 'stable' AND frequency >= 5
        AND importance_score >= 4 ORDER BY importance_score DESC NULLS LAST, id LIMIT 20 OFFSET 20""",
 )
 def library_filters(s: Store) -> DataFrame:
-    rows = L.filter_library(s.demands, {"category": "PROMO"}, min_frequency=5, min_importance=4)
+    rows = L.filter_library(s.demands, {"status": "new", "trend": "stable"}, min_frequency=5, min_importance=4)
     return L.page(rows, "importance_score", number=2)[1].select("id", "title", "frequency", "importance_score")
 
 
