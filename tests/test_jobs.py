@@ -104,6 +104,14 @@ def test_merge_chains_are_rejected(spark):
     assert sorted(r.ord for r in rejected.collect()) == [1, 3, 4, 5]
 
 
+def test_the_last_supplied_change_counts(spark):
+    demands = spark.createDataFrame([(1, "a", "new"), (2, "b", "new")], "id bigint, category string, status string")
+    changes = spark.createDataFrame(
+        [(1, None, "confirmed", 1), (1, "x", None, 2), (1, "y", None, 3)], "id bigint, category string, status string, ord bigint"
+    )
+    assert sorted(map(tuple, updates.update_fields(demands, changes).collect())) == [(1, "y", "confirmed"), (2, "b", "new")]
+
+
 def test_purge_is_strict(spark):
     at = dt.datetime(2024, 1, 31)
     rows = [(1, at - dt.timedelta(days=10), "x"), (2, at - dt.timedelta(days=10, seconds=1), "x"), (3, None, "x")]

@@ -122,3 +122,20 @@ def test_relation_edges_are_canonical_and_new(spark):
     pairs = spark.createDataFrame([(5, 3, 0.7), (3, 5, 0.6), (1, 2, 0.5), (1, None, 0.9), (8, 9, 0.9)], "existing_id bigint, new_id bigint, similarity double")
     stored = spark.createDataFrame([(8, 9, 0.9)], "demand_id_a bigint, demand_id_b bigint, similarity_score double")
     assert [tuple(r) for r in M.relation_edges(pairs, stored).collect()] == [(3, 5, 0.7)]
+
+
+def test_cascade_levels_and_their_edges(spark):
+    library = spark.createDataFrame([(1, "red small widget"), (2, "blue large gadget"), (3, "other thing here")], "id bigint, title string")
+    new = spark.createDataFrame(
+        [(10, "red small widget"), (11, "red small widgets"), (12, "blue gadget box"), (13, "red wid"), (14, "qqqq")], "query_id bigint, title string"
+    )
+    vectors = lambda rows, key: spark.createDataFrame(rows, f"{key} bigint, vector array<double>")
+    unit = lambda key, rows: vectors(rows, key).withColumn("vector", M.unit_vector(F.col("vector")))
+    asked = unit("query_id", [(12, [1.0, 1.0]), (13, [1.0, 0.0])])
+    known = unit("id", [(1, [0.0, 2.0]), (2, [1.0, 1.0]), (3, [0.0, 0.0])])
+    verdicts = M.dedup_cascade(new, library, asked, known).cache()
+    got = {r.query_id: (r.level, r.existing_id) for r in verdicts.collect()}
+    assert got == {10: ("exact", 1), 11: ("fuzzy", 1), 12: ("semantic", 2), 13: ("new", None), 14: ("new", None)}
+    edges = M.relation_edges(M.relation_pairs(verdicts), spark.createDataFrame([], "demand_id_a bigint, demand_id_b bigint"))
+    shown = {(r.demand_id_a, r.demand_id_b): round(r.similarity_score, 3) for r in edges.collect()}
+    assert shown == {(2, 12): 1.0, (1, 13): round(ratio("red wid", "red small widget"), 3)}

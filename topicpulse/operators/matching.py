@@ -437,11 +437,24 @@ def merge_demands(demands: DataFrame, duplicates: DataFrame, as_of: Column) -> D
     )
 
 
+def relation_pairs(verdicts: DataFrame) -> DataFrame:
+    """Pairs of a cascade worth an edge: semantic hits and inconclusive neighbours.
+
+    The saved new demand keeps its ``query_id``.
+    """
+    semantic = F.col("level") == "semantic"
+    return verdicts.where(semantic | ((F.col("level") == "new") & F.col("near_id").isNotNull())).select(
+        F.when(semantic, F.col("existing_id")).otherwise(F.col("near_id")).alias("existing_id"),
+        F.col("query_id").alias("new_id"),
+        F.when(semantic, F.col("similarity")).otherwise(F.col("near_ratio")).alias("similarity"),
+    )
+
+
 def relation_edges(pairs: DataFrame, stored: DataFrame, above: float = 0.5) -> DataFrame:
     """New undirected edges ``(demand_id_a < demand_id_b, similarity_score)``.
 
     From ``(existing_id, new_id, similarity)``; weak pairs, unsaved demands and pairs
-    stored before are left out, and the first of a repeated pair counts.
+    stored before are left out, and the strongest of a repeated pair counts.
     """
     keys = ["demand_id_a", "demand_id_b"]
     edges = pairs.where((F.col("similarity") > above) & F.col("new_id").isNotNull()).select(

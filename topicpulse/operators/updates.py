@@ -9,8 +9,15 @@ EDITABLE = ("category", "status", "notes", "tags")
 
 
 def update_fields(demands: DataFrame, changes: DataFrame) -> DataFrame:
-    """Set the editable fields that a change row supplies."""
+    """Set the editable fields that a change row supplies.
+
+    One change row per demand, or several with an ``ord`` column: then the last
+    supplied value of each field counts.
+    """
     given = [c for c in EDITABLE if c in changes.columns and c in demands.columns]
+    if "ord" in changes.columns:
+        last = [F.max_by(g, F.when(F.col(g).isNotNull(), F.col("ord"))).alias(g) for g in given]
+        changes = changes.groupBy("id").agg(*last)
     c = changes.select("id", *[F.col(g).alias(f"_c_{g}") for g in given])
     joined = demands.join(c, "id", "left")
     return joined.select(*[F.coalesce(f"_c_{n}", n).alias(n) if n in given else F.col(n) for n in demands.columns])
@@ -18,7 +25,7 @@ def update_fields(demands: DataFrame, changes: DataFrame) -> DataFrame:
 
 def set_status(demands: DataFrame, changes: DataFrame) -> DataFrame:
     """Replace the status of the listed demands."""
-    return update_fields(demands, changes.select("id", "status"))
+    return update_fields(demands, changes.select("id", "status", *[c for c in ("ord",) if c in changes.columns]))
 
 
 def annotate(demands: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -31,7 +38,10 @@ def annotate(demands: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame
     known = demands.select("id")
     bad = notes.where(status.isNull()).withColumn("reason", F.lit("action must be confirm or reject"))
     lost = notes.where(status.isNotNull()).join(known, "id", "left_anti").withColumn("reason", F.lit("demand not found"))
-    changes = notes.where(status.isNotNull()).select("id", status.alias("status"), F.nullif("notes", F.lit("")).alias("notes"))
+    order = [c for c in ("ord",) if c in notes.columns]
+    changes = notes.where(status.isNotNull()).select(
+        "id", status.alias("status"), F.nullif("notes", F.lit("")).alias("notes"), *order
+    )
     return update_fields(demands, changes), bad.unionByName(lost)
 
 
