@@ -8,6 +8,8 @@ MODULES = [
     "packing",
     "warc",
     "pii",
+    "toxicity",
+    "extraction",
     "quality",
 ]
 
