@@ -6,6 +6,7 @@ from importlib import import_module
 
 MODULES = [
     "packing",
+    "sentencepiece",
     "warc",
     "pii",
     "toxicity",
