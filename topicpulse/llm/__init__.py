@@ -8,6 +8,7 @@ MODULES = [
     "packing",
     "sentencepiece",
     "warc",
+    "neighbours",
     "pii",
     "toxicity",
     "extraction",
