@@ -33,10 +33,11 @@ WINDOW = 2048
 QUANTUM = 32
 END_TOKEN = 1
 VOCABULARY = "byte_bpe_50k"
-_ENCODERS: dict[str, Callable[[str], list[int]]] = {}
+_ENCODERS: dict[str, Callable[[str], np.ndarray]] = {}
+_CHUNK = 1024  # windows worked out together
 
 
-def encoder(vocabulary: str = VOCABULARY) -> Callable[[str], list[int]]:
+def encoder(vocabulary: str = VOCABULARY) -> Callable[[str], np.ndarray]:
     """Text to ids as ``tokenizers`` gives them for ``<vocabulary>.json``.
 
     The same vocabulary as ranks serves most texts at four times the speed; what holds the
@@ -54,14 +55,14 @@ def encoder(vocabulary: str = VOCABULARY) -> Callable[[str], list[int]]:
             ranks = {base64.b64decode(k): int(v) for k, v in (line.split() for line in lines if line.strip())}
         fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-        def encode(text: str) -> list[int]:
+        def encode(text: str) -> np.ndarray:
             if not any(s in text for s in special):
                 try:
-                    return fast.encode_ordinary(text)
+                    return fast.encode_to_numpy(text, disallowed_special=())
                 except BaseException as e:  # a panic of the Rust code is no Exception
                     if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
                         raise
-            return whole.encode(text, add_special_tokens=False).ids
+            return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
         _ENCODERS[vocabulary] = encode
     return _ENCODERS[vocabulary]
@@ -75,19 +76,21 @@ def tokenised(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END_TOKE
         encode, part, so_far = encoder(vocabulary), TaskContext.get().partitionId(), {}
         for batch in blocks(batches, "text"):
             sources = batch.column("source").to_pylist()
-            ids = [np.array([*encode(t or ""), end], np.uint32) for t in batch.column("text").to_pylist()]
+            last = np.array([end], "<u4").tobytes()
+            ids = [encode(t or "").astype("<u4", copy=False).tobytes() + last for t in batch.column("text").to_pylist()]
+            sizes = [len(x) // 4 for x in ids]
             before = []
-            for source, x in zip(sources, ids, strict=True):
+            for source, n in zip(sources, sizes, strict=True):
                 before.append(so_far.get(source, 0))
-                so_far[source] = before[-1] + len(x)
+                so_far[source] = before[-1] + n
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").cast(pa.int64()),
                     pa.array(sources, pa.string()),
                     pa.array([part] * len(ids), pa.int32()),
                     pa.array(before, pa.int64()),
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(ids, pa.binary()),
                 ],
                 names=["doc_id", "source", "part", "before", "n_tokens", "ids"],
             )
@@ -106,6 +109,7 @@ class Schedule:
         self.quanta = -(-self.tokens // quantum)
         self.shares = np.array(shares, float) / sum(shares)
         self.window, self.quantum, self.slots = window, quantum, window // quantum
+        self._known: dict[int, np.ndarray] = {}
 
     def moment(self, source: np.ndarray, j: np.ndarray) -> np.ndarray:
         return (j + 0.5) / self.shares[source]
@@ -145,31 +149,36 @@ class Schedule:
         tied = self._due(high, True) - out  # those due at the very moment: the first sources first
         return out + np.clip(rest[:, None] - (np.cumsum(tied, axis=1) - tied), 0, tied)
 
-    def pieces(self, source: int, start: int, length: int) -> Iterator[tuple[int, int, int, int]]:
-        """(start in the document, length, window, offset there) of queue tokens [start, start + length)."""
-        yield from self.all_pieces(source, np.array([start]), np.array([length]))[1]
-
-    def all_pieces(self, source: int, start: np.ndarray, length: np.ndarray):
-        """Pieces of documents that lie in one queue at ascending places: (document number, rows)."""
-        j = np.array([start.min() // self.quantum, (start + length - 1).max() // self.quantum])
-        first, last = self.rank(source, j) // self.slots
-        windows = np.arange(first, last + 2)
-        served = self.filled(windows)
-        in_tokens = np.minimum(served * self.quantum, self.tokens)
-        edge = in_tokens[:, source]
-        width = np.diff(in_tokens, axis=0)
-        ahead = width[:, :source].sum(axis=1)
-        owner, rows = [], []
-        w = np.searchsorted(edge, start, "right") - 1
-        for d, (a, b, k) in enumerate(zip(start, start + length, w, strict=True)):
-            at = a
-            while at < b:
-                to = min(b, edge[k + 1])
-                if to > at:
-                    owner.append(d)
-                    rows.append((int(at - a), int(to - at), int(windows[k]), int(ahead[k] + at - edge[k])))
-                at, k = to, k + 1
-        return owner, rows
+    def _chunk(self, k: int) -> np.ndarray:
+        """Tokens of each source served before windows ``k * _CHUNK`` to ``(k + 1) * _CHUNK``."""
+        if k not in self._known:
+            if len(self._known) > 64:
+                self._known.clear()
+            windows = np.arange(k * _CHUNK, (k + 1) * _CHUNK + 1)
+            self._known[k] = np.minimum(self.filled(windows) * self.quantum, self.tokens)
+        return self._known[k]
+
+    def all_pieces(self, source: int, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Pieces of documents at ascending places of one queue.
+
+        Arrays: number of the document, start in it, length, window, offset there.
+        """
+        ends = np.array([start[0] // self.quantum, (start[-1] + length[-1] - 1) // self.quantum])
+        first, last = self.rank(source, ends) // self.slots // _CHUNK
+        parts = [self._chunk(int(k)) for k in range(first, last + 1)]
+        served = np.concatenate([*(x[:-1] for x in parts), parts[-1][-1:]])
+        edge = served[:, source]
+        ahead = np.diff(served[:, :source], axis=0).sum(axis=1)
+        low = np.searchsorted(edge, start, "right") - 1
+        high = np.searchsorted(edge, start + length - 1, "right") - 1
+        n = high - low + 1
+        doc = np.repeat(np.arange(len(start)), n)
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        at = np.maximum(start[doc], edge[k])
+        size = np.minimum((start + length)[doc], edge[k + 1]) - at
+        full = size > 0
+        doc, k, at, size = doc[full], k[full], at[full], size[full]
+        return doc, at - start[doc], size, first * _CHUNK + k, ahead[k] + at - edge[k]
 
 
 def pack(
@@ -179,6 +188,7 @@ def pack(
     quantum: int = QUANTUM,
     vocabulary: str = VOCABULARY,
     end: int = END_TOKEN,
+    with_ids: bool = True,
 ) -> DataFrame:
     """Pieces of all documents in windows that follow the target shares of the sources.
 
@@ -189,7 +199,8 @@ def pack(
     still has its end token; a null source is a source of its own; null or repeated ids and
     repeated rows are packed row by row; an empty table gives no pieces.
 
-    Rows: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, ids.
+    Rows: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source and, with
+    ``with_ids``, ids (unsigned little-endian 32-bit).
     """
     if window & (window - 1):
         raise ValueError("the window must be a power of two")
@@ -202,7 +213,7 @@ def pack(
     counts = [int(n) for n in totals["n"]]
     schema = (
         "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
-        "`offset` long, source string, ids binary"
+        "`offset` long, source string" + (", ids binary" if with_ids else "")
     )
     if not names:
         return spark.createDataFrame([], schema)
@@ -229,28 +240,32 @@ def pack(
         sources = np.array([number[s] for s in batch.column("source").to_pylist()])
         place = batch.column("place").to_numpy()
         length = batch.column("n_tokens").to_numpy()
-        doc_id, ids = batch.column("doc_id").to_pylist(), batch.column("ids")
-        out: list[tuple] = []
+        doc_id = batch.column("doc_id")
+        ids = batch.column("ids").to_pylist()
         order = np.lexsort((place, sources))
         far = place[order][1:] - (place + length)[order][:-1] > 64 * window
         runs = np.split(order, 1 + np.flatnonzero(far | (np.diff(sources[order]) > 0)))
+        found = []
         for rows in runs:
-            s = int(sources[rows[0]])
-            owner, pieces = schedule.all_pieces(s, place[rows], length[rows])
-            for d, (start, n, w, offset) in zip(owner, pieces, strict=True):
-                r = int(rows[d])
-                piece = ids[r].as_buffer()[4 * start : 4 * (start + n)]
-                out.append((doc_id[r], start, n, zlib.crc32(piece), int(length[r]), w, offset, names[s], bytes(piece)))
-        columns = list(zip(*out, strict=True))
-        types = [pa.int64()] * 7 + [pa.string(), pa.binary()]
-        fields = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "ids"]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=fields)
+            doc, *piece = schedule.all_pieces(int(sources[rows[0]]), place[rows], length[rows])
+            found.append((rows[doc], *piece))
+        row, start, size, sequence, offset = (np.concatenate(x) for x in zip(*found, strict=True))
+        cuts = zip(row.tolist(), (4 * start).tolist(), (4 * (start + size)).tolist(), strict=True)
+        pieces = [ids[r][a:b] for r, a, b in cuts]
+        columns = [
+            doc_id.take(pa.array(row)), pa.array(start), pa.array(size), pa.array([zlib.crc32(x) for x in pieces], pa.int64()),
+            pa.array(length[row]), pa.array(sequence), pa.array(offset), batch.column("source").take(pa.array(row)),
+        ]
+        fields = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]
+        if with_ids:
+            columns, fields = [*columns, pa.array(pieces, pa.binary())], [*fields, "ids"]
+        return pa.RecordBatch.from_arrays(columns, names=fields)
 
     return placed.mapInArrow(run, schema)
 
 
 def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{folder}/documents.parquet")).drop("ids")
+    return pack(spark.read.parquet(f"{folder}/documents.parquet"), with_ids=False)
 
 
 QUERIES = {"op2_packing": op2_packing}
