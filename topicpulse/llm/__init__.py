@@ -9,6 +9,7 @@ MODULES = [
     "sentencepiece",
     "warc",
     "neighbours",
+    "dedup_minhash",
     "pii",
     "toxicity",
     "extraction",
