@@ -266,7 +266,6 @@ def replaced(text: str, spans: list[tuple[str, int, int]], terms: list[tuple[int
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with its texts sanitised; a null text stays null."""
     found = disclosures(docs)
-    by_id = found.filter("size(spans) > 0 AND doc_id IS NOT NULL").groupBy("doc_id", "spans", "terms").agg()
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,8 +285,9 @@ def sanitise(docs: DataFrame) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names if n != "known"]
             yield pa.RecordBatch.from_arrays(columns, names=[n for n in names if n != "known"])
 
-    known = by_id.filter("terms IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(
-        F.collect_list(F.struct("spans", "terms")).alias("known")
+    # Rows that repeat an id keep apart by their base spans; equal ones collapse.
+    known = found.filter("terms IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(
+        F.collect_set(F.struct("spans", "terms")).alias("known")
     )
     joined = docs.join(known, F.col("doc_id") == F.col("__id"), "left").drop("__id")
     return joined.mapInArrow(run, docs.schema)
