@@ -5,8 +5,8 @@ Every window is known by its anchor, the least hash of its 16-word runs; equal w
 equal anchors, so shards are keyed by anchors and a passage (the windows that share an
 anchor, side by side) only needs its own shard. Anchors of a single document have no copy
 and go no further. Equal passages collapse to one with its smallest document, its owner.
-Anchors with very many places, whose passages may differ around a common line, are split:
-each of their windows is keyed by its own words instead.
+Anchors with very many different passages (a common line in changing company) are split:
+each window of theirs is keyed by its own words instead.
 
 Each shard builds an FM-index of its passages (wavelet matrix, backward search) and streams
 every passage past it, once as its owner and once as the other documents that hold it, for
@@ -34,7 +34,7 @@ from topicpulse.session import saved, ship_package
 
 WINDOW = 50
 ANCHOR = 16
-CROWDED = 4096  # places of an anchor from which its windows are keyed one by one
+CROWDED = 1024  # different passages of an anchor from which their windows are keyed one by one
 SHARD_WORDS = 1 << 19
 
 
@@ -122,32 +122,35 @@ def _flat(column: pa.Array, fields: list[str]) -> tuple[np.ndarray, ...]:
     return row, *(inner.field(f).to_numpy(zero_copy_only=False) for f in fields)
 
 
-def _single_windows(candidates: DataFrame, window: int) -> DataFrame:
-    """The windows of crowded anchors, each keyed by its own words."""
+def _single_windows(owned: DataFrame, window: int) -> DataFrame:
+    """The windows of crowded passages, each keyed by its own words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
             w = Words(batch.column("text"))
-            row, low, high, crowded = _flat(batch.column("places"), ["low", "high", "crowded"])
-            some = crowded.astype(bool)
-            row, low, n = row[some], low[some], (high - low)[some] + 1
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-            row = np.repeat(row, n)
-            first = w.first[row] + at
+            row, anchor, same, low, high, last = _flat(batch.column("owned"), ["anchor", "same", "low", "high", "last"])
+            n = high - low + 1
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            row, anchor, same, last = (np.repeat(x, n) for x in (row, anchor, same, last))
+            first = w.first[row] + np.repeat(low, n) + place
             key = _Sums(w).of(first, first + window).astype(np.int64)
-            rows = pa.array(row)
-            place = pa.array(at.astype(np.int32))
+            raw = w.raw.tobytes()
+            cut = zip(w.start[first].tolist(), w.end[first + window - 1].tolist(), strict=True)
+            columns = [pa.array(key), pa.array(anchor), pa.array(same), pa.array(place.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(rows), batch.column("text_hash").take(rows), pa.array(key), pa.array(key), place, place],
-                names=["doc_id", "text_hash", "anchor", "same", "low", "high"],
-            )
+                [
+                    *columns, batch.column("doc_id").take(pa.array(row)), pa.array(last),
+                    pa.array([raw[i:j] for i, j in cut], pa.binary()).cast(pa.string()),
+                ],
+                names=["window", "anchor", "same", "place", "owner", "last", "words"],
+            )
 
-    crowded = candidates.filter(F.exists("places", lambda p: p["crowded"]))
-    return crowded.select("doc_id", "text_hash", "text", "places").mapInArrow(run, _PLACE)
+    schema = "window long, anchor long, same long, place int, owner long, last long, words string"
+    return owned.select("doc_id", "text", "owned").mapInArrow(run, schema)
 
 
-def _with_words(owned: DataFrame, window: int, shards: int) -> DataFrame:
-    """The words of each passage, cut from its owner's text, with its shard."""
+def _with_words(owned: DataFrame, window: int) -> DataFrame:
+    """The words of each passage, cut from its owner's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
@@ -157,18 +160,17 @@ def _with_words(owned: DataFrame, window: int, shards: int) -> DataFrame:
             a, b = w.start[first], w.end[end - 1]
             raw = w.raw.tobytes()
             texts = [raw[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
-            shard = (mix(key.astype(np.int64).view(np.uint64)) % np.uint64(shards)).astype(np.int32)
-            columns = [pa.array(shard), pa.array(key), pa.array(same), batch.column("doc_id").take(pa.array(row)), pa.array(last)]
+            columns = [pa.array(key), pa.array(same), batch.column("doc_id").take(pa.array(row)), pa.array(last)]
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(texts, pa.binary()).cast(pa.string())],
-                names=["shard", "anchor", "same", "owner", "last", "words"],
+                names=["anchor", "same", "owner", "last", "words"],
             )
 
-    schema = "shard int, anchor long, same long, owner long, last long, words string"
+    schema = "anchor long, same long, owner long, last long, words string"
     return owned.select("doc_id", "text", "owned").mapInArrow(run, schema)
 
 
-def _searched(passages_: DataFrame, window: int) -> DataFrame:
+def _searched(passages_: DataFrame, window: int, shards: int) -> DataFrame:
     """By passage: windows found at a smaller document, as its owner reads it and as the others do."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -185,7 +187,8 @@ def _searched(passages_: DataFrame, window: int) -> DataFrame:
             {"anchor": group.column("anchor"), "same": group.column("same"), "as_owner": as_owner, "as_other": as_other}
         )
 
-    return passages_.groupBy("shard").applyInArrow(run, "anchor long, same long, as_owner long, as_other long")
+    dealt = passages_.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int"))
+    return dealt.groupBy("shard").applyInArrow(run, "anchor long, same long, as_owner long, as_other long")
 
 
 def copies(docs: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -199,30 +202,42 @@ def copies(docs: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS
         "doc_id IS NOT NULL"
     )
     found = saved(places(keyed, window), "places")
-    by_anchor = found.groupBy("anchor").agg(
-        F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")
-    )
-    shared = saved(by_anchor.filter("least < most").select("anchor", (F.col("n") >= CROWDED).alias("crowded")), "anchors")
-    wanted = saved(found.join(shared, "anchor"), "shared-places")
-    lists = _lists(wanted, "places", "low", "high", "crowded")
-    candidates = saved(keyed.join(lists, ["doc_id", "text_hash"]), "candidates")
-    every = saved(
-        wanted.filter("NOT crowded").drop("crowded").unionByName(_single_windows(candidates, window)), "passage-places"
-    )
-    known = every.groupBy("anchor", "same").agg(
+    by_anchor = found.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    wanted = saved(found.join(by_anchor.filter("least < most").select("anchor"), "anchor", "left_semi"), "shared-places")
+    known = wanted.groupBy("anchor", "same").agg(
         F.min(F.struct("doc_id", "text_hash", "low", "high")).alias("o"), F.max("doc_id").alias("last")
     )
-    known = known.select("anchor", "same", "last", "o.*")
-    many = known.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("last").alias("most")).filter("least < most")
-    known = saved(known.join(many.select("anchor"), "anchor", "left_semi"), "passages")
-    shards = max(-(-known.count() * (window + 15) // shard_words), 1)
-    owned = _lists(known, "owned", "anchor", "same", "low", "high", "last").join(candidates.drop("places"), ["doc_id", "text_hash"])
-    bits = _searched(_with_words(owned, window, shards), window).filter("as_owner <> 0 OR as_other <> 0")
-    bits = saved(bits.join(known.select("anchor", "same", F.col("doc_id").alias("owner")), ["anchor", "same"]), "passage-bits")
-    covered = every.join(bits, ["anchor", "same"]).select(
+    known = saved(known.select("anchor", "same", "last", "o.*"), "passages")
+    crowded = known.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= CROWDED).select("anchor")
+    apart = known.join(crowded, "anchor", "left_semi")
+    together = known.join(crowded, "anchor", "left_anti")
+    candidates = saved(keyed.join(wanted.select("doc_id", "text_hash").distinct(), ["doc_id", "text_hash"], "left_semi"), "candidates")
+
+    def owned(some: DataFrame) -> DataFrame:
+        lists = _lists(some, "owned", "anchor", "same", "low", "high", "last")
+        # Rows that repeat an id and a text are one owner.
+        return candidates.dropDuplicates(["doc_id", "text_hash"]).join(lists, ["doc_id", "text_hash"])
+
+    singles = saved(_single_windows(owned(apart), window), "windows")
+    distinct = singles.groupBy("window").agg(F.min("owner").alias("owner"), F.max("last").alias("last"), F.first("words").alias("words"))
+    distinct = distinct.filter("owner < last").select(F.col("window").alias("anchor"), F.col("window").alias("same"), "owner", "last", "words")
+    shards = max(-(-(known.count() + singles.count()) * (window + 15) // shard_words), 1)
+    streamed = _with_words(owned(together), window).unionByName(distinct)
+    bits = _searched(streamed, window, shards).filter("as_owner <> 0 OR as_other <> 0")
+    bits = saved(bits, "passage-bits")
+    least = distinct.select(F.col("anchor").alias("window"), F.col("owner").alias("least"))
+    hits = bits.select(F.col("anchor").alias("window")).join(least, "window")
+    bit = F.expr("shiftleft(1L, place)")
+    whole = singles.join(hits, "window").groupBy("anchor", "same").agg(
+        F.bit_or(F.when(F.col("least") < F.col("owner"), bit).otherwise(F.lit(0).cast("long"))).alias("as_owner"),
+        F.bit_or(F.when(F.col("least") < F.col("last"), bit).otherwise(F.lit(0).cast("long"))).alias("as_other"),
+    )
+    bits = bits.join(known.select("anchor", "same"), ["anchor", "same"], "left_semi").unionByName(whole)
+    bits = bits.join(known.select("anchor", "same", F.col("doc_id").alias("owner")), ["anchor", "same"])
+    covered = wanted.join(bits, ["anchor", "same"]).select(
         "doc_id", "text_hash", "low", F.when(F.col("doc_id") == F.col("owner"), F.col("as_owner")).otherwise(F.col("as_other")).alias("bits")
     )
-    return candidates.drop("places"), _lists(covered.filter("bits <> 0"), "covered", "low", "bits")
+    return candidates, _lists(covered.filter("bits <> 0"), "covered", "low", "bits")
 
 
 def words_to_go(w: Words, covered: pa.Array, window: int = WINDOW) -> np.ndarray:
