@@ -9,9 +9,9 @@ component with the probability Jaccard similarity of the texts.
 Texts of equal words collapse to their smallest id. Texts that share a band are candidates.
 In each band's bucket all are verified against one of them, its centre; components of what
 was confirmed follow, and buckets that still hold several components have the members
-outside the largest one verified against all members of other components. So no candidate
-link between different components goes untested, and a group of g copies costs about g
-tests. Verification computes the similarity itself from whole texts, streamed past their
+outside the largest one verified against the members of other components, save pairs that
+exact bounds on what they can share put out of reach. So no candidate link between
+different components is lost, and a group of g copies costs about g tests. Verification computes the similarity itself from whole texts, streamed past their
 centre in sorted partitions; crowded centres are split by salt.
 
 Defined cases: a text with one to four words is one shingle; a null text or one without
@@ -36,7 +36,8 @@ SHINGLE = 5
 SIMILAR_FROM = 0.8
 BANDS, BAND_ROWS = 24, 4
 MEMBERS_A_TASK = 2000
-_TOGETHER = 1 << 21  # words whose signatures are found together
+RARE = 16  # open texts that a rare shingle has at most
+_TOGETHER = 1 << 20  # words whose signatures are found together
 _SALT = [np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)]
 
 
@@ -78,10 +79,10 @@ def signatures(text: np.ndarray, key: np.ndarray, weight: np.ndarray, texts: int
     first = np.full(texts * size, np.inf)
     owner = np.zeros(texts * size, np.uint64)
     arrival, live = np.zeros(len(key)), np.arange(len(key))
-    turn = np.uint64(0)
+    turn = 0
     while len(live):
-        turn += np.uint64(1)
-        drawn = mix(key[live] + turn * _SALT[0])
+        turn += 1
+        drawn = mix(key[live] + np.uint64(turn * int(_SALT[0]) % (1 << 64)))
         uniform = ((drawn >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
         arrival[live] -= np.log(uniform) / weight[live]
         at = text[live] * size + (mix(drawn ^ _SALT[1]) % np.uint64(size)).astype(np.int64)
@@ -114,14 +115,14 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS)
     """One key for each band of each signature."""
     out = []
     for band in range(bands):
-        h = np.full(len(signature), np.uint64(band + 1) * _SALT[2])
+        h = mix(np.full(len(signature), band + 1, np.uint64) * _SALT[2])
         for k in range(band * rows, (band + 1) * rows):
             h = mix(h * _SALT[0] + signature[:, k])
         out.append(h)
     return np.stack(out, axis=1)
 
 
-_SKETCH = "doc_id long, same_a long, same_b long, n_words long, bands array<long>"
+_SKETCH = "doc_id long, same_a long, same_b long, n_words long, total long, different long, bands array<long>"
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -135,8 +136,11 @@ def sketches(docs: DataFrame) -> DataFrame:
         key, weight = (np.concatenate([h[5][k] for h in held]) for k in (1, 2))
         keys = band_keys(signatures(text, key, weight, texts, BANDS * BAND_ROWS)).astype(np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-        columns = [pa.array(ids), pa.array(same_a), pa.array(same_b), pa.array(n_words), lists]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "same_a", "same_b", "n_words", "bands"])
+        total = np.bincount(text, weight, texts).astype(np.int64)
+        different = np.bincount(text, minlength=texts)
+        columns = [pa.array(c) for c in (ids, same_a, same_b, n_words, total, different)]
+        names = ["doc_id", "same_a", "same_b", "n_words", "total", "different", "bands"]
+        return pa.RecordBatch.from_arrays([*columns, lists], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, words, texts = [], 0, 0
@@ -155,8 +159,8 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SKETCH)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, similar_from: float = SIMILAR_FROM) -> DataFrame:
-    """Those of ``pairs`` (centre, member) whose texts are similar enough, from whole texts."""
+def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """``pairs`` (centre, member) with the similarity of their whole texts."""
     ship_package(docs.sparkSession)
     crowd = pairs.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_A_TASK).cast("int").alias("parts"))
     as_member = pairs.join(crowd, "centre").select(
@@ -167,7 +171,7 @@ def verified(pairs: DataFrame, docs: DataFrame, similar_from: float = SIMILAR_FR
         F.col("centre").alias("doc_id"), "centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
         F.lit(0).alias("is_member"),
     )
-    wanted = as_member.unionByName(as_centre)
+    wanted = saved(as_member.unionByName(as_centre), "texts-to-compare")
     texts = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
     # Rows that repeat an id are one document; which of their texts counts must not depend on the order.
     texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
@@ -185,12 +189,46 @@ def verified(pairs: DataFrame, docs: DataFrame, similar_from: float = SIMILAR_FR
                 own = key[cut[r] : cut[r + 1]], weight[cut[r] : cut[r + 1]].astype(float)
                 if not members[r]:
                     centre, held = centres[r], own
-                elif centres[r] == centre and similarity(held, own) >= similar_from:
-                    out.append((centre, ids[r]))
-            columns = [pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays(columns, names=["centre", "member"])
+                elif centres[r] == centre:
+                    out.append((centre, ids[r], similarity(held, own)))
+            columns = [pa.array([o[k] for o in out], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["centre", "member", "similarity"])
 
-    return rows.select("doc_id", "text", "centre", "part", "is_member").mapInArrow(run, "centre long, member long")
+    return rows.select("doc_id", "text", "centre", "part", "is_member").mapInArrow(run, "centre long, member long, similarity double")
+
+
+def rare_shingles(open_texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """(rep, shingle, n): the shingles that at most ``RARE`` of ``open_texts`` have, and how many do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "text"):
+            text, key, _ = counted(*shingles(Words(batch.column("text"))))
+            columns = [batch.column("doc_id").take(pa.array(text)), pa.array(key.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["rep", "shingle"])
+
+    reps = open_texts.select(F.col("rep").alias("doc_id")).distinct()
+    rows = docs.select("doc_id", "text").join(reps, "doc_id", "left_semi").mapInArrow(run, "rep long, shingle long")
+    rows = saved(rows.distinct(), "open-shingles")
+    rare = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= RARE)
+    return saved(rows.join(rare, "shingle"), "rare-shingles")
+
+
+def _within_reach(similar_from: float, alone: str) -> F.Column:
+    """Whether what a pair can share allows the similarity; exact bounds.
+
+    With d and e different shingles, those only one of them can have (``alone``) left out of
+    the smaller as c, and r repeats in both together, the similarity is at most
+    (c + r) / (d + e - c + r). With private shares u and v of the whole weights it is at most
+    (1 - u)(1 - v) / (1 - uv).
+    """
+    own, own_y = F.col(alone), F.col(f"{alone}_y")
+    u, v = own / F.col("total"), own_y / F.col("total_y")
+    d, e = F.col("different"), F.col("different_y")
+    c = F.least(d - own, e - own_y)
+    r = F.col("total") + F.col("total_y") - d - e
+    plain = c + r >= similar_from * (d + e - c + r) - 1e-6
+    general = (1 - u) * (1 - v) >= similar_from * (1 - u * v) - 1e-9
+    return general & plain
 
 
 def near_duplicates(docs: DataFrame, similar_from: float = SIMILAR_FROM) -> DataFrame:
@@ -201,26 +239,46 @@ def near_duplicates(docs: DataFrame, similar_from: float = SIMILAR_FROM) -> Data
     """
     sketch = saved(sketches(docs), "sketches")
     same = sketch.filter("n_words > 0").groupBy("same_a", "same_b")
-    kept = saved(same.agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands")), "texts")
+    kept = same.agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("total", "different", "bands")))
+    kept = saved(kept, "texts")
     rows = kept.select("rep", F.explode("bands").alias("bucket"))
-    first = F.min(F.struct(F.xxhash64("rep").alias("h"), "rep"))["rep"]
-    centres = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), first.alias("centre")).filter("n > 1")
-    crowded = saved(rows.join(centres.select("bucket", "centre"), "bucket"), "buckets")
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    crowded = saved(rows.join(sizes, "bucket"), "shared-buckets")
+    # The member that meets the others most often is the centre: a text next to its many copies.
+    meets = crowded.groupBy("rep").agg(F.sum("n").alias("meets"))
+    crowded = saved(crowded.join(meets, "rep"), "buckets")
+    centre = F.max(F.struct("meets", (-F.col("rep")).alias("minus")))["minus"]
+    centres = crowded.groupBy("bucket").agg((-centre).alias("centre"))
+    crowded = saved(crowded.select("bucket", "rep").join(centres, "bucket"), "centred-buckets")
     stars = saved(crowded.filter("rep <> centre").select("centre", F.col("rep").alias("member")).distinct(), "stars")
-    links = saved(verified(stars, docs, similar_from), "star-links")
+    measured = saved(compared(stars, docs), "star-similarities")
+    links = measured.filter(F.col("similarity") >= similar_from).select("centre", "member")
     roots = connected_components(links, "centre", "member")
     label = F.coalesce("root", "rep").alias("label")
     labelled = crowded.join(roots, F.col("rep") == F.col("id"), "left").select("bucket", "rep", label)
     sizes = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels"))
     split = saved(labelled.join(largest.filter("labels > 1").drop("labels"), "bucket"), "split-buckets")
-    minor = split.filter("label <> main").select("bucket", F.col("rep").alias("x"), F.col("label").alias("label_x"))
-    others = split.select("bucket", F.col("rep").alias("y"), F.col("label").alias("label_y"), (F.col("label") == F.col("main")).alias("is_main"))
-    open_pairs = minor.join(others, "bucket").filter("label_x <> label_y AND (is_main OR x < y)")
-    open_pairs = open_pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    rare = rare_shingles(split, docs)
+    held = rare.groupBy("rep").agg(F.sum((F.col("n") == 1).cast("long")).alias("private"), F.count(F.lit(1)).alias("rare"))
+    weights = kept.select("rep", "total", "different").join(split.select("rep", "label").distinct(), "rep").join(held, "rep", "left")
+    # No similarity exceeds the share of a text's weight that others can have.
+    weights = weights.fillna(0, ["private", "rare"]).filter(F.col("private") <= (1 - similar_from) * F.col("total"))
+    weights = saved(weights, "open-texts")
+
+    def pairs_of(one: DataFrame, other: DataFrame, key: str, alone: str) -> DataFrame:
+        other = other.select(*(F.col(c).alias(c if c == key else f"{c}_y") for c in other.columns))
+        both = one.join(other, key).filter("label <> label_y AND (rep < rep_y OR is_main_y)").filter(_within_reach(similar_from, alone))
+        return both.select(F.least("rep", "rep_y").alias("a"), F.greatest("rep", "rep_y").alias("b"))
+
+    # Open pairs that share a rare shingle are few for each; of the others rare shingles count as private.
+    met = rare.filter("n > 1").select("rep", "shingle").join(weights, "rep").withColumn("is_main", F.lit(False))
+    split = split.withColumn("is_main", F.col("label") == F.col("main")).drop("main", "label").join(weights, "rep")
+    open_pairs = pairs_of(met, met, "shingle", "private")
+    open_pairs = open_pairs.unionByName(pairs_of(split.filter("NOT is_main"), split, "bucket", "rare")).distinct()
     tested = stars.select(F.least("centre", "member").alias("a"), F.greatest("centre", "member").alias("b"))
     open_pairs = saved(open_pairs.join(tested, ["a", "b"], "left_anti").select(F.col("a").alias("centre"), F.col("b").alias("member")), "open-pairs")
-    more = verified(open_pairs, docs, similar_from)
+    more = compared(open_pairs, docs).filter(F.col("similarity") >= similar_from).select("centre", "member")
     of_text = connected_components(links.unionByName(more), "centre", "member")
     of_text = kept.select("rep", "same_a", "same_b").join(of_text, F.col("rep") == F.col("id"), "left")
     of_text = saved(of_text.select("same_a", "same_b", F.coalesce("root", "rep").alias("class_id")), "text-classes")
