@@ -139,3 +139,13 @@ def test_cascade_levels_and_their_edges(spark):
     edges = M.relation_edges(M.relation_pairs(verdicts), spark.createDataFrame([], "demand_id_a bigint, demand_id_b bigint"))
     shown = {(r.demand_id_a, r.demand_id_b): round(r.similarity_score, 3) for r in edges.collect()}
     assert shown == {(2, 12): 1.0, (1, 13): round(ratio("red wid", "red small widget"), 3)}
+
+
+def test_components_of_a_folded_path_settle(spark, monkeypatch):
+    """1-n-2-(n-1)-3-...: labels that only walk along edges would need n rounds."""
+    n = 2000
+    path = [1, *range(n, 1, -1)]
+    edges = spark.createDataFrame(list(zip(path[:-1], path[1:])), "a bigint, b bigint")
+    nodes = spark.range(1, n + 2)
+    got = {r.id: r.leader for r in M.connected_components(nodes, edges).collect()}
+    assert got == {**{i: 1 for i in range(1, n + 1)}, n + 1: n + 1}

@@ -154,10 +154,13 @@ def _json_object(response: Column) -> Column:
 def parse_response(responses: DataFrame) -> DataFrame:
     """Add ``body`` (VARIANT) or the ``failure`` reason of each response."""
     found = responses.withColumn("_json", _json_object(F.col("response")))
-    # A lenient parser stops after the first object; a strict one wants nothing behind it.
-    closed = F.rtrim("_json").endswith("}")
-    body = F.when(closed, F.try_parse_json("_json"))
-    parsed = found.withColumn("body", body)
+    # A lenient parser stops after the first object; a strict one wants nothing behind it. Inside
+    # an object of our own, whatever follows breaks the object or shows as another key.
+    whole = F.try_parse_json(F.concat(F.lit('{"v":'), F.col("_json"), F.lit(',"end":1}')))
+    fields = F.map_keys(F.try_variant_get("_whole", "$", "map<string,variant>"))
+    alone = F.array_sort(fields) == F.array(F.lit("end"), F.lit("v"))
+    body = F.when(alone, F.try_variant_get("_whole", "$.v", "variant"))
+    parsed = found.withColumn("_whole", whole).withColumn("body", body).drop("_whole")
     failure = F.when(F.col("_json").isNull(), "no object").when(F.col("body").isNull(), "bad json")
     return parsed.withColumn("failure", failure).drop("_json")
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from topicpulse.functions import scalars as S
+from topicpulse.operators import components
 from topicpulse.session import saved
 
 _EPS = 1e-9
@@ -466,29 +467,10 @@ def relation_edges(pairs: DataFrame, stored: DataFrame, above: float = 0.5) -> D
     return once.join(stored.select(*keys), keys, "left_anti")
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """``(id, leader)``: the lowest id reachable over undirected ``(a, b)`` edges.
-
-    Each round takes the lowest label among neighbours, then follows labels one hop
-    further. Rounds are written to the shared folder, so a lost executor costs one
-    round, not the history.
-    """
-    both = F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("to")), F.struct(F.col("b").alias("id"), F.col("a").alias("to")))
-    links = edges.select(F.explode(both).alias("e")).select("e.*").distinct()
-    links = saved(links, "links")
-    labels = saved(nodes.select("id", F.col("id").alias("leader")), "labels")
-    for _ in range(max_rounds):
-        near = links.join(labels.select(F.col("id").alias("to"), "leader"), "to").groupBy("id").agg(F.min("leader").alias("low"))
-        lower = labels.join(near, "id", "left").select(
-            "id", F.col("leader").alias("was"), F.least("leader", F.coalesce("low", "leader")).alias("leader")
-        )
-        hop = lower.select(F.col("id").alias("leader"), F.col("leader").alias("next"))
-        step = saved(lower.join(hop, "leader").select("id", "was", F.least("leader", "next").alias("leader")), "labels")
-        changed = step.where("leader <> was").limit(1).count()
-        labels = step.select("id", "leader")
-        if not changed:
-            return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(id, leader)``: the lowest id reachable over undirected ``(a, b)`` edges."""
+    roots = components.connected_components(edges)
+    return nodes.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("leader"))
 
 
 def duplicate_clusters(library: DataFrame, threshold: float = 0.8) -> DataFrame:

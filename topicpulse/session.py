@@ -26,6 +26,9 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
     )
 
 
+_own_folder: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The reliable folder of the cluster, from ``spark.checkpoint.dir``.
 
@@ -35,11 +38,12 @@ def shared_folder(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if _own_folder:
+        return _own_folder[0]
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="topicpulse-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    _own_folder.append(tempfile.mkdtemp(prefix="topicpulse-"))
+    return _own_folder[0]
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
