@@ -12,7 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+_HASH_BYTES = 1 << 19
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _BASE = 0xC2B2AE3D27D4EB4F
 _GRAM = 0xD6E8FEB86659FD93
@@ -78,6 +79,14 @@ def hash_spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     """A 64-bit hash of each non-empty byte span; the spans ascend and do not overlap."""
     if not len(start):
         return np.zeros(0, np.uint64)
+    ends = np.cumsum(end - start)
+    if ends[-1] > _HASH_BYTES and len(start) > 1:
+        # Eight bytes and more for each byte of text: a stretch of spans at a time.
+        cut = np.searchsorted(ends, np.arange(_HASH_BYTES, ends[-1], _HASH_BYTES))
+        cut = np.unique(np.concatenate([[0], cut + 1, [len(start)]]))
+        cut = cut[cut <= len(start)]
+        if len(cut) > 2:
+            return np.concatenate([hash_spans(raw, start[a:b], end[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)])
     length = end - start
     total = int(length.sum())
     first = np.cumsum(length) - length
