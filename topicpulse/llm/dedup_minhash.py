@@ -246,9 +246,8 @@ def near_duplicates(docs: DataFrame, similar_from: float = SIMILAR_FROM) -> Data
     crowded = saved(rows.join(sizes, "bucket"), "shared-buckets")
     # The member that meets the others most often is the centre: a text next to its many copies.
     meets = crowded.groupBy("rep").agg(F.sum("n").alias("meets"))
-    crowded = saved(crowded.join(meets, "rep"), "buckets")
     centre = F.max(F.struct("meets", (-F.col("rep")).alias("minus")))["minus"]
-    centres = crowded.groupBy("bucket").agg((-centre).alias("centre"))
+    centres = crowded.join(meets, "rep").groupBy("bucket").agg((-centre).alias("centre"))
     crowded = saved(crowded.select("bucket", "rep").join(centres, "bucket"), "centred-buckets")
     stars = saved(crowded.filter("rep <> centre").select("centre", F.col("rep").alias("member")).distinct(), "stars")
     measured = saved(compared(stars, docs), "star-similarities")
@@ -261,27 +260,32 @@ def near_duplicates(docs: DataFrame, similar_from: float = SIMILAR_FROM) -> Data
     split = saved(labelled.join(largest.filter("labels > 1").drop("labels"), "bucket"), "split-buckets")
     rare = rare_shingles(split, docs)
     held = rare.groupBy("rep").agg(F.sum((F.col("n") == 1).cast("long")).alias("private"), F.count(F.lit(1)).alias("rare"))
-    weights = kept.select("rep", "total", "different").join(split.select("rep", "label").distinct(), "rep").join(held, "rep", "left")
+    weights = kept.select("rep", "total", "different", "bands").join(split.select("rep", "label").distinct(), "rep").join(held, "rep", "left")
     # No similarity exceeds the share of a text's weight that others can have.
     weights = weights.fillna(0, ["private", "rare"]).filter(F.col("private") <= (1 - similar_from) * F.col("total"))
     weights = saved(weights, "open-texts")
 
-    def pairs_of(one: DataFrame, other: DataFrame, key: str, alone: str) -> DataFrame:
+    def pairs_of(one: DataFrame, other: DataFrame, key: str, alone: str, once: F.Column) -> DataFrame:
         other = other.select(*(F.col(c).alias(c if c == key else f"{c}_y") for c in other.columns))
-        both = one.join(other, key).filter("label <> label_y AND (rep < rep_y OR is_main_y)").filter(_within_reach(similar_from, alone))
+        apart = F.expr("label <> label_y AND (rep < rep_y OR is_main_y)")
+        both = one.join(other, key).filter(apart & _within_reach(similar_from, alone) & once)
         return both.select(F.least("rep", "rep_y").alias("a"), F.greatest("rep", "rep_y").alias("b"))
 
     # Open pairs that share a rare shingle are few for each; of the others rare shingles count as private.
-    met = rare.filter("n > 1").select("rep", "shingle").join(weights, "rep").withColumn("is_main", F.lit(False))
+    met = rare.filter("n > 1").select("rep", "shingle").join(weights.drop("bands"), "rep").withColumn("is_main", F.lit(False))
     split = split.withColumn("is_main", F.col("label") == F.col("main")).drop("main", "label").join(weights, "rep")
-    open_pairs = pairs_of(met, met, "shingle", "private")
-    open_pairs = open_pairs.unionByName(pairs_of(split.filter("NOT is_main"), split, "bucket", "rare")).distinct()
+    open_pairs = pairs_of(met, met, "shingle", "private", F.lit(True))
+    # Every bucket that two open texts share is split, so the first one alone gives their pair.
+    first_shared = F.array_intersect("bands", "bands_y")[0] == F.col("bucket")
+    open_pairs = open_pairs.unionByName(pairs_of(split.filter("NOT is_main"), split, "bucket", "rare", first_shared)).distinct()
     tested = stars.select(F.least("centre", "member").alias("a"), F.greatest("centre", "member").alias("b"))
     open_pairs = saved(open_pairs.join(tested, ["a", "b"], "left_anti").select(F.col("a").alias("centre"), F.col("b").alias("member")), "open-pairs")
     more = compared(open_pairs, docs).filter(F.col("similarity") >= similar_from).select("centre", "member")
-    of_text = connected_components(links.unionByName(more), "centre", "member")
+    # The stars found so far stand for all earlier links.
+    known = roots.select(F.col("root").alias("centre"), F.col("id").alias("member"))
+    of_text = connected_components(known.unionByName(more), "centre", "member")
     of_text = kept.select("rep", "same_a", "same_b").join(of_text, F.col("rep") == F.col("id"), "left")
-    of_text = saved(of_text.select("same_a", "same_b", F.coalesce("root", "rep").alias("class_id")), "text-classes")
+    of_text = of_text.select("same_a", "same_b", F.coalesce("root", "rep").alias("class_id"))
     found = sketch.join(of_text, ["same_a", "same_b"], "left").select(
         "doc_id", F.when(F.col("n_words") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")
     )
