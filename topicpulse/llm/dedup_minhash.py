@@ -290,7 +290,8 @@ def near_duplicates(docs: DataFrame, similar_from: float = SIMILAR_FROM) -> Data
         "doc_id", F.when(F.col("n_words") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")
     )
     found = saved(found, "classes")
-    count = found.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
+    # Written, so that the join has no aggregate beside it and a crowded class can be split.
+    count = saved(found.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")), "class-sizes")
     unknown = docs.filter("doc_id IS NULL").select(F.col("doc_id").cast("long"), F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("class_size"))
     return found.join(count, "class_id").select("doc_id", "class_id", "class_size").unionByName(unknown)
 
