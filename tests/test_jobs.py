@@ -85,13 +85,12 @@ def test_late_rows_are_dropped_after_the_watermark(spark):
     assert (dt.date(2024, 1, 1), 2) in got and (dt.date(2024, 1, 1), 3) not in got
 
 
-def test_digest_of_a_crowded_article_is_split_without_loss(spark):
-    rows = [(i, 1, "u", f"c{i}", i) for i in range(25)] + [(100, 2, None, "x", 0)]
+def test_digest_of_a_crowded_article_is_one_row(spark):
+    rows = [(i * 1000, 1, "u", f"c{i}", i) for i in range(25_000)] + [(100, 2, None, "x", 0)]
     comments = spark.createDataFrame(rows, "id bigint, article_id bigint, commenter string, content string, like_count bigint")
-    got = R.comment_digest(comments, lines_per_part=10).collect()
-    assert sorted((r.article_id, r.n_comments) for r in got) == [(1, 5), (1, 10), (1, 10), (2, 1)]
-    lines = "\n".join(r.comments for r in sorted(got, key=lambda r: r.part) if r.article_id == 1).split("\n")
-    assert lines == [f"[u] (👍{i}): c{i}" for i in range(25)]
+    got = {r.article_id: r for r in R.comment_digest(comments.repartition(8)).collect()}
+    assert {k: r.n_comments for k, r in got.items()} == {1: 25_000, 2: 1}
+    assert got[1].comments.split("\n") == [f"[u] (👍{i}): c{i}" for i in range(25_000)]
 
 
 def test_merge_chains_are_rejected(spark):

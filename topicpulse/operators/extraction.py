@@ -137,10 +137,10 @@ def article_requests(articles: DataFrame) -> DataFrame:
     return articles.select(F.col("id").alias("article_id"), prompt.alias("prompt"))
 
 
-def comment_requests(articles: DataFrame, comments: DataFrame, lines_per_part: int = 10_000) -> DataFrame:
-    """One request per article (per part, for articles with very many comments)."""
-    digest = comment_digest(article_comments(articles, comments), lines_per_part)
-    return digest.select("article_id", "part", render(COMMENT_PROMPT, comments=F.col("comments")).alias("prompt"))
+def comment_requests(articles: DataFrame, comments: DataFrame) -> DataFrame:
+    """One request per article with waiting comments."""
+    digest = comment_digest(article_comments(articles, comments))
+    return digest.select("article_id", render(COMMENT_PROMPT, comments=F.col("comments")).alias("prompt"))
 
 
 def _json_object(response: Column) -> Column:
@@ -169,14 +169,24 @@ def _get(row: Column, name: str) -> Column:
     return F.try_variant_get(row, f"$.{name}", "string")
 
 
+def _untitled(d: Column) -> Column:
+    return F.coalesce(_get(d, "title"), F.lit("")) == ""
+
+
+def _unreadable_score(d: Column) -> Column:
+    """A score that is there (a JSON null is) but is no number; an absent one counts as zero."""
+    there = F.try_variant_get(d, "$.importance_score", "variant").isNotNull()
+    return there & _get(d, "importance_score").try_cast("double").isNull()
+
+
 def validate_demands(parsed: DataFrame) -> DataFrame:
     """Explode the demands of a response, normalise them, flag unknown categories.
 
-    One demand without a title fails its whole response; that is decided inside the
-    row, before the list is exploded.
+    One demand without a title or with an unreadable score fails its whole response;
+    that is decided inside the row, before the list is exploded.
     """
     items = F.try_variant_get("body", "$.demands", "array<variant>")
-    whole = F.forall(items, lambda d: F.coalesce(_get(d, "title"), F.lit("")) != "")
+    whole = ~F.exists(items, lambda d: _untitled(d) | _unreadable_score(d))
     rows = parsed.where("failure IS NULL").withColumn("_items", items).where(whole)
     rows = rows.select("article_id", F.posexplode("_items").alias("pos", "d"))
     d = F.col("d")
@@ -198,8 +208,8 @@ def validate_demands(parsed: DataFrame) -> DataFrame:
 def failed_responses(parsed: DataFrame) -> DataFrame:
     """Responses that yield nothing, with the reason."""
     items = F.try_variant_get("body", "$.demands", "array<variant>")
-    untitled = F.exists(items, lambda d: F.coalesce(_get(d, "title"), F.lit("")) == "")
-    reason = F.coalesce("failure", F.when(untitled, "demand without title"))
+    wrong = F.when(F.exists(items, _untitled), "demand without title").when(F.exists(items, _unreadable_score), "unreadable score")
+    reason = F.coalesce("failure", wrong)
     return parsed.withColumn("failure", reason).where("failure IS NOT NULL").drop("body")
 
 

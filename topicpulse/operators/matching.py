@@ -7,7 +7,6 @@ text it compares.
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -64,11 +63,6 @@ def may_reach(a: Column, b: Column, threshold: float) -> Column:
     return F.call_function("levenshtein", a, b, steps) >= 0
 
 
-@F.pandas_udf(T.DoubleType())
-def _dot(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([float(np.dot(x, y)) for x, y in zip(a, b)], dtype="float64")
-
-
 def unit_vector(v: Column) -> Column:
     """Scale a number array to length one; NULL for a zero vector."""
     doubles = F.transform(v, lambda x: x.cast("double"))
@@ -77,8 +71,8 @@ def unit_vector(v: Column) -> Column:
 
 
 def unit_cosine(a: Column, b: Column) -> Column:
-    """Cosine of two unit vectors of equal length, summed in Arrow batches."""
-    return _dot(a, b)
+    """Cosine of two unit vectors of equal length."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
 # --- exact ------------------------------------------------------------------
@@ -339,12 +333,13 @@ def semantic_match(candidates: DataFrame, new_vectors: DataFrame, library_vector
 # --- cascade ----------------------------------------------------------------
 
 
-def candidate_ratio(candidates: DataFrame, new: DataFrame, library: DataFrame) -> DataFrame:
-    """Best edit ratio of each new row over its candidates."""
+def candidate_ratio(candidates: DataFrame, new: DataFrame, library: DataFrame, at_least: float = 0.5) -> DataFrame:
+    """Best edit ratio of each new row over its candidates, for rows that reach ``at_least``."""
     named = candidates.select("query_id", "candidate_id").join(
         new.select("query_id", F.col("title").alias("a")), "query_id"
     ).join(library.select(F.col("id").alias("candidate_id"), F.col("title").alias("b")), "candidate_id")
-    pairs = named.select("a", "b").distinct().withColumn("ratio", indel_ratio(F.col("a"), F.col("b")))
+    near = named.select("a", "b").distinct().where(may_reach(F.col("a"), F.col("b"), at_least))
+    pairs = near.withColumn("ratio", indel_ratio(F.col("a"), F.col("b"))).where(F.col("ratio") >= at_least - _EPS)
     top = F.max(F.struct(F.col("ratio"), (-F.col("candidate_id")).alias("back")))
     return (
         named.join(pairs, ["a", "b"])

@@ -116,27 +116,19 @@ def article_comments(articles: DataFrame, comments: DataFrame) -> DataFrame:
     return comments.where(~F.col("is_analyzed")).join(ids, "article_id", "left_semi")
 
 
-def comment_digest(comments: DataFrame, lines_per_part: int = 10_000) -> DataFrame:
-    """Comment lines of an article joined into one text, in id order.
-
-    An article with more than ``lines_per_part`` comments is written in several
-    parts (id ranges), so no single text or task holds an unbounded list.
-    """
+def comment_digest(comments: DataFrame) -> DataFrame:
+    """``(article_id, n_comments, comments)``: the lines of an article joined into one text, in id order."""
     name = F.coalesce(F.nullif("commenter", F.lit("")), F.lit("匿名"))
     line = F.concat(
         F.lit("["), name, F.lit("] (👍"), F.col("like_count").cast("string"), F.lit("): "), F.col("content")
     )
-    sizes = comments.groupBy("article_id").agg(F.count(F.lit(1)).alias("_n"))
-    big = sizes.where(F.col("_n") > lines_per_part).select("article_id", F.lit(True).alias("_big"))
-    part = F.when(F.col("_big"), F.floor(F.col("id") / lines_per_part)).otherwise(0).cast("bigint")
+    # The result is one value per article, so its lines have to meet; nothing but them is carried.
     return (
         comments.select("article_id", "id", line.alias("line"))
-        .join(big, "article_id", "left")
-        .groupBy("article_id", part.alias("part"))
+        .groupBy("article_id")
         .agg(F.array_sort(F.collect_list(F.struct("id", "line"))).alias("lines"))
         .select(
             "article_id",
-            "part",
             F.size("lines").cast("bigint").alias("n_comments"),
             F.array_join("lines.line", "\n").alias("comments"),
         )

@@ -18,6 +18,7 @@ def create_snapshot(demands: DataFrame, day: Column) -> DataFrame:
         F.to_date(day).alias("snapshot_date"),
         "frequency",
         F.col("importance_score").alias("heat_score"),
+        F.unix_micros(day.cast("timestamp")).alias("taken"),
     )
 
 
@@ -36,34 +37,40 @@ def _label(rate: Column) -> Column:
     return F.when(rate > THRESHOLD, "rising").when(rate < -THRESHOLD, "declining").otherwise("stable")
 
 
-def _last(value: str, when: Column, order: str | None) -> Column:
-    picked = F.when(when, F.col(value))
-    if order is None:
-        return F.max(picked)
-    return F.max_by(picked, F.when(when, F.col(order)))
+def _newest_dates(snapshots: DataFrame) -> DataFrame:
+    """``(snapshot_date, newest)``: the last two dates; no row if there are fewer than two."""
+    two = snapshots.select("snapshot_date").where("snapshot_date IS NOT NULL").distinct()
+    ends = two.orderBy(F.desc("snapshot_date")).limit(2).agg(
+        F.max("snapshot_date").alias("now"), F.min("snapshot_date").alias("then")
+    )
+    both = F.array(
+        F.struct(F.col("now").alias("snapshot_date"), F.lit(True).alias("newest")),
+        F.struct(F.col("then").alias("snapshot_date"), F.lit(False).alias("newest")),
+    )
+    return ends.where("now <> then").select(F.inline(both))
 
 
-def detect_trends(demands: DataFrame, snapshots: DataFrame, order: str | None = None) -> DataFrame:
+def detect_trends(demands: DataFrame, snapshots: DataFrame, order: str = "taken") -> DataFrame:
     """Label every demand by its two newest snapshot dates.
 
     Adds ``change`` (new, rising, declining, stable, or NULL when unlisted) and
-    replaces ``trend``. With fewer than two dates nothing changes. ``order``
-    decides which of several snapshots on one date counts (the last).
+    replaces ``trend``. With fewer than two dates nothing changes. Of several
+    snapshots of a demand on one date the last by ``order`` counts (of equal ones the
+    largest).
     """
-    newest = snapshots.agg(F.max("snapshot_date").alias("d")).scalar()
-    older = snapshots.where(F.col("snapshot_date") < newest)
-    previous = older.agg(F.max("snapshot_date").alias("d")).scalar()
-    day = F.col("snapshot_date")
+    newest = F.col("newest")
+    place = F.struct(F.col(order), F.col("frequency"))
     pairs = (
-        snapshots.where((day == newest) | (day == previous))
+        # Two rows, so every executor gets them and only matching rows are shuffled.
+        snapshots.join(F.broadcast(_newest_dates(snapshots)), "snapshot_date")
         .groupBy(F.col("demand_id").alias("id"))
         .agg(
-            _last("frequency", day == newest, order).alias("current_frequency"),
-            _last("frequency", day == previous, order).alias("previous_frequency"),
+            F.max_by("frequency", F.when(newest, place)).alias("current_frequency"),
+            F.max_by("frequency", F.when(~newest, place)).alias("previous_frequency"),
         )
     )
     now, then = F.col("current_frequency"), F.col("previous_frequency")
-    listed = previous.isNotNull() & now.isNotNull()
+    listed = now.isNotNull()
     change = F.when(listed & then.isNull(), "new").when(listed, _label(change_rate(then, now)))
     trend = F.when(F.col("change") == "new", "rising").otherwise(F.coalesce("change", "trend"))
     return demands.join(pairs, "id", "left").withColumn("change", change).withColumn("trend", trend)

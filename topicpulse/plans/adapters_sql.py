@@ -34,7 +34,8 @@ SELECT l_orderkey % (SELECT count(*) FROM documents) AS article_id, l_partkey AS
 FROM lineitem GROUP BY 1, 2""",
     "trend_snapshots": """
 SELECT l_partkey AS demand_id, CAST(date_trunc('year', l_shipdate) AS DATE) AS snapshot_date,
- CAST(count(*) AS BIGINT) AS frequency, sum(l_quantity) AS heat_score FROM lineitem GROUP BY 1, 2""",
+ CAST(count(*) AS BIGINT) AS frequency, sum(l_quantity) AS heat_score,
+ CAST(CAST(max(l_shipdate) AS DATE) - DATE '1970-01-01' AS BIGINT) AS taken FROM lineitem GROUP BY 1, 2""",
     "hot_comments": """
 SELECT conv_id * 100 + turn AS id, conv_id AS article_id, CASE WHEN role <> 'system' THEN role END AS commenter,
  text AS content, CAST((length(text) * 7) % 500 AS BIGINT) AS like_count, turn % 2 = 0 AS is_analyzed FROM conversations""",

@@ -131,7 +131,7 @@ def article_requests(s: Store) -> DataFrame:
 
 @query(
     "ext03_comment_requests",
-    f"""SELECT article_id, CAST(0 AS BIGINT) AS part, concat('{_C[0]}', string_agg(concat('[', coalesce(nullif(commenter, ''), '匿名'), '] (👍', like_count, '): ', content), chr(10) ORDER BY id), '{_C[1]}') AS prompt
+    f"""SELECT article_id, concat('{_C[0]}', string_agg(concat('[', coalesce(nullif(commenter, ''), '匿名'), '] (👍', like_count, '): ', content), chr(10) ORDER BY id), '{_C[1]}') AS prompt
         FROM hot_comments WHERE NOT is_analyzed AND article_id IN (SELECT id FROM articles) GROUP BY article_id""",
 )
 def comment_requests(s: Store) -> DataFrame:
@@ -141,10 +141,10 @@ def comment_requests(s: Store) -> DataFrame:
 # --- responses --------------------------------------------------------------
 
 _ITEM = """concat('{"title":"', p_name, '","description":"', p_brand, ' does ', p_type, '","category":"', CASE p_partkey % 3 WHEN 0 THEN '职业发展' ELSE p_type END, '","subcategory":"', p_brand, '","tags":',
-  CASE p_partkey % 4 WHEN 0 THEN '["a","b"]' WHEN 1 THEN '" x , ,y,"' WHEN 2 THEN 'null' ELSE concat('["', p_brand, '"]') END, ',"importance_score":', CAST(p_size - 20 AS STRING), '}')"""
-_BODY = f"""concat('{{"demands":[', {_ITEM}, CASE WHEN p_partkey % 6 = 0 THEN ',{{"title":"second","importance_score":"3.5"}}' WHEN p_partkey % 11 = 0 THEN ',{{"title":""}}' ELSE '' END, '],"article_summary":"s"}}')"""
+  CASE p_partkey % 4 WHEN 0 THEN '["a","b"]' WHEN 1 THEN '" x , ,y,"' WHEN 2 THEN 'null' ELSE concat('["', p_brand, '"]') END, ',"importance_score":', CASE p_partkey % 17 WHEN 0 THEN '"high"' WHEN 1 THEN 'null' ELSE CAST(p_size - 20 AS STRING) END, '}')"""
+_BODY = f"""concat('{{"demands":[', {_ITEM}, CASE WHEN p_partkey % 6 = 0 THEN ',{{"title":"second","importance_score":"3.5"}}' WHEN p_partkey % 11 = 0 THEN ',{{"title":""}}' WHEN p_partkey % 7 = 0 THEN ',{{"title":"unscored"}}' ELSE '' END, '],"article_summary":"s"}}')"""
 _RESPONSE = f"""CASE p_partkey % 10 WHEN 0 THEN concat('Here:', chr(10), '```json', chr(10), {_BODY}, chr(10), '```', chr(10), 'bye') WHEN 1 THEN {_BODY} WHEN 2 THEN concat('Result: ', {_BODY})
-  WHEN 3 THEN 'nothing found' WHEN 4 THEN concat('  ', {_BODY}, '  ') WHEN 5 THEN concat('```', chr(10), {_BODY}, '```') WHEN 6 THEN '{{"demands":[' WHEN 7 THEN concat({_BODY}, ' trailing') ELSE {_BODY} END"""
+  WHEN 3 THEN 'nothing found' WHEN 4 THEN concat('  ', {_BODY}, '  ') WHEN 5 THEN concat('```', chr(10), {_BODY}, '```') WHEN 6 THEN '{{"demands":[' WHEN 7 THEN concat({_BODY}, ' trailing') WHEN 8 THEN concat({_BODY}, CASE p_partkey % 3 WHEN 0 THEN ' {{"x":1}}' WHEN 1 THEN ' see {{note}}' ELSE ' x }}' END) ELSE {_BODY} END"""
 _RESPONSE = _RESPONSE.replace("'{{\"demands\":['", "'{\"demands\":['")
 register_cte("responses", f"SELECT p_partkey AS article_id, {_RESPONSE} AS response FROM part")
 register_cte(
@@ -155,14 +155,16 @@ register_cte(
            FROM (SELECT article_id, trim(response, concat(' ', chr(10))) AS r FROM responses)))""",
 )
 register_cte(
-    "validated",
-    f"""SELECT article_id, pos, title, description, category, subcategory, tags, greatest(0.0::DOUBLE, least(10.0::DOUBLE, coalesce(TRY_CAST(score AS DOUBLE), 0))) AS importance_score,
+    "judged",
+    f"""SELECT article_id, pos, title, titled, readable, description, category, subcategory, tags, greatest(0.0::DOUBLE, least(10.0::DOUBLE, coalesce(TRY_CAST(score AS DOUBLE), 0))) AS importance_score,
           coalesce(category, '') <> '' AND category NOT IN ({_CATS}) AS unknown_category FROM (
         SELECT article_id, pos, d->>'$.title' AS title, coalesce(d->>'$.description', '') AS description, d->>'$.category' AS category, d->>'$.subcategory' AS subcategory,
           CASE json_type(d, '$.tags') WHEN 'ARRAY' THEN CAST(d->'$.tags' AS VARCHAR[]) WHEN 'VARCHAR' THEN list_filter(list_transform(string_split(d->>'$.tags', ','), lambda x: trim(x)), lambda x: x <> '') ELSE [] END AS tags,
-          d->>'$.importance_score' AS score, bool_and(coalesce(d->>'$.title', '') <> '') OVER (PARTITION BY article_id) AS whole FROM (
-        SELECT article_id, unnest(l) AS d, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT article_id, json_extract(body, '$.demands[*]') AS l FROM parsed WHERE failure IS NULL))) WHERE whole""",
+          d->>'$.importance_score' AS score, bool_and(coalesce(d->>'$.title', '') <> '') OVER (PARTITION BY article_id) AS titled,
+          bool_and(json_type(d, '$.importance_score') IS NULL OR TRY_CAST(d->>'$.importance_score' AS DOUBLE) IS NOT NULL) OVER (PARTITION BY article_id) AS readable FROM (
+        SELECT article_id, unnest(l) AS d, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT article_id, json_extract(body, '$.demands[*]') AS l FROM parsed WHERE failure IS NULL)))""",
 )
+register_cte("validated", "SELECT * EXCLUDE (titled, readable) FROM judged WHERE titled AND readable")
 
 
 def _responses(s: Store) -> DataFrame:
@@ -186,8 +188,8 @@ def validate_demands(s: Store) -> DataFrame:
 
 @query(
     "ext05_failed_responses",
-    """SELECT article_id, coalesce(failure, 'demand without title') AS failure FROM parsed
-       WHERE failure IS NOT NULL OR article_id NOT IN (SELECT article_id FROM validated)""",
+    """SELECT article_id, failure FROM parsed WHERE failure IS NOT NULL UNION ALL
+       SELECT DISTINCT article_id, CASE WHEN titled THEN 'unreadable score' ELSE 'demand without title' END FROM judged WHERE NOT (titled AND readable)""",
 )
 def failed_responses(s: Store) -> DataFrame:
     return E.failed_responses(E.parse_response(_responses(s))).select("article_id", "failure")

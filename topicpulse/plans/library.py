@@ -310,7 +310,7 @@ def article_comments(s: Store) -> DataFrame:
 
 @query(
     "joi16_comment_digest",
-    """SELECT article_id, CAST(0 AS BIGINT) AS part, count(*) AS n_comments,
+    """SELECT article_id, count(*) AS n_comments,
        string_agg(concat('[', coalesce(nullif(commenter, ''), '匿名'), '] (👍', like_count, '): ', content), chr(10) ORDER BY id) AS comments
        FROM hot_comments GROUP BY article_id""",
 )

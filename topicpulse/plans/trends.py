@@ -35,7 +35,8 @@ def labelled(s: Store) -> DataFrame:
 
 @query(
     "agg12_trend_snapshot",
-    f"""SELECT id AS demand_id, CAST({AS_OF} AS DATE) AS snapshot_date, frequency, importance_score AS heat_score FROM demands""",
+    f"""SELECT id AS demand_id, CAST({AS_OF} AS DATE) AS snapshot_date, frequency, importance_score AS heat_score,
+        CAST(epoch_us({AS_OF}) AS BIGINT) AS taken FROM demands""",
 )
 def trend_snapshot(s: Store) -> DataFrame:
     return T.create_snapshot(s.demands, s.as_of)
@@ -79,15 +80,41 @@ def detect_trends(s: Store) -> DataFrame:
     return labelled(s).select("id", "title", "change", "trend", "current_frequency", "previous_frequency")
 
 
+_RETAKEN = "SELECT demand_id, snapshot_date, 1 + frequency * (demand_id % 4) // 2 AS frequency, taken + 1 + demand_id % 3 AS taken FROM trend_snapshots WHERE demand_id % 2 = 0"
+
+
+@query(
+    "trd02_last_of_the_day",
+    f"""SELECT d.id, c.frequency AS current_frequency, p.frequency AS previous_frequency FROM demands d
+        LEFT JOIN (SELECT * FROM last_rows WHERE back = 1) c ON c.demand_id = d.id LEFT JOIN (SELECT * FROM last_rows WHERE back = 2) p ON p.demand_id = d.id""".replace(
+        "last_rows",
+        f"""(SELECT demand_id, arg_max(frequency, taken) AS frequency, any_value(b) AS back FROM
+             (SELECT *, dense_rank() OVER (ORDER BY snapshot_date DESC) AS b FROM
+              (SELECT demand_id, snapshot_date, frequency, taken FROM trend_snapshots UNION ALL {_RETAKEN})) GROUP BY demand_id, b)""",
+    ),
+)
+def last_of_the_day(s: Store) -> DataFrame:
+    """Half of the demands were snapshot twice on every date; the later one counts."""
+    columns = ["demand_id", "snapshot_date", "frequency", "taken"]
+    demand = F.col("demand_id")
+    again = s.trend_snapshots.where(demand % 2 == 0).select(
+        "demand_id",
+        "snapshot_date",
+        (1 + F.floor(F.col("frequency") * (demand % 4) / 2)).alias("frequency"),
+        (F.col("taken") + 1 + demand % 3).alias("taken"),
+    )
+    rows = T.detect_trends(s.demands, s.trend_snapshots.select(columns).unionByName(again))
+    return rows.select("id", "current_frequency", "previous_frequency")
+
+
 @query(
     "joi07_snapshot_compare",
     """SELECT c.demand_id, c.frequency AS current_frequency, p.frequency AS previous_frequency FROM
-       (SELECT * FROM trend_snapshots WHERE snapshot_date = DATE '2000-01-01') c LEFT JOIN
-       (SELECT * FROM trend_snapshots WHERE snapshot_date = DATE '1999-01-01') p USING (demand_id)""",
+       (SELECT * FROM trend_snapshots WHERE snapshot_date = (SELECT max(snapshot_date) FROM trend_snapshots)) c LEFT JOIN
+       (SELECT * FROM trend_snapshots WHERE snapshot_date = (SELECT DISTINCT snapshot_date FROM trend_snapshots ORDER BY 1 DESC LIMIT 1 OFFSET 1)) p USING (demand_id)""",
 )
 def snapshot_compare(s: Store) -> DataFrame:
-    window = s.trend_snapshots.where("snapshot_date <= DATE'2000-01-01'")
-    rows = T.detect_trends(s.demands, window).where("current_frequency IS NOT NULL")
+    rows = labelled(s).where("current_frequency IS NOT NULL")
     return rows.select(F.col("id").alias("demand_id"), "current_frequency", "previous_frequency")
 
 

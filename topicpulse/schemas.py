@@ -46,7 +46,7 @@ TABLES: dict[str, T.StructType] = {
         " last_position STRING"
     ),
     "trend_snapshots": _struct(
-        "demand_id BIGINT, snapshot_date DATE, frequency BIGINT, heat_score DOUBLE"
+        "demand_id BIGINT, snapshot_date DATE, frequency BIGINT, heat_score DOUBLE, taken BIGINT"
     ),
     "demand_relations": _struct(
         "demand_id_a BIGINT, demand_id_b BIGINT, similarity_score DOUBLE"

@@ -148,6 +148,7 @@ class SampleStore:
             .agg(
                 F.count(F.lit(1)).alias("frequency"),
                 F.sum("l_quantity").alias("heat_score"),
+                F.unix_date(F.max("l_shipdate").cast("date")).cast("bigint").alias("taken"),
             )
         )
 
