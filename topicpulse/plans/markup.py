@@ -122,9 +122,12 @@ def rows_from_html_triplets(s: Store) -> DataFrame:
 _FEED = f"""CASE WHEN p_partkey % 2 = 0 THEN concat('<rss version="2.0" xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:content="http://purl.org/rss/1.0/modules/content/"><channel><title>feed ', p_brand, '</title>',
  '<item><title> ', p_name, ' </title><link>http://f.example/', {K}, '</link>', CASE WHEN p_partkey % 4 = 0 THEN '<dc:creator>ann</dc:creator>' ELSE '' END,
  '<pubDate>Tue, 0', CAST(1 + p_partkey % 9 AS STRING), ' Mar 2024 10:20:30 +0200</pubDate><description>&lt;p&gt;about ', p_type, '&lt;/p&gt;</description></item>',
- '<item><title>shared</title><link>http://f.example/shared</link><content:encoded>&lt;b&gt;x&lt;/b&gt; y</content:encoded></item><item><title>no link</title></item></channel></rss>')
- ELSE concat('<feed xmlns="http://www.w3.org/2005/Atom"><title>atom ', p_brand, '</title><entry><title>', p_name, '</title><link href="http://a.example/', {K}, '"/>',
- '<author><name>bob</name></author><updated>2024-02-0', CAST(1 + p_partkey % 9 AS STRING), 'T01:02:03+01:00</updated><content type="html">&lt;h1&gt;T&lt;/h1&gt; &lt;p&gt; body ', p_type, ' &lt;/p&gt;</content></entry></feed>') END"""
+ '<item><title>shared</title><link>http://f.example/shared</link><content:encoded>&lt;b&gt;x&lt;/b&gt; y</content:encoded></item><item><title>no link</title></item>',
+ '<item><title>by guid</title><guid>http://f.example/g', {K}, '</guid><pubDate>Mon, 04 Mar 2024 10:20:30 EST</pubDate></item><item><title>opaque</title><guid isPermaLink="false">x1</guid></item></channel></rss>')
+ WHEN p_partkey % 5 = 0 THEN concat('<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="http://purl.org/rss/1.0/" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel rdf:about="c"><title>rdf ', p_brand, '</title></channel>',
+ '<item rdf:about="u"><title>', p_name, '</title><link>http://r.example/', {K}, '</link><dc:date>2024-01-0', CAST(1 + p_partkey % 9 AS STRING), 'T05:06:07.503Z</dc:date><description>plain ', p_type, '</description></item></rdf:RDF>')
+ ELSE concat('<feed xmlns="http://www.w3.org/2005/Atom"><title>atom ', p_brand, '</title><entry><title>', p_name, '</title><id>urn:', {K}, '</id><link rel="alternate" href="http://a.example/', {K}, '"/><link rel="replies" href="http://a.example/replies"/>',
+ '<author><name>bob</name></author><updated>2024-02-0', CAST(1 + p_partkey % 9 AS STRING), 'T01:02:03.500+01:00</updated><content type="html">&lt;h1&gt;T&lt;/h1&gt; &lt;p&gt; body ', p_type, ' &lt;/p&gt;</content></entry></feed>') END"""
 
 
 @query(
@@ -133,7 +136,9 @@ _FEED = f"""CASE WHEN p_partkey % 2 = 0 THEN concat('<rss version="2.0" xmlns:dc
           SELECT p_partkey, p_name AS title, concat('http://f.example/', {K}) AS url, CASE WHEN p_partkey % 4 = 0 THEN 'ann' ELSE concat('feed ', p_brand) END AS author,
             concat('2024-03-0', 1 + p_partkey % 9, 'T08:20:30') AS publish_time, concat('<p>about ', p_type, '</p>') AS summary, concat('about ', p_type) AS content FROM part WHERE p_partkey % 2 = 0
           UNION ALL SELECT p_partkey, 'shared', 'http://f.example/shared', concat('feed ', p_brand), '', 'x' || chr(10) || 'y', 'x' || chr(10) || 'y' FROM part WHERE p_partkey = (SELECT min(p_partkey) FROM part WHERE p_partkey % 2 = 0)
-          UNION ALL SELECT p_partkey, p_name, concat('http://a.example/', {K}), 'bob', concat('2024-02-0', 1 + p_partkey % 9, 'T00:02:03'), concat('T', chr(10), 'body ', p_type), concat('T', chr(10), 'body ', p_type) FROM part WHERE p_partkey % 2 = 1)""",
+          UNION ALL SELECT p_partkey, p_name, concat('http://a.example/', {K}), 'bob', concat('2024-02-0', 1 + p_partkey % 9, 'T00:02:03'), concat('T', chr(10), 'body ', p_type), concat('T', chr(10), 'body ', p_type) FROM part WHERE p_partkey % 2 = 1 AND p_partkey % 5 <> 0
+          UNION ALL SELECT p_partkey, 'by guid', concat('http://f.example/g', {K}), concat('feed ', p_brand), '2024-03-04T15:20:30', '', '' FROM part WHERE p_partkey % 2 = 0
+          UNION ALL SELECT p_partkey, p_name, concat('http://r.example/', {K}), concat('rdf ', p_brand), concat('2024-01-0', 1 + p_partkey % 9, 'T05:06:07'), concat('plain ', p_type), concat('plain ', p_type) FROM part WHERE p_partkey % 2 = 1 AND p_partkey % 5 = 0)""",
 )
 def feed_entries(s: Store) -> DataFrame:
     return M.feed_entries(_pages(s, _FEED)).select(
@@ -144,9 +149,6 @@ def feed_entries(s: Store) -> DataFrame:
 # --- details ----------------------------------------------------------------
 
 # Detail payloads embed whole document texts as JSON strings.
-_JSON_TEXT = {
-    "zhihu_answer": ("{\"content\":%s,\"excerpt\":\"%s\"}", "'<div><p>' || text || '</p></div>'"),
-}
 register_cte("doc_json", "SELECT doc_id, lang, text, to_json(text) AS js FROM documents")
 
 

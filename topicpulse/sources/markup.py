@@ -221,43 +221,66 @@ def triplet_articles(pages: DataFrame) -> DataFrame:
 
 # --- feeds -----------------------------------------------------------------
 
-_RSS = (
-    "channel STRUCT<title: STRING, item: ARRAY<STRUCT<title: STRING, link: STRING, author: STRING, "
-    "`dc:creator`: STRING, pubDate: STRING, description: STRING, `content:encoded`: STRING>>>"
+_ITEMS = (
+    "ARRAY<STRUCT<title: STRING, link: STRING, guid: STRUCT<_VALUE: STRING, _isPermaLink: STRING>, author: STRING, "
+    "`dc:creator`: STRING, pubDate: STRING, `dc:date`: STRING, description: STRING, `content:encoded`: STRING>>"
 )
+# RDF feeds have their items beside the channel, RSS has them inside.
+_RSS = f"channel STRUCT<title: STRING, item: {_ITEMS}>, item {_ITEMS}"
 _ATOM = (
-    "title STRING, entry ARRAY<STRUCT<title: STRING, link: STRUCT<_href: STRING>, author: STRUCT<name: STRING>, "
+    "title STRING, entry ARRAY<STRUCT<title: STRING, id: STRING, "
+    "link: ARRAY<STRUCT<_href: STRING, _rel: STRING, _type: STRING>>, author: STRUCT<name: STRING>, "
     "published: STRING, updated: STRING, created: STRING, summary: STRING, content: STRING>>"
 )
 
 
+# The zone names of RFC 822.
+_ZONES = {
+    "GMT": "+0000", "UTC": "+0000", "UT": "+0000", "Z": "+0000", "EST": "-0500", "EDT": "-0400", "CST": "-0600",
+    "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700",
+}
+
+
 def feed_time(text: Column) -> Column:
     """RFC 822 or ISO dates as ISO text in UTC; anything else as it stands."""
     t = F.trim(text)
-    numeric = F.regexp_replace(F.regexp_replace(t, r"^[A-Za-z]{3,9},\s*", ""), r"\s(GMT|UTC|UT|Z)$", " +0000")
+    day = F.regexp_replace(t, r"^[A-Za-z]{3,9},\s*", "")
+    zones = F.create_map(*[F.lit(x) for pair in _ZONES.items() for x in pair])
+    offset = F.try_element_at(zones, F.regexp_extract(day, r"\s([A-Z]{1,3})$", 1))
+    numeric = F.when(offset.isNull(), day).otherwise(F.concat(F.regexp_replace(day, "[A-Z]{1,3}$", ""), offset))
     instant = F.coalesce(
-        F.try_to_timestamp(numeric, F.lit("d MMM yyyy HH:mm:ss Z")),
-        F.try_to_timestamp(t, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")),
+        F.try_to_timestamp(numeric, F.lit("d MMM yyyy HH:mm[:ss] Z")),
+        F.try_to_timestamp(t, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS]XXX")),
     )
     utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
     return F.coalesce(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss"), t, F.lit(""))
 
 
 def feed_entries(feeds: DataFrame) -> DataFrame:
-    """Entries of RSS and Atom documents; the first entry per link wins."""
+    """Entries of RSS, RDF and Atom documents; the first entry per link wins.
+
+    Without a link an RSS item goes by its guid, unless that is declared to be no link,
+    and an Atom entry without an ``alternate`` link by its id.
+    """
     xml = F.col("payload")
-    rss = feeds.where(xml.contains("<rss")).select("payload_id", F.from_xml(xml, _RSS).alias("d"))
-    rss = rss.select("payload_id", F.col("d.channel.title").alias("feed"), F.posexplode("d.channel.item").alias("pos", "e"))
+    rss = feeds.where(xml.contains("<rss") | xml.contains("<rdf:RDF")).select("payload_id", F.from_xml(xml, _RSS).alias("d"))
+    rss = rss.select("payload_id", F.col("d.channel.title").alias("feed"), F.posexplode(F.coalesce("d.channel.item", "d.item")).alias("pos", "e"))
     e = F.col("e")
     blank = S.blank_to_null
+    guid = F.when(F.coalesce(e["guid"]["_isPermaLink"], F.lit("true")) == "true", e["guid"]["_VALUE"])
+    alternate = F.filter(
+        e["link"],
+        lambda x: (F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+        & F.coalesce(x["_type"], F.lit("text/html")).isin("text/html", "application/xhtml+xml"),
+    )
     rss = rss.select(
         "payload_id",
         "pos",
         "feed",
         e["title"].alias("title"),
-        e["link"].alias("link"),
+        F.coalesce(blank(e["link"]), guid).alias("link"),
         F.coalesce(blank(e["author"]), blank(e["dc:creator"])).alias("author"),
-        e["pubDate"].alias("published"),
+        F.coalesce(blank(e["pubDate"]), blank(e["dc:date"])).alias("published"),
         e["content:encoded"].alias("body"),
         e["description"].alias("about"),
     )
@@ -267,7 +290,7 @@ def feed_entries(feeds: DataFrame) -> DataFrame:
         "pos",
         "feed",
         e["title"].alias("title"),
-        e["link"]["_href"].alias("link"),
+        F.coalesce(blank(F.get(alternate, 0)["_href"]), e["id"]).alias("link"),
         blank(e["author"]["name"]).alias("author"),
         F.coalesce(blank(e["published"]), blank(e["updated"]), blank(e["created"])).alias("published"),
         e["content"].alias("body"),
