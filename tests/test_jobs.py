@@ -85,6 +85,15 @@ def test_late_rows_are_dropped_after_the_watermark(spark):
     assert (dt.date(2024, 1, 1), 2) in got and (dt.date(2024, 1, 1), 3) not in got
 
 
+def test_copies_far_apart_arrive_once(spark):
+    schema = "platform string, platform_id string, crawl_time timestamp"
+    day = lambda d: dt.datetime(2024, 1, 1) + dt.timedelta(days=d)
+    parts = [[("p", "a", day(0)), ("p", "b", day(0))], [("p", "c", day(40))], [("p", "a", day(80)), ("p", "d", day(80))]]
+    folder = _staged(spark, [spark.createDataFrame(p, schema) for p in parts])
+    out = J.run_to_table(J.first_arrivals(J.read_stream(spark, folder, files_per_batch=1)))
+    assert sorted(r.platform_id for r in out.collect()) == ["a", "b", "c", "d"]
+
+
 def test_digest_of_a_crowded_article_is_one_row(spark):
     rows = [(i * 1000, 1, "u", f"c{i}", i) for i in range(25_000)] + [(100, 2, None, "x", 0)]
     comments = spark.createDataFrame(rows, "id bigint, article_id bigint, commenter string, content string, like_count bigint")

@@ -517,14 +517,14 @@ def search_top(s: Store) -> DataFrame:
 
 @query(
     "set06_search_union",
-    'SELECT type, count(*) AS hits FROM (SELECT * FROM ('
+    'SELECT * FROM ('
     + _SEARCH_A.replace("%tion%", "%red%")
     + ") UNION ALL SELECT * FROM ("
     + _SEARCH_D.replace("%tion%", "%red%")
-    + ")) GROUP BY type",
+    + ")",
 )
 def search_union(s: Store) -> DataFrame:
-    return L.search(s.articles, s.demands, "red").groupBy("type").agg(F.count(F.lit(1)).alias("hits"))
+    return L.search(s.articles, s.demands, "red")
 
 
 @query("sor05_recent_demands", "SELECT id, title, first_seen FROM demands ORDER BY first_seen DESC, id LIMIT 10")

@@ -88,7 +88,7 @@ def rows_from_search_html_host(s: Store) -> DataFrame:
 _TOPICAL = SQL_TOPICAL.format(title="p_name", key="p_partkey")
 _STATE_ITEM = f"""concat('{{"aid":', {K}, ',"title":"', {_TOPICAL}, '","summary":"s"}}')"""
 _FRONT = f"""concat('<html><script>var a = 1;</script><script>window.', {pick(2, "'__NUXT__'", "'__INITIAL_STATE__'")}, ' = ',
- {pick(4, f"concat('{{\"data\":[', {_STATE_ITEM}, ']}}')", f"concat('{{\"state\":{{\"articleList\":[', {_STATE_ITEM}, ']}}}}')", f"concat('{{\"hotList\":{{\"list\":[', {_STATE_ITEM}, ']}}}}')", "'{\"data\":{}}'")},
+ {pick(4, f"concat('{{\"data\":[', {_STATE_ITEM}, ']}}')", f"concat('{{\"state\":{{\"articleList\":[', {_STATE_ITEM}, ']}}}}')", f"concat('{{\"hotList\":{{\"list\":[', {_STATE_ITEM}, ']}}}}')", f"concat('{{\"data\":[],\"hotList\":[', {_STATE_ITEM}, ']}}')")},
  ';</script><div class="article-item"><h3>', {_TOPICAL}, ' card</h3><a href="/article/9', {K}, '.html">x</a><span class="author">', p_brand, '</span><p>about</p></div></html>')"""
 _RELEVANT = "(p_partkey % 5 = 0 OR p_partkey % 5 = 1)"
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from topicpulse.functions import scalars as S
 from topicpulse.functions import text as X
-from topicpulse.operators import relations  # noqa: F401
 from topicpulse.plans.adapters_sql import register_cte
 from topicpulse.plans.registry import query
 from topicpulse.sources.tables import SampleStore as Store
@@ -88,15 +87,15 @@ def id_from_url(s: Store) -> DataFrame:
 
 @query(
     "sca06_absolute_url",
-    """SELECT page_id, CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN concat('https://h.example', regexp_extract(url, '^[a-z]+://[^/?#]*(.*)$', 1))
-       ELSE concat('https://h.example/p/', page_id) END AS url FROM pages WHERE regexp_extract(url, '^[a-z]+://[^/?#]*(.*)$', 1) LIKE '/%'""",
+    """SELECT page_id, CASE WHEN r LIKE 'http%' THEN r WHEN r LIKE '/%' THEN concat('https://h.example', r) ELSE concat('https://h.example/p/', page_id) END AS url
+       FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN regexp_extract(url, '^[a-z]+://[^/?#]*(.*)$', 1) ELSE concat('p', page_id) END AS r FROM pages)""",
 )
 def absolute_url(s: Store) -> DataFrame:
     k = F.col("page_id")
     path = F.regexp_extract("url", "^[a-z]+://[^/?#]*(.*)$", 1)
     raw = F.when(k % 3 == 0, F.col("url")).when(k % 3 == 1, path).otherwise(F.concat(F.lit("p"), k.cast("string")))
     other = F.concat(F.lit("https://h.example/p/"), k.cast("string"))
-    return s.raw("pages").where(path.startswith("/")).select("page_id", S.absolute_url(raw, "https://h.example", other).alias("url"))
+    return s.raw("pages").select("page_id", S.absolute_url(raw, "https://h.example", other).alias("url"))
 
 
 @query(

@@ -28,9 +28,10 @@ GROUP_TIME = r"<td[^>]*nowrap[^>]*>\s*([^<]+)\s*</td>"
 
 # Where sites keep page state in scripts.
 PAGE_STATE = r"(?s)(?:__NUXT__|__INITIAL_STATE__)\s*=\s*(\{.+?\});?\s*\z"
+STATE_KEYS = ("data", "state", "articleList", "hotList")
 STATE_LISTS = [
     path
-    for key in ("data", "state", "articleList", "hotList")
+    for key in STATE_KEYS
     for path in (f"$.{key}", f"$.{key}.articleList", f"$.{key}.dataList", f"$.{key}.list")
 ]
 CARD_SELECTOR = "div.article-item, a.article-item, div.recommend-article-item, div.mob-ctt"
@@ -151,7 +152,7 @@ def embedded_articles(pages: DataFrame) -> DataFrame:
     with_state = F.filter(scripts, lambda x: x.contains("__NUXT__") | x.contains("__INITIAL_STATE__"))
     state = _first(F.try_element_at(with_state, F.lit(1)), PAGE_STATE)
     found = pages.select("payload_id", state.alias("payload")).where("payload <> ''")
-    return _relevant(P.huxiu_articles(P.unnest(found, *STATE_LISTS)))
+    return _relevant(P.huxiu_articles(P.unnest(found, *STATE_LISTS, final=frozenset(f"$.{k}" for k in STATE_KEYS))))
 
 
 _CARD_SCHEMA = "payload_id BIGINT, pos INT, title STRING, href STRING, author STRING, summary STRING"

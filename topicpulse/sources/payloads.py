@@ -55,11 +55,11 @@ def _mixed_time(doc: Column, paths: list[str], convert: Callable[[Column], Colum
     return F.when(first["raw"].rlike(r"^-?\d"), stamp).otherwise(first["text"])
 
 
-def unnest(payloads: DataFrame, *paths: str) -> DataFrame:
-    """One row per item of the first non-empty list among ``paths``."""
+def unnest(payloads: DataFrame, *paths: str, final: frozenset[str] = frozenset()) -> DataFrame:
+    """One row per item of the first non-empty list among ``paths``; at a ``final`` path an empty one ends the search."""
     parsed = payloads.select("payload_id", F.try_parse_json("payload").alias("doc"))
     lists = [get(F.col("doc"), p, "array<variant>") for p in paths]
-    first = F.coalesce(*[F.when(F.size(x) > 0, x) for x in lists])
+    first = F.coalesce(*[x if p in final else F.when(F.size(x) > 0, x) for p, x in zip(paths, lists, strict=True)])
     return parsed.select("payload_id", F.posexplode(first).alias("pos", "item"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicpulse.operators import ingest, library
-from topicpulse.session import new_folder
+from topicpulse.session import new_folder, saved
 
 
 def read_stream(
@@ -81,8 +81,14 @@ class VersionedTable:
         return self.spark.read.parquet(f"{self.path}/batch={self.versions()[-1]}")
 
 
-def first_arrivals(articles: DataFrame, delay: str = "1 day") -> DataFrame:
-    """First article per (platform, platform_id) within the watermark."""
+def first_arrivals(articles: DataFrame, delay: str | None = None) -> DataFrame:
+    """First article per (platform, platform_id).
+
+    Every key seen is kept in the state store, however far apart its copies arrive.
+    With ``delay`` keys older than the watermark are forgotten, and so may pass again.
+    """
+    if delay is None:
+        return articles.dropDuplicates(["platform", "platform_id"])
     timed = articles.withColumn("arrived", F.col("crawl_time").cast("timestamp"))
     return timed.withWatermark("arrived", delay).dropDuplicatesWithinWatermark(["platform", "platform_id"])
 
@@ -102,8 +108,7 @@ def upsert_stream(articles: DataFrame, table: VersionedTable, order: str) -> Non
 def weekly_snapshots(mentions: DataFrame, delay: str = "30 days") -> DataFrame:
     """Mentions ``(demand_id, seen_at)`` per demand and week (from Monday).
 
-    Weeks are emitted once the watermark has passed them; later rows are dropped and
-    counted by the query's progress.
+    Weeks are emitted once the watermark has passed them; later rows are dropped.
     """
     timed = mentions.withColumn("at", F.col("seen_at").cast("timestamp")).withWatermark("at", delay)
     weeks = timed.groupBy(F.window("at", "7 days", "7 days", "4 days").alias("w"), "demand_id")
@@ -125,6 +130,8 @@ def failure_streak_stream(
     def each(batch: DataFrame, batch_id: int) -> None:
         carried = state.before(batch_id)
         rows = ingest.failure_streaks(batch, F.col("status") != "completed", threshold, carried=carried)
+        # Both results below read it.
+        rows = saved(rows.select("id", "platform", "start_time", "streak"), "streaks")
         crossings.write(rows.where(F.col("streak") == threshold).select("id", "platform", "start_time", "streak"), batch_id)
         last = rows.groupBy("platform").agg(F.max_by("streak", F.struct("start_time", "id")).alias("streak"))
         if carried is not None:
