@@ -1,14 +1,16 @@
 """Information-theoretic sanitisation of personal data.
 
-Base spans (e-mail, ip, card, phone) come from patterns. Around each, nearby terms are
-counted against the entity over the whole corpus, and how often a term occurs at all is
-counted over all texts: a term that mostly occurs beside one entity reveals it even where
+Base spans (e-mail, ip, card, phone) come from patterns. The terms of every text with such
+an entity are counted against it over the whole corpus, and how often a term occurs at all
+is counted over all texts: a term that mostly occurs with one entity reveals it even where
 the entity itself is struck out. Terms over the disclosure thresholds become spans of their
-own, to be generalised or, if they all but name the entity, removed.
+own wherever they occur, in texts without base spans too, to be generalised or, if they all
+but name the entity, removed.
 
 Disclosure of entity ``e`` by term ``t`` is ``P(e | t)``, the share of the texts with ``t``
-that have it beside ``e``; the normalised pointwise mutual information of the two must reach
-its own bar, and so must the number of different contexts (copies of a text count once).
+that have ``e`` as well; the normalised pointwise mutual information of the two must reach
+its own bar, and so must the number of texts with both. All counts are of different texts:
+exact copies count once.
 
 Defined cases: a null or empty text has no spans; repeated or null ids are treated row by
 row; an empty table gives no rows; other columns pass through ``sanitise`` untouched.
@@ -27,11 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicpulse.llm.words import Words, blocks, hash_spans
+from topicpulse.llm.words import _CONTINUED, Words, blocks, hash_spans
 from topicpulse.session import saved, ship_package
 
 KINDS = ["email", "ip", "card", "phone", "term"]
-BESIDE_WORDS, BESIDE_CHARS = 8, 160
+TERM_CHARS = 3
 MIN_CONTEXTS, MIN_NPMI = 3, 0.5
 GENERALISE_FROM, REMOVE_FROM = 0.5, 0.9
 
@@ -40,8 +42,6 @@ _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_TRIM = re.compile(r"^[!-/:-@\[-`{-~]*(.*?)[!-/:-@\[-`{-~]*$", re.S)
 _LOCAL_SET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -80,90 +80,95 @@ def _key(term: str) -> int:
     return xxhash.xxh64_intdigest(term) - (1 << 63)
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int, int, str, int, int]]:
-    """(entity, context, term, start, end) of the terms beside each span."""
-    covered = [(a, b) for _, a, b in spans]
-    for kind, a, b in spans:
-        words = []
-        left, right = max(a - BESIDE_CHARS, 0), min(b + BESIDE_CHARS, len(text))
-        before = [m.span() for m in _WORD.finditer(text, left, a) if m.start() > left or left == 0]
-        after = [m.span() for m in _WORD.finditer(text, b, right) if m.end() < right or right == len(text)]
-        for i, j in before[-BESIDE_WORDS:] + after[:BESIDE_WORDS]:
-            i, j = (i + x for x in _TRIM.match(text[i:j]).span(1))
-            if j - i >= 3 and not any(p < j and i < q for p, q in covered):
-                words.append((text[i:j].translate(_LOWER), i, j))
-        entity = _key(f"{kind}:{text[a:b].lower()}")
-        context = _key(" ".join(w for w, _, _ in words))
-        for word, i, j in words:
-            yield entity, context, word, i, j
-
-
-_LOWER = {c: c + 32 for c in range(65, 91)}
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+_LOWER_BYTE = np.arange(256, dtype=np.uint8)
+_LOWER_BYTE[65:91] += 32
+_SKETCH_BITS = 28
 _SPAN = "array<struct<kind:string,start:long,end:long>>"
-_FOUND = (
-    f"row long, doc_id long, spans {_SPAN}, "
-    "beside array<struct<entity:long,context:long,term:long,start:long,end:long>>"
-)
-
-
-def found_spans(docs: DataFrame) -> DataFrame:
-    """By row: its base spans and the terms beside them."""
+_FOUND = f"row long, doc_id long, sha256 string, spans {_SPAN}, hits array<struct<term:long,start:long,end:long>>"
+
+
+def terms_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, start, end (code points of the block) and key of each term, and where each text starts."""
+    w = Words(column)
+    start, end = w.start.copy(), w.end.copy()
+    live = np.arange(len(start))
+    while len(live):
+        live = live[(start[live] < end[live]) & _PUNCTUATION[w.raw[np.minimum(start[live], len(w.raw) - 1)]]]
+        start[live] += 1
+    live = np.arange(len(end))
+    while len(live):
+        live = live[(start[live] < end[live]) & _PUNCTUATION[w.raw[end[live] - 1]]]
+        end[live] -= 1
+    at = np.concatenate([[0], np.cumsum(~_CONTINUED[w.raw])])
+    full = at[end] - at[start] >= TERM_CHARS
+    key = hash_spans(_LOWER_BYTE[w.raw], start[full], end[full])
+    return w.text[full], at[start[full]], at[end[full]], key, at[w.offsets]
+
+
+def apart(start: np.ndarray, end: np.ndarray, base: np.ndarray, spans: list[list[tuple[str, int, int]]]) -> np.ndarray:
+    """By term: whether no span of its text touches it."""
+    taken: list[list[int]] = []
+    for first, own in zip(base.tolist(), spans, strict=False):
+        for a, b in sorted((first + a, first + b) for _, a, b in own):
+            if taken and a <= taken[-1][1]:
+                taken[-1][1] = max(taken[-1][1], b)
+            else:
+                taken.append([a, b])
+    if not taken:
+        return np.ones(len(start), bool)
+    left, right = np.array(taken).T
+    k = np.searchsorted(left, end) - 1
+    return (k < 0) | (right[np.maximum(k, 0)] <= start)
+
+
+def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.ListArray:
+    """A list of the values of each owner; owners ascend."""
+    offsets = np.searchsorted(owner, np.arange(n + 1))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values if isinstance(values, pa.Array) else pa.array(values))
+
+
+def private_texts(docs: DataFrame) -> DataFrame:
+    """By different text with base spans: its entities, and its terms outside these spans."""
     ship_package(docs.sparkSession)
-    span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-    near = pa.list_(pa.struct([(n, pa.int64()) for n in ("entity", "context", "term", "start", "end")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
         for batch in blocks(batches, "text"):
-            spans, beside = [], []
-            for text in batch.column("text"):
-                text = text.as_py() or ""
-                found = base_spans(text)
-                spans.append([{"kind": k, "start": a, "end": b} for k, a, b in found])
-                beside.append(
-                    [{"entity": e, "context": c, "term": term_key(t), "start": a, "end": b}
-                     for e, c, t, a, b in contexts(text, found)]
-                )
-            rows = pa.array(range(row, row + batch.num_rows), pa.int64())
-            row += batch.num_rows
+            places, spans, entities = [], [], []
+            for i, text in enumerate(batch.column("text")):
+                text = text.as_py()
+                if found := base_spans(text):
+                    places.append(i)
+                    spans.append(found)
+                    entities.append(sorted({_key(f"{kind}:{text[a:b].lower()}") for kind, a, b in found}))
+            if not places:
+                continue
+            own = batch.take(pa.array(places))
+            text, start, end, key, base = terms_of(own.column("text"))
+            free = apart(start, end, base, spans)
+            text, key = text[free], key[free].astype(np.int64)
+            order = np.lexsort((key, text))
+            text, key = text[order], key[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
             yield pa.RecordBatch.from_arrays(
-                [rows, batch.column("doc_id").cast(pa.int64()), pa.array(spans, span), pa.array(beside, near)],
-                names=["row", "doc_id", "spans", "beside"],
+                [own.column("sha256"), pa.array(entities, pa.list_(pa.int64())), _lists(key[new], text[new], len(places))],
+                names=["sha256", "entities", "terms"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, _FOUND)
-
-
-def term_key(term: str) -> int:
-    raw = np.frombuffer(term.encode(), np.uint8)
-    return int(hash_spans(raw, np.array([0]), np.array([len(raw)]))[0].astype(np.int64))
-
-
-_PUNCTUATION = np.zeros(256, bool)
-_PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
-_LOWER_BYTE = np.arange(256, dtype=np.uint8)
-_LOWER_BYTE[65:91] += 32
+    texts = docs.select("text", F.sha2("text", 256).alias("sha256")).filter("text IS NOT NULL")
+    found = texts.mapInArrow(run, "sha256 string, entities array<long>, terms array<long>")
+    return found.groupBy("sha256").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms"))
 
 
 def term_frequencies(docs: DataFrame) -> DataFrame:
-    """In how many texts each term occurs, counted over all texts."""
+    """In how many different texts each term occurs, counted over all texts."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
-            w = Words(batch.column("text"))
-            start, end = w.start.copy(), w.end.copy()
-            live = np.arange(len(start))
-            while len(live):
-                live = live[(start[live] < end[live]) & _PUNCTUATION[w.raw[np.minimum(start[live], len(w.raw) - 1)]]]
-                start[live] += 1
-            live = np.arange(len(end))
-            while len(live):
-                live = live[(start[live] < end[live]) & _PUNCTUATION[w.raw[end[live] - 1]]]
-                end[live] -= 1
-            full = end > start
-            key = hash_spans(_LOWER_BYTE[w.raw], start[full], end[full])
-            text = w.text[full]
+            text, _, _, key, _ = terms_of(batch.column("text"))
             order = np.lexsort((text, key))
             key, text = key[order], text[order]
             new = np.ones(len(key), bool)
@@ -175,48 +180,96 @@ def term_frequencies(docs: DataFrame) -> DataFrame:
                 [pa.array(key[first].astype(np.int64)), pa.array(counts.astype(np.int64))], names=["term", "n"]
             )
 
-    return docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    texts = docs.select("text").filter("text IS NOT NULL").distinct()
+    return texts.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
-def revealing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
+def revealing_terms(docs: DataFrame) -> DataFrame:
     """(entity, term, disclosure) over the thresholds."""
-    beside = found.select("row", F.explode("beside").alias("b")).select("b.entity", "b.context", "b.term", "row")
-    # One row for each context first, so that copies and hot entities shrink before they meet.
-    once = beside.groupBy("entity", "term", "context").agg(F.countDistinct("row").alias("rows"))
-    pairs = once.groupBy("entity", "term").agg(
-        F.count(F.lit(1)).alias("contexts"), F.sum("rows").alias("n_both")
-    ).filter(F.col("contexts") >= MIN_CONTEXTS)
-    entities = found.select("row", F.explode("beside.entity").alias("entity")).distinct()
-    entities = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    total = found.agg(F.count(F.lit(1)).cast("double").alias("n_all"))
-    # A text with a term in two contexts of one entity is counted twice above, so the share is cut at 1.
-    both = F.least(F.col("n_both"), F.col("n_term"), F.col("n_entity")).cast("double")
-    information = F.log(both * F.col("n_all") / (F.col("n_term") * F.col("n_entity")))
-    npmi = F.when(both >= F.col("n_all"), F.lit(1.0)).otherwise(information / -F.log(both / F.col("n_all")))
+    private = saved(private_texts(docs), "pii-private")
+    entities = private.select("sha256", F.explode("entities").alias("entity"))
+    entities = entities.join(entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")), "entity")
+    terms = private.select("sha256", F.explode("terms").alias("term"))
+    # The texts of one entity are among those of all: most terms go before they meet an entity.
+    able = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_private")).join(term_frequencies(docs), "term")
+    able = saved(able.filter(F.col("n_private") >= GENERALISE_FROM * F.col("n_term")).select("term", "n_term"), "pii-able")
+    total = docs.agg(F.countDistinct(F.xxhash64("text")).cast("double").alias("n_all"))
+
+    def passes(both):
+        both = both.cast("double")
+        information = F.log(both * F.col("n_all") / (F.col("n_term") * F.col("n_entity")))
+        npmi = F.when(both >= F.col("n_all"), F.lit(1.0)).otherwise(information / -F.log(both / F.col("n_all")))
+        return (both / F.col("n_term") >= GENERALISE_FROM) & (npmi >= MIN_NPMI)
+
+    # Both measures grow with the texts that have both, which are no more than those of either.
     return (
-        pairs.join(term_frequencies(docs), "term")
-        .join(entities, "entity")
-        .join(F.broadcast(total))  # one row
-        .select("entity", "term", (both / F.col("n_term")).alias("disclosure"), npmi.alias("npmi"))
-        .filter((F.col("disclosure") >= GENERALISE_FROM) & (F.col("npmi") >= MIN_NPMI))
-        .select("entity", "term", "disclosure")
+        terms.join(able, "term")
+        .join(entities, "sha256")
+        .join(F.broadcast(saved(total, "pii-total")))  # one row
+        .filter(passes(F.least("n_term", "n_entity")))
+        .groupBy("entity", "term", "n_entity", "n_term", "n_all")
+        .agg(F.count(F.lit(1)).alias("n_both"))
+        .filter(passes(F.col("n_both")) & (F.col("n_both") >= MIN_CONTEXTS))
+        .select("entity", "term", (F.col("n_both") / F.col("n_term")).alias("disclosure"))
     )
 
 
+def sketch(terms: DataFrame) -> np.ndarray:
+    """Bits by the leading bits of the terms' keys, 32 MB at most: a term without its bit is none of them."""
+    width = min(max((16 * terms.count()).bit_length(), 6), _SKETCH_BITS)
+    place = F.shiftrightunsigned("term", 64 - width)
+    bits = terms.select(place.alias("at")).selectExpr("shiftright(at, 6) AS word", "shiftleft(1L, CAST(at & 63 AS INT)) AS bit")
+    bits = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << width - 6, np.int64)
+    out[bits.column("word").to_numpy()] = bits.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def found_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """By row: its base spans, and where it may have one of ``terms`` outside them."""
+    ship_package(docs.sparkSession)
+    span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+    bits = docs.sparkSession.sparkContext.broadcast(sketch(terms))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
+        known = bits.value
+        drop = np.uint64(64 - (len(known).bit_length() - 1 + 6))
+        for batch in blocks(batches, "text"):
+            spans = [base_spans(text.as_py() or "") for text in batch.column("text")]
+            text, start, end, key, base = terms_of(batch.column("text"))
+            place = key >> drop
+            hit = np.flatnonzero((known[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1))
+            hit = hit[apart(start[hit], end[hit], base, spans)]
+            first = base[text[hit]]
+            hits = pa.StructArray.from_arrays(
+                [pa.array(key[hit].astype(np.int64)), pa.array(start[hit] - first), pa.array(end[hit] - first)],
+                names=["term", "start", "end"],
+            )
+            rows = pa.array(range(row, row + batch.num_rows), pa.int64())
+            row += batch.num_rows
+            marked = [[{"kind": k, "start": a, "end": b} for k, a, b in own] for own in spans]
+            yield pa.RecordBatch.from_arrays(
+                [rows, batch.column("doc_id").cast(pa.int64()), batch.column("sha256"), pa.array(marked, span),
+                 _lists(hits, text[hit], batch.num_rows)],
+                names=["row", "doc_id", "sha256", "spans", "hits"],
+            )
+
+    return docs.select("doc_id", "text", F.sha2("text", 256).alias("sha256")).mapInArrow(run, _FOUND)
+
+
 def disclosures(docs: DataFrame) -> DataFrame:
-    """By row of ``docs``: row, doc_id, spans (base), terms (start, end, disclosure of revealing ones)."""
-    found = saved(found_spans(docs), "pii-spans")
-    revealing = saved(revealing_terms(docs, found), "pii-terms")
+    """By row of ``docs``: row, doc_id, sha256 of the text, spans (base), terms (start, end, disclosure of revealing ones)."""
+    revealing = saved(revealing_terms(docs).groupBy("term").agg(F.max("disclosure").alias("disclosure")), "pii-terms")
+    found = saved(found_spans(docs, revealing), "pii-spans")
     terms = (
-        found.select("row", F.explode("beside").alias("b"))
-        .select("row", "b.entity", "b.term", "b.start", "b.end")
-        .join(revealing, ["entity", "term"])
-        .groupBy("row", "start", "end")
-        .agg(F.max("disclosure").alias("disclosure"))
+        found.select("row", F.explode("hits").alias("h"))
+        .select("row", "h.term", "h.start", "h.end")
+        .join(revealing, "term")
         .groupBy("row")
         .agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
     )
-    return found.drop("beside").join(terms, "row", "left")
+    return found.drop("hits").join(terms, "row", "left")
 
 
 def _joined(spans) -> str:
@@ -266,30 +319,25 @@ def replaced(text: str, spans: list[tuple[str, int, int]], terms: list[tuple[int
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with its texts sanitised; a null text stays null."""
     found = disclosures(docs)
+    names = docs.columns
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
             texts = []
-            for text, known in zip(batch.column("text").to_pylist(), batch.column("known").to_pylist(), strict=True):
+            for text, known in zip(batch.column("text").to_pylist(), batch.column("__terms").to_pylist(), strict=True):
                 if text is not None:
                     own = base_spans(text)
-                    terms = []
-                    for k in known or []:
-                        if [(s["kind"], s["start"], s["end"]) for s in k["spans"]] == own:
-                            terms = [(t["start"], t["end"], t["disclosure"]) for t in k["terms"] or []]
-                    if own:
+                    terms = [(t["start"], t["end"], t["disclosure"]) for t in known or []]
+                    if own or terms:
                         text = replaced(text, own, terms)
                 texts.append(text)
-            names = batch.schema.names
-            columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names if n != "known"]
-            yield pa.RecordBatch.from_arrays(columns, names=[n for n in names if n != "known"])
+            columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    # Rows that repeat an id keep apart by their base spans; equal ones collapse.
-    known = found.filter("terms IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(
-        F.collect_set(F.struct("spans", "terms")).alias("known")
-    )
-    joined = docs.join(known, F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    # Spans depend on the text alone, so rows with repeated or null ids find theirs by it.
+    known = found.filter("terms IS NOT NULL").groupBy(F.col("sha256").alias("__sha256")).agg(F.first("terms").alias("__terms"))
+    joined = docs.withColumn("__sha256", F.sha2("text", 256)).join(known, "__sha256", "left").drop("__sha256")
     return joined.mapInArrow(run, docs.schema)
 
 
