@@ -19,3 +19,16 @@ def test_names_far_from_an_entity_and_in_other_texts(spark):
     clean = [r.text for r in pii.sanitise(docs).collect()]
     assert len(clean) == len(rows) and not any("Quimby" in t for t in clean)
     assert f"Here {far} ([NAME])" in clean and sum(far in t for t in clean) == len(rows)
+
+
+def test_shared_lines_and_rare_names_reveal(spark):
+    far = " ".join(PLAIN)
+    line = "signed Wexford of signed jo@x.org of signed"
+    texts = [f"{w} {far} {line} {far}" for w in PLAIN] + [f"{far} {w} signed" for w in PLAIN * 2]
+    texts += [f"Mail Orlofsky {far} al@y.org"] + [f"Copied Tamsin {far} eve@z.org"] * 5 + [f"Tamsin {far} {w}" for w in PLAIN]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], SCHEMA)
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert not any("Wexford" in t or "Orlofsky" in t for t in clean.values())
+    # One text and its copies beside twelve others do not tie a name to an entity.
+    assert sum("Tamsin" in t for t in clean.values()) == 5 + len(PLAIN)
+    assert sum(far in t for t in clean.values()) == len(texts)

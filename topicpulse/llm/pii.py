@@ -9,8 +9,8 @@ but name the entity, removed.
 
 Disclosure of entity ``e`` by term ``t`` is ``P(e | t)``, the share of the texts with ``t``
 that have ``e`` as well; the normalised pointwise mutual information of the two must reach
-its own bar, and so must the number of texts with both. All counts are of different texts:
-exact copies count once.
+its own bar. All counts are of different texts: exact copies count once. One text with both
+is enough, and texts that share a line count one by one.
 
 Defined cases: a null or empty text has no spans; repeated or null ids are treated row by
 row; an empty table gives no rows; other columns pass through ``sanitise`` untouched.
@@ -34,7 +34,7 @@ from topicpulse.session import saved, ship_package
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 TERM_CHARS = 3
-MIN_CONTEXTS, MIN_NPMI = 3, 0.5
+MIN_NPMI = 0.5
 GENERALISE_FROM, REMOVE_FROM = 0.5, 0.9
 
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -209,7 +209,7 @@ def revealing_terms(docs: DataFrame) -> DataFrame:
         .filter(passes(F.least("n_term", "n_entity")))
         .groupBy("entity", "term", "n_entity", "n_term", "n_all")
         .agg(F.count(F.lit(1)).alias("n_both"))
-        .filter(passes(F.col("n_both")) & (F.col("n_both") >= MIN_CONTEXTS))
+        .filter(passes(F.col("n_both")))
         .select("entity", "term", (F.col("n_both") / F.col("n_term")).alias("disclosure"))
     )
 
