@@ -1,6 +1,6 @@
 """Cases that an operator saw only a part of."""
 
-from topicpulse.llm import pii
+from topicpulse.llm import extraction, pii
 
 SCHEMA = "doc_id long, text string, source string"
 PLAIN = "the of and for with from that this was are not but had".split()
@@ -32,3 +32,22 @@ def test_shared_lines_and_rare_names_reveal(spark):
     # One text and its copies beside twelve others do not tie a name to an entity.
     assert sum("Tamsin" in t for t in clean.values()) == 5 + len(PLAIN)
     assert sum(far in t for t in clean.values()) == len(texts)
+
+
+def _text(page: str) -> str:
+    return extraction.cut(extraction.page_blocks(page), [])
+
+
+def test_articles_in_wrappers_that_look_like_furniture():
+    body = "<p>" + "plain words of an article that runs on, " * 8 + "</p>"
+    want = " ".join(body[3:-4].split())
+    for name in ("content-sidebar-wrap", "has-sidebar", "no-comments", "post with-ads"):
+        assert _text(f"<body><nav><a href=x>menu</a></nav><div class='{name}'>{body}</div><footer>f</footer>") == want
+    assert _text(f"<body><form id='form1' action=x><input type=hidden name=s><div>{body}</div><input type=submit></form>") == want
+    assert _text(f"<body><div class=widget><main>{body}</main></div><div>short</div>") == want
+    assert _text(f"<body><div class=sidebar><article>{body}</article></div>") == want
+    assert _text(f"<body><div class=widget><div class=x>{body}</div></div><footer>f</footer>") == want
+    assert _text(f"<body><div class='ad'/><div class=post>{body}</div><footer>f</footer>") == want
+    page = f"<body><article>{body}</article><div class='ad-7'>buy</div><aside><article>{body}</article></aside><form><p>Mail<input><input></p></form>"
+    assert _text(page) == want
+    assert _text(f"<body><div class=post><h1>T</h1>{body}<div class=comments><div>{body * 3}</div></div></div>") == f"T {want}"

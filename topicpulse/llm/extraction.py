@@ -17,6 +17,7 @@ import html as entities
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -46,7 +47,12 @@ _BLOCKS = CONTAINERS | frozenset(
     "thead tfoot caption option select button dialog menu hgroup search".split()
 )
 _VOID = frozenset("br hr img meta link input area base col embed source track wbr".split())
-_FURNITURE = frozenset("nav footer aside form head select button dialog menu option fieldset search".split())
+_FURNITURE = {
+    **dict.fromkeys("form dialog menu fieldset search".split(), 1), **dict.fromkeys("nav footer aside".split(), 2),
+    **dict.fromkeys("head select button option".split(), 3),
+}
+_CONTROLS = frozenset("input select button textarea".split())
+CONTROL_CHARS = 80  # running text for each control from which a form is more than its controls
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _FURNITURE_PARTS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent "
@@ -55,52 +61,133 @@ _FURNITURE_PARTS = frozenset(
     "footer comment comments respond replies reply discussion disqus pagination pager login signin "
     "signup search form toolbar copyright legal skip".split()
 )
+_PAGE_PARTS = frozenset("sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs footer header masthead".split())
+# A token is furniture by one part if the others only place or wrap it: content-sidebar-wrap and has-sidebar are not.
+_NEUTRAL_PARTS = frozenset(
+    "left right top bottom upper lower primary secondary site page global inner outer box block area container wrapper wrap "
+    "list item items link links bar section panel group row col column unit slot body text title heading post posts article "
+    "articles entry story stories icon icons button buttons".split()
+)
 _HEADER_PARTS = frozenset(["header", "masthead"])
 _FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
 _CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
     "th": {"td", "th"}, "option": {"option"},
 }
+_SELF_CLOSED = re.compile(r"""(?:^|[\s"'])/\s*$""")
 _ITEM_WALLS = frozenset("ul ol dl table body article div section".split())
 
 
+class Node:
+    """An element: its container path, own mark and what its blocks add up to.
+
+    Marks: 0 none, 1 furniture as an article may hold, 2 furniture of the page, 3 never text.
+    """
+
+    __slots__ = ("container", "controls", "hidden", "in_article", "mark", "off", "parent", "path", "running", "tag")
+
+    def __init__(self, tag: str, parent: Node | None, path: str | None, mark: int):
+        self.tag, self.parent, self.path, self.mark = tag, parent, path, mark
+        self.container = self if path else parent and parent.container
+        self.in_article = parent is not None and (parent.in_article or parent.tag in ("article", "main"))
+        self.running = self.controls = 0
+        self.hidden = self.off = False
+
+
 class Block:
-    """A run of text between block borders: its text, characters inside links, container paths."""
+    """A run of text between block borders: its text, characters inside links, its element."""
 
-    __slots__ = ("furniture", "link", "paths", "text")
+    __slots__ = ("link", "node", "text")
 
-    def __init__(self, text: str, link: int, paths: tuple[str, ...], furniture: bool):
-        self.text, self.link, self.paths, self.furniture = text, link, paths, furniture
+    def __init__(self, text: str, link: int, node: Node):
+        self.text, self.link, self.node = text, link, node
 
+    @property
+    def furniture(self) -> bool:
+        return self.node.off
 
-def _traits(tag: str, attributes: str, in_article: bool) -> tuple[str, bool]:
-    """Generalised name of an element, and whether its attributes mark page furniture."""
+
+def _up(node: Node | None) -> Iterator[Node]:
+    """The containers from an element on up."""
+    node = node and node.container
+    while node is not None:
+        yield node
+        node = node.parent.container
+
+
+def _token_mark(token: str, tag: str, in_article: bool) -> int:
+    """Mark of a class or id as a whole."""
+    words = [w for w in _PART.findall(token) if not w.isdigit()]
+    own = [w for w in words if w in _FURNITURE_PARTS or not in_article and w in _HEADER_PARTS]
+    if not own or any(w not in own and w not in _NEUTRAL_PARTS for w in words) or tag == own[0] == "form":
+        return 0
+    return 1 + (not _PAGE_PARTS.isdisjoint(own))
+
+
+def _traits(tag: str, attributes: str, in_article: bool) -> tuple[str, int]:
+    """Generalised name of an element, and the mark that its attributes give it."""
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
-        return tag, False
-    name, furniture = tag, False
+        return tag, 0
+    name, mark = tag, 0
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), (a or b or c).lower()
         if key == "class":
             parts = sorted(value.split())
             name = ".".join([tag, *(_DIGITS.sub("#", x) for x in parts)])
         if key in ("class", "id"):
-            words = _PART.findall(value)
-            furniture |= not _FURNITURE_PARTS.isdisjoint(words)
-            furniture |= not in_article and not _HEADER_PARTS.isdisjoint(words)
+            mark = max([mark, *(_token_mark(x, tag, in_article) for x in value.split())])
         elif key == "role":
-            furniture |= value in _FURNITURE_ROLES
+            mark = max(mark, 2 * (value in _FURNITURE_ROLES and value != tag))
         elif key == "hidden" or (key == "aria-hidden" and value == "true"):
-            furniture = True
-        elif key == "style":
-            furniture |= "display:none" in value.replace(" ", "")
-    return name, furniture
+            mark = 3
+        elif key == "style" and "display:none" in value.replace(" ", ""):
+            mark = 3
+    return name, mark
+
+
+def _settle(nodes: list[Node], lift: bool, most: float) -> None:
+    """Furniture or not, by element: its own mark or that of an element around it.
+
+    With ``lift``, what a page without another article has as main, as article or as most of
+    its running text is not furniture for where it stands.
+    """
+    root = nodes[0]
+    shown = any(n.tag in ("article", "main") and n.running and not n.off for n in nodes) if lift else False
+    for n in nodes[1:]:
+        up = n.parent
+        if lift and n.mark in (1, 2) and not up.off and not shown and n.running > most:
+            n.mark = 0
+        n.hidden = up.hidden or n.mark == 3
+        n.off = up.off or n.mark > 0
+        if lift and n.off and not n.mark and not n.hidden and not n.in_article:
+            if n.tag == "main" or n.tag == "article" and (not shown or n.running > most):
+                n.off = False
+    root.off = False
+
+
+def _mark(nodes: list[Node], found: list[Block]) -> None:
+    for b in found:
+        b.node.running += max(len(b.text) - b.link, 0)
+    for n in reversed(nodes[1:]):
+        n.parent.running += n.running
+        n.parent.controls += n.controls
+        # A form around a page is no furniture.
+        if n.tag == "form" and n.mark == 1 and n.running >= CONTROL_CHARS * n.controls:
+            n.mark = 0
+    most = nodes[0].running / 2
+    _settle(nodes, False, most)
+    inside = any(n.off and n.tag in ("article", "main") and not n.mark and not n.hidden and not n.in_article for n in nodes)
+    if inside:
+        _settle(nodes, True, float("inf") if any(b.node.tag == "h1" and not b.node.off for b in found) else most)
+    elif not any(b.node.tag == "h1" and not b.node.off for b in found):
+        _settle(nodes, True, most)
 
 
 def page_blocks(page: str) -> list[Block]:
     """The text blocks of a page in page order."""
     out: list[Block] = []
-    # (tag, paths of the containers down to here, furniture)
-    stack: list[tuple[str, tuple[str, ...], bool]] = [("", (), False)]
+    nodes = [Node("", None, None, 0)]
+    stack = nodes[:]
     text: list[str] = []
     link, in_link, at = 0, 0, 0
 
@@ -110,19 +197,22 @@ def page_blocks(page: str) -> list[Block]:
             joined = "".join(text)
             joined = " ".join((entities.unescape(joined) if "&" in joined else joined).split())
             if joined:
-                _, paths, furniture = stack[-1]
-                out.append(Block(joined, min(link, len(joined)), paths, furniture))
+                out.append(Block(joined, min(link, len(joined)), stack[-1]))
             text.clear()
         link = 0
 
     def close(tag: str, walls: frozenset[str] = frozenset()) -> None:
         for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] == tag:
+            if stack[k].tag == tag:
                 del stack[k:]
                 return
-            if stack[k][0] in walls:
+            if stack[k].tag in walls:
                 return
 
+    def opened(tag: str, path: str | None, mark: int) -> None:
+        nodes.append(Node(tag, stack[-1], path, mark))
+        stack.append(nodes[-1])
+
     for m in _TOKEN.finditer(page):
         start = m.start()
         if start > at:
@@ -133,10 +223,13 @@ def page_blocks(page: str) -> list[Block]:
         at = m.end()
         tag = m[3] or m[5]
         if not tag:
+            stack[-1].controls += (m[1] or "").lower() == "textarea"
             continue
         tag = tag.lower()
         ending = m[2] == "/" or (m[5] is not None and m[0][1] == "/")
         attributes = m[4] or ""
+        if tag in _CONTROLS and not ending:
+            stack[-1].controls += not ("hidden" in attributes.lower() and tag == "input")
         if tag == "a":
             in_link = 0 if ending else 1
             continue
@@ -147,39 +240,40 @@ def page_blocks(page: str) -> list[Block]:
             if tag in _VOID or not (ending or attributes):
                 continue
             if ending:
-                if any(tag == s[0] for s in stack[-4:]):
+                if any(tag == s.tag for s in stack[-4:]):
                     flush()
                     close(tag)
-            elif _traits(tag, attributes, True)[1] and not attributes.endswith("/"):
+            elif not attributes.endswith("/") and (mark := _traits(tag, attributes, True)[1]):
                 flush()
-                stack.append((tag, stack[-1][1], True))
+                opened(tag, None, mark)
             continue
         flush()
         if ending:
             close(tag)
             continue
         in_link = in_link if tag in ("div", "p", "h1", "h2", "h3", "h4", "section", "article", "figure") else 0
-        if stack[-1][0] == "p" or stack[-1][0] in _HEADINGS:
+        if stack[-1].tag == "p" or stack[-1].tag in _HEADINGS:
             stack.pop()
         for sibling in _CLOSES.get(tag, ()):
             close(sibling, _ITEM_WALLS)
-        if tag in _VOID:
+        if tag in _VOID or _SELF_CLOSED.search(attributes):
             continue
-        _, paths, furniture = stack[-1]
-        in_article = any(s[0] in ("article", "main") for s in stack)
-        name, marked = _traits(tag, attributes, in_article)
+        in_article = stack[-1].in_article or stack[-1].tag in ("article", "main")
+        name, mark = _traits(tag, attributes, in_article)
         if tag in ("html", "body"):
-            marked = False
+            mark = 0
         elif tag == "header":
-            marked |= not in_article
-        furniture = furniture or marked or tag in _FURNITURE
+            mark = max(mark, 2 * (not in_article))
+        mark = max(mark, _FURNITURE.get(tag, 0))
+        path = None
         if tag in CONTAINERS and tag != "html":
-            tail = ">".join((paths[-1].split(">") if paths else [])[-PATH_DEPTH + 1 :] + [name])
-            paths = (*paths[-PATH_DEPTH + 1 :], tail)
-        stack.append((tag, paths, furniture))
+            above = next((n.path for n in _up(stack[-1])), None)
+            path = ">".join((above.split(">") if above else [])[-PATH_DEPTH + 1 :] + [name])
+        opened(tag, path, mark)
     if at < len(page):
         text.append(page[at:])
     flush()
+    _mark(nodes, out)
     return out
 
 
@@ -187,14 +281,13 @@ def container_scores(found: list[Block]) -> dict[str, float]:
     """Score of each container path of a page: running text, halved with every level up."""
     scores: dict[str, float] = defaultdict(float)
     for b in found:
-        if b.furniture or not b.paths:
+        if b.furniture:
             continue
         weight = float(len(b.text) - b.link)
         if weight <= 0:
             continue
-        for path in reversed(b.paths):
-            tag = path.rpartition(">")[2].partition(".")[0]
-            scores[path] += weight * (3.0 if tag in ("article", "main") else 1.0)
+        for n in islice(_up(b.node), PATH_DEPTH):
+            scores[n.path] += weight * (3.0 if n.tag in ("article", "main") else 1.0)
             weight /= 2
     return scores
 
@@ -202,12 +295,13 @@ def container_scores(found: list[Block]) -> dict[str, float]:
 def cut(found: list[Block], paths: list[str]) -> str:
     """The text under the first of ``paths`` that the page has, else under its own best path."""
     own = [b for b in found if not b.furniture]
-    have = {p for b in own for p in b.paths}
+    own_paths = [{n.path for n in islice(_up(b.node), PATH_DEPTH)} for b in own]
+    have = set().union(*own_paths)
     path = next((p for p in paths if p in have), None)
     if path is None:
         scores = container_scores(found)
         path = min(scores, key=lambda p: (-scores[p], p)) if scores else None
-    return " ".join(b.text for b in own if path is None or path in b.paths)
+    return " ".join(b.text for b, have in zip(own, own_paths, strict=True) if path is None or path in have)
 
 
 def host_of(url) -> F.Column:
