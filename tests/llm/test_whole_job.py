@@ -51,3 +51,19 @@ def test_articles_in_wrappers_that_look_like_furniture():
     page = f"<body><article>{body}</article><div class='ad-7'>buy</div><aside><article>{body}</article></aside><form><p>Mail<input><input></p></form>"
     assert _text(page) == want
     assert _text(f"<body><div class=post><h1>T</h1>{body}<div class=comments><div>{body * 3}</div></div></div>") == f"T {want}"
+
+
+def test_articles_that_are_not_flat():
+    body = "<p>" + "plain words of an article that runs on, " * 8 + "</p>"
+    want = " ".join(body[3:-4].split())
+    menu, foot = "<nav><a href=x>menu</a></nav>", "<footer>f</footer>"
+    page = f"<body>{menu}<div class='post'><h1>T</h1><div class='lead'>Lead</div><div class='body'>{body}</div><div class=share>S</div></div>{foot}"
+    assert _text(page) == f"T Lead {want}"
+    assert extraction.cut(extraction.page_blocks(page), ["html>body>div.post>div.body"]) == f"T Lead {want}"
+    assert _text(f"<body>{menu}<article><header><h1>T</h1></header><div class=e><div class=i>{body}</div></div></article>{foot}") == f"T {want}"
+    assert _text(f"<body>{menu}<main><h1>T</h1><article>{body}</article><aside>a</aside></main>{foot}") == f"T {want}"
+    assert _text(f"<body>{menu}<section class=a>{body}</section><section class=b>{body}{body}</section>{foot}") == " ".join([want] * 3)
+    deep = "<div>" * 9 + "Deep" + "</div>" * 9
+    assert _text(f"<body>{menu}<article>{body}{deep}</article>{foot}") == f"{want} Deep"
+    links = "<div class=more>" + "<a href=x>other article</a> " * 9 + "</div>"
+    assert _text(f"<body>{menu}<div class=a>{body}</div>{links}{foot}") == want

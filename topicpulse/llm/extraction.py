@@ -1,9 +1,11 @@
 """Main text of pages by consensus host paths.
 
 First pass: a page's containers are scored by the running text they hold outside links and
-page furniture, and each container votes, with its share of the page's score, for its
-generalised tag-class path. Spark adds the votes up by host. Second pass: a page is cut
-along the best path of its host that it has; a page with none of them uses its own best.
+page furniture. From the best one up, the outermost container that adds text of the article
+(headline, lead, further sections) has the page's vote for its generalised tag-class path.
+Spark adds the votes up by host. Second pass: a page is cut along the best path of its host
+that it has, up to the container that holds the whole article there; a page with none of
+them uses its own best.
 
 Defined cases: a null or empty html has an empty text; a null url or one without host
 belongs to the host ``''``; repeated rows and ids vote and are extracted row by row; an
@@ -17,7 +19,6 @@ import html as entities
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -28,6 +29,7 @@ from topicpulse.session import saved, ship_package
 
 PATHS_PER_HOST = 8  # best-voted paths a page is tried with before its own best one
 PATH_DEPTH = 6  # a path names the nearest containers
+PROSE_CHARS = 100  # running text from which a block beside page furniture counts as a paragraph
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -88,10 +90,10 @@ class Node:
 
     def __init__(self, tag: str, parent: Node | None, path: str | None, mark: int):
         self.tag, self.parent, self.path, self.mark = tag, parent, path, mark
-        self.container = self if path else parent and parent.container
+        self.container = self if path or parent is None else parent.container
         self.in_article = parent is not None and (parent.in_article or parent.tag in ("article", "main"))
         self.running = self.controls = 0
-        self.hidden = self.off = False
+        self.hidden, self.off = False, 0
 
 
 class Block:
@@ -104,15 +106,7 @@ class Block:
 
     @property
     def furniture(self) -> bool:
-        return self.node.off
-
-
-def _up(node: Node | None) -> Iterator[Node]:
-    """The containers from an element on up."""
-    node = node and node.container
-    while node is not None:
-        yield node
-        node = node.parent.container
+        return self.node.off > 0
 
 
 def _token_mark(token: str, tag: str, in_article: bool) -> int:
@@ -151,18 +145,16 @@ def _settle(nodes: list[Node], lift: bool, most: float) -> None:
     With ``lift``, what a page without another article has as main, as article or as most of
     its running text is not furniture for where it stands.
     """
-    root = nodes[0]
     shown = any(n.tag in ("article", "main") and n.running and not n.off for n in nodes) if lift else False
     for n in nodes[1:]:
         up = n.parent
         if lift and n.mark in (1, 2) and not up.off and not shown and n.running > most:
             n.mark = 0
         n.hidden = up.hidden or n.mark == 3
-        n.off = up.off or n.mark > 0
+        n.off = max(up.off, n.mark)
         if lift and n.off and not n.mark and not n.hidden and not n.in_article:
             if n.tag == "main" or n.tag == "article" and (not shown or n.running > most):
-                n.off = False
-    root.off = False
+                n.off = 0
 
 
 def _mark(nodes: list[Node], found: list[Block]) -> None:
@@ -186,7 +178,7 @@ def _mark(nodes: list[Node], found: list[Block]) -> None:
 def page_blocks(page: str) -> list[Block]:
     """The text blocks of a page in page order."""
     out: list[Block] = []
-    nodes = [Node("", None, None, 0)]
+    nodes = [Node("html", None, "html", 0)]
     stack = nodes[:]
     text: list[str] = []
     link, in_link, at = 0, 0, 0
@@ -267,8 +259,7 @@ def page_blocks(page: str) -> list[Block]:
         mark = max(mark, _FURNITURE.get(tag, 0))
         path = None
         if tag in CONTAINERS and tag != "html":
-            above = next((n.path for n in _up(stack[-1])), None)
-            path = ">".join((above.split(">") if above else [])[-PATH_DEPTH + 1 :] + [name])
+            path = ">".join(stack[-1].container.path.split(">")[-PATH_DEPTH + 1 :] + [name])
         opened(tag, path, mark)
     if at < len(page):
         text.append(page[at:])
@@ -277,31 +268,95 @@ def page_blocks(page: str) -> list[Block]:
     return out
 
 
-def container_scores(found: list[Block]) -> dict[str, float]:
-    """Score of each container path of a page: running text, halved with every level up."""
-    scores: dict[str, float] = defaultdict(float)
+class Sums:
+    """What a container holds: running text, text in links, in paragraphs, in the page's furniture, in headlines."""
+
+    __slots__ = ("far", "headline", "link", "prose", "running", "score", "weight")
+
+    def __init__(self):
+        self.running = self.link = self.prose = self.far = self.headline = 0
+        self.weight = self.score = 0.0
+
+
+def containers(found: list[Block]) -> dict[Node, Sums]:
+    """Each container with text and its sums, outer ones first; the score halves with every level up."""
+    sums: dict[Node, Sums] = {}
     for b in found:
+        chain, n = [], b.node.container
+        while n is not None and n not in sums:
+            chain.append(n)
+            n = n.parent and n.parent.container
+        sums.update((n, Sums()) for n in reversed(chain))
+        own = sums[b.node.container]
         if b.furniture:
+            own.far += len(b.text) * (b.node.off == 2)
             continue
-        weight = float(len(b.text) - b.link)
-        if weight <= 0:
-            continue
-        for n in islice(_up(b.node), PATH_DEPTH):
-            scores[n.path] += weight * (3.0 if n.tag in ("article", "main") else 1.0)
-            weight /= 2
-    return scores
+        running = len(b.text) - b.link
+        own.running += running
+        own.link += b.link
+        own.weight += running
+        own.prose += running * (running >= PROSE_CHARS)
+        own.headline += running * (b.node.tag == "h1")
+    for n, own in reversed(sums.items()):
+        own.score = own.weight * (3.0 if n.tag in ("article", "main") else 1.0)
+        if n.parent is not None:
+            up = sums[n.parent.container]
+            up.weight += own.weight / 2
+            for name in ("running", "link", "prose", "far", "headline"):
+                setattr(up, name, getattr(up, name) + getattr(own, name))
+    return sums
+
+
+def whole(n: Node, sums: dict[Node, Sums]) -> Node:
+    """The outermost container around ``n`` that adds more of the article.
+
+    All of an article element is, nothing outside a main is. Above, links that outweigh the running text end it, and so does
+    furniture of the page unless a headline or, without an article element, paragraphs come with it.
+    """
+    article, up = n.tag == "article", n
+    while up.parent is not None:
+        up = up.parent.container
+        if up.tag == "article":
+            n, article = up, True
+    at = n
+    while at.parent is not None and at.tag != "main":
+        up = at.parent.container
+        old, new = sums[at], sums[up]
+        running = new.running - old.running
+        if new.link - old.link > running:
+            break
+        if new.far > old.far and new.headline == old.headline and (article or new.prose == old.prose):
+            break
+        at = up
+        if running:
+            n = up
+    return n
+
+
+def best_container(sums: dict[Node, Sums], path: str | None = None) -> Node | None:
+    """The container, of ``path`` if given, with the highest score; the first of equal ones."""
+    own = [n for n, s in sums.items() if s.score > 0 and path in (None, n.path)]
+    return max(own, key=lambda n: sums[n].score, default=None)
+
+
+def vote(page: str) -> str | None:
+    """Path of the container that holds the page's whole article."""
+    sums = containers(page_blocks(page))
+    best = best_container(sums)
+    return best and whole(best, sums).path
 
 
 def cut(found: list[Block], paths: list[str]) -> str:
-    """The text under the first of ``paths`` that the page has, else under its own best path."""
-    own = [b for b in found if not b.furniture]
-    own_paths = [{n.path for n in islice(_up(b.node), PATH_DEPTH)} for b in own]
-    have = set().union(*own_paths)
+    """The article's text, from the first of ``paths`` that the page has, else from its own best container."""
+    sums = containers(found)
+    have = {n.path for n, s in sums.items() if s.running + s.link}
     path = next((p for p in paths if p in have), None)
-    if path is None:
-        scores = container_scores(found)
-        path = min(scores, key=lambda p: (-scores[p], p)) if scores else None
-    return " ".join(b.text for b, have in zip(own, own_paths, strict=True) if path is None or path in have)
+    best = best_container(sums, path)
+    top = best and whole(best, sums)
+    inside: dict[Node, bool] = {}
+    for n in sums:
+        inside[n] = path is top is None or n is top or n.path == path or n.parent is not None and inside[n.parent.container]
+    return " ".join(b.text for b in found if not b.furniture and inside[b.node.container])
 
 
 def host_of(url) -> F.Column:
@@ -313,21 +368,19 @@ def host_paths(pages: DataFrame, keep: int = PATHS_PER_HOST) -> DataFrame:
     """(host, paths): each host's best-voted container paths, best first."""
     ship_package(pages.sparkSession)
 
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "html"):
             votes: dict[tuple[str, str], float] = defaultdict(float)
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                scores = container_scores(page_blocks(page or ""))
-                total = sum(scores.values())
-                for path, score in scores.items():
-                    votes[host, path] += score / total
+                path = vote(page or "")
+                if path is not None:
+                    votes[host, path] += 1
             rows = [pa.array([k[i] for k in votes], pa.string()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([*rows, pa.array(votes.values(), pa.float64())], names=["host", "path", "vote"])
 
     votes = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
-    # Rounded sums, so that the order of adding does not choose between equal paths.
-    votes = votes.mapInArrow(vote, "host string, path string, vote double").groupBy("host", "path")
-    votes = votes.agg(F.round(F.sum("vote"), 6).alias("vote"))
+    votes = votes.mapInArrow(count, "host string, path string, vote double").groupBy("host", "path")
+    votes = votes.agg(F.sum("vote").alias("vote"))
     best = Window.partitionBy("host").orderBy(F.desc("vote"), "path")
     ranked = votes.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= keep)
     return ranked.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("place", "path")))["path"].alias("paths"))
