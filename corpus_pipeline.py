@@ -43,8 +43,8 @@ def sanitise(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Pieces of all documents in sequences that follow the sources' shares."""
-    return packing.pack(docs, with_ids=False)
+    """Pieces of all documents, with their token ids, in sequences that follow the sources' shares."""
+    return packing.pack(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

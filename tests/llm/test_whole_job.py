@@ -1,5 +1,8 @@
 """Cases that an operator saw only a part of."""
 
+import zlib
+
+import corpus_pipeline
 from topicpulse.llm import extraction, pii
 
 SCHEMA = "doc_id long, text string, source string"
@@ -67,3 +70,10 @@ def test_articles_that_are_not_flat():
     assert _text(f"<body>{menu}<article>{body}{deep}</article>{foot}") == f"{want} Deep"
     links = "<div class=more>" + "<a href=x>other article</a> " * 9 + "</div>"
     assert _text(f"<body>{menu}<div class=a>{body}</div>{links}{foot}") == want
+
+
+def test_the_pipeline_ends_in_token_ids(spark):
+    docs = spark.createDataFrame([(1, "one two three", "a"), (2, None, "b"), (3, "naïve 日本", "a")], SCHEMA)
+    rows = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    assert {r.doc_id for r in rows} == {1, 2, 3}
+    assert all(len(r.ids) == 4 * r.length and zlib.crc32(bytes(r.ids)) == r.ids_crc32 for r in rows)
