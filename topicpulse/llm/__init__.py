@@ -15,6 +15,9 @@ MODULES = [
     "toxicity",
     "extraction",
     "quality",
+    "language",
+    "clustering",
+    "codebooks",
 ]
 
 
