@@ -255,10 +255,16 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:
     """The model of the sampled training documents; None if there are none with words."""
     ship_package(docs.sparkSession)
     known = docs.filter(learns(F.col("doc_id"))[0] & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", F.col("lang").cast("string").alias("lang")).withColumn("n", F.row_number().over(first)).filter(F.col("n") <= rows)
+    # The model has a table for each language, so languages are few enough to be sent around.
+    sizes = known.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("size"))
+    ids = known.select("doc_id", F.col("lang").cast("string").alias("lang")).join(F.broadcast(sizes), "lang")
+    # Only hashes that can be among the first reach the sort: about four times ``rows`` a language.
+    share = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / 2.0**53
+    ids = ids.filter(share <= 4.0 * rows / F.col("size")).select("doc_id", "lang").distinct()
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id") < 0, F.xxhash64("doc_id"), "doc_id")
+    ids = ids.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= rows)
     # ``rows`` ids a language at most: the bound that lets them be sent to every executor.
-    sample = known.select("doc_id", "text").join(F.broadcast(ids.select("doc_id", "lang").distinct()), "doc_id")
+    sample = known.select("doc_id", "text").join(F.broadcast(ids.select("doc_id", "lang")), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
