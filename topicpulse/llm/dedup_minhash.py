@@ -9,14 +9,18 @@ component with the probability Jaccard similarity of the texts.
 Texts of equal words collapse to their smallest id. Texts that share a band are candidates.
 In each band's bucket all are verified against one of them, its centre; components of what
 was confirmed follow, and buckets that still hold several components have the members
-outside the largest one verified against the members of other components, save pairs that
-exact bounds on what they can share put out of reach. So no candidate link between
-different components is lost, and a group of g copies costs about g tests. Verification computes the similarity itself from whole texts, streamed past their
-centre in sorted partitions; crowded centres are split by salt.
+outside the largest one verified against the members of other components. So no candidate
+link between different components is lost, and a group of g copies costs about g tests.
+
+Before any text moves, a pair must pass an exact bound on what its sizes allow, and the
+agreement of its signatures, kept as a byte a component, must not lie ``SIGMAS`` standard
+deviations below that of the least similar pair wanted. Verification computes the similarity
+itself from whole texts, streamed past their centre in sorted partitions; crowded centres are
+split by salt.
 
 Defined cases: a text with one to four words is one shingle; a null text or one without
 words is in a class of its own; rows without id have no class and take no part; rows that
-repeat an id are one document; an empty table gives no rows.
+repeat an id are one document, similar where any of its texts is; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,9 +38,9 @@ from topicpulse.session import saved, ship_package
 
 SHINGLE = 5
 SIMILAR_FROM = 0.8
-BANDS, BAND_ROWS = 24, 4
+BANDS, BAND_ROWS = 40, 6
+SIGMAS = 6.0
 MEMBERS_A_TASK = 2000
-RARE = 16  # open texts that a rare shingle has at most
 _TOGETHER = 1 << 20  # words whose signatures are found together
 _SALT = [np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)]
 
@@ -94,21 +98,37 @@ def signatures(text: np.ndarray, key: np.ndarray, weight: np.ndarray, texts: int
     return owner.reshape(texts, size)
 
 
+def similarities(pair: np.ndarray, key: np.ndarray, a: np.ndarray, b: np.ndarray, pairs: int) -> np.ndarray:
+    """Probability Jaccard similarity of each pair of weighted sets.
+
+    The entries of all pairs together: pair number, key, weight in either set.
+    """
+    if not len(pair):
+        return np.zeros(pairs)
+    order = np.lexsort((key, pair))
+    pair, key = pair[order], key[order]
+    first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])))
+    pair, a, b = pair[first], np.add.reduceat(a[order], first), np.add.reduceat(b[order], first)
+    ratio = np.divide(b, a, out=np.full(len(a), np.inf), where=a > 0)
+    order = np.lexsort((ratio, pair))
+    pair, ratio, a, b = pair[order], ratio[order], a[order], b[order]
+    # The last entry of the same ratio, and sums up to it within the pair; weights are whole numbers.
+    ends = np.flatnonzero(np.append((ratio[1:] != ratio[:-1]) | (pair[1:] != pair[:-1]), True))
+    last = ends[np.searchsorted(ends, np.arange(len(pair)))]
+    sum_a, sum_b = np.concatenate([[0.0], np.cumsum(a)]), np.concatenate([[0.0], np.cumsum(b)])
+    begin = np.searchsorted(pair, np.arange(pairs + 1))
+    both = np.flatnonzero((a > 0) & (b > 0))
+    p, last = pair[both], last[both] + 1
+    weight = (sum_a[last] - sum_a[begin[p]]) / a[both] + (sum_b[begin[p + 1]] - sum_b[last]) / b[both]
+    return np.bincount(p, 1 / weight, pairs)
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Probability Jaccard similarity of two weighted sets (sorted keys, weights)."""
-    keys = np.union1d(a[0], b[0])
-    if not len(keys):
-        return 0.0
-    wa, wb = np.zeros(len(keys)), np.zeros(len(keys))
-    wa[np.searchsorted(keys, a[0])] = a[1]
-    wb[np.searchsorted(keys, b[0])] = b[1]
-    ratio = np.divide(wb, wa, out=np.full(len(keys), np.inf), where=wa > 0)
-    order = np.argsort(ratio, kind="stable")
-    ratio, wa, wb = ratio[order], wa[order], wb[order]
-    last = np.searchsorted(ratio, ratio, "right") - 1
-    sum_a, sum_b = np.cumsum(wa), np.cumsum(wb)
-    both = (wa > 0) & (wb > 0)
-    return float((1 / (sum_a[last[both]] / wa[both] + (sum_b[-1] - sum_b[last[both]]) / wb[both])).sum())
+    """Probability Jaccard similarity of two weighted sets (keys, weights)."""
+    key = np.concatenate([a[0], b[0]])
+    wa = np.concatenate([a[1], np.zeros(len(b[0]))]).astype(float)
+    wb = np.concatenate([np.zeros(len(a[0])), b[1]]).astype(float)
+    return float(similarities(np.zeros(len(key), np.int64), key, wa, wb, 1)[0])
 
 
 def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -> np.ndarray:
@@ -122,11 +142,11 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS)
     return np.stack(out, axis=1)
 
 
-_SKETCH = "doc_id long, same_a long, same_b long, n_words long, total long, different long, bands array<long>"
+_SKETCH = "doc_id long, same_a long, same_b long, n_words long, total long, different long, bands array<long>, sign binary"
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """By document: two hashes of its words, their number, and the keys of its bands."""
+    """By document: two hashes of its words, their number, the keys of its bands, its signature in bytes."""
     ship_package(docs.sparkSession)
 
     def finish(held: list[tuple], texts: int) -> pa.RecordBatch:
@@ -134,13 +154,15 @@ def sketches(docs: DataFrame) -> DataFrame:
         base = np.cumsum([0] + [len(h[1]) for h in held])
         text = np.concatenate([h[5][0] + b for h, b in zip(held, base, strict=False)])
         key, weight = (np.concatenate([h[5][k] for h in held]) for k in (1, 2))
-        keys = band_keys(signatures(text, key, weight, texts, BANDS * BAND_ROWS)).astype(np.int64)
+        found = signatures(text, key, weight, texts, BANDS * BAND_ROWS)
+        keys = band_keys(found).astype(np.int64)
+        sign = pa.array([r.tobytes() for r in (mix(found) >> np.uint64(56)).astype(np.uint8)], pa.binary())
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
         total = np.bincount(text, weight, texts).astype(np.int64)
         different = np.bincount(text, minlength=texts)
         columns = [pa.array(c) for c in (ids, same_a, same_b, n_words, total, different)]
-        names = ["doc_id", "same_a", "same_b", "n_words", "total", "different", "bands"]
-        return pa.RecordBatch.from_arrays([*columns, lists], names=names)
+        names = ["doc_id", "same_a", "same_b", "n_words", "total", "different", "bands", "sign"]
+        return pa.RecordBatch.from_arrays([*columns, lists, sign], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, words, texts = [], 0, 0
@@ -159,6 +181,40 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SKETCH)
 
 
+def least_agreement(similar_from: float) -> int:
+    """Components in which signatures of a pair at ``similar_from`` agree, less ``SIGMAS`` deviations."""
+    n = BANDS * BAND_ROWS
+    return int(max(n * similar_from - SIGMAS * np.sqrt(n * similar_from * (1 - similar_from)), 0))
+
+
+def within_reach(similar_from: float) -> F.Column:
+    """Whether two texts' sizes allow the similarity; an exact bound.
+
+    Of d and e different shingles with r repeats in both together, the similarity is at most
+    (c + r) / (d + e - c + r) with c the smaller of d and e.
+    """
+    d, e = F.col("different"), F.col("different_y")
+    c, r = F.least(d, e), F.col("total") + F.col("total_y") - d - e
+    return c + r >= similar_from * (d + e - c + r) - 1e-6
+
+
+def plausible(pairs: DataFrame, kept: DataFrame, similar_from: float) -> DataFrame:
+    """The (centre, member) whose sizes and signatures allow the similarity."""
+    least = least_agreement(similar_from)
+    own = kept.select("rep", "total", "different", "sign")
+    other = own.select(F.col("rep").alias("centre"), *(F.col(c).alias(f"{c}_y") for c in ("total", "different", "sign")))
+    rows = pairs.join(own, F.col("member") == F.col("rep")).join(other, "centre").filter(within_reach(similar_from))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8) for c in ("sign", "sign_y"))
+                agree = (a == b).reshape(batch.num_rows, -1).sum(axis=1)
+                yield batch.select(["centre", "member"]).filter(pa.array(agree >= least))
+
+    return rows.select("centre", "member", "sign", "sign_y").mapInArrow(run, "centre long, member long")
+
+
 def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """``pairs`` (centre, member) with the similarity of their whole texts."""
     ship_package(docs.sparkSession)
@@ -172,74 +228,59 @@ def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         F.lit(0).alias("is_member"),
     )
     wanted = saved(as_member.unionByName(as_centre), "texts-to-compare")
-    texts = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    # Rows that repeat an id are one document; which of their texts counts must not depend on the order.
-    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
-    rows = wanted.join(texts, "doc_id").repartition("centre", "part").sortWithinPartitions("centre", "part", "is_member", "doc_id")
+    rows = docs.select("doc_id", "text").join(wanted, "doc_id")
+    rows = rows.repartition("centre", "part").sortWithinPartitions("centre", "part", "is_member", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, held = None, None
+        centre, held = None, []
         for batch in blocks(batches, "text"):
             w = Words(batch.column("text"))
             text, key, weight = counted(*shingles(w))
+            weight = weight.astype(float)
             cut = np.searchsorted(text, np.arange(batch.num_rows + 1))
-            out = []
             centres, members, ids = (batch.column(c).to_pylist() for c in ("centre", "is_member", "doc_id"))
+            found, parts, waiting = [], [], 0
+
+            def measure() -> None:
+                """The similarities of the pairs laid out in ``parts``."""
+                nonlocal parts, waiting
+                if parts:
+                    pair = np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts])
+                    got = similarities(pair, *(np.concatenate([p[k] for p in parts]) for k in (1, 2, 3)), len(parts))
+                    found.extend((*p[0], s) for p, s in zip(parts, got, strict=True))
+                parts, waiting = [], 0
+
             for r in range(batch.num_rows):
-                own = key[cut[r] : cut[r + 1]], weight[cut[r] : cut[r + 1]].astype(float)
+                own = key[cut[r] : cut[r + 1]], weight[cut[r] : cut[r + 1]]
                 if not members[r]:
-                    centre, held = centres[r], own
+                    # A repeated id may have several texts.
+                    held = [*held, own] if centres[r] == centre else [own]
+                    centre = centres[r]
                 elif centres[r] == centre:
-                    out.append((centre, ids[r], similarity(held, own)))
-            columns = [pa.array([o[k] for o in out], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.float64()))]
+                    for its in held:
+                        none, less = np.zeros(len(its[0])), np.zeros(len(own[0]))
+                        laid = [np.concatenate(c) for c in ((its[0], own[0]), (its[1], less), (none, own[1]))]
+                        parts.append(((centre, ids[r]), *laid))
+                        waiting += len(laid[0])
+                    if waiting > _TOGETHER:
+                        measure()
+            measure()
+            columns = [pa.array([o[k] for o in found], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["centre", "member", "similarity"])
 
     return rows.select("doc_id", "text", "centre", "part", "is_member").mapInArrow(run, "centre long, member long, similarity double")
 
 
-def rare_shingles(open_texts: DataFrame, docs: DataFrame) -> DataFrame:
-    """(rep, shingle, n): the shingles that at most ``RARE`` of ``open_texts`` have, and how many do."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text"):
-            text, key, _ = counted(*shingles(Words(batch.column("text"))))
-            columns = [batch.column("doc_id").take(pa.array(text)), pa.array(key.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["rep", "shingle"])
-
-    reps = open_texts.select(F.col("rep").alias("doc_id")).distinct()
-    rows = docs.select("doc_id", "text").join(reps, "doc_id", "left_semi").mapInArrow(run, "rep long, shingle long")
-    rows = saved(rows.distinct(), "open-shingles")
-    rare = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= RARE)
-    return saved(rows.join(rare, "shingle"), "rare-shingles")
-
-
-def _within_reach(similar_from: float, alone: str) -> F.Column:
-    """Whether what a pair can share allows the similarity; exact bounds.
-
-    With d and e different shingles, those only one of them can have (``alone``) left out of
-    the smaller as c, and r repeats in both together, the similarity is at most
-    (c + r) / (d + e - c + r). With private shares u and v of the whole weights it is at most
-    (1 - u)(1 - v) / (1 - uv).
-    """
-    own, own_y = F.col(alone), F.col(f"{alone}_y")
-    u, v = own / F.col("total"), own_y / F.col("total_y")
-    d, e = F.col("different"), F.col("different_y")
-    c = F.least(d - own, e - own_y)
-    r = F.col("total") + F.col("total_y") - d - e
-    plain = c + r >= similar_from * (d + e - c + r) - 1e-6
-    general = (1 - u) * (1 - v) >= similar_from * (1 - u * v) - 1e-9
-    return general & plain
-
-
 def near_duplicates(docs: DataFrame, similar_from: float = SIMILAR_FROM) -> DataFrame:
     """doc_id, class_id (smallest id of its class) and class_size of every row of ``docs``.
 
     A class is a component of the graph whose links are candidate pairs of ``similar_from``
-    or more; texts of equal words always share one.
+    or more; texts of equal words always share one. n_links counts the verified links of the
+    row's text to other texts, linked_to and similarity are the strongest one (ties: the smaller id).
     """
     sketch = saved(sketches(docs), "sketches")
     same = sketch.filter("n_words > 0").groupBy("same_a", "same_b")
-    kept = same.agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("total", "different", "bands")))
+    kept = same.agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("total", "different", "bands", "sign")))
     kept = saved(kept, "texts")
     rows = kept.select("rep", F.explode("bands").alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -250,50 +291,48 @@ def near_duplicates(docs: DataFrame, similar_from: float = SIMILAR_FROM) -> Data
     centres = crowded.join(meets, "rep").groupBy("bucket").agg((-centre).alias("centre"))
     crowded = saved(crowded.select("bucket", "rep").join(centres, "bucket"), "centred-buckets")
     stars = saved(crowded.filter("rep <> centre").select("centre", F.col("rep").alias("member")).distinct(), "stars")
-    measured = saved(compared(stars, docs), "star-similarities")
-    links = measured.filter(F.col("similarity") >= similar_from).select("centre", "member")
+    measured = compared(saved(plausible(stars, kept, similar_from), "plausible-stars"), docs)
+    links = saved(measured.filter(F.col("similarity") >= similar_from), "star-links")
     roots = connected_components(links, "centre", "member")
     label = F.coalesce("root", "rep").alias("label")
     labelled = crowded.join(roots, F.col("rep") == F.col("id"), "left").select("bucket", "rep", label)
     sizes = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels"))
-    split = saved(labelled.join(largest.filter("labels > 1").drop("labels"), "bucket"), "split-buckets")
-    rare = rare_shingles(split, docs)
-    held = rare.groupBy("rep").agg(F.sum((F.col("n") == 1).cast("long")).alias("private"), F.count(F.lit(1)).alias("rare"))
-    weights = kept.select("rep", "total", "different", "bands").join(split.select("rep", "label").distinct(), "rep").join(held, "rep", "left")
-    # No similarity exceeds the share of a text's weight that others can have.
-    weights = weights.fillna(0, ["private", "rare"]).filter(F.col("private") <= (1 - similar_from) * F.col("total"))
-    weights = saved(weights, "open-texts")
-
-    def pairs_of(one: DataFrame, other: DataFrame, key: str, alone: str, once: F.Column) -> DataFrame:
-        other = other.select(*(F.col(c).alias(c if c == key else f"{c}_y") for c in other.columns))
-        apart = F.expr("label <> label_y AND (rep < rep_y OR is_main_y)")
-        both = one.join(other, key).filter(apart & _within_reach(similar_from, alone) & once)
-        return both.select(F.least("rep", "rep_y").alias("a"), F.greatest("rep", "rep_y").alias("b"))
-
-    # Open pairs that share a rare shingle are few for each; of the others rare shingles count as private.
-    met = rare.filter("n > 1").select("rep", "shingle").join(weights.drop("bands"), "rep").withColumn("is_main", F.lit(False))
-    split = split.withColumn("is_main", F.col("label") == F.col("main")).drop("main", "label").join(weights, "rep")
-    open_pairs = pairs_of(met, met, "shingle", "private", F.lit(True))
+    split = labelled.join(largest.filter("labels > 1").drop("labels"), "bucket")
+    split = split.withColumn("is_main", F.col("label") == F.col("main")).drop("main")
+    split = saved(split.join(kept.select("rep", "total", "different", "bands"), "rep"), "split-buckets")
+    other = split.select(*(F.col(c).alias(c if c == "bucket" else f"{c}_y") for c in split.columns))
+    apart = F.expr("label <> label_y AND (rep < rep_y OR is_main_y)")
     # Every bucket that two open texts share is split, so the first one alone gives their pair.
     first_shared = F.array_intersect("bands", "bands_y")[0] == F.col("bucket")
-    open_pairs = open_pairs.unionByName(pairs_of(split.filter("NOT is_main"), split, "bucket", "rare", first_shared)).distinct()
-    tested = stars.select(F.least("centre", "member").alias("a"), F.greatest("centre", "member").alias("b"))
-    open_pairs = saved(open_pairs.join(tested, ["a", "b"], "left_anti").select(F.col("a").alias("centre"), F.col("b").alias("member")), "open-pairs")
-    more = compared(open_pairs, docs).filter(F.col("similarity") >= similar_from).select("centre", "member")
+    met = split.filter("NOT is_main").join(other, "bucket").filter(apart & within_reach(similar_from) & first_shared)
+    met = met.select(F.least("rep", "rep_y").alias("centre"), F.greatest("rep", "rep_y").alias("member")).distinct()
+    tested = stars.select(F.least("centre", "member").alias("centre"), F.greatest("centre", "member").alias("member"))
+    met = saved(met.join(tested, ["centre", "member"], "left_anti"), "open-pairs")
+    more = compared(saved(plausible(met, kept, similar_from), "plausible-pairs"), docs)
+    more = saved(more.filter(F.col("similarity") >= similar_from), "open-links")
     # The stars found so far stand for all earlier links.
     known = roots.select(F.col("root").alias("centre"), F.col("id").alias("member"))
-    of_text = connected_components(known.unionByName(more), "centre", "member")
+    of_text = connected_components(known.unionByName(more.select("centre", "member")), "centre", "member")
     of_text = kept.select("rep", "same_a", "same_b").join(of_text, F.col("rep") == F.col("id"), "left")
-    of_text = of_text.select("same_a", "same_b", F.coalesce("root", "rep").alias("class_id"))
-    found = sketch.join(of_text, ["same_a", "same_b"], "left").select(
-        "doc_id", F.when(F.col("n_words") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")
+    every = links.unionByName(more)
+    every = every.unionByName(every.select(F.col("member").alias("centre"), F.col("centre").alias("member"), "similarity"))
+    every = every.groupBy(F.col("centre").alias("rep"), "member").agg(F.max("similarity").alias("similarity")).groupBy("rep").agg(
+        F.count(F.lit(1)).alias("n_links"), F.max(F.struct("similarity", (-F.col("member")).alias("minus"))).alias("best")
     )
+    described = [F.coalesce("n_links", F.lit(0)).alias("n_links"), (-F.col("best.minus")).alias("linked_to"), F.col("best.similarity").alias("similarity")]
+    of_text = of_text.join(every, "rep", "left").select("same_a", "same_b", F.coalesce("root", "rep").alias("class_id"), *described)
+    found = sketch.join(of_text, ["same_a", "same_b"], "left").select(
+        "doc_id",
+        F.when(F.col("n_words") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"), "linked_to", "similarity",
+    )
     found = saved(found, "classes")
     # Written, so that the join has no aggregate beside it and a crowded class can be split.
     count = saved(found.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")), "class-sizes")
-    unknown = docs.filter("doc_id IS NULL").select(F.col("doc_id").cast("long"), F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("class_size"))
-    return found.join(count, "class_id").select("doc_id", "class_id", "class_size").unionByName(unknown)
+    columns = ["doc_id", "class_id", "class_size", "n_links", "linked_to", "similarity"]
+    unknown = docs.filter("doc_id IS NULL").select(F.col("doc_id").cast("long"))
+    return found.join(count, "class_id").select(*columns).unionByName(unknown, allowMissingColumns=True)
 
 
 def without_near_duplicates(docs: DataFrame, similar_from: float = SIMILAR_FROM) -> DataFrame:
