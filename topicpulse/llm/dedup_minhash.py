@@ -9,8 +9,8 @@ component with the probability Jaccard similarity of the texts.
 Texts of equal words collapse to their smallest id. Texts that share a band are candidates.
 In each band's bucket all are verified against one of them, its centre; components of what
 was confirmed follow, and buckets that still hold several components have the members
-outside the largest one verified against the members of other components. So no candidate
-link between different components is lost, and a group of g copies costs about g tests.
+outside the largest one verified against the members of other components, save pairs that
+shingles which no other open text has put out of reach. So no candidate link between different components is lost, and a group of g copies costs about g tests.
 
 Before any text moves, a pair must pass an exact bound on what its sizes allow, and the
 agreement of its signatures, kept as a byte a component, must not lie ``SIGMAS`` standard
@@ -39,9 +39,9 @@ from topicpulse.session import saved, ship_package
 SHINGLE = 5
 SIMILAR_FROM = 0.8
 BANDS, BAND_ROWS = 40, 6
-SIGMAS = 6.0
+SIGMAS = 5.0
 MEMBERS_A_TASK = 2000
-_TOGETHER = 1 << 20  # words whose signatures are found together
+_TOGETHER = 1 << 19  # words whose signatures are found together
 _SALT = [np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)]
 
 
@@ -187,15 +187,39 @@ def least_agreement(similar_from: float) -> int:
     return int(max(n * similar_from - SIGMAS * np.sqrt(n * similar_from * (1 - similar_from)), 0))
 
 
-def within_reach(similar_from: float) -> F.Column:
-    """Whether two texts' sizes allow the similarity; an exact bound.
+def shingle_owners(open_texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """holders: for each shingle that at most three of ``open_texts`` have, who has it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "text"):
+            text, key, _ = counted(*shingles(Words(batch.column("text"))))
+            columns = [batch.column("doc_id").take(pa.array(text)), pa.array(key.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["rep", "shingle"])
+
+    reps = open_texts.select(F.col("rep").alias("doc_id")).distinct()
+    rows = docs.select("doc_id", "text").join(reps, "doc_id", "left_semi").mapInArrow(run, "rep long, shingle long")
+    least, most, n = F.min("rep"), F.max("rep"), F.count(F.lit(1))
+    third = F.bit_xor("rep").bitwiseXOR(least).bitwiseXOR(most)
+    # Rows may repeat an id; then a shingle may count as one of more texts, which only weakens the bound.
+    holders = F.when(least == most, F.array(least)).when(n == 2, F.array(least, most)).when(n == 3, F.array(least, third, most))
+    owners = rows.groupBy("shingle").agg(F.array_distinct(holders).alias("holders")).filter("holders IS NOT NULL")
+    return saved(owners.select("holders"), "shingle-owners")
+
+
+def within_reach(similar_from: float, alone: str | None = None) -> F.Column:
+    """Whether what two texts can share allows the similarity; exact bounds.
 
     Of d and e different shingles with r repeats in both together, the similarity is at most
-    (c + r) / (d + e - c + r) with c the smaller of d and e.
+    (c + r) / (d + e - c + r) with c the most shingles they can share. With shares u and v of
+    the whole weights that only one of them can have it is at most (1 - u)(1 - v) / (1 - uv).
+    ``alone`` names the column that counts such shingles.
     """
     d, e = F.col("different"), F.col("different_y")
-    c, r = F.least(d, e), F.col("total") + F.col("total_y") - d - e
-    return c + r >= similar_from * (d + e - c + r) - 1e-6
+    own, own_y = (F.col(alone), F.col(f"{alone}_y")) if alone else (F.lit(0), F.lit(0))
+    c, r = F.least(d - own, e - own_y), F.col("total") + F.col("total_y") - d - e
+    plain = c + r >= similar_from * (d + e - c + r) - 1e-6
+    u, v = own / F.col("total"), own_y / F.col("total_y")
+    return plain & ((1 - u) * (1 - v) >= similar_from * (1 - u * v) - 1e-9) if alone else plain
 
 
 def plausible(pairs: DataFrame, kept: DataFrame, similar_from: float) -> DataFrame:
@@ -283,7 +307,8 @@ def near_duplicates(docs: DataFrame, similar_from: float = SIMILAR_FROM) -> Data
     kept = same.agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("total", "different", "bands", "sign")))
     kept = saved(kept, "texts")
     rows = kept.select("rep", F.explode("bands").alias("bucket"))
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Written, so that the join knows its size.
+    sizes = saved(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "bucket-sizes")
     crowded = saved(rows.join(sizes, "bucket"), "shared-buckets")
     # The member that meets the others most often is the centre: a text next to its many copies.
     meets = crowded.groupBy("rep").agg(F.sum("n").alias("meets"))
@@ -300,12 +325,26 @@ def near_duplicates(docs: DataFrame, similar_from: float = SIMILAR_FROM) -> Data
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels"))
     split = labelled.join(largest.filter("labels > 1").drop("labels"), "bucket")
     split = split.withColumn("is_main", F.col("label") == F.col("main")).drop("main")
-    split = saved(split.join(kept.select("rep", "total", "different", "bands"), "rep"), "split-buckets")
+    split = saved(split, "split-buckets")
+    owners = shingle_owners(split, docs)
+    held = owners.select(F.explode("holders").alias("rep"), (F.size("holders") == 1).cast("long").alias("private"))
+    held = held.groupBy("rep").agg(F.sum("private").alias("private"), F.count(F.lit(1)).alias("rare"))
+    weights = kept.select("rep", "total", "different", "bands").join(split.select("rep", "label").distinct(), "rep")
+    weights = weights.join(held, "rep", "left").fillna(0, ["private", "rare"])
+    # No similarity exceeds the share of a text's weight that others can have.
+    weights = saved(weights.filter(F.col("private") <= (1 - similar_from) * F.col("total")), "open-texts")
+    second = weights.select(*(F.col(c).alias(f"{c}_y") for c in weights.columns if c != "bands"))
+    # The two or three texts that alone have a shingle are pairs of their own; in all other pairs such shingles count as private.
+    few = owners.filter(F.size("holders") > 1).select(F.explode("holders").alias("rep"), "holders").distinct()
+    few = few.select("rep", F.explode("holders").alias("rep_y")).filter("rep < rep_y").distinct()
+    few = few.join(weights.drop("bands"), "rep").join(second, "rep_y").filter(F.expr("label <> label_y") & within_reach(similar_from, "private"))
+    split = split.drop("label").join(weights, "rep")
     other = split.select(*(F.col(c).alias(c if c == "bucket" else f"{c}_y") for c in split.columns))
     apart = F.expr("label <> label_y AND (rep < rep_y OR is_main_y)")
     # Every bucket that two open texts share is split, so the first one alone gives their pair.
     first_shared = F.array_intersect("bands", "bands_y")[0] == F.col("bucket")
-    met = split.filter("NOT is_main").join(other, "bucket").filter(apart & within_reach(similar_from) & first_shared)
+    met = split.filter("NOT is_main").join(other, "bucket").filter(apart & within_reach(similar_from, "rare") & first_shared)
+    met = met.select("rep", "rep_y").unionByName(few.select("rep", "rep_y"))
     met = met.select(F.least("rep", "rep_y").alias("centre"), F.greatest("rep", "rep_y").alias("member")).distinct()
     tested = stars.select(F.least("centre", "member").alias("centre"), F.greatest("centre", "member").alias("member"))
     met = saved(met.join(tested, ["centre", "member"], "left_anti"), "open-pairs")
