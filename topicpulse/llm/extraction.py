@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -175,13 +175,20 @@ def _mark(nodes: list[Node], found: list[Block]) -> None:
         _settle(nodes, True, most)
 
 
+def _ends_open(m: re.Match) -> bool:
+    """Whether a comment or an element of raw text goes on to the end of the page."""
+    if m[1]:
+        return not re.search(rf"</{m[1]}\s*>\Z", m[0], re.I)
+    return m[0].startswith("<!--") and not m[0].endswith("-->")
+
+
 def page_blocks(page: str) -> list[Block]:
     """The text blocks of a page in page order."""
     out: list[Block] = []
     nodes = [Node("html", None, "html", 0)]
     stack = nodes[:]
     text: list[str] = []
-    link, in_link, at = 0, 0, 0
+    link, in_link, at, unclosed = 0, 0, 0, False
 
     def flush() -> None:
         nonlocal link
@@ -193,10 +200,21 @@ def page_blocks(page: str) -> list[Block]:
             text.clear()
         link = 0
 
+    still_open: Counter[str] = Counter()
+
+    def pop() -> str:
+        tag = stack.pop().tag
+        still_open[tag] -= 1
+        return tag
+
     def close(tag: str, walls: frozenset[str] = frozenset()) -> None:
+        # A stray end tag does not walk the elements that are open.
+        if not still_open[tag]:
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag == tag:
-                del stack[k:]
+                while len(stack) > k:
+                    pop()
                 return
             if stack[k].tag in walls:
                 return
@@ -204,8 +222,11 @@ def page_blocks(page: str) -> list[Block]:
     def opened(tag: str, path: str | None, mark: int) -> None:
         nodes.append(Node(tag, stack[-1], path, mark))
         stack.append(nodes[-1])
+        still_open[tag] += 1
 
-    for m in _TOKEN.finditer(page):
+    # No tag ends behind the last ">", so none is looked for there.
+    limit = page.rfind(">") + 1
+    for m in _TOKEN.finditer(page, 0, limit):
         start = m.start()
         if start > at:
             piece = page[at:start]
@@ -214,6 +235,7 @@ def page_blocks(page: str) -> list[Block]:
                 link += len(piece)
         at = m.end()
         tag = m[3] or m[5]
+        unclosed = not tag and at == limit and _ends_open(m)
         if not tag:
             stack[-1].controls += (m[1] or "").lower() == "textarea"
             continue
@@ -245,7 +267,7 @@ def page_blocks(page: str) -> list[Block]:
             continue
         in_link = in_link if tag in ("div", "p", "h1", "h2", "h3", "h4", "section", "article", "figure") else 0
         if stack[-1].tag == "p" or stack[-1].tag in _HEADINGS:
-            stack.pop()
+            pop()
         for sibling in _CLOSES.get(tag, ()):
             close(sibling, _ITEM_WALLS)
         if tag in _VOID or _SELF_CLOSED.search(attributes):
@@ -261,8 +283,9 @@ def page_blocks(page: str) -> list[Block]:
         if tag in CONTAINERS and tag != "html":
             path = ">".join(stack[-1].container.path.split(">")[-PATH_DEPTH + 1 :] + [name])
         opened(tag, path, mark)
-    if at < len(page):
-        text.append(page[at:])
+    if not unclosed:
+        # A comment that nothing ends hides the rest.
+        text.append(page[at:].partition("<!--")[0])
     flush()
     _mark(nodes, out)
     return out

@@ -8,8 +8,8 @@ earlier one can be trusted; at scoring, the earlier models of the chain give the
 Models are fitted on the driver from a bounded sample of labelled rows (``SAMPLE_ROWS`` of
 each class, the first by hash of their id). Scoring is one pass over the whole table.
 
-Defined cases: a null or empty text has no words and is not rejected unless every training
-row without words was toxic; repeated rows get repeated scores; a label other than 0 or 1,
+Defined cases: a null or empty text, or one of punctuation alone, has nothing to judge: all its
+probabilities are 0 and it is not rejected, whatever the models' intercepts; repeated rows get repeated scores; a label other than 0 or 1,
 or an id labelled both ways, counts as its largest valid label; without labels of both
 kinds nothing is rejected; an empty table gives no rows; other columns pass through.
 """
@@ -176,6 +176,7 @@ def score_chain(models: Sequence[Linear], column: pa.Array) -> np.ndarray:
     out = np.zeros((len(column), 0))
     for model in models:
         out = np.column_stack([out, model.score(row, bucket, out)])
+    out[np.bincount(row, minlength=len(column)) == 0] = 0.0
     return out
 
 
