@@ -158,20 +158,32 @@ PAGE = """<html><head><style>p{}</style></head><body><nav>menu</nav><!-- x --><d
 <p>First <b>bold</b> &amp; more<p>Second</div><footer>end</footer></body></html>"""
 
 
-def test_main_text_keeps_the_nesting_of_open_paragraphs():
-    assert P.pick_main_text(PAGE) == "First bold & more Second\nSecond"
-    assert P.pick_main_text("<p>only</p>") == "only"
-    assert P.pick_main_text("") == ""
+def _main_texts(spark, rule, *pages):
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "id bigint, html string")
+    got = {r.id: r.text for r in P.with_main_text(rows, "html", "text", rule).collect()}
+    return [got[i] for i in range(len(pages))]
 
 
-def test_feed_text_wants_a_long_container():
+def test_main_text_keeps_the_nesting_of_open_paragraphs(spark):
+    boxed = "<body><div><div class='x post-body y'><p>a</p><div><p>b <i>c</i></p></div></div><p>out</p></div></body>"
+    plain = "<body>one<div id='js_content'>two<br/>3 < 4</div></body>"
+    got = _main_texts(spark, "article", PAGE, "<p>only</p>", "", None, boxed, plain, "<p>only</p>", "bare &amp;lt; text")
+    assert got == ["First bold & more Second\nSecond", "only", "", "", "a\nb c", "two\n3 < 4", "only", "bare < text"]
+
+
+def test_feed_text_wants_a_long_container(spark):
     short = "<body><article>tiny</article><div>rest</div></body>"
-    assert P.pick_feed_text(short) == "tiny\nrest"
-    assert P.pick_feed_text("<body><article>" + "x" * 101 + "</article><div>rest</div></body>") == "x" * 101
+    long = "<body><article>" + "x" * 101 + "</article><div>rest</div></body>"
+    second = "<body><article>tiny</article><main id=content>" + "<p>y</p>" * 60 + "</main></body>"
+    nested = "<article><article>a</article>" + "b" * 101 + "</article>c</article>d"
+    got = _main_texts(spark, "feed", short, long, second, nested)
+    assert got == ["tiny\nrest", "x" * 101, "\n".join("y" * 60), "a\n" + "b" * 101]
 
 
-def test_baijiahao_takes_the_longest_block():
-    assert P.pick_baijiahao_text("<div>aa</div><div>aaaa</div><div>aaab</div>") == "aaaa"
+def test_baijiahao_takes_the_longest_block(spark):
+    known = "<div>aaaaaaaaa</div><p class='my-article-content'>b</p>"
+    got = _main_texts(spark, "baijiahao", "<div>aa</div><div>aaaa</div><div>aaab</div>", known, "none", "<div>a<div>b</div></div>")
+    assert got == ["aaaa", "b", "", "a\nb"]
 
 
 def test_deep_nesting_does_not_recurse():

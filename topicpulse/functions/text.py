@@ -26,8 +26,7 @@ AD_PATTERNS = [
     r"[★☆❤✦✧►▶→]?\s*(点击)?(关注|点赞|转发|收藏|分享|订阅|在看|三连)[一下我们本号吧哦呀啊!！\s]*",
     r"(关注|扫码关注|长按识别|搜索)(公众号|微信号|服务号|订阅号)[「【\s]*\S{0,20}[」】]?\s*",
     r"扫[一]?码(关注|添加|领取|下载)[^\n]{0,30}",
-    r"(限时(优惠|免费|特价|折扣)|点击(购买|领取|下载|报名)|免费(领取|试[用听看]|课程)"
-    r"|立即(购买|报名|领取|下载)|(优惠|活动|福利)(仅限|截止|即将|最后))[^\n]{0,40}",
+    r"(限时(优惠|免费|特价|折扣)|点击(购买|领取|下载|报名)|免费(领取|试[用听看]|课程)|立即(购买|报名|领取|下载)|(优惠|活动|福利)(仅限|截止|即将|最后))[^\n]{0,40}",
     r"(下载|安装|打开)\s*(APP|App|app|客户端|应用)[^\n]{0,30}",
     r"(?m)^[\s]*(广告|推广|赞助|商业推广|品牌合作)\s*$",
     r"""https?://[^\s<>"')\]]+""",
@@ -41,8 +40,7 @@ BOILERPLATE_PATTERNS = [
     r"All [Rr]ights [Rr]eserved[.\s]*",
     r"(本文(转载自|来自|来源[：:]|选自|摘自|首发[于在]))[^\n]{0,60}",
     r"(来源|出处|作者|编辑|责编|责任编辑)\s*[：:]\s*\S{1,30}",
-    r"(免责声明|声明[：:]|侵权请联系|如有侵权|如需转载|转载请注明"
-    r"|本[文平台号站]仅|不代表本[平台号站]|仅供(参考|学习|交流))[^\n]{0,100}",
+    r"(免责声明|声明[：:]|侵权请联系|如有侵权|如需转载|转载请注明|本[文平台号站]仅|不代表本[平台号站]|仅供(参考|学习|交流))[^\n]{0,100}",
     r"(上一篇|下一篇|相关(文章|阅读|推荐)|猜你喜欢)\s*[：:]?\s*\S{0,50}",
     r"(阅读|查看|点击)\s*原文[^\n]{0,20}",
 ]

@@ -16,13 +16,27 @@ from topicpulse.operators.relations import article_comments, comment_digest
 
 _OPEN = "\x02"
 
-# What the extraction prompts ask for.
-_FIELDS = """   - title: 需求标题（不超过30个字符）
+# The extraction prompts.
+ARTICLE_PROMPT = """你是一位资深的职场需求分析师。请从以下文章中提取核心职场问题和需求。
+
+文章标题: {title}
+来源平台: {platform}
+文章内容:
+{content}
+
+请按以下要求提取需求：
+1. 识别文章中反映的核心职场问题或需求
+2. 每个需求包含以下字段：
+   - title: 需求标题（不超过30个字符）
    - description: 需求描述（2-3句话概括该需求的具体表现和影响）
    - category: 从以下9个类别中选择一个：沟通协作、职业发展、求职面试、团队管理、职场情绪、职场关系、工作效率、薪酬福利、行业洞察
    - subcategory: 所属子类别
-"""
-_ANSWER = """
+   - tags: 1-3个标签，用于进一步描述该需求的关键特征
+   - importance_score: 重要性评分（0-10），根据需求的普遍性和紧迫性评估
+3. 同时提供文章的简要摘要
+
+输出语言: {language}
+
 请严格按照以下JSON格式输出：
 {{
   "demands": [
@@ -35,32 +49,10 @@ _ANSWER = """
       "importance_score": 8
     }}
   ],
-  "article_summary": "%s"
+  "article_summary": "文章摘要"
 }}
 """
-ARTICLE_PROMPT = (
-    """你是一位资深的职场需求分析师。请从以下文章中提取核心职场问题和需求。
-
-文章标题: {title}
-来源平台: {platform}
-文章内容:
-{content}
-
-请按以下要求提取需求：
-1. 识别文章中反映的核心职场问题或需求
-2. 每个需求包含以下字段：
-"""
-    + _FIELDS
-    + """   - tags: 1-3个标签，用于进一步描述该需求的关键特征
-   - importance_score: 重要性评分（0-10），根据需求的普遍性和紧迫性评估
-3. 同时提供文章的简要摘要
-
-输出语言: {language}
-"""
-    + _ANSWER % "文章摘要"
-)
-COMMENT_PROMPT = (
-    """你是一位用户洞察分析师。请从以下评论中提取职场需求。
+COMMENT_PROMPT = """你是一位用户洞察分析师。请从以下评论中提取职场需求。
 
 注意：评论往往比文章更直接地反映用户的真实痛点和需求，请特别关注：
 - 用户抱怨或吐槽的问题
@@ -73,14 +65,29 @@ COMMENT_PROMPT = (
 
 请按以下要求提取需求：
 1. 每个需求包含以下字段：
-"""
-    + _FIELDS
-    + """   - tags: 1-3个标签
+   - title: 需求标题（不超过30个字符）
+   - description: 需求描述（2-3句话概括该需求的具体表现和影响）
+   - category: 从以下9个类别中选择一个：沟通协作、职业发展、求职面试、团队管理、职场情绪、职场关系、工作效率、薪酬福利、行业洞察
+   - subcategory: 所属子类别
+   - tags: 1-3个标签
    - importance_score: 重要性评分（0-10）
 2. 同时提供评论的整体摘要
+
+请严格按照以下JSON格式输出：
+{{
+  "demands": [
+    {{
+      "title": "需求标题",
+      "description": "需求描述",
+      "category": "类别",
+      "subcategory": "子类别",
+      "tags": ["标签1", "标签2"],
+      "importance_score": 8
+    }}
+  ],
+  "article_summary": "评论整体摘要"
+}}
 """
-    + _ANSWER % "评论整体摘要"
-)
 
 
 def render(template: Column | str, **values: Column) -> Column:
@@ -151,6 +158,14 @@ def _json_object(response: Column) -> Column:
     return S.bind(inner, lambda t: F.when(F.instr(t, "{") > 0, F.substring(t, F.instr(t, "{"), F.length(t))))
 
 
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed once a row, however often it is used.
+
+    Spark copies formulas to where they are used, but not through a generator.
+    """
+    return rows.select("*", F.inline(F.array(F.struct(value.alias(name)))))
+
+
 def parse_response(responses: DataFrame) -> DataFrame:
     """Add ``body`` (VARIANT) or the ``failure`` reason of each response."""
     found = responses.withColumn("_json", _json_object(F.col("response")))
@@ -160,9 +175,9 @@ def parse_response(responses: DataFrame) -> DataFrame:
     fields = F.map_keys(F.try_variant_get("_whole", "$", "map<string,variant>"))
     alone = F.array_sort(fields) == F.array(F.lit("end"), F.lit("v"))
     body = F.when(alone, F.try_variant_get("_whole", "$.v", "variant"))
-    parsed = found.withColumn("_whole", whole).withColumn("body", body).drop("_whole")
     failure = F.when(F.col("_json").isNull(), "no object").when(F.col("body").isNull(), "bad json")
-    return parsed.withColumn("failure", failure).drop("_json")
+    parsed = _once(_once(found, "_whole", whole), "body", body)
+    return parsed.withColumn("failure", failure).drop("_json", "_whole")
 
 
 def _get(row: Column, name: str) -> Column:
@@ -186,8 +201,8 @@ def validate_demands(parsed: DataFrame) -> DataFrame:
     that is decided inside the row, before the list is exploded.
     """
     items = F.try_variant_get("body", "$.demands", "array<variant>")
-    whole = ~F.exists(items, lambda d: _untitled(d) | _unreadable_score(d))
-    rows = parsed.where("failure IS NULL").withColumn("_items", items).where(whole)
+    whole = ~F.exists("_items", lambda d: _untitled(d) | _unreadable_score(d))
+    rows = _once(parsed.where("failure IS NULL"), "_items", items).where(whole)
     rows = rows.select("article_id", F.posexplode("_items").alias("pos", "d"))
     d = F.col("d")
     tag_list = F.try_variant_get(d, "$.tags", "array<string>")
@@ -208,9 +223,10 @@ def validate_demands(parsed: DataFrame) -> DataFrame:
 def failed_responses(parsed: DataFrame) -> DataFrame:
     """Responses that yield nothing, with the reason."""
     items = F.try_variant_get("body", "$.demands", "array<variant>")
-    wrong = F.when(F.exists(items, _untitled), "demand without title").when(F.exists(items, _unreadable_score), "unreadable score")
+    wrong = F.when(F.exists("_items", _untitled), "demand without title").when(F.exists("_items", _unreadable_score), "unreadable score")
     reason = F.coalesce("failure", wrong)
-    return parsed.withColumn("failure", reason).where("failure IS NOT NULL").drop("body")
+    listed = _once(parsed, "_items", items)
+    return listed.withColumn("failure", reason).where("failure IS NOT NULL").drop("body", "_items")
 
 
 def demand_rows(validated: DataFrame, seen: Column) -> DataFrame:

@@ -98,17 +98,13 @@ def clean_text(s: Store) -> DataFrame:
 
 @query("txt06_main_text")
 def main_text(s: Store) -> DataFrame:
-    return s.spread("pages", "page_id").select("page_id", P.main_text(F.col("html")).alias("text"))
+    return P.with_main_text(s.raw("pages").select("page_id", "html"), "html", "text").select("page_id", "text")
 
 
 @query("txt07_page_text")
 def page_text(s: Store) -> DataFrame:
-    html = F.col("html")
-    return s.spread("pages", "page_id").select(
-        "page_id",
-        P.main_text(html, "feed").alias("feed_text"),
-        P.main_text(html, "baijiahao").alias("baijiahao_text"),
-    )
+    pages = P.with_main_text(s.raw("pages").select("page_id", "html"), "html", "feed_text", "feed")
+    return P.with_main_text(pages, "html", "baijiahao_text", "baijiahao").select("page_id", "feed_text", "baijiahao_text")
 
 
 @query(

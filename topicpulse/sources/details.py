@@ -169,15 +169,15 @@ def weixin(rows: DataFrame) -> DataFrame:
 
 
 def baidu(rows: DataFrame) -> DataFrame:
-    content = page_text.main_text(F.col("payload"), "baijiahao")
+    rows = page_text.with_main_text(rows, "payload", "main_text", "baijiahao")
     about = F.trim(meta_description(F.col("payload")))
-    return _fields(rows, content, F.col("payload"), lambda c: F.coalesce(about, X.trim_space(S.text_prefix(c))))
+    return _fields(rows, F.col("main_text"), F.col("payload"), lambda c: F.coalesce(about, X.trim_space(S.text_prefix(c))))
 
 
 def rss_page(rows: DataFrame) -> DataFrame:
-    content = page_text.main_text(F.col("payload"), "feed")
+    rows = page_text.with_main_text(rows, "payload", "main_text", "feed")
     about = F.trim(meta_description(F.col("payload")))
-    return _fields(rows, content, F.col("payload"), lambda c: F.coalesce(about, X.trim_space(S.text_prefix(c))))
+    return _fields(rows, F.col("main_text"), F.col("payload"), lambda c: F.coalesce(about, X.trim_space(S.text_prefix(c))))
 
 
 DETAIL_READERS = {
@@ -205,6 +205,13 @@ def detail_fields(platform: str, rows: DataFrame) -> DataFrame:
 
 # --- comments inside pages --------------------------------------------------
 
+# Comment entries of a search-engine page, and their author, text and likes.
+COMMENT_LISTS, COMMENT_ITEM = ".comment-list, .c-comment", ".comment-item"
+OTHER_COMMENT_LIST, OTHER_COMMENT_ITEM = "[class*=comment]", ".item"
+COMMENT_USER = ".comment-user, .user-name, [class*=name]"
+COMMENT_TEXT = ".comment-content, .content, [class*=content]"
+COMMENT_LIKES = ".like-count, .praise, [class*=like]"
+
 # Reply entries of a discussion page.
 REPLY_ITEM = r'(?s)<li[^>]+class="[^"]*comment-item[^"]*"[^>]*>(.*?)</li>'
 REPLY_NAME = r'(?s)<a[^>]+class="[^"]*reply-doc[^"]*"[^>]*>.*?<span[^>]*>([^<]+)</span>'
@@ -231,11 +238,10 @@ def baidu_comments(rows: DataFrame) -> DataFrame:
 
     def read(page: str):
         root = D.parse(page)
-        boxes = D.below(root, D.any_of(".comment-list, .c-comment"), D.selector(".comment-item"))
-        boxes += [b for b in D.below(root, D.selector("[class*=comment]"), D.selector(".item")) if b not in boxes]
+        boxes = D.below(root, D.any_of(COMMENT_LISTS), D.selector(COMMENT_ITEM))
+        boxes += [b for b in D.below(root, D.selector(OTHER_COMMENT_LIST), D.selector(OTHER_COMMENT_ITEM)) if b not in boxes]
         for box in boxes:
-            picks = (".comment-user, .user-name, [class*=name]", ".comment-content, .content, [class*=content]", ".like-count, .praise, [class*=like]")
-            nodes = [box.first(D.any_of(css)) for css in picks]
+            nodes = [box.first(D.any_of(css)) for css in (COMMENT_USER, COMMENT_TEXT, COMMENT_LIKES)]
             who, body, likes = (n.text("", strip=True) if n else "" for n in nodes)
             if body:
                 yield who, body, likes or "0"
