@@ -41,6 +41,7 @@ SIMILAR_FROM = 0.8
 BANDS, BAND_ROWS = 40, 6
 SIGMAS = 5.0
 MEMBERS_A_TASK = 2000
+BROADCAST_ROWS = 1 << 22  # rows of a few numbers that are sent to every executor at most
 _TOGETHER = 1 << 19  # words whose signatures are found together
 _SALT = [np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)]
 
@@ -196,8 +197,8 @@ def shingle_owners(open_texts: DataFrame, docs: DataFrame) -> DataFrame:
             columns = [batch.column("doc_id").take(pa.array(text)), pa.array(key.astype(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, names=["rep", "shingle"])
 
-    reps = open_texts.select(F.col("rep").alias("doc_id")).distinct()
-    rows = docs.select("doc_id", "text").join(reps, "doc_id", "left_semi").mapInArrow(run, "rep long, shingle long")
+    reps = open_texts.select(F.col("rep").alias("doc_id"))
+    rows = docs.select("doc_id", "text").join(sent(reps), "doc_id", "left_semi").mapInArrow(run, "rep long, shingle long")
     least, most, n = F.min("rep"), F.max("rep"), F.count(F.lit(1))
     third = F.bit_xor("rep").bitwiseXOR(least).bitwiseXOR(most)
     # Rows may repeat an id; then a shingle may count as one of more texts, which only weakens the bound.
@@ -222,12 +223,21 @@ def within_reach(similar_from: float, alone: str | None = None) -> F.Column:
     return plain & ((1 - u) * (1 - v) >= similar_from * (1 - u * v) - 1e-9) if alone else plain
 
 
+def sent(table: DataFrame) -> DataFrame:
+    """A written table of few columns, marked to be broadcast if it has at most ``BROADCAST_ROWS`` rows.
+
+    So the texts and signatures it picks need not be shuffled; a larger one is joined by shuffle.
+    """
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def plausible(pairs: DataFrame, kept: DataFrame, similar_from: float) -> DataFrame:
     """The (centre, member) whose sizes and signatures allow the similarity."""
     least = least_agreement(similar_from)
-    own = kept.select("rep", "total", "different", "sign")
-    other = own.select(F.col("rep").alias("centre"), *(F.col(c).alias(f"{c}_y") for c in ("total", "different", "sign")))
-    rows = pairs.join(own, F.col("member") == F.col("rep")).join(other, "centre").filter(within_reach(similar_from))
+    small = sent(pairs)
+    own = kept.select(F.col("rep").alias("member"), "total", "different", "sign").join(small, "member")
+    other = kept.select(F.col("rep").alias("centre"), *(F.col(c).alias(f"{c}_y") for c in ("total", "different", "sign"))).join(small, "centre")
+    rows = own.join(other, ["centre", "member"]).filter(within_reach(similar_from))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,7 +262,7 @@ def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         F.lit(0).alias("is_member"),
     )
     wanted = saved(as_member.unionByName(as_centre), "texts-to-compare")
-    rows = docs.select("doc_id", "text").join(wanted, "doc_id")
+    rows = docs.select("doc_id", "text").join(sent(wanted), "doc_id")
     rows = rows.repartition("centre", "part").sortWithinPartitions("centre", "part", "is_member", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +319,7 @@ def near_duplicates(docs: DataFrame, similar_from: float = SIMILAR_FROM) -> Data
     rows = kept.select("rep", F.explode("bands").alias("bucket"))
     # Written, so that the join knows its size.
     sizes = saved(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "bucket-sizes")
-    crowded = saved(rows.join(sizes, "bucket"), "shared-buckets")
+    crowded = saved(rows.join(sent(sizes), "bucket"), "shared-buckets")
     # The member that meets the others most often is the centre: a text next to its many copies.
     meets = crowded.groupBy("rep").agg(F.sum("n").alias("meets"))
     centre = F.max(F.struct("meets", (-F.col("rep")).alias("minus")))["minus"]
@@ -326,10 +336,11 @@ def near_duplicates(docs: DataFrame, similar_from: float = SIMILAR_FROM) -> Data
     split = labelled.join(largest.filter("labels > 1").drop("labels"), "bucket")
     split = split.withColumn("is_main", F.col("label") == F.col("main")).drop("main")
     split = saved(split, "split-buckets")
-    owners = shingle_owners(split, docs)
+    opened = saved(split.select("rep", "label").distinct(), "open-labels")
+    owners = shingle_owners(opened, docs)
     held = owners.select(F.explode("holders").alias("rep"), (F.size("holders") == 1).cast("long").alias("private"))
     held = held.groupBy("rep").agg(F.sum("private").alias("private"), F.count(F.lit(1)).alias("rare"))
-    weights = kept.select("rep", "total", "different", "bands").join(split.select("rep", "label").distinct(), "rep")
+    weights = kept.select("rep", "total", "different", "bands").join(sent(opened), "rep")
     weights = weights.join(held, "rep", "left").fillna(0, ["private", "rare"])
     # No similarity exceeds the share of a text's weight that others can have.
     weights = saved(weights.filter(F.col("private") <= (1 - similar_from) * F.col("total")), "open-texts")
