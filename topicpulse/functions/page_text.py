@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from topicpulse.functions import text as X
+from topicpulse.session import saved
 
 # Where pages keep their article body, best first.
 ARTICLE_SELECTORS = [
@@ -47,12 +48,11 @@ def _matches(selector: str) -> Column:
     tag, kind, name, attribute, part, value = _SELECTOR.fullmatch(selector).groups()
     hit = F.col("tag") == tag if tag else F.lit(True)
     if kind == ".":
-        hit &= F.array_contains(F.split(_attribute("class"), r"\s+"), name)
+        hit &= F.concat(F.lit(" "), "class", F.lit(" ")).contains(f" {name} ")
     elif kind == "#":
-        hit &= _attribute("id") == name
+        hit &= F.col("id") == name
     elif attribute:
-        own = _attribute(attribute)
-        hit &= own.contains(value) if part else own == value
+        hit &= F.col(attribute).contains(value) if part else F.col(attribute) == value
     return hit
 
 
@@ -80,7 +80,7 @@ def tag_rows(pages: DataFrame, drop: list[str], twice: bool = False) -> DataFram
 
 
 def elements(rows: DataFrame) -> DataFrame:
-    """(page, pos, tag, attributes, stop, chars): each element's span of rows, and its text's length with line breaks."""
+    """(page, pos, tag, class, id, role, stop, chars): each element's span of rows, and its text's length with line breaks."""
     in_order = W.partitionBy("page", "tag").orderBy("pos")
     level = F.sum(F.when(F.col("closing"), -1).otherwise(1)).over(in_order)
     leveled = rows.withColumn("level", level + F.col("closing").cast("int"))
@@ -96,8 +96,11 @@ def elements(rows: DataFrame) -> DataFrame:
     size = F.coalesce("end.size", "all_size") - F.col("size")
     full = F.coalesce("end.full", "all_full") - F.col("full")
     opened = ends.filter(~F.col("closing") & ~F.col("tag").isin(_VOID))
+    names = [F.when(F.col("attributes").contains("="), value).otherwise("").alias(name) for name, value in (
+        ("class", F.regexp_replace(_attribute("class"), r"\s+", " ")), ("id", _attribute("id")), ("role", _attribute("role"))
+    )]
     return opened.select(
-        "page", "pos", "tag", "attributes", F.coalesce("end.pos", "last").alias("stop"), (size + F.greatest(full - 1, F.lit(0))).alias("chars")
+        "page", "pos", "tag", *names, F.coalesce("end.pos", "last").alias("stop"), (size + F.greatest(full - 1, F.lit(0))).alias("chars")
     )
 
 
@@ -123,8 +126,8 @@ def _joined(rows: DataFrame, spans: DataFrame, by: list[str], glue: str) -> Data
 
 def _article(pages: DataFrame) -> DataFrame:
     """Paragraphs of the first article container, else of the body; without paragraphs all its text."""
-    rows = tag_rows(pages, NON_CONTENT_TAGS, twice=True)
-    found = elements(rows)
+    rows = saved(tag_rows(pages, NON_CONTENT_TAGS, twice=True), "page-tags")
+    found = saved(elements(rows), "page-elements")
     ranks = found.withColumn("place", _ranked(found, [*ARTICLE_SELECTORS, "body", _ROOT])).filter("place IS NOT NULL")
     box = _first(ranks, F.col("place"))
     limits = box.select("page", F.col("pos").alias("box_start"), F.col("stop").alias("box_stop"))
@@ -139,8 +142,8 @@ def _article(pages: DataFrame) -> DataFrame:
 
 def _feed(pages: DataFrame) -> DataFrame:
     """The first element of the best selector whose text is long enough, else the body."""
-    rows = tag_rows(pages, FEED_NON_CONTENT)
-    found = elements(rows)
+    rows = saved(tag_rows(pages, FEED_NON_CONTENT), "page-tags")
+    found = saved(elements(rows), "page-elements")
     asked = [*FEED_SELECTORS, "body", _ROOT]
     # An element may fit several selectors; each selector's first element counts.
     fits = F.filter(F.array(*(F.when(_matches(c), k) for k, c in enumerate(asked))), lambda x: x.isNotNull())
@@ -152,8 +155,8 @@ def _feed(pages: DataFrame) -> DataFrame:
 
 def _baijiahao(pages: DataFrame) -> DataFrame:
     """The first known container, else the longest div (the first among equals)."""
-    rows = tag_rows(pages, ["script", "style"])
-    found = elements(rows)
+    rows = saved(tag_rows(pages, ["script", "style"]), "page-tags")
+    found = saved(elements(rows), "page-elements")
     place = F.coalesce(_ranked(found, BAIJIAHAO_SELECTORS), F.when(F.col("tag") == "div", len(BAIJIAHAO_SELECTORS)))
     ranks = found.withColumn("place", place).filter("place IS NOT NULL")
     longest = F.when(F.col("place") == len(BAIJIAHAO_SELECTORS), -F.col("chars")).otherwise(0)
