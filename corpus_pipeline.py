@@ -2,7 +2,7 @@
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, folder) and returns a
 DataFrame, which is written as Parquet and read back as the next one's documents. All but
-the last return the columns of ``documents``; ``n_chars`` follows the text. The operators
+the last return the columns of ``documents``; ``n_chars``, where there is one, follows the text. The operators
 define what becomes of nulls, empty texts, repeated rows and empty tables.
 """
 
@@ -18,6 +18,8 @@ from topicpulse.session import saved
 
 
 def _measured(docs: DataFrame) -> DataFrame:
+    if "n_chars" not in docs.columns:
+        return docs
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
