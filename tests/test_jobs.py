@@ -4,11 +4,12 @@ import datetime as dt
 import os
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from topicpulse.functions import html_dom
 from topicpulse.functions import page_text as P
-from topicpulse.operators import ingest, reports, updates
+from topicpulse.operators import ingest, ranges, reports, updates
 from topicpulse.operators import relations as R
 from topicpulse.session import new_folder
 from topicpulse.streaming import jobs as J
@@ -30,17 +31,69 @@ def _staged(spark, parts):
     return folder
 
 
+def _running(rows):
+    """Brute force: the streak after each row, in order of (start_time, id) by platform."""
+    runs, n = {}, {}
+    for i, platform, at, status in sorted(rows, key=lambda r: (r[2], r[0])):
+        n[platform] = 0 if status == "completed" else n.get(platform, 0) + 1
+        runs[i] = n[platform]
+    return runs
+
+
 def test_streak_is_carried_over_batches(spark):
-    states = ["failed"] * 3 + ["completed"] + ["failed"] * 7
-    first, second = _log(enumerate(states[:6])), _log([(i, s) for i, s in enumerate(states) if i >= 6])
-    second += _log([(100 + i, "failed") for i in range(5)], "other")
-    folder = _staged(spark, [spark.createDataFrame(p, LOG) for p in (first, second)])
-    crossings = J.VersionedTable(spark, new_folder(spark, "c"))
-    state = J.VersionedTable(spark, new_folder(spark, "s"))
-    J.failure_streak_stream(J.read_stream(spark, folder, files_per_batch=1), crossings, state)
-    assert crossings.versions() == [0, 1]
-    assert {(r.id, r.platform) for r in J.all_versions(crossings).collect()} == {(8, "hot"), (104, "other")}
-    assert {(r.platform, r.streak) for r in state.latest().collect()} == {("hot", 7), ("other", 5)}
+    """Rows late by less than the delay count in their place; later ones are dropped and counted."""
+    import random
+
+    rng = random.Random(3)
+    rows = _log([(i, rng.choice(["failed", "failed", "failed", "completed"])) for i in range(200)])
+    rows += [(1000 + i, "other", r[2], "failed") for i, r in enumerate(rows)]
+    # Hour h arrives in batch h // 50, every fifth row one batch (50 hours) late.
+    batch = lambda r: min(int((r[2] - dt.datetime(2024, 1, 1)).total_seconds() // 3600) // 50 + (r[0] % 5 == 1), 4)
+    parts = [[r for r in rows if batch(r) == n] for n in range(5)]
+    too_late = (5000, "hot", dt.datetime(2024, 1, 1, 0, 30), "completed")
+    parts[4].append(too_late)
+    folder = _staged(spark, [spark.createDataFrame(p, LOG) for p in parts])
+    stream = J.failure_streak_stream(J.read_stream(spark, folder, files_per_batch=1), delay="101 hours")
+    out, late = J.run_counted(stream)
+    passed = dt.datetime(2024, 1, 1) + dt.timedelta(hours=199 - 101)
+    want = {i for i, n in _running(rows).items() if n == 5}
+    times = {r[0]: r[2] for r in rows}
+    assert {r.id for r in out.collect()} == {i for i in want if times[i] < passed}
+    assert late == 1
+
+
+def test_a_platform_of_one_day_fills_all_ranges(spark):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, "hot", start + dt.timedelta(seconds=i // 3), "completed" if i % 37 == 5 else "failed") for i in range(20_000)]
+    rows += [(30_000 + i, None if i % 2 else "b", None if i == 4 else start, "failed") for i in range(6)]
+    logs = spark.createDataFrame(rows, LOG)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        cut = ranges.in_ranges(logs.repartition(8), ["platform", "start_time", "id"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in cut.groupBy("_part").count().collect()]
+    assert len(sizes) >= 7 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    got = {r.id: r.streak for r in ingest.failure_streaks(logs, F.col("status") != "completed").collect()}
+    assert len(got) == len(rows)
+    assert {i: n for i, n in got.items() if i < 30_000} == {i: n for i, n in _running(rows[:20_000]).items()}
+    assert sorted(n for i, n in got.items() if i >= 30_000) == [1, 1, 2, 2, 3, 3]
+
+
+def test_running_sum_by_key(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, rng.choice([None, "a", "a", "a", "b"]), rng.choice([None, 1, 2, 3])) for i in range(500)]
+    frame = spark.createDataFrame(rows, "i bigint, k string, v bigint").repartition(8)
+    want, sums = {}, {}
+    for i, k, v in rows:
+        sums[k] = sums.get(k, 0) + (v or 0)
+        want[i] = sums[k]
+    got = ranges.running_sum(frame, ["k"], ["i"], F.col("v"), "s")
+    assert got.columns == ["i", "k", "v", "s"]
+    assert {r.i: r.s for r in got.collect()} == want
+    assert ranges.running_sum(frame.limit(0), ["k"], ["i"], F.col("v"), "s").collect() == []
 
 
 def test_streaks_do_not_depend_on_the_segments(spark):
@@ -102,14 +155,63 @@ def test_digest_of_a_crowded_article_is_one_row(spark):
     assert got[1].comments.split("\n") == [f"[u] (👍{i}): c{i}" for i in range(25_000)]
 
 
-def test_merge_chains_are_rejected(spark):
-    demands = spark.createDataFrame([(i, "t", 1, "new") for i in range(5)], "id bigint, title string, frequency bigint, status string")
-    merges = spark.createDataFrame(
-        [(0, 1, None, 1), (1, 2, None, 2), (3, 9, None, 3), (4, 4, None, 4), (1, 3, None, 5)], "source bigint, target bigint, notes string, ord bigint"
+def _in_turn(demands, links, merges):
+    """Brute force: one request after another. Returns demands, links and rejected requests."""
+    demands, links = {i: [f, "new", None] for i, f in demands}, dict(links)
+    gone, rejected = set(), set()
+    for source, target, notes, ord_ in sorted(merges, key=lambda m: m[3]):
+        if source == target or source in gone or source not in demands or target not in demands:
+            rejected.add(ord_)
+            continue
+        gone.add(source)
+        for article, at in [k for k in links if k[1] == source]:
+            score = links.pop((article, at))
+            links.setdefault((article, target), score)
+        demands[target][0] += demands[source][0]
+        demands[source][1:] = ["merged", f"Merged into demand #{target}" + (f" — {notes}" if notes else "")]
+    return {(i, *v) for i, v in demands.items()}, {(*k, v) for k, v in links.items()}, rejected
+
+
+def _merged(spark, demands, links, merges):
+    d = spark.createDataFrame([(i, "t", f, "new") for i, f in demands], "id bigint, title string, frequency bigint, status string")
+    m = spark.createDataFrame(merges, "source bigint, target bigint, notes string, ord bigint")
+    k = spark.createDataFrame([(*k, v) for k, v in links.items()], "article_id bigint, demand_id bigint, relevance_score double")
+    plan, rejected = updates.merge_plan(m, d)
+    after = updates.merge_demands_into(d, plan)
+    return (
+        {(r.id, r.frequency, r.status, r.notes) for r in after.collect()},
+        {(r.article_id, r.demand_id, r.relevance_score) for r in updates.merge_links(k, plan).collect()},
+        {r.ord for r in rejected.collect()},
     )
-    valid, rejected = updates.merge_plan(merges, demands)
-    assert [(r.source, r.target) for r in valid.collect()] == [(1, 2)]
-    assert sorted(r.ord for r in rejected.collect()) == [1, 3, 4, 5]
+
+
+def test_merge_chains_and_cycles(spark):
+    demands = [(i, 10**i) for i in range(8)]
+    links = {(a, d): a + d / 10 for a in range(3) for d in range(8) if (a + d) % 3}
+    # a chain in order, a chain against it, a cycle; unknown, own and repeated sources
+    merges = [(0, 1, "x", 1), (1, 2, None, 2), (4, 5, None, 4), (3, 4, "", 5), (6, 7, None, 6), (7, 6, None, 7)]
+    merges += [(9, 1, None, 8), (2, 9, None, 9), (2, 2, None, 10), (0, 3, None, 11)]
+    got = _merged(spark, demands, links, merges)
+    assert got == _in_turn(demands, links, merges)
+    assert got[2] == {8, 9, 10, 11}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_merges_equal_requests_in_turn(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    demands = [(i, rng.randint(1, 9)) for i in range(60)]
+    links = {(rng.randrange(12), rng.randrange(60)): float(i) for i in range(250)}
+    merges = [(rng.randrange(60), rng.randrange(12 if seed == 1 else 60), None, o) for o in range(120)]
+    # one long chain on top
+    merges += [(i, i + 1, None, 200 + i) for i in range(59)]
+    assert _merged(spark, demands, links, merges) == _in_turn(demands, links, merges)
+
+
+def test_no_merge_requests(spark):
+    demands, links = [(1, 5), (2, 6)], {(1, 1): 0.5, (1, 2): 0.25}
+    assert _merged(spark, demands, links, []) == _in_turn(demands, links, [])
 
 
 def test_the_last_supplied_change_counts(spark):

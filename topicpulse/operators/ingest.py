@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from topicpulse.functions import scalars as S
+from topicpulse.operators.ranges import in_ranges
 
 
 def union_sources(frames: list[DataFrame]) -> DataFrame:
@@ -60,21 +61,20 @@ def run_limit(rows: DataFrame, limit: int, order: list[str]) -> DataFrame:
 
 
 def failure_streaks(
-    logs: DataFrame,
-    failed: Column,
-    threshold: int = 5,
-    segment: Column | None = None,
-    carried: DataFrame | None = None,
+    logs: DataFrame, failed: Column, threshold: int = 5, segment: Column | None = None
 ) -> DataFrame:
     """Consecutive failures so far on each platform, and whether it is blocked.
 
-    A platform may own most of the log, so its history is cut into segments (days
-    by default): streaks are counted inside a segment, and one small row per
-    segment carries the open streak into the next. ``carried`` holds streaks still open
-    from before, as ``(platform, streak)``.
+    A platform may own most of the log, so the log is cut into sorted ranges: streaks
+    are counted inside a range, and one small row per platform and range carries the open
+    streak into the next. ``segment`` names other cuts, in the order of time.
+    A row whose ``failed`` is NULL counts as a failure; rows without a platform form one of their own.
     """
-    cut = F.to_date("start_time") if segment is None else segment
-    rows = logs.withColumn("_seg", cut).withColumn("_ok", ~failed)
+    rows = logs.withColumn("_ok", ~failed)
+    if segment is None:
+        rows = in_ranges(rows, ["platform", "start_time", "id"]).withColumnRenamed("_part", "_seg")
+    else:
+        rows = rows.withColumn("_seg", segment)
     inside = W.partitionBy("platform", "_seg").orderBy("start_time", "id")
     rows = rows.withColumn("_i", F.row_number().over(inside))
     so_far = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -82,25 +82,24 @@ def failure_streaks(
     rows = rows.withColumn("_local", F.col("_i") - F.coalesce("_hit", F.lit(0)))
 
     parts = rows.groupBy("platform", "_seg").agg(
-        F.max_by("_local", "_i").alias("_tail"), F.max(F.col("_ok").cast("int")).alias("_reset")
+        F.max_by("_local", "_i").alias("_tail"), F.max(F.coalesce(F.col("_ok").cast("int"), F.lit(0))).alias("_reset")
     )
-    if carried is not None:
-        # The past sorts first: an extra segment without a key.
-        past = carried.select("platform", F.col("streak").alias("_tail"), F.lit(0).alias("_reset"))
-        parts = parts.unionByName(past, allowMissingColumns=True)
-    along = W.partitionBy("platform").orderBy(F.asc_nulls_first("_seg"))
+    along = W.partitionBy("platform").orderBy("_seg")
     island = F.sum("_reset").over(along.rowsBetween(W.unboundedPreceding, W.currentRow))
     parts = parts.withColumn("_island", island)
-    open_run = W.partitionBy("platform", "_island").orderBy(F.asc_nulls_first("_seg"))
+    open_run = W.partitionBy("platform", "_island").orderBy("_seg")
     parts = parts.withColumn("_open", F.sum("_tail").over(open_run.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    carry = parts.select("platform", "_seg", F.coalesce(F.lag("_open").over(along), F.lit(0)).alias("_carry"))
+    carry = parts.select(
+        F.col("platform").alias("_p"), F.col("_seg").alias("_s"), F.coalesce(F.lag("_open").over(along), F.lit(0)).alias("_carry")
+    )
 
     streak = F.col("_local") + F.when(F.col("_hit").isNull(), F.col("_carry")).otherwise(0)
+    here = F.col("platform").eqNullSafe(F.col("_p")) & F.col("_seg").eqNullSafe(F.col("_s"))
     return (
-        rows.join(carry, ["platform", "_seg"])
+        rows.join(carry, here)
         .withColumn("streak", streak.cast("bigint"))
         .withColumn("blocked", F.col("streak") >= threshold)
-        .drop("_seg", "_ok", "_i", "_hit", "_local", "_carry")
+        .drop("_seg", "_ok", "_i", "_hit", "_local", "_carry", "_p", "_s")
     )
 
 

@@ -23,23 +23,24 @@ def _article_stream(s: Store) -> DataFrame:
         F.concat(F.lit("p"), (F.col("n_chars") % 12).cast("string")).alias("platform"),
         F.md5("text").alias("platform_id"),
         first_line("text", 60).alias("title"),
+        F.col("text").alias("content"),
         S.epoch_seconds(1_704_067_200 + F.col("doc_id") * 3600).alias("crawl_time"),
     )
 
 
-@query("str01_stream_ingest_dedup", "SELECT DISTINCT platform, platform_id, title FROM articles")
+@query("str01_stream_ingest_dedup", "SELECT DISTINCT platform, platform_id, title, content FROM articles")
 def stream_ingest_dedup(s: Store) -> DataFrame:
-    return J.run_to_table(J.first_arrivals(_article_stream(s)).select("platform", "platform_id", "title"))
+    return J.run_to_table(J.first_arrivals(_article_stream(s)).select("platform", "platform_id", "title", "content"))
 
 
 @query(
     "str02_stream_upsert",
-    "SELECT platform, platform_id, any_value(title) AS title FROM articles GROUP BY platform, platform_id",
+    "SELECT platform, platform_id, any_value(title) AS title, any_value(content) AS content FROM articles GROUP BY platform, platform_id",
 )
 def stream_upsert(s: Store) -> DataFrame:
     table = J.VersionedTable(s.spark, new_folder(s.spark, "articles"))
     J.upsert_stream(_article_stream(s).withColumn("ord", F.col("id")), table, "ord")
-    return table.latest().select("platform", "platform_id", "title")
+    return table.latest().select("platform", "platform_id", "title", "content")
 
 
 @query(
@@ -52,17 +53,31 @@ def stream_snapshot(s: Store) -> DataFrame:
     return J.run_to_table(J.weekly_snapshots(mentions))
 
 
-@query(
-    "str04_stream_failure_streak",
-    """SELECT id, platform, start_time, CAST(5 AS BIGINT) AS streak FROM (SELECT *, count(*) FILTER (status <> 'completed') OVER (PARTITION BY platform, island
+def _arrivals(s: Store, table: str, time: str, key: str, days: int = 8, late_days: int = 2) -> DataFrame:
+    """The table as a stream of several files: each holds the rows of some days, every seventh
+    row ``late_days`` after its time."""
+    rows = s.raw(table)
+    shift = F.when(F.col(key) % 7 == 3, late_days).otherwise(0)
+    number = F.floor((F.unix_seconds(F.col(time).cast("timestamp")) / 86_400 + shift) / days).cast("bigint")
+    rows = rows.withColumn("_batch", F.coalesce(number, F.lit(0)))
+    first, last = rows.agg(F.min("_batch"), F.max("_batch")).first()
+    folder = new_folder(s.spark, "arrivals")
+    for n in range(first or 0, (last or 0) + 1):
+        rows.where(F.col("_batch") == n).drop("_batch").coalesce(1).write.mode("append").parquet(folder)
+    return J.read_stream(s.spark, folder, files_per_batch=1)
+
+
+_STREAKS = """SELECT id, platform, start_time, CAST(5 AS BIGINT) AS streak FROM (SELECT *, count(*) FILTER (status <> 'completed') OVER (PARTITION BY platform, island
          ORDER BY start_time, id ROWS UNBOUNDED PRECEDING) AS n FROM (SELECT *, sum(CASE WHEN status = 'completed' THEN 1 ELSE 0 END)
-         OVER (PARTITION BY platform ORDER BY start_time, id ROWS UNBOUNDED PRECEDING) AS island FROM crawl_logs)) WHERE n = 5 AND status <> 'completed'""",
-)
+         OVER (PARTITION BY platform ORDER BY start_time, id ROWS UNBOUNDED PRECEDING) AS island FROM crawl_logs)) WHERE n = 5 AND status <> 'completed'
+         AND epoch_ms(start_time) < (SELECT epoch_ms(max(start_time)) FROM crawl_logs) - {days} * 86400000"""
+
+
+@query("str04_stream_failure_streak", _STREAKS.format(days=3))
 def stream_failure_streak(s: Store) -> DataFrame:
-    crossings = J.VersionedTable(s.spark, new_folder(s.spark, "crossings"))
-    state = J.VersionedTable(s.spark, new_folder(s.spark, "streaks"))
-    J.failure_streak_stream(crawl_logs_of(_stream(s, "events")), crossings, state)
-    return J.all_versions(crossings)
+    """Streaks over several batches with late rows; the last three days still wait."""
+    logs = crawl_logs_of(_arrivals(s, "events", "ts", "event_id"))
+    return J.run_to_table(J.failure_streak_stream(logs, delay="3 days"))
 
 
 @query("str05_stream_alerts", "SELECT id, title, importance_score FROM demands WHERE importance_score > 8")

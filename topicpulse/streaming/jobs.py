@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from topicpulse.operators import ingest, library
-from topicpulse.session import new_folder, saved
+from topicpulse.session import new_folder
 
 
 def read_stream(
@@ -24,19 +28,41 @@ def read_stream(
     return reader.parquet(folder)
 
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def _state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, which stateful processors need."""
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before)
+
+
 def run_to_table(stream: DataFrame, output: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Process everything available into an append-only table and read it back."""
+    return run_counted(stream, output, checkpoint)[0]
+
+
+def run_counted(stream: DataFrame, output: str | None = None, checkpoint: str | None = None) -> tuple[DataFrame, int]:
+    """``run_to_table`` with the number of rows that came after the watermark and were dropped."""
     spark = stream.sparkSession
     out = output or new_folder(spark, "stream")
-    query = (
-        stream.writeStream.format("parquet")
-        .option("checkpointLocation", checkpoint or new_folder(spark, "stream-state"))
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start(out)
-    )
+    with _state_on_disk(spark):
+        query = (
+            stream.writeStream.format("parquet")
+            .option("checkpointLocation", checkpoint or new_folder(spark, "stream-state"))
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start(out)
+        )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    late = sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
+    return spark.read.schema(stream.schema).parquet(out), late
 
 
 def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str | None = None) -> None:
@@ -117,33 +143,91 @@ def weekly_snapshots(mentions: DataFrame, delay: str = "30 days") -> DataFrame:
     )
 
 
-def failure_streak_stream(
-    logs: DataFrame, crossings: VersionedTable, state: VersionedTable, threshold: int = 5
-) -> None:
-    """Rows at which a platform reaches ``threshold`` failures in a row.
-
-    The open streak of every platform is carried from batch to batch in a small state
-    table; inside a batch the history is cut into segments, so a platform that owns
-    most of the log is still counted by many tasks.
+class _Streaks(StatefulProcessor):
+    """Failure streak of a platform; rows wait until the watermark has passed them."""
+
+    def __init__(self, threshold: int) -> None:
+        self.threshold = threshold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at bigint, id bigint, failed boolean")
+        self.streak = handle.getValueState("streak", "n bigint")
+        self.due = handle.getValueState("due", "at bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        earliest = None
+        for batch in rows:
+            at = batch["at"].to_numpy("int64")
+            self.waiting.appendList(list(zip(at.tolist(), batch["id"].tolist(), batch["failed"].tolist())))
+            low = int(at.min()) // 1000
+            earliest = low if earliest is None else min(earliest, low)
+        if earliest is not None:
+            self._wake(earliest, timerValues.getCurrentWatermarkInMs())
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.due.clear()
+        now = timerValues.getCurrentWatermarkInMs()
+        rows = pd.DataFrame(list(self.waiting.get()), columns=["at", "id", "failed"])
+        ready = rows["at"] // 1000 < now
+        later = rows[~ready]
+        if later.empty:
+            self.waiting.clear()
+        else:
+            self.waiting.put(list(later.itertuples(index=False, name=None)))
+            self._wake(int(later["at"].min()) // 1000, now)
+        done = rows[ready].sort_values(["at", "id"], ignore_index=True)
+        if done.empty:
+            return
+        open_run = self.streak.get()[0] if self.streak.exists() else 0
+        place = np.arange(1, len(done) + 1)
+        # The last completed run so far; before the first one the open streak goes on.
+        last = np.maximum.accumulate(np.where(done["failed"].to_numpy(bool), -open_run, place))
+        run = place - last
+        self.streak.update((int(run[-1]),))
+        hit = done[run == self.threshold]
+        if len(hit):
+            yield pd.DataFrame(
+                {"id": hit["id"], "platform": key[0], "start_time": pd.to_datetime(hit["at"], unit="us"), "streak": self.threshold}
+            )
+
+    def _wake(self, at: int, now: int) -> None:
+        """One timer a platform, at its earliest waiting row."""
+        at = max(at, now + 1)
+        if self.due.exists():
+            due = self.due.get()[0]
+            if due <= at:
+                return
+            self.handle.deleteTimer(due)
+        self.handle.registerTimer(at)
+        self.due.update((at,))
+
+
+def failure_streak_stream(logs: DataFrame, threshold: int = 5, delay: str = "1 day") -> DataFrame:
+    """Rows at which a platform reaches ``threshold`` failures in a row, as a stream.
+
+    Rows count in the order of ``(start_time, id)``, whichever batch brings them: a row waits
+    in the state until the watermark, ``delay`` behind the newest start, has passed it, so
+    rows that come late by less than ``delay`` take their place. Later ones are dropped and
+    counted by Spark. The state holds the rows of the last ``delay`` and one number a platform.
+    Rows without a platform or a start time take no part; a NULL status counts as a failure.
     """
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        carried = state.before(batch_id)
-        rows = ingest.failure_streaks(batch, F.col("status") != "completed", threshold, carried=carried)
-        # Both results below read it.
-        rows = saved(rows.select("id", "platform", "start_time", "streak"), "streaks")
-        crossings.write(rows.where(F.col("streak") == threshold).select("id", "platform", "start_time", "streak"), batch_id)
-        last = rows.groupBy("platform").agg(F.max_by("streak", F.struct("start_time", "id")).alias("streak"))
-        if carried is not None:
-            last = last.unionByName(carried.join(last, "platform", "left_anti"))
-        state.write(last, batch_id)
-
-    run_batches(logs, each)
-
-
-def all_versions(table: VersionedTable) -> DataFrame:
-    """Rows of every batch."""
-    return table.spark.read.parquet(*[f"{table.path}/batch={v}" for v in table.versions()])
+    timed = logs.where("platform IS NOT NULL AND start_time IS NOT NULL AND id IS NOT NULL").select(
+        "platform",
+        F.col("id").cast("bigint").alias("id"),
+        F.col("start_time").cast("timestamp").alias("time"),
+        F.coalesce(F.col("status") != "completed", F.lit(True)).alias("failed"),
+    )
+    # Microseconds as a number, so that no time zone comes into the Python side.
+    rows = timed.withWatermark("time", delay).withColumn("at", F.unix_micros("time"))
+    crossings = rows.groupBy("platform").transformWithStateInPandas(
+        statefulProcessor=_Streaks(threshold),
+        outputStructType="id bigint, platform string, start_time timestamp_ntz, streak bigint",
+        outputMode="Append",
+        timeMode="EventTime",
+    )
+    return crossings
 
 
 def alerts(demands: DataFrame) -> DataFrame:
