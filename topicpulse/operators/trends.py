@@ -96,15 +96,16 @@ def trend_history(snapshots: DataFrame, periods: int = 12) -> DataFrame:
 
 
 def trend_series(snapshots: DataFrame, demands: DataFrame, as_of: Column, weeks: int = 12) -> DataFrame:
-    """Per demand its points of the last weeks as ``date:frequency`` text, in date order."""
+    """Per demand its points of the last weeks as ``date:frequency:heat score`` text, in date order."""
     since = F.date_sub(F.to_date(as_of), weeks * 7)
-    point = F.struct(F.col("snapshot_date"), F.col("frequency"))
+    heat = F.coalesce("heat_score", F.lit(0.0)).cast("decimal(18,2)").alias("heat")
+    point = F.struct(F.col("snapshot_date"), F.col("frequency"), heat)
     series = (
         snapshots.where(F.col("snapshot_date") >= since)
         .groupBy("demand_id")
         .agg(F.array_sort(F.collect_list(point)).alias("points"))
     )
-    shown = F.transform("points", lambda p: F.concat_ws(":", p["snapshot_date"], p["frequency"]))
+    shown = F.transform("points", lambda p: F.concat_ws(":", p["snapshot_date"], p["frequency"], p["heat"]))
     return series_titles(series, demands).select(
         "demand_id", "title", F.size("points").cast("bigint").alias("n_points"), F.array_join(shown, ",").alias("data")
     )

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicpulse import dims
+from topicpulse import dims, schemas
 from topicpulse.functions import scalars as S
 from topicpulse.operators import library as L
 from topicpulse.operators import relations as R
 from topicpulse.operators import stats as A
 from topicpulse.plans.registry import query
 from topicpulse.sources.tables import SampleStore as Store
+from topicpulse.sources.tables import align_schema, fingerprints
 
 AS_OF = "TIMESTAMP '2024-03-31 00:00:00'"
 ARTICLES_AS_OF = "(SELECT max(crawl_time) FROM articles)"
@@ -42,12 +45,13 @@ _KW = " OR ".join(f"contains(t, '{k.lower()}')" for k in dims.TOPIC_KEYWORDS)
 
 @query(
     "fil01_keyword_relevant",
-    f"""SELECT id, title FROM (SELECT id, tt AS title, lower(concat(tt, ' ', coalesce(summary, ''))) AS t
-        FROM (SELECT id, summary, {SQL_TOPICAL.format(title="title", key="id")} AS tt FROM articles)) WHERE {_KW}""",
+    f"""SELECT id, title FROM (SELECT id, tt AS title, lower(concat(tt, ' ', coalesce(content, ''))) AS t
+        FROM (SELECT id, content, {SQL_TOPICAL.format(title="title", key="id")} AS tt FROM articles)) WHERE {_KW}""",
 )
 def keyword_relevant(s: Store) -> DataFrame:
-    a = s.articles.select("id", topical_title(F.col("title"), F.col("id")).alias("title"), "summary")
-    return a.where(L.keyword_relevant(F.col("title"), F.col("summary"))).select("id", "title")
+    """The whole text stands for the summary, so that a keyword anywhere in it counts."""
+    a = s.articles.select("id", topical_title(F.col("title"), F.col("id")).alias("title"), "content")
+    return a.where(L.keyword_relevant(F.col("title"), F.col("content"))).select("id", "title")
 
 
 @query(
@@ -631,15 +635,49 @@ def table_scan(s: Store) -> DataFrame:
     return out
 
 
+# Some articles without a title are bad rows; comments get the platform their table requires.
+_SCANNED = {
+    "articles": "SELECT * REPLACE (CASE WHEN id % 97 <> 5 THEN title END AS title), NULL::VARCHAR AS raw_html FROM articles",
+    "demands": "SELECT *, NULL::VARCHAR AS notes, NULL::VARCHAR AS semantic_vector, 'zh' AS language FROM demands",
+    "article_demand_relations": "SELECT *, NULL::VARCHAR AS context_snippet FROM article_demand_relations",
+    "hot_comments": "SELECT *, concat('p', article_id % 12) AS platform, NULL::TIMESTAMP AS crawl_time FROM hot_comments",
+    "crawl_logs": "SELECT *, NULL::TIMESTAMP AS end_time, NULL::VARCHAR AS error_message FROM crawl_logs",
+    "trend_snapshots": "SELECT * FROM trend_snapshots",
+    "demand_relations": "SELECT * FROM demand_relations",
+}
+_SQL_TEXT = {"double": "CAST(CAST(floor({} * 1000000 + 0.5) AS BIGINT) AS VARCHAR)", "timestamp_ntz": "strftime({}, '%Y-%m-%d %H:%M:%S.%f')"}
+
+
+def _sql_fingerprints() -> str:
+    parts = []
+    for name, rows in _SCANNED.items():
+        bad = " OR ".join(f"{c} IS NULL" for c in schemas.REQUIRED[name])
+        for field in schemas.TABLES[name].fields:
+            text = _SQL_TEXT.get(field.dataType.simpleString(), "CAST({} AS VARCHAR)").format(field.name)
+            parts.append(
+                f"""SELECT '{name}' AS table_name, '{field.name}' AS column_name, count(*) AS n_rows, count(*) FILTER (bad) AS n_bad, count(x) FILTER (NOT bad) AS n_values,
+                CAST(coalesce(sum(CAST('0x' || substr(md5(x), 1, 8) AS BIGINT)) FILTER (NOT bad), 0) AS VARCHAR) AS fingerprint
+                FROM (SELECT {text} AS x, {bad} AS bad FROM ({rows}))"""
+            )
+    return " UNION ALL ".join(parts)
+
+
+@query("src18_table_fingerprints", _sql_fingerprints())
+def table_fingerprints(s: Store) -> DataFrame:
+    """Every column of the seven tables, read and fingerprinted over its declared schema."""
+    changed = {
+        "articles": s.articles.withColumn("title", F.when(F.col("id") % 97 != 5, F.col("title"))),
+        "hot_comments": s.hot_comments.withColumn("platform", F.concat(F.lit("p"), (F.col("article_id") % 12).cast("string"))),
+    }
+    return reduce(DataFrame.unionByName, [fingerprints(changed.get(n, getattr(s, n)), n) for n in _SCANNED])
+
+
 @query(
     "src20_align_schema",
     """SELECT id, article_id, commenter, like_count, is_analyzed, NULL::VARCHAR AS platform, NULL::TIMESTAMP AS crawl_time FROM
        (SELECT id, article_id, commenter, CAST(0 AS BIGINT) AS like_count, false AS is_analyzed FROM hot_comments)""",
 )
 def align(s: Store) -> DataFrame:
-    from topicpulse import schemas
-    from topicpulse.sources.tables import align_schema
-
     old = s.hot_comments.drop("like_count", "is_analyzed")
     new = align_schema(old, schemas.TABLES["hot_comments"], schemas.DEFAULTS["hot_comments"])
     return new.select("id", "article_id", "commenter", "like_count", "is_analyzed", "platform", "crawl_time")

@@ -130,7 +130,7 @@ def trend_history(s: Store) -> DataFrame:
 @query(
     "trd04_trend_series",
     """SELECT t.demand_id, coalesce(any_value(d.title), concat('Demand #', t.demand_id)) AS title, count(*) AS n_points,
-       string_agg(concat(t.snapshot_date, ':', t.frequency), ',' ORDER BY t.snapshot_date) AS data
+       string_agg(concat(t.snapshot_date, ':', t.frequency, ':', CAST(t.heat_score AS DECIMAL(18, 2))), ',' ORDER BY t.snapshot_date) AS data
        FROM trend_snapshots t LEFT JOIN demands d ON d.id = t.demand_id
        WHERE t.snapshot_date >= DATE '2001-03-01' - 12 * 7 GROUP BY t.demand_id""",
 )

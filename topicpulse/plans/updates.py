@@ -101,6 +101,43 @@ def merge_annotation(s: Store) -> DataFrame:
     return U.merge_links(s.article_demand_relations, plan)
 
 
+def _chained(s: Store) -> DataFrame:
+    """Chains of up to four requests, in and against their order, some closed to a cycle."""
+    i = F.col("id")
+    target = F.when(i % 10 == 5, i - 4).when(i % 5 != 0, i + 1)
+    rows = s.demands.select(i.alias("source"), target.alias("target"), F.lit(None).cast("string").alias("notes"), (i % 3 * 1_000_000_000 + i).alias("ord"))
+    return rows.where("target IS NOT NULL")
+
+
+# Where the links of each demand go, hop by hop; ``path`` holds the requests, last one first.
+_WALK = """WITH RECURSIVE req AS (SELECT source, target, ord FROM (SELECT id AS source, CASE WHEN id % 10 = 5 THEN id - 4 WHEN id % 5 <> 0 THEN id + 1 END AS target,
+    id % 3 * 1000000000 + id AS ord FROM demands) r WHERE target IN (SELECT id FROM demands)),
+  walk AS (SELECT id AS origin, id AS place, CAST(-1 AS BIGINT) AS ord, CAST([] AS BIGINT[]) AS path FROM demands
+    UNION ALL SELECT w.origin, r.target, r.ord, list_prepend(r.ord, w.path) FROM walk w JOIN req r ON r.source = w.place AND r.ord > w.ord)"""
+
+
+@query(
+    "ups05_merge_chains",
+    f"""SELECT * FROM ({_WALK} SELECT d.id, CAST(d.frequency + coalesce(g.f, 0) AS BIGINT) AS frequency, CASE WHEN r.source IS NULL THEN d.status ELSE 'merged' END AS status,
+        CASE WHEN r.source IS NOT NULL THEN concat('Merged into demand #', r.target) END AS notes FROM demands d LEFT JOIN req r ON r.source = d.id
+        LEFT JOIN (SELECT w.place, sum(o.frequency) AS f FROM walk w JOIN demands o ON o.id = w.origin WHERE len(w.path) > 0 GROUP BY 1) g ON g.place = d.id)""",
+)
+def merge_chains(s: Store) -> DataFrame:
+    plan, _ = U.merge_plan(_chained(s), s.demands)
+    return U.merge_demands_into(s.demands, plan).select("id", "frequency", "status", "notes")
+
+
+@query(
+    "ups05_chained_links",
+    f"""SELECT article_id, demand_id, relevance_score FROM ({_WALK}, ends AS (SELECT origin, arg_max(place, len(path)) AS place, arg_max(path, len(path)) AS path FROM walk GROUP BY 1)
+        SELECT l.article_id, e.place AS demand_id, l.relevance_score, row_number() OVER (PARTITION BY l.article_id, e.place ORDER BY e.path) AS n
+        FROM article_demand_relations l JOIN ends e ON e.origin = l.demand_id) WHERE n = 1""",
+)
+def chained_links(s: Store) -> DataFrame:
+    plan, _ = U.merge_plan(_chained(s), s.demands)
+    return U.merge_links(s.article_demand_relations, plan)
+
+
 @query(
     "joi10_link_conflict",
     f"""SELECT m.article_id, m.demand_id FROM ({_MOVED_LINKS}) m WHERE moved AND NOT EXISTS

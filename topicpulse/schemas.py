@@ -53,6 +53,17 @@ TABLES: dict[str, T.StructType] = {
     ),
 }
 
+# Columns without which a stored row is bad.
+REQUIRED: dict[str, list[str]] = {
+    "articles": ["id", "platform", "title", "url"],
+    "demands": ["id", "title"],
+    "article_demand_relations": ["article_id", "demand_id"],
+    "hot_comments": ["id", "article_id", "platform", "content"],
+    "crawl_logs": ["id", "platform", "start_time"],
+    "trend_snapshots": ["demand_id", "snapshot_date"],
+    "demand_relations": ["demand_id_a", "demand_id_b"],
+}
+
 # Literal defaults; columns whose default is computed at insert time have none.
 DEFAULTS: dict[str, dict[str, object]] = {
     "articles": {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +32,50 @@ def align_schema(
     return df.select("*", *added)
 
 
+def _canonical(c: Column, kind: T.DataType) -> Column:
+    """A value as text that does not depend on the engine; fractions count to a millionth."""
+    if isinstance(kind, T.DoubleType):
+        return F.floor(c * 1_000_000 + 0.5).cast("string")
+    if isinstance(kind, T.TimestampNTZType):
+        return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return c.cast("string")
+
+
+def is_bad(name: str) -> Column:
+    """Whether a row lacks a value its table requires."""
+    return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in schemas.REQUIRED[name]])
+
+
+def fingerprints(df: DataFrame, name: str) -> DataFrame:
+    """One row per declared column of a stored table, from one scan:
+    ``(table_name, column_name, n_rows, n_bad, n_values, fingerprint)``.
+
+    The fingerprint is the sum of the first 32 bits of the values' md5, as decimal text: it depends
+    on no order or partitioning, and equal tables have equal ones. Bad rows are counted apart
+    and left out. Columns the table lacks are read as their default, further ones are ignored; an
+    empty table has zeros.
+    """
+    fields = schemas.TABLES[name].fields
+    rows = align_schema(df, schemas.TABLES[name], schemas.DEFAULTS.get(name))
+    good = ~F.col("bad")
+    texts = rows.select(
+        is_bad(name).alias("bad"),
+        *[_canonical(F.col(f.name).cast(f.dataType), f.dataType).alias(f"c{i}") for i, f in enumerate(fields)],
+    )
+    bits = lambda c: F.conv(F.left(F.md5(c), F.lit(8)), 16, 10).cast("decimal(20,0)")
+    one = texts.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if("bad").alias("n_bad"),
+        *[F.count(F.when(good, F.col(f"c{i}"))).alias(f"n{i}") for i in range(len(fields))],
+        *[F.coalesce(F.sum(F.when(good, bits(F.col(f"c{i}")))), F.lit(0)).cast("string").alias(f"f{i}") for i in range(len(fields))],
+    )
+    per_column = [
+        F.struct(F.lit(f.name).alias("column_name"), F.col(f"n{i}").alias("n_values"), F.col(f"f{i}").alias("fingerprint"))
+        for i, f in enumerate(fields)
+    ]
+    return one.select(F.lit(name).alias("table_name"), "n_rows", "n_bad", F.inline(F.array(*per_column)))
+
+
 def _text(value: Column) -> Column:
     return value.cast("string")
 
