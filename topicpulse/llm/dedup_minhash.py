@@ -231,13 +231,9 @@ def sent(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def plausible(pairs: DataFrame, kept: DataFrame, similar_from: float) -> DataFrame:
-    """The (centre, member) whose sizes and signatures allow the similarity."""
+def agreeing(rows: DataFrame, similar_from: float) -> DataFrame:
+    """The (centre, member) of ``rows`` whose signatures, ``sign`` and ``sign_y``, allow the similarity."""
     least = least_agreement(similar_from)
-    small = sent(pairs)
-    own = kept.select(F.col("rep").alias("member"), "total", "different", "sign").join(small, "member")
-    other = kept.select(F.col("rep").alias("centre"), *(F.col(c).alias(f"{c}_y") for c in ("total", "different", "sign"))).join(small, "centre")
-    rows = own.join(other, ["centre", "member"]).filter(within_reach(similar_from))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,6 +245,14 @@ def plausible(pairs: DataFrame, kept: DataFrame, similar_from: float) -> DataFra
     return rows.select("centre", "member", "sign", "sign_y").mapInArrow(run, "centre long, member long")
 
 
+def plausible(pairs: DataFrame, kept: DataFrame, similar_from: float) -> DataFrame:
+    """The (centre, member) whose sizes and signatures allow the similarity."""
+    small = sent(pairs)
+    own = kept.select(F.col("rep").alias("member"), "total", "different", "sign").join(small, "member")
+    other = kept.select(F.col("rep").alias("centre"), *(F.col(c).alias(f"{c}_y") for c in ("total", "different", "sign"))).join(small, "centre")
+    return agreeing(own.join(other, ["centre", "member"]).filter(within_reach(similar_from)), similar_from)
+
+
 def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """``pairs`` (centre, member) with the similarity of their whole texts."""
     ship_package(docs.sparkSession)
@@ -340,7 +344,7 @@ def near_duplicates(docs: DataFrame, similar_from: float = SIMILAR_FROM) -> Data
     owners = shingle_owners(opened, docs)
     held = owners.select(F.explode("holders").alias("rep"), (F.size("holders") == 1).cast("long").alias("private"))
     held = held.groupBy("rep").agg(F.sum("private").alias("private"), F.count(F.lit(1)).alias("rare"))
-    weights = kept.select("rep", "total", "different", "bands").join(sent(opened), "rep")
+    weights = kept.select("rep", "total", "different", "bands", "sign").join(sent(opened), "rep")
     weights = weights.join(held, "rep", "left").fillna(0, ["private", "rare"])
     # No similarity exceeds the share of a text's weight that others can have.
     weights = saved(weights.filter(F.col("private") <= (1 - similar_from) * F.col("total")), "open-texts")
@@ -355,11 +359,14 @@ def near_duplicates(docs: DataFrame, similar_from: float = SIMILAR_FROM) -> Data
     # Every bucket that two open texts share is split, so the first one alone gives their pair.
     first_shared = F.array_intersect("bands", "bands_y")[0] == F.col("bucket")
     met = split.filter("NOT is_main").join(other, "bucket").filter(apart & within_reach(similar_from, "rare") & first_shared)
-    met = met.select("rep", "rep_y").unionByName(few.select("rep", "rep_y"))
-    met = met.select(F.least("rep", "rep_y").alias("centre"), F.greatest("rep", "rep_y").alias("member")).distinct()
+    both = ["rep", "rep_y", "sign", "sign_y"]
+    met = met.select(*both).unionByName(few.select(*both))
+    # Signatures are tested where a pair is met, so that only what they allow is written.
+    ends = F.least("rep", "rep_y").alias("centre"), F.greatest("rep", "rep_y").alias("member")
+    met = agreeing(met.select(*ends, "sign", "sign_y"), similar_from).distinct()
     tested = stars.select(F.least("centre", "member").alias("centre"), F.greatest("centre", "member").alias("member"))
-    met = saved(met.join(tested, ["centre", "member"], "left_anti"), "open-pairs")
-    more = compared(saved(plausible(met, kept, similar_from), "plausible-pairs"), docs)
+    met = saved(met.join(tested, ["centre", "member"], "left_anti"), "plausible-pairs")
+    more = compared(met, docs)
     more = saved(more.filter(F.col("similarity") >= similar_from), "open-links")
     # The stars found so far stand for all earlier links.
     known = roots.select(F.col("root").alias("centre"), F.col("id").alias("member"))
