@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topicpulse.operators.ingest import union_sources
 from topicpulse.plans.adapters_sql import register_cte
 from topicpulse.plans.payload_data import COMMENTS, comments, payloads
-from topicpulse.plans.registry import query
+from topicpulse.plans.registry import CATALOGUE, query
+from topicpulse.schemas import ARTICLE_MODEL
 from topicpulse.sources import payloads as N
 from topicpulse.sources.tables import SampleStore as Store
 
@@ -288,3 +290,27 @@ def normalize_comments(s: Store) -> DataFrame:
         rows = N.normalize_comments(platform, comments(s, platform)).select(F.lit(platform).alias("platform"), "*")
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+_NORMALISED = {
+    "src01_normalize_kr36": normalize_kr36,
+    "src02_normalize_huxiu": normalize_huxiu,
+    "src03_normalize_zhihu_hot": normalize_zhihu_hot,
+    "src04_normalize_zhihu_topic": normalize_zhihu_topic,
+    "src05_normalize_juejin": normalize_juejin,
+    "src06_normalize_toutiao": normalize_toutiao,
+    "src07_normalize_bilibili": normalize_bilibili,
+    "src08_normalize_xiaohongshu": normalize_xiaohongshu,
+    "src09_normalize_maimai": normalize_maimai,
+}
+_MODEL = ", ".join(["payload_id", "pos", *ARTICLE_MODEL])
+
+
+@query(
+    "set01_union_normalized",
+    " UNION ALL ".join(f"SELECT '{n}' AS origin, {_MODEL} FROM ({CATALOGUE[n].oracle})" for n in _NORMALISED),
+)
+def union_normalized(s: Store) -> DataFrame:
+    """Articles of all platforms in one model, as their normalisers give them."""
+    frames = [fn(s).withColumn("origin", F.lit(name)) for name, fn in _NORMALISED.items()]
+    return union_sources(frames).select("origin", "payload_id", "pos", *ARTICLE_MODEL)
