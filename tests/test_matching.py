@@ -64,14 +64,14 @@ def test_fuzzy_best_match(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("heavy", [10_000, 3, 0])
-def test_tfidf_candidates(spark, heavy):
+@pytest.mark.parametrize("heads", [None, 1, 3])
+def test_tfidf_candidates(spark, heads):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(30)]
     make = lambda n: [" ".join(rng.choice(["the", "of", *words]) for _ in range(rng.randint(1, 5))) for _ in range(n)]
     library, new = make(60) + ["the of"] * 40, make(15) + ["the", "of the"]
     got = {}
-    for r in M.tfidf_candidates(frame(spark, new, "query_id"), frame(spark, library, "id"), top=5, heavy=heavy).collect():
+    for r in M.tfidf_candidates(frame(spark, new, "query_id"), frame(spark, library, "id"), top=5, heads=heads).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.candidate_id))
     bags = [Counter(re.findall(r"\w\w+", t)) for t in library]
     asked = [Counter(re.findall(r"\w\w+", t)) for t in new]
@@ -100,6 +100,57 @@ def test_clusters_follow_chains_and_are_stable(spark):
     assert (got[12], got[13], got[14]) == (12, 12, 14)
 
 
+def groups_of(texts: list[str]) -> dict[int, int]:
+    """Lowest index of each text's group, by all pairs."""
+    leader = list(range(len(texts)))
+
+    def root(i):
+        while leader[i] != i:
+            i = leader[i]
+        return i
+
+    for i, a in enumerate(texts):
+        for j in range(i):
+            if (a or texts[j] or a == texts[j]) and ratio(a, texts[j]) >= 0.8 - 1e-9:
+                x, y = root(i), root(j)
+                leader[max(x, y)] = min(x, y)
+    return {i: root(i) for i in range(len(texts))}
+
+
+@pytest.mark.parametrize("seed", [7, 8])
+def test_clusters_equal_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    numbered = [f"weekly report number {rng.randrange(10**4)}" for _ in range(25)] + [f"meeting notes {n} of the week" for n in range(12)]
+    texts = titles(seed, 50) + numbered + ["weekly notes number 3 of the week"]
+    rng.shuffle(texts)
+    got = {r.id: r.leader for r in M.duplicate_clusters(frame(spark, texts, "id")).collect()}
+    assert got == groups_of(texts)
+
+
+def test_one_template_gives_few_links(spark):
+    n = 1500
+    texts = [f"how to plan the week {i:05d}" for i in range(n)] + ["something else"]
+    known = frame(spark, texts, "id")
+    signed = M._signed(known, 0.8).cache()
+    links = M.star_links(signed, 0.8).cache()
+    assert links.count() <= 2 * n
+    stars = M.connected_components(known, links).withColumnRenamed("leader", "star").cache()
+    assert {r.id: r.star for r in stars.collect()} == {**{i: 0 for i in range(n)}, n: n}
+    assert M.links_across(signed, stars, 0.8).count() == 0
+
+
+def test_stars_meet_across_a_mixed_signature(spark):
+    """Two crowds and a lone title under one signature; only the bridge is similar to both."""
+    left, right = [f"aaaaaaaaaa{c}" for c in "bcd"], [f"aaaaaaaaaaxyzw{c}" for c in "pqr"]
+    texts = [*left, *right, "aaaaaaaaaaxy"]
+    stars = spark.createDataFrame([(0, 0), (1, 0), (2, 0), (3, 3), (4, 3), (5, 3), (6, 6)], "id bigint, star bigint")
+    signed = M._signed(frame(spark, texts, "id"), 0.8)
+    got = {(r.a, r.b) for r in M.links_across(signed, stars, 0.8).collect()}
+    star = {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3, 6: 6}
+    want = {(star[i], star[j]) for i, a in enumerate(texts) for j, b in enumerate(texts) if star[i] < star[j] and ratio(a, b) >= 0.8 - 1e-9}
+    assert got == want
+
+
 def test_components_on_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)]
     nodes = spark.createDataFrame([(i,) for i in [*range(61), *range(100, 160), 500]], "id bigint")

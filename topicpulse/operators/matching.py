@@ -18,6 +18,8 @@ from topicpulse.operators import components
 from topicpulse.session import saved
 
 _EPS = 1e-9
+# Scores are rounded to nine digits, so equal ones may differ by less than this before.
+_TIE = 1e-8
 
 
 # --- similarity -------------------------------------------------------------
@@ -152,12 +154,18 @@ def _prepared(titles: DataFrame) -> DataFrame:
     )
 
 
-def similar_titles(left: DataFrame, right: DataFrame, threshold: float, ordered: bool = False) -> DataFrame:
+def _places_allow(threshold: float) -> Column:
+    """Whether lengths and places of a shared signature leave room for enough common tokens."""
+    la, lb = F.col("la"), F.col("lb")
+    need = threshold * (la + lb) / 2 - _EPS
+    return (F.least(la, lb) >= need) & (F.col("l") + F.least(la - 1 - F.col("pa"), lb - 1 - F.col("pb")) >= need)
+
+
+def similar_titles(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """All distinct title pairs ``(a, b, ratio)`` with ratio >= threshold, without loss.
 
     Pairs meet on a signature, and must pass the length, position and edit-distance
-    bounds inside the join, so that only near matches leave it. ``ordered`` keeps
-    ``a < b`` only, for a self join.
+    bounds inside the join, so that only near matches leave it.
     """
     a, b = _prepared(left.select("title").distinct()), _prepared(right.select("title").distinct())
     both = a.unionByName(b).select(F.explode("tokens").alias("token"))
@@ -168,15 +176,7 @@ def similar_titles(left: DataFrame, right: DataFrame, threshold: float, ordered:
     sb = _signatures(b, frequency, threshold).select(
         "sig", "l", F.col("text").alias("b"), F.col("len").alias("lb"), F.col("pos").alias("pb")
     )
-    la, lb = F.col("la"), F.col("lb")
-    need = threshold * (la + lb) / 2 - _EPS
-    near = (
-        (F.least(la, lb) >= need)
-        & (F.col("l") + F.least(la - 1 - F.col("pa"), lb - 1 - F.col("pb")) >= need)
-        & may_reach(F.col("a"), F.col("b"), threshold)
-    )
-    if ordered:
-        near = near & (F.col("a") < F.col("b"))
+    near = _places_allow(threshold) & may_reach(F.col("a"), F.col("b"), threshold)
     pairs = sa.join(sb, ["sig", "l"]).where(near).select("a", "b").distinct()
     return pairs.withColumn("ratio", indel_ratio(F.col("a"), F.col("b"))).where(F.col("ratio") >= threshold - _EPS)
 
@@ -244,60 +244,81 @@ def tfidf_vectors(
     return weighted(asked), weighted(held)
 
 
+def _level(weight: Column) -> Column:
+    """Blocks of a posting list: half powers of two, the heaviest weights first."""
+    return F.least(F.greatest(F.floor(-2 * F.log2(weight)), F.lit(0)), F.lit(60)).cast("int")
+
+
+def _reach(asked: DataFrame, span: DataFrame, bar: DataFrame) -> DataFrame:
+    """``(a, token, floor, lo, hi)``: the least weight at which a posting can lead to the bar.
+
+    A query's tokens are put in order of the most they can add. The first ones that stay below
+    the bar together need no posting at all. What is left of the bar is dealt to the other
+    tokens in proportion to their weights: a title that lies below the floor at every token
+    scores less than the bar.
+    """
+    query = W.partitionBy("a")
+    ladder = query.orderBy("most", "token").rowsBetween(W.unboundedPreceding, 0)
+    # A query's rows are the tokens of one title.
+    rows = asked.join(span, "token").join(bar, "a", "left").withColumn("most", F.col("wa") * F.col("peak"))
+    idle = F.coalesce(F.sum("most").over(ladder) < F.col("bar") - _TIE, F.lit(False))
+    busy = rows.withColumn("idle", idle)
+    left = F.col("bar") - _TIE - F.sum(F.when(F.col("idle"), F.col("most")).otherwise(0.0)).over(query)
+    mass = F.sum(F.when(F.col("idle"), 0.0).otherwise(F.col("wa") * F.col("wa"))).over(query)
+    floors = busy.withColumn("floor", F.coalesce(left * F.col("wa") / mass, F.lit(0.0)))
+    return floors.where(~F.col("idle") & (F.col("floor") <= F.col("peak"))).select(
+        "a", "token", "floor", _level(F.col("peak")).alias("lo"), _level(F.greatest("floor", "least")).alias("hi")
+    )
+
+
 def tfidf_candidates(
     new: DataFrame,
     library: DataFrame,
     top: int = 20,
-    heavy: int = 10_000,
+    heads: int | None = None,
     fitted: DataFrame | None = None,
     tokenize=words,
 ) -> DataFrame:
     """The ``top`` library rows per new row by tf-idf cosine: ``(query_id, candidate_id, score, rank)``.
 
-    Ties go to the higher id; rows without a common token are no candidates. Tokens in
-    more than ``heavy`` library titles do not pair titles at first. A title that shares
-    only such tokens scores at most the length of the query's heavy part, so only
-    queries whose ``top``-th score does not exceed that bound are scored over all their
-    tokens: the result is exact.
+    Ties go to the higher id; rows without a common token are no candidates. The heaviest
+    ``heads`` postings of each token (``top`` by default) give every query a first list, whose
+    last score is its bar. Then only blocks of postings are read whose weights can lead to the
+    bar (:func:`_reach`), and titles met there are scored over their whole vectors. So the
+    result is exact, and a token that most titles hold is read as far as a query needs it.
+    Titles that tie at the bar are all read.
     """
     q, d = (saved(v) for v in tfidf_vectors(new, library, fitted, tokenize))
-    q = q.withColumnRenamed("title", "a").withColumnRenamed("w", "wa")
-    d = d.withColumnRenamed("title", "b").withColumnRenamed("w", "wb")
-    light = F.col("titles") <= heavy
-    q_heavy, d_heavy = q.where(~light), d.where(~light)
-    product = F.sum(F.col("wa") * F.col("wb"))
+    asked = q.select(F.col("title").alias("a"), "token", F.col("w").alias("wa"))
+    held = d.select(F.col("title").alias("b"), "token", F.col("w").alias("wb"))
     ids = library.groupBy("title").agg(F.max("id").alias("max_id")).withColumnRenamed("title", "b")
+    vector_q = asked.groupBy("a").agg(F.map_from_entries(F.collect_list(F.struct("token", "wa"))).alias("va"))
+    vector_d = saved(held.groupBy("b").agg(F.collect_list(F.struct("token", "wb")).alias("vb")).join(ids, "b"))
+    product = F.aggregate(
+        "vb", F.lit(0.0), lambda acc, x: acc + x["wb"] * F.coalesce(F.try_element_at(F.col("va"), x["token"]), F.lit(0.0))
+    )
 
-    def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-        return left.select("a", "token", "wa").join(right.select("b", "token", "wb"), "token").groupBy("a", "b").agg(product.alias("s"))
+    def scored(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(vector_d, "b").join(vector_q, "a")
+        return both.select("a", "b", "max_id", F.round(product, 9).alias("score"))
 
     def best(found: DataFrame) -> DataFrame:
         ranked = W.partitionBy("a").orderBy(F.desc("score"), F.desc("max_id"))
-        scored = found.select("a", "b", F.round("s", 9).alias("score")).join(ids, "b")
-        return scored.withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= top).select("a", "b", "score")
-
-    # Pairs met on a light token get the heavy part of their product from both vectors.
-    parts_q = q_heavy.groupBy("a").agg(F.map_from_entries(F.collect_list(F.struct("token", "wa"))).alias("hq"))
-    parts_d = d_heavy.groupBy("b").agg(F.collect_list(F.struct("token", F.col("wb").alias("w"))).alias("hd"))
-    rest = F.aggregate(
-        "hd", F.lit(0.0), lambda acc, x: acc + x["w"] * F.coalesce(F.try_element_at(F.col("hq"), x["token"]), F.lit(0.0))
-    )
-    first = (
-        pairs(q.where(light), d.where(light))
-        .join(parts_q, "a", "left")
-        .join(parts_d, "b", "left")
-        .select("a", "b", (F.col("s") + F.coalesce(rest, F.lit(0.0))).alias("s"))
-    )
-    settled = saved(best(first))
-    bar = settled.groupBy("a").agg(F.when(F.count(F.lit(1)) >= top, F.min("score")).alias("bar"))
-    bound = q_heavy.groupBy("a").agg(F.sqrt(F.sum(F.col("wa") * F.col("wa"))).alias("bound"))
-    open_queries = bound.join(bar, "a", "left").where(F.coalesce("bar", F.lit(-1.0)) <= F.col("bound") + _EPS).select("a")
-    second = best(pairs(q.join(open_queries, "a", "left_semi"), d))
-    chosen = settled.join(open_queries, "a", "left_anti").unionByName(second)
+        return found.withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= top).drop("r")
+
+    heaviest = W.partitionBy("token").orderBy(F.desc("wb"), "b")
+    head = held.withColumn("r", F.row_number().over(heaviest)).where(F.col("r") <= (heads or top)).select("token", "b")
+    first = saved(best(scored(asked.join(head, "token").select("a", "b").distinct())))
+    bar = first.groupBy("a").agg(F.when(F.count(F.lit(1)) >= top, F.min("score")).alias("bar"))
+    span = held.groupBy("token").agg(F.max("wb").alias("peak"), F.min("wb").alias("least"))
+    wanted = _reach(asked, span, bar).select("a", "token", "floor", F.explode(F.sequence("lo", "hi")).alias("level"))
+    blocks = held.withColumn("level", _level(F.col("wb")))
+    met = wanted.join(blocks, ["token", "level"]).where(F.col("wb") >= F.col("floor")).select("a", "b").distinct()
+    chosen = best(first.unionByName(scored(met.join(first.select("a", "b"), ["a", "b"], "left_anti"))))
 
     newest = W.partitionBy("title").orderBy(F.desc("id"))
     rows = library.select("id", "title").withColumn("n", F.row_number().over(newest)).where(F.col("n") <= top)
-    expanded = chosen.join(rows.select(F.col("title").alias("b"), "id"), "b")
+    expanded = chosen.select("a", "b", "score").join(rows.select(F.col("title").alias("b"), "id"), "b")
     order = W.partitionBy("a").orderBy(F.desc("score"), F.desc("id"))
     picked = expanded.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= top)
     found = new.select("query_id", F.col("title").alias("a")).join(picked, "a")
@@ -468,13 +489,76 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("leader"))
 
 
-def duplicate_clusters(library: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """``(id, leader)``: rows joined by chains of similar titles, led by the lowest id."""
-    known = distinct_titles(library)
-    pairs = similar_titles(known, known, threshold, ordered=True)
-    edges = pairs.join(known.select(F.col("title").alias("a"), F.col("id").alias("ia")), "a").join(
-        known.select(F.col("title").alias("b"), F.col("id").alias("ib")), "b"
+def _signed(titles: DataFrame, threshold: float) -> DataFrame:
+    """``(sig, l, pos, id, text, len)`` of titles ``(title, id)``."""
+    prepared = titles.select(
+        F.col("id").alias("key"), F.col("title").alias("text"), F.length("title").alias("len"), _tokens(F.col("title")).alias("tokens")
     )
-    leaders = connected_components(known.select("id"), edges.select(F.col("ia").alias("a"), F.col("ib").alias("b")))
-    by_title = known.join(leaders, "id").select("title", "leader")
+    frequency = prepared.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    return _signatures(prepared, frequency, threshold).withColumnRenamed("key", "id")
+
+
+def _side(rows: DataFrame, n: str) -> DataFrame:
+    """Signature rows with the columns of one side of a pair; ``star`` where there is one."""
+    star = [F.col("star").alias(f"s{n}")] if "star" in rows.columns else []
+    names = {"id": f"i{n}", "text": n, "len": f"l{n}", "pos": f"p{n}"}
+    return rows.select("sig", "l", *[F.col(k).alias(v) for k, v in names.items()], *star)
+
+
+def star_links(signed: DataFrame, threshold: float) -> DataFrame:
+    """Links ``(a, b)`` of titles to similar centres, at most two a title.
+
+    The lowest and the highest id of the rows that share a signature are its centres; a
+    title is linked to the lowest and the highest of the centres that it reaches.
+    """
+    row = F.struct("id", "text", "len", "pos")
+    ends = signed.groupBy("sig", "l").agg(F.min(row).alias("lo"), F.max(row).alias("hi")).where("lo.id < hi.id")
+    centres = ends.select("sig", "l", F.explode(F.array("lo", "hi")).alias("c")).select("sig", "l", "c.*")
+    met = _side(signed, "a").join(_side(centres, "b"), ["sig", "l"])
+    # Many signatures lead to one centre: the costly test comes once a pair.
+    pairs = met.where((F.col("ia") != F.col("ib")) & _places_allow(threshold)).select("ia", "ib", "a", "b").distinct()
+    close = pairs.where(may_reach(F.col("a"), F.col("b"), threshold)).withColumn("ratio", indel_ratio(F.col("a"), F.col("b")))
+    reached = close.where(F.col("ratio") >= threshold - _EPS).groupBy("ia").agg(F.min("ib").alias("lo"), F.max("ib").alias("hi"))
+    return reached.select(F.col("ia").alias("a"), F.explode(F.array_distinct(F.array("lo", "hi"))).alias("b"))
+
+
+def links_across(signed: DataFrame, stars: DataFrame, threshold: float) -> DataFrame:
+    """Links ``(a, b)``, a < b, between stars ``(id, star)`` that hold similar titles.
+
+    Titles of one star never meet. Where a star has a single row under a signature, the row
+    meets those of the other stars; stars with more rows there meet as stars first, and their
+    rows only with the rows of another star.
+    """
+    rows = signed.join(stars, "id")
+    key = ["sig", "l", "star"]
+    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    mixed = counts.groupBy("sig", "l").agg(F.min("star").alias("x"), F.max("star").alias("y")).where("x < y")
+    kinds = counts.join(mixed, ["sig", "l"], "left_semi").select(*key, (F.col("n") > 1).alias("crowd"))
+    rows = saved(rows.join(kinds, key))
+    alone, crowds = rows.where("NOT crowd"), rows.where("crowd")
+    near = _places_allow(threshold) & may_reach(F.col("a"), F.col("b"), threshold)
+    on = ["sig", "l"]
+    single = _side(alone, "a").join(_side(alone, "b"), on).where((F.col("sa") < F.col("sb")) & near)
+    one_many = _side(alone, "a").join(_side(crowds, "b"), on).where((F.col("sa") != F.col("sb")) & near)
+    names = crowds.select(*key).distinct()
+    meeting = names.withColumnRenamed("star", "sa").join(names.withColumnRenamed("star", "sb"), on).where("sa < sb")
+    many = meeting.join(_side(crowds, "a"), [*on, "sa"]).join(_side(crowds, "b"), [*on, "sb"]).where(near)
+    columns = ["a", "b", "sa", "sb"]
+    pairs = single.select(*columns).unionByName(one_many.select(*columns)).unionByName(many.select(*columns)).distinct()
+    similar = pairs.withColumn("ratio", indel_ratio(F.col("a"), F.col("b"))).where(F.col("ratio") >= threshold - _EPS)
+    return similar.select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b")).distinct()
+
+
+def duplicate_clusters(library: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """``(id, leader)``: rows joined by chains of similar titles, led by the lowest id.
+
+    Titles are linked to centres first, and the stars that follow are compared with each
+    other only, so a group of like titles costs a few links a title and not all its pairs.
+    """
+    known = saved(distinct_titles(library))
+    signed = saved(_signed(known, threshold))
+    stars = saved(connected_components(known, star_links(signed, threshold)).withColumnRenamed("leader", "star"))
+    roots = components.connected_components(links_across(signed, stars, threshold))
+    led = stars.join(roots.withColumnRenamed("id", "star"), "star", "left").select("id", F.coalesce("root", "star").alias("leader"))
+    by_title = known.join(led, "id").select("title", "leader")
     return library.select("id", "title").join(by_title, "title").select("id", "leader")

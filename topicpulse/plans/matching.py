@@ -107,8 +107,8 @@ register_cte(
 )
 
 
-def _candidates(s: Store, heavy: int = 10_000) -> DataFrame:
-    return M.tfidf_candidates(new_demands(s), s.demands, heavy=heavy)
+def _candidates(s: Store, heads: int | None = None) -> DataFrame:
+    return M.tfidf_candidates(new_demands(s), s.demands, heads=heads)
 
 
 @query(
@@ -124,8 +124,8 @@ def tfidf_candidates(s: Store) -> DataFrame:
     "SELECT n.query_id, t.candidate_id, round(t.score, 6) AS score, t.rank FROM tfidf_top t JOIN new_demands n ON n.title = t.a",
 )
 def tfidf_hot_tokens(s: Store) -> DataFrame:
-    """The same with most tokens treated as hot, so that the exact second pass works."""
-    return _candidates(s, heavy=30).withColumn("score", F.round("score", 6))
+    """The same from one posting a token, so that bars are low or none and hot tokens are read far."""
+    return _candidates(s, heads=1).withColumn("score", F.round("score", 6))
 
 
 @query("sor09_nth_candidates", "SELECT a AS title, count(*) AS candidates, max(rank) AS last_rank FROM tfidf_top GROUP BY a")
