@@ -2,6 +2,8 @@
 
 import datetime as dt
 import os
+import pathlib
+import random
 import time
 
 import pytest
@@ -117,14 +119,61 @@ def test_stream_upsert_is_idempotent_over_batches(spark):
     one = spark.createDataFrame([(1, "p", "a", "old", 1), (2, "p", None, "loose", 2)], schema)
     two = spark.createDataFrame([(9, "p", "a", "new", 3), (3, "p", "b", "b", 4)], schema)
     folder = _staged(spark, [one, two])
-    table = J.VersionedTable(spark, new_folder(spark, "t"))
-    J.upsert_stream(J.read_stream(spark, folder, files_per_batch=1), table, "ord")
+    log = J.ChangeLog(spark, new_folder(spark, "t"), "id bigint, platform string, platform_id string, title string")
+    J.upsert_stream(J.read_stream(spark, folder, files_per_batch=1), log, "ord")
     want = {(1, "a", "new"), (2, None, "loose"), (3, "b", "b")}
     shown = lambda df: {(r.id, r.platform_id, r.title) for r in df.collect()}
-    assert shown(table.latest()) == want
+    assert shown(log.latest()) == want
     # The last batch run again gives the same table.
-    table.write(ingest.upsert_articles(table.before(1), two, "ord"), 1)
-    assert shown(table.latest()) == want
+    log.write(two, 1, "ord")
+    assert shown(log.latest()) == want
+
+
+def test_change_log_equals_one_upsert_after_another(spark):
+    """Ten batches with missing values, a repeated batch and folding in between."""
+    rng = random.Random(3)
+    schema = "id bigint, platform string, platform_id string, title string, ord bigint"
+    log = J.ChangeLog(spark, new_folder(spark, "t"), "id bigint, platform string, platform_id string, title string", buckets=4)
+    stored: dict = {}
+    loose = []
+    for n in range(10):
+        rows = []
+        for k in range(rng.choice([0, 3, 8]) if n else 8):
+            key = rng.choice(["a", "b", "c", "d", "e", "f", "", None])
+            rows.append((100 * n + k, rng.choice("pq"), key, rng.choice([None, f"t{n}-{k}"]), k))
+        batch: dict = {}
+        for i, platform, key, title, _ in rows:
+            if not key:
+                loose.append((i, platform, key, title))
+                continue
+            before = batch.get((platform, key), (None, None))
+            batch[platform, key] = (i, title if title is not None else before[1])
+        for k, (i, title) in batch.items():
+            old = stored.get(k)
+            stored[k] = (old[0] if old else i, title if title is not None else old and old[1])
+        frame = spark.createDataFrame(rows, schema)
+        log.write(frame, n, "ord")
+        if n in (3, 4, 7):
+            log.compact()
+        if n in (4, 8):
+            log.write(frame, n, "ord")
+    got = sorted(map(repr, ((r.id, r.platform, r.platform_id, r.title) for r in log.latest().collect())))
+    assert got == sorted(map(repr, [*loose, *((i, p, k, t) for (p, k), (i, t) in stored.items())]))
+
+
+def test_a_small_batch_writes_little(spark):
+    columns = "id bigint, platform string, platform_id string, title string"
+    path = new_folder(spark, "t")
+    log = J.ChangeLog(spark, path, columns)
+    big = spark.range(20_000).selectExpr("id", "'p' AS platform", "string(id) AS platform_id", "sha2(string(id), 256) AS title", "id AS ord")
+    log.write(big, 0, "ord")
+    log.write(big.where("id = 7").withColumn("title", F.lit("new")), 1, "ord")
+    size = lambda n: sum(f.stat().st_size for f in pathlib.Path(f"{path}/changes/batch={n}").rglob("*.parquet"))
+    assert size(1) * 100 < size(0)
+    log.compact()
+    folded = {p.name for p in pathlib.Path(f"{path}/folded").glob("bucket=*")}
+    assert len(folded) == 1
+    assert log.latest().where("title = 'new'").count() == 1 and log.latest().count() == 20_000
 
 
 def test_late_rows_are_dropped_after_the_watermark(spark):

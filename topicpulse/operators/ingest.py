@@ -119,6 +119,34 @@ def _supplied_last(columns: list[str], order: str, explicit: set[str]) -> list[C
     return out
 
 
+def supplied_rows(incoming: DataFrame, order: str) -> DataFrame:
+    """What a batch supplies: one row per (platform, platform_id) with the last value of each field.
+
+    Rows without a platform_id stay as they are; ``order`` is left out.
+    """
+    keys = ["platform", "platform_id"]
+    keyless = F.coalesce(F.col("platform_id"), F.lit("")) == ""
+    columns = [c for c in incoming.columns if c != order]
+    fields = [c for c in columns if c not in keys]
+    keyed = incoming.where(~keyless).groupBy(*keys).agg(*_supplied_last(fields, order, set()))
+    return keyed.select(*columns).unionByName(incoming.where(keyless).select(*columns))
+
+
+def folded_rows(rows: DataFrame, batch: str, *more: str) -> DataFrame:
+    """Supplied rows of several batches as one row per key: later values win, the first id stays.
+
+    Rows of one key and batch must agree, as those of a batch that is there twice do. The result
+    is the same however batches are folded before, one by one or in groups.
+    """
+    keys = ["platform", "platform_id"]
+    fields = [c for c in rows.columns if c not in (*keys, batch, *more)]
+    last = [
+        (F.min_by if c == "id" else F.max_by)(c, F.when(F.col(c).isNotNull(), F.col(batch))).alias(c) for c in fields
+    ]
+    columns = [c for c in rows.columns if c != batch]
+    return rows.groupBy(*keys, *more).agg(*last).select(*columns)
+
+
 def upsert_articles(
     stored: DataFrame,
     incoming: DataFrame,

@@ -557,7 +557,7 @@ def duplicate_clusters(library: DataFrame, threshold: float = 0.8) -> DataFrame:
     """
     known = saved(distinct_titles(library))
     signed = saved(_signed(known, threshold))
-    stars = saved(connected_components(known, star_links(signed, threshold)).withColumnRenamed("leader", "star"))
+    stars = connected_components(known, star_links(signed, threshold)).withColumnRenamed("leader", "star")
     roots = components.connected_components(links_across(signed, stars, threshold))
     led = stars.join(roots.withColumnRenamed("id", "star"), "star", "left").select("id", F.coalesce("root", "star").alias("leader"))
     by_title = known.join(led, "id").select("title", "leader")

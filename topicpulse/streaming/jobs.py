@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from topicpulse.operators import ingest, library
-from topicpulse.session import new_folder
+from topicpulse.session import new_folder, saved
 
 
 def read_stream(
@@ -76,35 +76,68 @@ def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], check
     query.awaitTermination()
 
 
-class VersionedTable:
-    """A table rewritten once per micro-batch, one folder per batch id.
+class ChangeLog:
+    """Articles as a log of changes: a micro-batch writes its own changes and nothing else.
 
-    A batch reads the newest version below its own id and overwrites its own folder,
-    so a batch that is run again after a failure gives the same table.
+    ``changes/batch=N/bucket=b`` holds the rows that batch N supplies, one per key, so what is
+    written follows the batch, and a batch that is run again replaces its own folder.
+    ``folded/bucket=b`` holds the rows of a bucket up to the batch ``upto``; :meth:`compact`
+    renews the buckets that batches have touched and leaves the others. Rows without a
+    platform_id are never changed and so stay in ``changes``, in bucket -1. Files of folded
+    batches may be removed by age. ``columns`` is the schema of the articles.
     """
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def versions(self) -> list[int]:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        root = hadoop.Path(self.path)
-        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(root):
-            return []
-        names = [s.getPath().getName() for s in files.listStatus(root)]
-        done = [n for n in names if files.exists(hadoop.Path(f"{self.path}/{n}/_SUCCESS"))]
-        return sorted(int(n.split("=")[1]) for n in done if n.startswith("batch="))
-
-    def before(self, batch_id: int) -> DataFrame | None:
-        older = [v for v in self.versions() if v < batch_id]
-        return self.spark.read.parquet(f"{self.path}/batch={older[-1]}") if older else None
-
-    def write(self, rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+    def __init__(self, spark: SparkSession, path: str, columns: str, buckets: int = 32) -> None:
+        self.spark, self.path, self.columns, self.buckets = spark, path.rstrip("/"), columns, buckets
+        # Appending no rows makes the folder where it is missing and changes nothing else.
+        self._upto = f"{columns}, upto bigint, bucket int"
+        spark.createDataFrame([], self._upto).write.mode("append").partitionBy("bucket").parquet(f"{self.path}/folded")
+
+    def write(self, batch: DataFrame, batch_id: int, order: str) -> None:
+        """The changes of one batch; an empty batch leaves an empty folder."""
+        rows = ingest.supplied_rows(batch, order)
+        spread = F.pmod(F.xxhash64("platform", "platform_id"), F.lit(self.buckets)).cast("int")
+        keyless = F.coalesce(F.col("platform_id"), F.lit("")) == ""
+        dealt = rows.withColumn("bucket", F.when(keyless, -1).otherwise(spread))
+        # Ranges, so that a large batch fills more tasks than there are buckets.
+        dealt = dealt.repartitionByRange("bucket", "platform", "platform_id")
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/changes/batch={batch_id}")
+
+    def _changes(self) -> DataFrame:
+        return self.spark.read.schema(f"{self.columns}, batch bigint, bucket int").parquet(f"{self.path}/changes")
+
+    def _parts(self) -> tuple[DataFrame, DataFrame]:
+        """Folded rows, and the changes that came after their bucket was folded."""
+        folded = self.spark.read.schema(self._upto).parquet(f"{self.path}/folded")
+        marks = folded.groupBy("bucket").agg(F.max("upto").alias("upto"))
+        later = self._changes().join(marks, "bucket", "left").where("upto IS NULL OR batch > upto").drop("upto")
+        return folded.withColumnRenamed("upto", "batch"), later
 
     def latest(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/batch={self.versions()[-1]}")
+        """The table: for each key the last supplied value of every field, and its first id."""
+        folded, later = self._parts()
+        keyed = ingest.folded_rows(folded.unionByName(later.where("bucket >= 0")).drop("bucket"), "batch")
+        loose = later.where("bucket < 0")
+        return keyed.unionByName(loose.select(keyed.columns))
+
+    def compact(self, least: int = 2) -> None:
+        """Fold the buckets that at least ``least`` batches have touched since they were folded.
+
+        Buckets are replaced when all their new rows are written. A reader that meets both the
+        old and the new state gets the same table, since folding a change twice changes nothing.
+        """
+        folded, later = self._parts()
+        due = later.where("bucket >= 0").groupBy("bucket").agg(
+            F.count_distinct("batch").alias("n"), F.max("batch").alias("now")
+        ).where(F.col("n") >= least).drop("n")
+        due = saved(due)
+        rows = folded.unionByName(later.where("bucket >= 0")).join(due, "bucket")
+        new = ingest.folded_rows(rows.drop("now"), "batch", "bucket").join(due.withColumnRenamed("now", "upto"), "bucket")
+        ready = saved(new)
+        spread = ready.repartitionByRange("bucket", "platform", "platform_id")
+        spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(
+            f"{self.path}/folded"
+        )
 
 
 def first_arrivals(articles: DataFrame, delay: str | None = None) -> DataFrame:
@@ -119,14 +152,13 @@ def first_arrivals(articles: DataFrame, delay: str | None = None) -> DataFrame:
     return timed.withWatermark("arrived", delay).dropDuplicatesWithinWatermark(["platform", "platform_id"])
 
 
-def upsert_stream(articles: DataFrame, table: VersionedTable, order: str) -> None:
-    """Upsert every micro-batch into the table."""
+def upsert_stream(articles: DataFrame, log: ChangeLog, order: str, compact_every: int | None = None) -> None:
+    """Upsert every micro-batch through the log, folding it after every ``compact_every`` batches."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        stored = table.before(batch_id)
-        if stored is None:
-            stored = batch.drop(order).limit(0)
-        table.write(ingest.upsert_articles(stored, batch, order), batch_id)
+        log.write(batch, batch_id, order)
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            log.compact()
 
     run_batches(articles, each)
 
