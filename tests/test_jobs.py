@@ -1,5 +1,6 @@
 """Streaming in several batches, updates, sinks and page text."""
 
+import csv
 import datetime as dt
 import os
 import pathlib
@@ -341,3 +342,44 @@ def test_deep_nesting_does_not_recurse():
     root = html_dom.parse("<p>x" * 5000)
     root.drop(frozenset(["nav"]))
     assert root.markup().count("<p>") == 5000
+
+
+_DEMANDS = """id bigint, title string, category string, subcategory string, frequency bigint, importance_score double, trend string,
+    status string, first_seen timestamp_ntz, last_seen timestamp_ntz, tags string"""
+
+
+def _some_demands(spark):
+    at = dt.datetime(2024, 1, 2)
+    rows = [(i, f't "{i}", x\\', ["a", "", None][i % 3], None, i % 7, 1.234, "rising", None, at, None, '["x","y"]') for i in range(40)]
+    return spark.createDataFrame(rows, _DEMANDS)
+
+
+def test_exports_come_back_in_order_with_their_mark(spark):
+    path = new_folder(spark, "export")
+    rows = reports.export_rows(_some_demands(spark))
+    reports.write_csv(rows, path)
+    assert sorted(map(repr, reports.read_csv(spark, path).collect())) == sorted(map(repr, rows.collect()))
+    files = sorted(pathlib.Path(path).glob("part-*.csv"))
+    read = []
+    for f in files:
+        with f.open(encoding="utf-8", newline="") as lines:
+            table = list(csv.reader(lines))
+        assert table[0][0] == "\ufeffID"
+        read += [(-int(r[4]), int(r[0])) for r in table[1:]]
+    assert read == sorted((-(i % 7), i) for i in range(40))
+
+
+def test_documents_come_back(spark):
+    path = new_folder(spark, "documents")
+    documents = reports.property_documents(_some_demands(spark))
+    reports.write_documents(documents, path)
+    assert sorted(map(tuple, reports.read_documents(spark, path).collect())) == sorted(map(tuple, documents.collect()))
+
+
+def test_a_failed_export_leaves_no_file(spark):
+    path = new_folder(spark, "documents")
+    broken = F.when(F.col("id") == 39, F.raise_error(F.lit("broken"))).otherwise(F.col("properties"))
+    documents = reports.property_documents(_some_demands(spark).repartition(4)).withColumn("properties", broken)
+    with pytest.raises(Exception, match="broken"):
+        reports.write_documents(documents, path)
+    assert not [f for f in pathlib.Path(path).rglob("*") if f.name.startswith("part-") or f.name == "_SUCCESS"]

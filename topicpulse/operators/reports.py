@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -60,7 +60,34 @@ def write_csv(rows: DataFrame, path: str) -> None:
     """CSV by descending frequency; the header of each file starts with a byte order mark."""
     ordered = rows.select(*EXPORT_HEADERS).orderBy(F.desc("frequency"), "id")
     marked = ordered.toDF(BYTE_ORDER_MARK + "ID", *list(EXPORT_HEADERS.values())[1:])
-    marked.write.mode("overwrite").option("header", True).csv(path)
+    marked.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of an export written by :func:`write_csv`, with their types.
+
+    Nulls are written as nothing and empty texts as quotes.
+    """
+    kinds = {"id": "bigint", "frequency": "bigint", "importance": "double"}
+    schema = ", ".join(f"{c} {kinds.get(c, 'string')}" for c in EXPORT_HEADERS)
+    reader = spark.read.schema(schema).option("header", True).option("escape", '"')
+    # A null value that no text holds; otherwise quoted empty texts would be read as nulls.
+    return reader.option("nullValue", "\u0000").csv(path)
+
+
+def write_documents(documents: DataFrame, path: str) -> None:
+    """Property documents ``(id, properties)`` as JSON lines."""
+    line = F.concat(F.lit('{"id":'), F.col("id").cast("string"), F.lit(',"properties":'), F.col("properties"), F.lit("}"))
+    documents.select(line.alias("value")).write.mode("overwrite").text(path)
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Documents written by :func:`write_documents`."""
+    head = r'^\{"id":(-?[0-9]+),"properties":(.*)\}$'
+    lines = spark.read.text(path)
+    return lines.select(
+        F.regexp_extract("value", head, 1).cast("bigint").alias("id"), F.regexp_extract("value", head, 2).alias("properties")
+    )
 
 
 def write_sheets(rows: DataFrame, path: str) -> None:

@@ -23,6 +23,14 @@ def export_rows(s: Store) -> DataFrame:
     return P.export_rows(s.demands)
 
 
+@query("snk01_export_files", _ROWS)
+def export_files(s: Store) -> DataFrame:
+    """The export written as CSV, with its mark and in its order, and read back."""
+    path = new_folder(s.spark, "export")
+    P.write_csv(P.export_rows(s.demands), path)
+    return P.read_csv(s.spark, path)
+
+
 @query("snk02_export_by_category", f"SELECT *, left(coalesce(nullif(category, ''), '未分类'), 31) AS sheet FROM ({_ROWS})")
 def export_by_category(s: Store) -> DataFrame:
     return P.sheet_rows(s.demands)
@@ -74,20 +82,28 @@ def weekly_report(s: Store) -> DataFrame:
     return P.weekly_report(s.articles, s.demands, s.as_of, s.articles_as_of)
 
 
-@query(
-    "snk05_property_documents",
-    f"""SELECT id, CAST(json_object('Title', json_object('title', json_array(json_object('text', json_object('content', title)))),
+_DOCUMENTS = f"""SELECT id, CAST(json_object('Title', json_object('title', json_array(json_object('text', json_object('content', title)))),
          'Category', json_object('select', json_object('name', coalesce(nullif(category, ''), '未分类'))),
          'Frequency', json_object('number', frequency), 'Importance', json_object('number', round(importance_score, 2)),
          'Trend', json_object('select', json_object('name', trend)), 'Status', json_object('select', json_object('name', status)),
          'Tags', json_object('multi_select', to_json(list_transform(CASE WHEN tags IS NULL THEN []
             WHEN json_valid(tags) THEN {_LIST} ELSE list_filter(list_transform(string_split(tags, ','), lambda x: trim(x)), lambda x: x <> '') END,
-            lambda x: {{'name': x}})))) AS VARCHAR) AS properties FROM demands""",
-)
+            lambda x: {{'name': x}})))) AS VARCHAR) AS properties FROM demands"""
+
+
+@query("snk05_property_documents", _DOCUMENTS)
 def property_documents(s: Store) -> DataFrame:
     return P.property_documents(s.demands)
 
 
+@query("snk05_document_files", _DOCUMENTS)
+def document_files(s: Store) -> DataFrame:
+    """Documents written as JSON lines and read back."""
+    path = new_folder(s.spark, "documents")
+    P.write_documents(P.property_documents(s.demands), path)
+    return P.read_documents(s.spark, path)
+
+
 @query(
     "snk06_sync_plan",
     """SELECT d.id, d.title, p.page_id, CASE WHEN p.page_id IS NULL THEN 'create' ELSE 'update' END AS action FROM demands d LEFT JOIN
