@@ -383,3 +383,21 @@ def test_a_failed_export_leaves_no_file(spark):
     with pytest.raises(Exception, match="broken"):
         reports.write_documents(documents, path)
     assert not [f for f in pathlib.Path(path).rglob("*") if f.name.startswith("part-") or f.name == "_SUCCESS"]
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_a_streamed_table_may_be_a_folder_of_files(spark, parts):
+    folder = new_folder(spark, "tables")
+    spark.range(9).repartition(parts).write.parquet(f"{folder}/ids.parquet")
+    spark.range(5).write.parquet(f"{folder}/other.parquet")
+    out = J.run_to_table(J.read_stream(spark, folder, "ids.parquet"))
+    assert sorted(r.id for r in out.collect()) == list(range(9))
+
+
+def test_a_streamed_table_may_be_one_file(spark):
+    folder = new_folder(spark, "tables")
+    spark.range(9).coalesce(1).write.parquet(f"{folder}/made")
+    made = next(pathlib.Path(folder, "made").glob("*.parquet"))
+    made.rename(pathlib.Path(folder, "ids.parquet"))
+    out = J.run_to_table(J.read_stream(spark, folder, "ids.parquet"))
+    assert sorted(r.id for r in out.collect()) == list(range(9))

@@ -18,14 +18,16 @@ from topicpulse.session import new_folder, saved
 def read_stream(
     spark: SparkSession, folder: str, pattern: str | None = None, files_per_batch: int | None = None
 ) -> DataFrame:
-    """A stream over the Parquet files of a folder."""
-    batch = spark.read.option("pathGlobFilter", pattern) if pattern else spark.read
-    reader = spark.readStream.schema(batch.parquet(folder).schema)
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
+    """A stream over the Parquet files of a folder.
+
+    ``pattern`` names entries of the folder, each a file or a folder of part files.
+    """
+    # A path with a wildcard may stand for a single file, which a plain stream path may not.
+    path = f"{folder.rstrip('/')}/{pattern[:-1]}[{pattern[-1]}]" if pattern else folder
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    return reader.parquet(path)
 
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
