@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,14 +116,30 @@ def _removals(patterns: list[str], hints: list[list[str]]) -> list[tuple[str, st
     return [(p, "", h) for p, h in zip(patterns, hints)]
 
 
-@F.pandas_udf(T.StringType())
-def _unescape(text: pd.Series) -> pd.Series:
-    return text.map(html.unescape, na_action="ignore")
+# Rows of an Arrow batch that a Python worker holds as objects at a time.
+SLICE_ROWS = 256
 
 
-@F.pandas_udf(T.StringType())
-def _unescape_twice(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: html.unescape(html.unescape(t)), na_action="ignore")
+def in_slices(batches: Iterable[pa.Array], each: Callable[[list], pa.Array]) -> Iterator[pa.Array]:
+    """``each`` over a few rows at a time, so that a batch of long texts is never held twice."""
+    for batch in batches:
+        for start in range(0, len(batch), SLICE_ROWS):
+            yield each(batch.slice(start, SLICE_ROWS).to_pylist())
+
+
+def _decoded(texts: pa.Array, decode: Callable[[str], str]) -> pa.Array:
+    parts = in_slices([texts], lambda some: pa.array([None if t is None else decode(t) for t in some], pa.string()))
+    return pa.chunked_array(parts, pa.string()).combine_chunks()
+
+
+@F.arrow_udf(T.StringType())
+def _unescape(text: pa.Array) -> pa.Array:
+    return _decoded(text, html.unescape)
+
+
+@F.arrow_udf(T.StringType())
+def _unescape_twice(text: pa.Array) -> pa.Array:
+    return _decoded(text, lambda t: html.unescape(html.unescape(t)))
 
 
 def unescape(text: Column, twice: bool = False) -> Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -124,18 +125,22 @@ def douban(rows: DataFrame) -> DataFrame:
 _BOX = T.StructType([T.StructField("text", T.StringType()), T.StructField("raw", T.StringType())])
 
 
-@F.pandas_udf(_BOX)
-def _container(pages: pd.Series, css: pd.Series) -> pd.DataFrame:
-    def one(page: str | None, selectors: str) -> tuple[str, str]:
+def container_text(page: Column, selectors: str) -> Column:
+    """``text`` and ``raw`` of the first matching element; pages are read a few at a time."""
+
+    def one(page: str | None) -> tuple[str, str]:
         node = D.parse(page or "").first(D.any_of(selectors))
         return (node.text("\n", strip=True), node.markup()) if node else ("", "")
 
-    return pd.DataFrame([one(p, c) for p, c in zip(pages, css)], columns=["text", "raw"])
+    def boxes(pages: list[str | None]) -> pa.StructArray:
+        texts, raws = zip(*map(one, pages))
+        return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(raws, pa.string())], ["text", "raw"])
 
+    @F.arrow_udf(_BOX)
+    def container(pages: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return X.in_slices(pages, boxes)
 
-def container_text(page: Column, selectors: str) -> Column:
-    """``text`` and ``raw`` of the first matching element."""
-    return _container(page, F.lit(selectors))
+    return container(page)
 
 
 def _with_state(rows: DataFrame, site: str, pattern: str, bodies: list[str], abouts: list[str]) -> DataFrame:
