@@ -14,7 +14,9 @@ from topicpulse.functions import html_dom
 from topicpulse.functions import page_text as P
 from topicpulse.operators import ingest, ranges, reports, updates
 from topicpulse.operators import relations as R
+from topicpulse.plans import streaming as PS
 from topicpulse.session import new_folder
+from topicpulse.sources.tables import SampleStore, crawl_logs_of
 from topicpulse.streaming import jobs as J
 
 LOG = "id bigint, platform string, start_time timestamp_ntz, status string"
@@ -401,3 +403,19 @@ def test_a_streamed_table_may_be_one_file(spark):
     made.rename(pathlib.Path(folder, "ids.parquet"))
     out = J.run_to_table(J.read_stream(spark, folder, "ids.parquet"))
     assert sorted(r.id for r in out.collect()) == list(range(9))
+
+
+@pytest.mark.parametrize("file_rows", [3, 1000])
+def test_arrivals_are_cut_once_and_streaks_hold_over_them(spark, file_rows, monkeypatch):
+    folder, start = new_folder(spark, "tables"), dt.datetime(2024, 1, 1)
+    rows = [(i, start + dt.timedelta(hours=3 * i), 7, "error" if i % 9 else "click", 1.5, "{}") for i in range(240)]
+    rows.append((999, None, 7, "error", 1.5, "{}"))
+    columns = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    spark.createDataFrame(rows, columns).repartition(4).write.parquet(f"{folder}/events.parquet")
+    monkeypatch.setattr(J, "_BLOCK_ROWS", 2)
+    stream = PS._arrivals(SampleStore(spark, folder), "events", "ts", "event_id", file_rows=file_rows)
+    out = J.run_to_table(J.failure_streak_stream(crawl_logs_of(stream), delay="3 days"))
+    last = start + dt.timedelta(hours=3 * 239) - dt.timedelta(days=3)
+    runs = _running([(i, "p7", at, "failed" if kind == "error" else "completed") for i, at, _, kind, *_ in rows if at])
+    want = sorted(i for i, n in runs.items() if n == 5 and rows[i][1] < last)
+    assert sorted(r.id for r in out.collect()) == want

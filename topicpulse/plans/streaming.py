@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from topicpulse.functions import scalars as S
 from topicpulse.plans.registry import query
@@ -58,18 +59,31 @@ def stream_snapshot(s: Store) -> DataFrame:
     return J.run_to_table(J.weekly_snapshots(mentions))
 
 
-def _arrivals(s: Store, table: str, time: str, key: str, days: int = 8, late_days: int = 2) -> DataFrame:
-    """The table as a stream of several files: each holds the rows of some days, every seventh
-    row ``late_days`` after its time."""
+# Rows of a staged batch that make a file of their own.
+FILE_ROWS = 500_000
+
+
+def _arrivals(
+    s: Store, table: str, time: str, key: str, days: int = 8, late_days: int = 2, file_rows: int = FILE_ROWS
+) -> DataFrame:
+    """The table as a stream of several batches: each holds the rows of some days, every seventh
+    row ``late_days`` after its time. The table is cut once; batches have equally many files."""
     rows = s.raw(table)
     shift = F.when(F.col(key) % 7 == 3, late_days).otherwise(0)
     number = F.floor((F.unix_seconds(F.col(time).cast("timestamp")) / 86_400 + shift) / days).cast("bigint")
-    rows = rows.withColumn("_batch", F.coalesce(number, F.lit(0)))
-    first, last = rows.agg(F.min("_batch"), F.max("_batch")).first()
-    folder = new_folder(s.spark, "arrivals")
-    for n in range(first or 0, (last or 0) + 1):
-        rows.where(F.col("_batch") == n).drop("_batch").coalesce(1).write.mode("append").parquet(folder)
-    return J.read_stream(s.spark, folder, files_per_batch=1)
+    cut, folder = new_folder(s.spark, "cut"), new_folder(s.spark, "arrivals")
+    rows.withColumn("_batch", F.coalesce(number, F.lit(0))).write.partitionBy("_batch").parquet(cut)
+    parts = s.spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("_batch", T.LongType())])).parquet(cut)
+    # One number a batch; a stream takes so many files at a time, so each batch needs as many.
+    sizes = {r["_batch"]: r["n"] for r in parts.groupBy("_batch").agg(F.count(F.lit(1)).alias("n")).collect()}
+    files = max(1, min(sizes.values(), default=0) // file_rows)
+    for n in sorted(sizes):
+        batch = parts.where(F.col("_batch") == n).drop("_batch")
+        batch = batch.coalesce(1) if files == 1 else batch.repartition(files)
+        batch.write.mode("append").parquet(folder)
+    if not sizes:
+        rows.limit(0).write.parquet(folder)
+    return J.read_stream(s.spark, folder, files_per_batch=files)
 
 
 _STREAKS = """SELECT id, platform, start_time, CAST(5 AS BIGINT) AS streak FROM (SELECT *, count(*) FILTER (status <> 'completed') OVER (PARTITION BY platform, island

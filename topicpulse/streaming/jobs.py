@@ -177,24 +177,38 @@ def weekly_snapshots(mentions: DataFrame, delay: str = "30 days") -> DataFrame:
     )
 
 
+# A waiting row of a platform, and the rows that one state entry holds.
+_WAITING = np.dtype([("at", "<i8"), ("id", "<i8"), ("failed", "?")])
+_BLOCK_ROWS = 50_000
+
+
+def _blocks(rows: np.ndarray) -> list[tuple[bytes]]:
+    return [(rows[i : i + _BLOCK_ROWS].tobytes(),) for i in range(0, len(rows), _BLOCK_ROWS)]
+
+
 class _Streaks(StatefulProcessor):
-    """Failure streak of a platform; rows wait until the watermark has passed them."""
+    """Failure streak of a platform; rows wait until the watermark has passed them.
+
+    Waiting rows are kept as blocks, so that the state is read and written by block, not by row.
+    """
 
     def __init__(self, threshold: int) -> None:
         self.threshold = threshold
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at bigint, id bigint, failed boolean")
+        self.waiting = handle.getListState("waiting", "block binary")
         self.streak = handle.getValueState("streak", "n bigint")
         self.due = handle.getValueState("due", "at bigint")
 
     def handleInputRows(self, key, rows, timerValues):
         earliest = None
         for batch in rows:
-            at = batch["at"].to_numpy("int64")
-            self.waiting.appendList(list(zip(at.tolist(), batch["id"].tolist(), batch["failed"].tolist())))
-            low = int(at.min()) // 1000
+            block = np.empty(len(batch), _WAITING)
+            for name in _WAITING.names:
+                block[name] = batch[name].to_numpy()
+            self.waiting.appendList(_blocks(block))
+            low = int(block["at"].min()) // 1000
             earliest = low if earliest is None else min(earliest, low)
         if earliest is not None:
             self._wake(earliest, timerValues.getCurrentWatermarkInMs())
@@ -203,21 +217,22 @@ class _Streaks(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self.due.clear()
         now = timerValues.getCurrentWatermarkInMs()
-        rows = pd.DataFrame(list(self.waiting.get()), columns=["at", "id", "failed"])
+        rows = np.concatenate([np.empty(0, _WAITING), *(np.frombuffer(b[0], _WAITING) for b in self.waiting.get())])
         ready = rows["at"] // 1000 < now
         later = rows[~ready]
-        if later.empty:
-            self.waiting.clear()
-        else:
-            self.waiting.put(list(later.itertuples(index=False, name=None)))
+        if len(later):
+            self.waiting.put(_blocks(later))
             self._wake(int(later["at"].min()) // 1000, now)
-        done = rows[ready].sort_values(["at", "id"], ignore_index=True)
-        if done.empty:
+        else:
+            self.waiting.clear()
+        done = rows[ready]
+        if not len(done):
             return
+        done = done[np.lexsort((done["id"], done["at"]))]
         open_run = self.streak.get()[0] if self.streak.exists() else 0
         place = np.arange(1, len(done) + 1)
         # The last completed run so far; before the first one the open streak goes on.
-        last = np.maximum.accumulate(np.where(done["failed"].to_numpy(bool), -open_run, place))
+        last = np.maximum.accumulate(np.where(done["failed"], -open_run, place))
         run = place - last
         self.streak.update((int(run[-1]),))
         hit = done[run == self.threshold]
