@@ -419,3 +419,22 @@ def test_arrivals_are_cut_once_and_streaks_hold_over_them(spark, file_rows, monk
     runs = _running([(i, "p7", at, "failed" if kind == "error" else "completed") for i, at, _, kind, *_ in rows if at])
     want = sorted(i for i, n in runs.items() if n == 5 and rows[i][1] < last)
     assert sorted(r.id for r in out.collect()) == want
+
+
+def test_an_upserted_table_is_staged_in_more_files_as_it_grows(spark, monkeypatch):
+    folder, seen = new_folder(spark, "tables"), []
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('text ', id % 300) AS text", "'en' AS lang", "'s' AS source", "id % 5 AS n_chars")
+    docs.repartition(24).write.option("maxRecordsPerFile", 10).parquet(f"{folder}/documents.parquet")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4kb")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1kb")
+    read = J.read_stream
+    monkeypatch.setattr(J, "read_stream", lambda spark, path, **kw: seen.append((path, kw)) or read(spark, path, **kw))
+    try:
+        got = PS.stream_upsert(SampleStore(spark, folder)).select("platform", "platform_id", "title").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    (path, asked), = seen
+    files = len(list(pathlib.Path(path).glob("part-*")))
+    assert files > 4 and -(-files // asked["files_per_batch"]) == 4
+    assert len(got) == docs.selectExpr("n_chars % 12", "md5(text)").distinct().count() == len(set(got))

@@ -39,10 +39,12 @@ def stream_ingest_dedup(s: Store) -> DataFrame:
     "SELECT platform, platform_id, any_value(title) AS title, any_value(content) AS content FROM articles GROUP BY platform, platform_id",
 )
 def stream_upsert(s: Store) -> DataFrame:
-    """Four micro-batches, folded after every third one."""
+    """Four micro-batches, folded after every third one; a batch has more files as the table grows."""
     staged = new_folder(s.spark, "arrivals")
-    s.raw("documents").repartitionByRange(4, "doc_id").write.parquet(staged)
-    articles = _articles(J.read_stream(s.spark, staged, files_per_batch=1)).withColumn("ord", F.col("id"))
+    rows = s.raw("documents")
+    files = -(-rows.rdd.getNumPartitions() // 4)
+    rows.repartitionByRange(4 * files, "doc_id").write.parquet(staged)
+    articles = _articles(J.read_stream(s.spark, staged, files_per_batch=files)).withColumn("ord", F.col("id"))
     columns = "id bigint, platform string, platform_id string, title string, content string, crawl_time timestamp_ntz"
     log = J.ChangeLog(s.spark, new_folder(s.spark, "articles"), columns)
     J.upsert_stream(articles, log, "ord", compact_every=3)
