@@ -72,9 +72,15 @@ def unit_vector(v: Column) -> Column:
     return S.bind(F.struct(doubles.alias("v"), length.alias("n")), lambda s: F.when(s["n"] > 0, F.transform(s["v"], lambda x: x / s["n"])))
 
 
-def unit_cosine(a: Column, b: Column) -> Column:
-    """Cosine of two unit vectors of equal length."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+def vector_length(v: Column) -> Column:
+    """Euclidean length of a number array in double precision; NULL where a component is."""
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
+
+
+def cosine(a: Column, b: Column, length_a: Column, length_b: Column) -> Column:
+    """Cosine of two number arrays of equal size, given their lengths."""
+    product = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
+    return F.aggregate(product, F.lit(0.0), lambda acc, x: acc + x) / (length_a * length_b)
 
 
 # --- exact ------------------------------------------------------------------
@@ -329,14 +335,21 @@ def tfidf_candidates(
 
 
 def vector_scores(candidates: DataFrame, new_vectors: DataFrame, library_vectors: DataFrame) -> DataFrame:
-    """``(query_id, candidate_id, similarity)`` of candidate pairs.
+    """``(query_id, candidate_id, similarity)`` of candidate pairs; zero vectors take no part.
 
-    Vectors are unit vectors (:func:`unit_vector`), so a pair costs one product.
+    A pair carries one vector through the shuffle, so it stays as narrow as it is stored, with
+    its length beside it.
     """
-    va = new_vectors.select("query_id", F.col("vector").alias("va")).where("va IS NOT NULL")
-    vb = library_vectors.select(F.col("id").alias("candidate_id"), F.col("vector").alias("vb")).where("vb IS NOT NULL")
+
+    def measured(vectors: DataFrame, key: str, name: str) -> DataFrame:
+        rows = vectors.select(F.col(key).alias("key"), F.col("vector").alias(f"v{name}"), vector_length(F.col("vector")).alias(f"l{name}"))
+        return rows.where(F.col(f"l{name}") > 0)
+
+    va = measured(new_vectors, "query_id", "a").withColumnRenamed("key", "query_id")
+    vb = measured(library_vectors, "id", "b").withColumnRenamed("key", "candidate_id")
     pairs = candidates.select("query_id", "candidate_id").join(va, "query_id").join(vb, "candidate_id")
-    return pairs.select("query_id", "candidate_id", F.round(unit_cosine(F.col("va"), F.col("vb")), 6).alias("similarity"))
+    similarity = cosine(F.col("va"), F.col("vb"), F.col("la"), F.col("lb"))
+    return pairs.select("query_id", "candidate_id", F.round(similarity, 6).alias("similarity"))
 
 
 def semantic_match(candidates: DataFrame, new_vectors: DataFrame, library_vectors: DataFrame, above: float = 0.5) -> DataFrame:
