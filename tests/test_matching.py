@@ -200,3 +200,14 @@ def test_components_of_a_folded_path_settle(spark, monkeypatch):
     nodes = spark.range(1, n + 2)
     got = {r.id: r.leader for r in M.connected_components(nodes, edges).collect()}
     assert got == {**{i: 1 for i in range(1, n + 1)}, n + 1: n + 1}
+
+
+def test_vectors_travel_as_they_are_stored(spark):
+    rows = [(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, None]), (5, [-2.0, 0.0])]
+    vectors = lambda key: spark.createDataFrame(rows, f"{key} bigint, vector array<float>")
+    pairs = spark.createDataFrame([(a, b) for a in range(1, 6) for b in range(1, 6)], "query_id bigint, candidate_id bigint")
+    scored = M.vector_scores(pairs, vectors("query_id"), vectors("id"))
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.query_id, r.candidate_id): r.similarity for r in scored.collect() if r.similarity is not None}
+    assert got == {(1, 1): 1.0, (1, 5): -0.6, (5, 1): -0.6, (5, 5): 1.0}
+    assert plan.count("zip_with") == 1
