@@ -211,3 +211,17 @@ def test_vectors_travel_as_they_are_stored(spark):
     got = {(r.query_id, r.candidate_id): r.similarity for r in scored.collect() if r.similarity is not None}
     assert got == {(1, 1): 1.0, (1, 5): -0.6, (5, 1): -0.6, (5, 5): 1.0}
     assert plan.count("zip_with") == 1
+
+
+def test_cascade_asks_each_title_once(spark, monkeypatch):
+    library = spark.createDataFrame([(i, f"alpha beta gamma{i}", "d", "[]", i) for i in range(1, 5)], "id bigint, title string, description string, tags string, ord bigint")
+    # Row 7 comes with two titles; rows 8 and 9 share one of them.
+    rows = [(7, "alpha beta other things"), (7, "gamma2 and nothing else"), (8, "alpha beta other things"), (9, "alpha beta other things")]
+    new = spark.createDataFrame(rows, "query_id bigint, title string")
+    asked, whole = [], M.tfidf_candidates
+    monkeypatch.setattr(M, "tfidf_candidates", lambda q, *a, **k: asked.append(q.count()) or whole(q, *a, **k))
+    got = [(r.query_id, r.level, r.near_id) for r in M.dedup_cascade(new, library).collect()]
+    assert asked == [2]
+    pairs = whole(new, library)
+    near = {r.query_id: r.near_id for r in M.candidate_ratio(pairs, new, library).collect() if 0.5 < r.near_ratio < 0.8}
+    assert near and sorted(got, key=str) == sorted([(q, "new", near.get(q)) for q, _ in rows], key=str)

@@ -400,8 +400,14 @@ def dedup_cascade(
     fuzzy = fuzzy_best_match(left, library).select("query_id", F.col("existing_id").alias("fuzzy_id"), "ratio")
     fuzzy = saved(fuzzy)
     rest = saved(left.join(fuzzy, "query_id", "left_anti").select("query_id", "title"))
-    candidates = saved(tfidf_candidates(rest, library, top, fitted=new))
-    near = candidate_ratio(candidates, rest, library).where("near_ratio > 0.5 AND near_ratio < 0.8")
+    # Candidates and their ratios depend on the title alone, so each title is asked once.
+    titles = saved(rest.select(F.col("title").alias("query_id"), "title").distinct())
+    candidates = saved(tfidf_candidates(titles, library, top, fitted=new).withColumnRenamed("query_id", "title"))
+    ratios = candidate_ratio(candidates.withColumnRenamed("title", "query_id"), titles, library)
+    closest = F.max(F.struct("near_ratio", (-F.col("near_id")).alias("back")))
+    of_rows = rest.join(ratios.withColumnRenamed("query_id", "title"), "title").groupBy("query_id").agg(closest.alias("m"))
+    near = of_rows.select("query_id", (-F.col("m.back")).alias("near_id"), F.col("m.near_ratio").alias("near_ratio"))
+    near = saved(near.where("near_ratio > 0.5 AND near_ratio < 0.8"))
     out = (
         new.select("query_id")
         .join(exact, "query_id", "left")
@@ -411,7 +417,8 @@ def dedup_cascade(
     if new_vectors is None or library_vectors is None:
         out = out.withColumn("semantic_id", F.lit(None).cast("bigint")).withColumn("similarity", F.lit(None).cast("double"))
     else:
-        asked = candidates.join(near.select("query_id"), "query_id", "left_semi")
+        open_rows = rest.join(near.select("query_id"), "query_id", "left_semi")
+        asked = open_rows.join(candidates, "title").select("query_id", "candidate_id")
         semantic = semantic_match(asked, new_vectors, library_vectors)
         out = out.join(semantic.withColumnRenamed("existing_id", "semantic_id"), "query_id", "left")
     found = F.coalesce("exact_id", "fuzzy_id", "semantic_id")
