@@ -178,11 +178,13 @@ def _searched(passages_: DataFrame, window: int, shards: int) -> DataFrame:
         owner, last = group.column("owner").to_numpy(), group.column("last").to_numpy()
         lengths = w.counts.astype(np.int64)
         index = FMIndex(w.hash, lengths, owner)
-        as_owner = index.covered_windows(w.hash, lengths, owner, window)
         others = last > owner
-        as_other = np.zeros(len(lengths), np.int64)
-        of_others = np.repeat(others, lengths)
-        as_other[others] = index.covered_windows(w.hash[of_others], lengths[others], last[others], window)
+        # Both readings in one pass: the steps that only a few passages need are taken once.
+        symbols = np.concatenate([index.spelled, index.spelled[np.repeat(others, lengths)]])
+        readers = np.concatenate([owner, last[others]])
+        found = index.covered(symbols, np.concatenate([lengths, lengths[others]]), readers, window)
+        as_owner, as_other = found[: len(lengths)], np.zeros(len(lengths), np.int64)
+        as_other[others] = found[len(lengths) :]
         return pa.table(
             {"anchor": group.column("anchor"), "same": group.column("same"), "as_owner": as_owner, "as_other": as_other}
         )
@@ -254,12 +256,21 @@ def words_to_go(w: Words, covered: pa.Array, window: int = WINDOW) -> np.ndarray
 
 def _kept(w: Words, gone: np.ndarray) -> list[bytes]:
     """The words left of each text, joined by one space."""
-    raw = w.raw.tobytes()
-    start, end = w.start.tolist(), w.end.tolist()
     keep = np.flatnonzero(~gone)
     cut = np.searchsorted(keep, w.first)
-    keep = keep.tolist()
-    return [b" ".join([raw[start[k] : end[k]] for k in keep[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    # A word that another of its text follows takes the byte after it along, as the space.
+    more = np.ones(len(keep), bool)
+    more[cut[1:][cut[1:] > cut[:-1]] - 1] = False
+    edge = np.zeros(len(w.raw) + 2, np.int8)
+    edge[w.start[keep]] += 1
+    edge[w.end[keep] + more] -= 1
+    stay = np.cumsum(edge[:-2], dtype=np.int8).view(bool)
+    raw = w.raw.copy()
+    raw[w.end[keep[more]]] = 0x20
+    left = raw[stay].tobytes()
+    # Bytes left before each text.
+    size = np.concatenate([[0], np.cumsum(w.end[keep] - w.start[keep] + more)])[cut].tolist()
+    return [left[a:b] for a, b in zip(size[:-1], size[1:], strict=True)]
 
 
 def dedup_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
