@@ -19,6 +19,11 @@ _FLAGS = "(?Ud)"
 
 # White space other than the plain blank and the newline.
 _ODD_SPACE = r"\t\x0b\f\r\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# The same for the JVM, whose test of a character is short: a bit set, then a single range for all others.
+_ODD_SPACES = (
+    r"[\t\x0b\f\r\x1c\x1d\x1e\x1f\x85\u00a0"
+    r"[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]]+"
+)
 _SPACE_CHARS = "".join(chr(c) for c in range(0x3001) if re.fullmatch(f"[ \\n{_ODD_SPACE}]", chr(c)))
 
 # Advertisement patterns, applied in this order.
@@ -102,8 +107,13 @@ def _replace_all(text: Column, rules: Iterable[tuple[str, str, list[str]]]) -> C
     def step(t: Column, rule: tuple[str, str, list[str]]) -> Column:
         pattern, to, words = rule
 
+        def holds(x: Column, some: list[str]) -> Column:
+            return reduce(lambda a, b: a | b, [x.contains(w) for w in some])
+
         def guarded(x: Column) -> Column:
-            has = [F.lower(x).contains(w[1:]) if w.startswith("~") else x.contains(w) for w in words]
+            exact, folded = [w for w in words if w[0] != "~"], [w[1:] for w in words if w[0] == "~"]
+            has = [holds(x, exact)] if exact else []
+            has += [bind(F.lower(x), lambda low: holds(low, folded))] if folded else []
             hit = reduce(lambda a, b: a | b, has)
             return F.when(hit, F.regexp_replace(x, _FLAGS + pattern, to)).otherwise(x)
 
@@ -112,8 +122,23 @@ def _replace_all(text: Column, rules: Iterable[tuple[str, str, list[str]]]) -> C
     return reduce(step, rules, text)
 
 
-def _removals(patterns: list[str], hints: list[list[str]]) -> list[tuple[str, str, list[str]]]:
-    return [(p, "", h) for p, h in zip(patterns, hints)]
+_HAN = "[\u4e00-\u9fff]"
+
+
+def _remove(text: Column, patterns: list[str], hints: list[list[str]]) -> Column:
+    """Take the patterns out in turn; a text without Chinese characters can only hold the other words.
+
+    Removals add no character, so the text is asked once, and one of ASCII alone by its size.
+    """
+    rules = [(p, "", h) for p, h in zip(patterns, hints)]
+    others = [(p, to, [w for w in h if not re.search(_HAN, w)]) for p, to, h in rules]
+    others = [r for r in others if r[2]]
+
+    def chosen(t: Column) -> Column:
+        han = (F.octet_length(t) > F.length(t)) & t.rlike(_HAN)
+        return F.when(han, _replace_all(t, rules)).otherwise(_replace_all(t, others))
+
+    return bind(text, chosen)
 
 
 # Rows of an Arrow batch that a Python worker holds as objects at a time.
@@ -176,22 +201,22 @@ def node_text(text: Column) -> Column:
 
 def strip_tags(text: Column, collapse: bool = False) -> Column:
     """Drop tags without a trace; optionally squeeze white space to one blank."""
-    bare = F.regexp_replace(text, "<[^>]+>", "")
+    bare = bind(text, lambda t: F.when(t.contains("<"), F.regexp_replace(t, "<[^>]+>", "")).otherwise(t))
     bare = trim_space(bare)
     return F.regexp_replace(bare, f" *[\n{_ODD_SPACE}][ \n{_ODD_SPACE}]*|  +", " ") if collapse else bare
 
 
 def remove_ads(text: Column) -> Column:
-    return _replace_all(text, _removals(AD_PATTERNS, _AD_HINTS))
+    return _remove(text, AD_PATTERNS, _AD_HINTS)
 
 
 def remove_boilerplate(text: Column) -> Column:
-    return _replace_all(text, _removals(BOILERPLATE_PATTERNS, _BOILERPLATE_HINTS))
+    return _remove(text, BOILERPLATE_PATTERNS, _BOILERPLATE_HINTS)
 
 
 def normalize_whitespace(text: Column) -> Column:
     """One blank between words, trimmed lines, at most one empty line in a row."""
-    squeezed = _replace_all(F.regexp_replace(text, f"[{_ODD_SPACE}]+", " "), _SPACE_RULES)
+    squeezed = _replace_all(F.regexp_replace(text, _ODD_SPACES, " "), _SPACE_RULES)
     return F.trim(squeezed, F.lit(" \n"))
 
 

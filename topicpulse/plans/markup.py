@@ -12,6 +12,7 @@ from topicpulse.plans.payload_data import K, pick
 from topicpulse.plans.registry import query
 from topicpulse.plans.scalars import sql_chain
 from topicpulse.functions import text as X
+from topicpulse.functions.scalars import bind
 from topicpulse.sources import details as D
 from topicpulse.sources import markup as M
 from topicpulse.sources.tables import SampleStore as Store
@@ -154,8 +155,8 @@ register_cte("doc_json", "SELECT doc_id, lang, text, to_json(text) AS js FROM do
 
 def _doc_payload(s: Store, head: str, tail: str) -> DataFrame:
     """Document texts as JSON strings between ``head`` and ``tail``."""
-    one = F.array(F.col("text"))
-    js = F.regexp_replace(F.to_json(one), r"(?s)\A\[(.*)\]\z", "$1")
+    listed = F.to_json(F.array(F.col("text")))
+    js = bind(listed, lambda j: F.substring(j, F.lit(2), F.length(j) - 2))
     return s.spread("documents", "doc_id").select(F.col("doc_id").alias("payload_id"), F.concat(F.lit(head), js, F.lit(tail)).alias("payload"))
 
 

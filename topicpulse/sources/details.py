@@ -71,10 +71,13 @@ def juejin(rows: DataFrame) -> DataFrame:
 
 
 def toutiao_api(rows: DataFrame) -> DataFrame:
-    """Rows without content are dropped: they need the page instead."""
-    raw = text(F.col("doc"), "$.data.content")
-    content = X.strip_tags(raw)
-    return _fields(_parsed(rows).where(raw != ""), content, raw, lambda c: S.make_summary(c, ellipsis=True))
+    """Rows without content are dropped: they need the page instead.
+
+    An empty list drops a row; a filter would be moved below, where it parses the payload once more.
+    """
+    found = F.filter(F.array(text(F.col("doc"), "$.data.content")), lambda t: t != "")
+    given = _parsed(rows).select("payload_id", F.explode(found).alias("raw"))
+    return _fields(given, X.strip_tags(F.col("raw")), F.col("raw"), lambda c: S.make_summary(c, ellipsis=True))
 
 
 def toutiao_page(rows: DataFrame) -> DataFrame:
