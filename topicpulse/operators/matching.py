@@ -331,14 +331,25 @@ def tfidf_candidates(
     return found.select("query_id", F.col("id").alias("candidate_id"), "score", "rank")
 
 
+def title_candidates(asked: DataFrame, new: DataFrame, library: DataFrame, top: int = 20, heads: int | None = None) -> DataFrame:
+    """``(title, candidate_id, score, rank)`` of the titles of ``asked``, each asked once.
+
+    Candidates depend on the title alone; the weights are those of all ``new`` rows.
+    """
+    titles = saved(asked.select(F.col("title").alias("query_id"), "title").distinct())
+    return tfidf_candidates(titles, library, top, heads, fitted=new).withColumnRenamed("query_id", "title")
+
+
 # --- vectors ----------------------------------------------------------------
 
 
-def vector_scores(candidates: DataFrame, new_vectors: DataFrame, library_vectors: DataFrame) -> DataFrame:
+def vector_scores(candidates: DataFrame, new_vectors: DataFrame, library_vectors: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """``(query_id, candidate_id, similarity)`` of candidate pairs; zero vectors take no part.
 
-    A pair carries one vector through the shuffle, so it stays as narrow as it is stored, with
-    its length beside it.
+    Candidates are ``(query_id, candidate_id)``, or ``(title, candidate_id)`` for the rows
+    ``(query_id, title)`` of ``asked``: then a row's vector and a candidate's go through the shuffle
+    once a row and once a title's candidate, and pairs are made where they meet. Vectors stay as
+    narrow as they are stored, with their length beside them.
     """
 
     def measured(vectors: DataFrame, key: str, name: str) -> DataFrame:
@@ -347,14 +358,20 @@ def vector_scores(candidates: DataFrame, new_vectors: DataFrame, library_vectors
 
     va = measured(new_vectors, "query_id", "a").withColumnRenamed("key", "query_id")
     vb = measured(library_vectors, "id", "b").withColumnRenamed("key", "candidate_id")
-    pairs = candidates.select("query_id", "candidate_id").join(va, "query_id").join(vb, "candidate_id")
+    if asked is None:
+        pairs = candidates.select("query_id", "candidate_id").join(va, "query_id").join(vb, "candidate_id")
+    else:
+        known = candidates.select("title", "candidate_id").join(vb, "candidate_id")
+        pairs = asked.select("query_id", "title").join(va, "query_id").join(known, "title")
     similarity = cosine(F.col("va"), F.col("vb"), F.col("la"), F.col("lb"))
     return pairs.select("query_id", "candidate_id", F.round(similarity, 6).alias("similarity"))
 
 
-def semantic_match(candidates: DataFrame, new_vectors: DataFrame, library_vectors: DataFrame, above: float = 0.5) -> DataFrame:
+def semantic_match(
+    candidates: DataFrame, new_vectors: DataFrame, library_vectors: DataFrame, above: float = 0.5, asked: DataFrame | None = None
+) -> DataFrame:
     """Best candidate by vector cosine, if it exceeds ``above``; ties to the lowest id."""
-    scored = vector_scores(candidates, new_vectors, library_vectors)
+    scored = vector_scores(candidates, new_vectors, library_vectors, asked)
     top = F.max(F.struct(F.col("similarity"), (-F.col("candidate_id")).alias("back")))
     return (
         scored.where(F.col("similarity") > above)
@@ -401,8 +418,8 @@ def dedup_cascade(
     fuzzy = saved(fuzzy)
     rest = saved(left.join(fuzzy, "query_id", "left_anti").select("query_id", "title"))
     # Candidates and their ratios depend on the title alone, so each title is asked once.
-    titles = saved(rest.select(F.col("title").alias("query_id"), "title").distinct())
-    candidates = saved(tfidf_candidates(titles, library, top, fitted=new).withColumnRenamed("query_id", "title"))
+    candidates = saved(title_candidates(rest, new, library, top))
+    titles = rest.select(F.col("title").alias("query_id"), "title").distinct()
     ratios = candidate_ratio(candidates.withColumnRenamed("title", "query_id"), titles, library)
     closest = F.max(F.struct("near_ratio", (-F.col("near_id")).alias("back")))
     of_rows = rest.join(ratios.withColumnRenamed("query_id", "title"), "title").groupBy("query_id").agg(closest.alias("m"))
@@ -418,8 +435,7 @@ def dedup_cascade(
         out = out.withColumn("semantic_id", F.lit(None).cast("bigint")).withColumn("similarity", F.lit(None).cast("double"))
     else:
         open_rows = rest.join(near.select("query_id"), "query_id", "left_semi")
-        asked = open_rows.join(candidates, "title").select("query_id", "candidate_id")
-        semantic = semantic_match(asked, new_vectors, library_vectors)
+        semantic = semantic_match(candidates, new_vectors, library_vectors, asked=open_rows)
         out = out.join(semantic.withColumnRenamed("existing_id", "semantic_id"), "query_id", "left")
     found = F.coalesce("exact_id", "fuzzy_id", "semantic_id")
     level = (

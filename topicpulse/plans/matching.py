@@ -160,7 +160,8 @@ def _vectors(s: Store) -> tuple[DataFrame, DataFrame]:
 
 @query("ent05_semantic_match", "SELECT * FROM semantic_best")
 def semantic_match(s: Store) -> DataFrame:
-    return M.semantic_match(_candidates(s), *_vectors(s))
+    new = new_demands(s)
+    return M.semantic_match(M.title_candidates(new, new, s.demands), *_vectors(s), asked=new)
 
 
 register_cte(
@@ -234,7 +235,8 @@ def merged_tags(s: Store) -> DataFrame:
        AND NOT EXISTS (SELECT 1 FROM demand_relations r WHERE r.demand_id_a = least(existing_id, new_id) AND r.demand_id_b = greatest(existing_id, new_id)) GROUP BY 1, 2""",
 )
 def relation_edges(s: Store) -> DataFrame:
-    scored = M.vector_scores(_candidates(s), *_vectors(s)).select(
+    new = new_demands(s)
+    scored = M.vector_scores(M.title_candidates(new, new, s.demands), *_vectors(s), asked=new).select(
         F.col("candidate_id").alias("existing_id"), (F.col("query_id") - 1_000_000).alias("new_id"), "similarity"
     )
     return M.relation_edges(scored.where("existing_id <> new_id"), s.demand_relations)
